@@ -1,7 +1,7 @@
 """All registered queries of this subpackage, and the SQL for those that SQL can express."""
 
-from folium.llm import chat, ngram_join, pii, secrets, sharding
+from folium.llm import chat, decontaminate, ngram_join, pii, secrets, sharding
 
-MODULES = [ngram_join, chat, pii, secrets, sharding]
+MODULES = [ngram_join, chat, pii, decontaminate, secrets, sharding]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
