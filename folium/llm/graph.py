@@ -57,7 +57,7 @@ def components(edges: DataFrame) -> DataFrame:
     Labels sink to the smallest of each neighbourhood and jump to their label's label, so the rounds grow with the
     logarithm of the longest path. Joins read written tables, so that Spark may split the rows of a hub.
     """
-    edges = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").mapInArrow(_stars, "a long, b long"))
+    edges = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").mapInArrow(_stars, "a long, b long").dropDuplicates(["a", "b"]))
     both = settle(edges.union(edges.select("b", "a")))
     labels = settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
     while True:
