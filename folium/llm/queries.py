@@ -1,7 +1,7 @@
 """All registered queries of this subpackage, and the SQL for those that SQL can express."""
 
-from folium.llm import chat, decontaminate, langid, ngram_join, pii, secrets, sharding, vector_dedup
+from folium.llm import bpe, chat, decontaminate, langid, ngram_join, pii, secrets, sharding, vector_dedup
 
-MODULES = [ngram_join, chat, pii, decontaminate, secrets, sharding, vector_dedup, langid]
+MODULES = [ngram_join, chat, pii, decontaminate, secrets, sharding, bpe, vector_dedup, langid]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
