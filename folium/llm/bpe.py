@@ -30,23 +30,26 @@ from folium.llm.shingles import _BASE, _bytes, _power, mix, pieces
 
 #: The pattern that this module follows; a vocabulary with another one is not for it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 400_000
+#: Words remembered in a process, rows that a query makes at most, and bytes of a word beyond which a heap takes it.
+REMEMBERED = 2_000_000
+ROWS = 6_000_000
+LONG = 1000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
+#: A row's spot is its word's number and its first byte's place in it; stop is the spot after its last byte.
 ENCODE = """
-WITH RECURSIVE step(word, pos, tok, turn) AS (
-  SELECT word, pos, tok, 0 FROM given
+WITH RECURSIVE step(spot, stop, tok, turn) AS (
+  SELECT spot, spot + 1, tok, 0 FROM given
   UNION ALL
   (WITH pair AS (
-     SELECT word, pos, tok, turn, lead(tok) OVER w AS after, lag(pos) OVER w AS before FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)),
-   ranked AS MATERIALIZED (
-     SELECT pair.*, (merges.rank::BIGINT << 32) | pos AS k FROM pair LEFT JOIN merges ON merges.pair = ((tok::BIGINT << 32) | after)),
-   best AS (SELECT word, min(k) AS k FROM ranked WHERE k IS NOT NULL GROUP BY word)
-   SELECT ranked.word, pos, CASE WHEN pos = (best.k & 4294967295) THEN (best.k >> 32)::INT ELSE tok END, turn + 1
-   FROM ranked JOIN best USING (word) WHERE before IS NULL OR before <> (best.k & 4294967295))),
-done AS (SELECT word, max(turn) AS turn FROM step GROUP BY word)
-SELECT step.word, list(tok ORDER BY pos) AS toks FROM step JOIN done USING (word, turn) GROUP BY step.word ORDER BY step.word
+     SELECT a.spot >> 32 AS word, (rank::BIGINT << 32) | (a.spot & 4294967295) AS k, a.stop AS mid, b.stop AS stop
+     FROM step a JOIN step b ON b.spot = a.stop JOIN merges ON merges.pair = ((a.tok::BIGINT << 32) | b.tok)),
+   best AS MATERIALIZED (SELECT word, min(k) AS k, arg_min(mid, k) AS mid, arg_min(stop, k) AS stop FROM pair GROUP BY word)
+   SELECT s.spot, CASE WHEN s.stop = best.mid THEN best.stop ELSE s.stop END, CASE WHEN s.stop = best.mid THEN (best.k >> 32)::INT ELSE s.tok END, turn + 1
+   FROM step s JOIN best ON s.spot >> 32 = best.word WHERE s.spot <> best.mid)),
+done AS (SELECT spot >> 32 AS word, max(turn) AS turn FROM step GROUP BY spot >> 32)
+SELECT done.word, list(tok ORDER BY spot) AS toks FROM step JOIN done ON step.spot >> 32 = done.word AND step.turn = done.turn GROUP BY done.word ORDER BY done.word
 """
 DECODE = "SELECT doc, string_agg(hex, '') AS hex FROM (SELECT doc, pos, hex FROM ids JOIN vocab USING (tok) ORDER BY doc, pos) GROUP BY doc ORDER BY doc"
 
@@ -107,6 +110,14 @@ def cuts(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at)
 
 
+def hashes(code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs code[begin:end]."""
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(mix(code.astype(np.uint64) + np.uint64(1)) * _power("base", _BASE, len(code)), out=total[1:])
+    back = _power("inverse", pow(_BASE, -1, 2**64), len(code) + 1)
+    return mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
+
+
 class Coder:
     """A vocabulary in DuckDB, and the words met so far."""
 
@@ -116,41 +127,78 @@ class Coder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         pairs = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        self.pairs = dict(pairs)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "autoinstall_known_extensions": False, "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "autoinstall_known_extensions": False, "temp_directory": ""})
         self.db.register("m", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
+        # Words that the vocabulary holds whole are known from the start.
+        whole = []
+        for t, r in self.ranks.items():
+            try:
+                whole.append((np.array([ord(c) for c in t.decode("utf-8")], np.int64), r))
+            except UnicodeDecodeError:
+                continue
+        ends = np.cumsum([len(c) for c, _ in whole])
+        h = hashes(np.concatenate([c for c, _ in whole]), np.concatenate([[0], ends[:-1]]), ends)
+        order = np.argsort(h)
+        self.first = h[order], np.arange(len(h))[order], np.array([r for _, r in whole], np.int32)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.begin, self.ids, self.size = [0], [np.zeros(0, np.int32)], 0
-
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words, by the recursive query; words that the vocabulary holds whole are one id."""
-        out: list[np.ndarray | None] = [None if (r := self.ranks.get(w)) is None else np.array([r], np.int32) for w in words]
-        rest = [i for i, x in enumerate(out) if x is None]
-        # A bounded number of rows a query; a longer word is a query of its own.
-        while rest:
-            held, take = 0, 0
-            while take < len(rest) and (not take or held + len(words[rest[take]]) <= 400_000):
-                held += len(words[rest[take]])
-                take += 1
-            now, rest = rest[:take], rest[take:]
-            flat = np.frombuffer(b"".join(words[i] for i in now), np.uint8)
-            length = np.array([len(words[i]) for i in now])
-            word = np.repeat(np.arange(len(now), dtype=np.int32), length)
-            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
-            given = pa.table({"word": word, "pos": pos, "tok": self.byte[flat]})
-            self.db.register("given", given)
+        """Sorted hashes of the words known, the slot of each, and where the slots' ids begin."""
+        self.hash, self.slot, self.ids = self.first
+        self.begin = np.arange(len(self.ids) + 1)
+
+    def contract(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words data[begin:end], one after the other, and their numbers, by the recursive query."""
+        length = end - begin
+        if (length > LONG).any():
+            # The recursive query keeps every step of a word: the square of its length.
+            parts = [self.heap(data[a:b]) if b - a > LONG else None for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            short = length <= LONG
+            ids, counts = self.contract(data, begin[short], end[short]) if short.any() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            rest = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
+            parts = [next(rest) if x is None else x for x in parts]
+            return np.concatenate(parts), np.array([len(x) for x in parts])
+        ids, counts, low = [], [], 0
+        # A bounded number of rows a query: a word has one for each byte and step.
+        upto = np.cumsum(length * (length + 1) // 2)
+        while low < len(length):
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + ROWS, side="right")))
+            n = length[low:high]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            flat = data[np.repeat(begin[low:high], n) + place]
+            self.db.register("given", pa.table({"spot": (np.repeat(np.arange(len(n)), n) << 32) | place, "tok": self.byte[flat]}))
             toks = self.db.sql(ENCODE).to_arrow_table().column("toks").combine_chunks()
             self.db.unregister("given")
-            flat_ids, ends = toks.flatten().to_numpy(), np.cumsum(toks.value_lengths().to_numpy())
-            for i, ids in zip(now, np.split(flat_ids, ends[:-1]), strict=True):
-                out[i] = ids.astype(np.int32)
-        return out
+            ids.append(toks.flatten().to_numpy())
+            counts.append(toks.value_lengths().to_numpy())
+            low = high
+        return np.concatenate(ids).astype(np.int32), np.concatenate(counts).astype(np.int64)
+
+    def heap(self, word: np.ndarray) -> np.ndarray:
+        """The same contraction of one very long word, by a heap of its pairs."""
+        import heapq
+
+        tok = self.byte[word].tolist()
+        after, before = [*range(1, len(tok)), -1], list(range(-1, len(tok) - 1))
+        heap = [(r, i, tok[i], tok[i + 1]) for i in range(len(tok) - 1) if (r := self.pairs.get(tok[i] << 32 | tok[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if tok[i] != a or j < 0 or tok[j] != b:
+                continue
+            tok[i], tok[j], after[i] = r, -1, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (k := self.pairs.get(tok[x] << 32 | tok[y])) is not None:
+                    heapq.heappush(heap, (k, x, tok[x], tok[y]))
+        return np.array([t for t in tok if t >= 0], np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and the offsets of each text's ids."""
@@ -164,29 +212,25 @@ class Coder:
         point = np.searchsorted(byte_at, offsets)
         begin = cuts(code, np.unique(point[:-1][point[:-1] < point[1:]]))
         end = np.append(begin[1:], len(code))
-        total = np.zeros(len(code) + 1, np.uint64)
-        np.cumsum(mix(code.astype(np.uint64) + np.uint64(1)) * _power("base", _BASE, len(code)), out=total[1:])
-        back = _power("inverse", pow(_BASE, -1, 2**64), len(code))
-        h = mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
-        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.known) > REMEMBERED:
+        distinct, first, which = np.unique(hashes(code, begin, end), return_index=True, return_inverse=True)
+        if len(self.hash) > REMEMBERED:
             self.forget()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            ids = self.contract([data[byte_at[begin[j]] : byte_at[end[j]]].tobytes() for j in first[new].tolist()])
-            for i, x in zip(new, ids, strict=True):
-                self.known[keys[i]] = len(self.begin) - 1
-                self.size += len(x)
-                self.begin.append(self.size)
-            self.ids = [np.concatenate([*self.ids, *ids])]
-        arena, starts = self.ids[0], np.array(self.begin)
-        slot = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[which]
-        length = starts[slot + 1] - starts[slot]
+        spot = np.searchsorted(self.hash, distinct)
+        new = self.hash[np.minimum(spot, len(self.hash) - 1)] != distinct
+        if new.any():
+            j = first[new]
+            ids, counts = self.contract(data, byte_at[begin[j]], byte_at[end[j]])
+            self.slot = np.insert(self.slot, spot[new], len(self.begin) - 1 + np.arange(len(j)))
+            self.hash = np.insert(self.hash, spot[new], distinct[new])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
+            self.ids = np.concatenate([self.ids, ids])
+            spot = np.searchsorted(self.hash, distinct)
+        slot = self.slot[spot][which]
+        start = self.begin[slot]
+        length = self.begin[slot + 1] - start
         stop = np.cumsum(length)
-        out = arena[np.repeat(starts[slot] - (stop - length), length) + np.arange(stop[-1])]
-        upto = np.concatenate([[0], stop])
-        return out, upto[np.searchsorted(begin, point)]
+        out = self.ids[np.repeat(start - (stop - length), length) + np.arange(stop[-1])]
+        return out, np.concatenate([[0], stop])[np.searchsorted(begin, point)]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """The bytes of each text's ids."""
