@@ -34,24 +34,21 @@ from folium.llm.shingles import _LOWER, _SPACE, _bytes, mix, pieces
 DECAY = 0.6
 SPANS = tuple((i, j, k) for k in range(3, 6) for j in range(2, k) for i in range(1, j))
 CELLS = 1 << 21
-SAMPLE, TRAIN_CHARS = 4000, 20_000
-LANDMARKS = 128  # of each kind
+SAMPLE, TRAIN_CHARS = 4000, 8_000
+LANDMARKS = 96  # of each kind
 ROUNDS = 4
-HARD = 2500  # clean words that a round adds at most
+HARD = 2000  # clean words that a round adds at most
 COST = 20.0
 _STEP = np.random.default_rng(99).integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @dataclass
 class Units:
-    """The distinct words of texts, their occurrences in order, and their subsequences."""
+    """The distinct words of texts, and their occurrences in order."""
 
     which: np.ndarray  # of each occurrence, its place among the distinct words
     at: np.ndarray  # offsets of each text's occurrences
     words: list[str]
-    owner: np.ndarray  # of each subsequence, its word
-    cell: np.ndarray
-    weight: np.ndarray
 
 
 def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -134,8 +131,7 @@ def _plain(words: list[bytes]) -> list[str]:
 
 def units(texts: pa.Array) -> Units:
     which, at, distinct = occurrences(texts)
-    words = cleaned(distinct)
-    return Units(which, at, words, *subsequences(words))
+    return Units(which, at, cleaned(distinct))
 
 
 @dataclass
@@ -146,10 +142,12 @@ class Model:
     slope: float
     shift: float
 
-    def words(self, u: Units) -> np.ndarray:
-        if not len(u.words):
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The machine's value for each word."""
+        if not words:
             return np.zeros(0)
-        return np.bincount(u.owner, weights=weighted(u.owner, u.cell, u.weight, self.rarity, len(u.words)) * self.weight[u.cell], minlength=len(u.words)) + self.bias
+        owner, cell, weight = subsequences(words)
+        return np.bincount(owner, weights=weighted(owner, cell, weight, self.rarity, len(words)) * self.weight[cell], minlength=len(words)) + self.bias
 
     def texts(self, u: Units) -> np.ndarray:
         """Probabilities: the worst word of the worst sentence decides."""
@@ -159,13 +157,14 @@ class Model:
         worst = np.full(n, self.bias)
         has = np.flatnonzero(np.diff(u.at))
         if len(has):
-            worst[has] = np.maximum(self.bias, np.maximum.reduceat(self.words(u)[u.which], u.at[has]))
+            found = np.concatenate([self.scores(u.words[k : k + 10_000]) for k in range(0, len(u.words), 10_000)])
+            worst[has] = np.maximum(self.bias, np.maximum.reduceat(found[u.which], u.at[has]))
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
 
 
 def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge, by Newton steps; the last column is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     v = np.zeros(x.shape[1])
     ridge = np.eye(len(v))
     ridge[-1, -1] = 1e-4
@@ -179,7 +178,8 @@ def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray
         slack = 1 - y * (x @ v)
         on = slack > 0
         grad = ridge @ v - 2 * COST * x[on].T @ (weight[on] * y[on] * slack[on])
-        step = np.linalg.solve(ridge + 2 * COST * (x[on] * weight[on][:, None]).T @ x[on], grad)
+        part = x[on] * np.sqrt(2 * COST * weight[on][:, None]).astype(x.dtype)
+        step = np.linalg.solve(ridge + (part.T @ part).astype(float), grad)
         size = 1.0
         while size > 1e-6 and (then := cost(v - size * step)) > now:
             size /= 2
@@ -199,12 +199,18 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         return Model(None, None, 0.0, 1.0, 0.0)
-    u = units(pa.array(texts, pa.string()))
-    # In how many texts of each kind a word stands; cleaned words that are equal share their counts.
-    names, name = np.unique(np.array(u.words, dtype=object).astype(str), return_inverse=True)
-    text = np.repeat(np.arange(len(y)), np.diff(u.at))
-    seen = np.unique(text * len(names) + name[u.which])
-    count = np.stack([np.bincount(seen[y[seen // len(names)] == c] % len(names), minlength=len(names)) for c in (0, 1)])
+    # Words by number, and the numbers of each text; a few megabytes of text at a time.
+    number: dict[str, int] = {}
+    inside: list[np.ndarray] = []
+    for part in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"]), "text", 1 << 21):
+        which, at, distinct = occurrences(part.column(0))
+        name = np.array([number.setdefault(w, len(number)) for w in cleaned(distinct)], np.int64)
+        inside += [np.unique(name[which[i:j]]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    names = list(number)
+    if not names:
+        return Model(None, None, 0.0, 1.0, 0.0)
+    # In how many texts of each kind a word stands.
+    count = np.stack([np.bincount(np.concatenate([own for own, t in zip(inside, toxic, strict=True) if t == c]), minlength=len(names)) for c in (0, 1)])
     size = np.array([(y == 0).sum(), (y == 1).sum()])
     odds = np.log((count[1] + 0.5) / (size[1] + 1)) - np.log((count[0] + 0.5) / (size[0] + 1))
     long_enough = np.array([len(w) >= 3 for w in names])
@@ -222,8 +228,10 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     # Landmarks' subsequences are the only ones with a weight.
     # A subsequence that many clean words share tells little: the kernel weighs it by its rarity.
     clean_words = [str(names[k]) for k in np.flatnonzero(count[0] > 0)]
-    o, c, _ = subsequences(clean_words)
-    held = np.bincount(np.unique(o * CELLS + c) % CELLS, minlength=CELLS)
+    held = np.zeros(CELLS, np.int64)
+    for k in range(0, len(clean_words), 10_000):
+        o, c, _ = subsequences(clean_words[k : k + 10_000])
+        held += np.bincount(np.unique(o * CELLS + c) % CELLS, minlength=CELLS)
     rarity = np.maximum(np.log((len(clean_words) + 1) / (held + 1)) / np.log(len(clean_words) + 2), 0.02).astype(np.float32) ** 2
     zo, zc, zw = subsequences([str(names[k]) for k in landmark])
     zw = weighted(zo, zc, zw, rarity, len(landmark))
@@ -235,10 +243,10 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     white = z @ (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T  # cells x landmarks
 
     def features(chosen: list[str]) -> np.ndarray:
-        out = np.zeros((len(chosen), len(landmark)))
-        for k in range(0, len(chosen), 2000):
-            o, c, w = subsequences(chosen[k : k + 2000])
-            w = weighted(o, c, w, rarity, len(chosen[k : k + 2000]))
+        out = np.zeros((len(chosen), len(landmark)), np.float32)
+        for k in range(0, len(chosen), 200):
+            o, c, w = subsequences(chosen[k : k + 200])
+            w = weighted(o, c, w, rarity, len(chosen[k : k + 200]))
             spot = np.minimum(np.searchsorted(cells, c), len(cells) - 1)
             hit = cells[spot] == c
             order = np.argsort(o[hit], kind="stable")
@@ -256,7 +264,6 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     positive = bad
     # Toxic words with gaps and with a character put in stay toxic.
     x_bent = features([v for k in bad[:LANDMARKS] for v in bent(str(names[k]))])
-    inside = [np.unique(name[u.which[u.at[i] : u.at[i + 1]]]) for i in np.flatnonzero(y == 1)]
     for _ in range(ROUNDS):
         negative = np.setdiff1d(negative, positive)
         x = np.vstack([features([str(names[k]) for k in positive]), x_bent, features([str(names[k]) for k in negative])])
@@ -267,20 +274,18 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         weight = np.zeros(CELLS)
         weight[cells] = white @ v
         machine = Model(weight, rarity, bias, 1.0, 0.0)
-        found = np.full(len(names), -9.0)
-        np.maximum.at(found, name, machine.words(u))
+        found = np.concatenate([machine.scores(names[k : k + 10_000]) for k in range(0, len(names), 10_000)])
         found[~long_enough] = -9.0
         wrong = np.flatnonzero(clean_word & (found > -0.5))
         wrong = wrong[np.argsort(-(found + 0.5)[wrong] * np.sqrt(count[0][wrong]), kind="stable")][:HARD]
-        witness = np.array([own[np.argmax(found[own])] for own in inside if len(own)], np.int64)
+        witness = np.array([own[np.argmax(found[own])] for own, t in zip(inside, toxic, strict=True) if t and len(own)], np.int64)
         witness = np.unique(witness[(count[0][witness] == 0) & (found[witness] > 0.3)])
         if not len(np.setdiff1d(wrong, negative)) and not len(np.setdiff1d(witness, positive)):
             break
         negative, positive = np.union1d(negative, wrong), np.union1d(positive, witness)
     # The logistic curve over the texts' worst words.
-    worst = np.full(len(y), bias)
-    has = np.flatnonzero(np.diff(u.at))
-    worst[has] = np.maximum(bias, np.maximum.reduceat(machine.words(u)[u.which], u.at[has]))
+    found = np.concatenate([machine.scores(names[k : k + 10_000]) for k in range(0, len(names), 10_000)])
+    worst = np.array([max(bias, found[own].max()) if len(own) else bias for own in inside])
     a, b, pull = 1.0, 0.0, 1e-3
     balance = np.where(y == 1, len(y) / (2 * size[1]), len(y) / (2 * size[0]))
     for _ in range(50):
