@@ -31,8 +31,8 @@ from folium.llm.shingles import _BASE, _bytes, _power, mix, pieces
 #: The pattern that this module follows; a vocabulary with another one is not for it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words remembered in a process, rows that a query makes at most, and bytes of a word beyond which a heap takes it.
-REMEMBERED = 2_000_000
-ROWS = 6_000_000
+REMEMBERED = 1_000_000
+ROWS = 1_500_000
 LONG = 1000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -129,7 +129,7 @@ class Coder:
         pairs = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.pairs = dict(pairs)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "autoinstall_known_extensions": False, "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "autoinstall_known_extensions": False, "temp_directory": ""})
         self.db.register("m", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
@@ -271,7 +271,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digests: bool = F
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in batches:
-            for part in pieces(batch, "_text", 1 << 21):
+            for part in pieces(batch, "_text", 1 << 20):
                 ids, at = own.encode(part.column(part.num_columns - 1))
                 n = pa.array(np.diff(at))
                 if digests:

@@ -237,7 +237,7 @@ RESULT = "lang_pred string, score double, spans array<struct<first_word:long,wor
 def _labelled(model: Model, with_spans: bool):
     def of(batch: pa.RecordBatch) -> Iterator[tuple[str, float, list | None]]:
         held: list[tuple[Words, np.ndarray, np.ndarray]] = []
-        most, words = max(1, 8_000_000 // max(1, len(model.langs))), 0
+        most, words = max(1, 4_000_000 // max(1, len(model.langs))), 0
 
         def decide() -> Iterator[tuple[str, float, list | None]]:
             emit = np.concatenate([s[w.which] for w, s, _ in held])

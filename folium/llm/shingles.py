@@ -6,6 +6,9 @@ has one shingle, its whole sequence; one without words has none.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -37,7 +40,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
         p = np.full(size, base, np.uint64)
         p[0] = 1
         np.multiply.accumulate(p, out=p)
-        if size <= 1 << 24:
+        if size <= 1 << 22:
             _powers[name] = p
     return p[:n]
 
@@ -107,7 +110,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return got, np.searchsorted(keep, np.arange(len(count) + 1))
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
     """Slices of a batch with about ``most`` bytes of text each; a longer text stands alone."""
     texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -116,3 +119,11 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
         yield batch.slice(start, min(stop, batch.num_rows) - start)
         start = min(stop, batch.num_rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between stages, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
