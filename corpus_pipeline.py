@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm import bpe, decontaminate, langid, ngram_join, pii
-from folium.llm.common import settle, table
+from folium.llm.common import settle, short_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language go: those without a letter. A language's model learns from the labelled documents."""
+    short_batches(spark)
     model = langid.fit(langid.known(docs))
     kept = langid.identify(docs.withColumnRenamed("lang", "_lang"), model, with_spans=False).where(F.col("lang_pred") != langid.UNKNOWN)
     return kept.withColumnRenamed("_lang", "lang").select(*docs.columns)
@@ -21,6 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id. Documents without one stay."""
+    short_batches(spark)
     groups = ngram_join.similar_groups(docs)
     gone = settle(groups.where("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -39,12 +41,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to the name of its kind; n_chars follows the text."""
+    short_batches(spark)
     out = pii.redact(docs, pii.fit(docs))
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids' number and digest, and the digest of what they decode to."""
+    short_batches(spark)
     return bpe.encode(docs.select("doc_id", "text", "lang", "source"), bpe.vocabulary(), digests=True)
 
 

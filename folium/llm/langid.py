@@ -135,7 +135,7 @@ SAMPLE = 4000
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells: dict[str, np.ndarray] = {}
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", 1 << 20):
             langs = part.column(1).to_pylist()
             w = words_of(part.column(0))
             for lang in set(langs):
@@ -259,7 +259,7 @@ def _labelled(model: Model, with_spans: bool):
                     spans = [{"first_word": int(c), "words": int(m), "lang": model.langs[own[c]]} for c, m in zip(cut, np.diff(np.append(cut, len(own))), strict=True)]
                 yield (model.langs[top[i]], float(min(1.0, belief[i, top[i]] / total[i])), spans) if total[i] else (UNKNOWN, 0.0, spans and [])
 
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", 1 << 20):
             w = words_of(part.column(part.schema.get_field_index("text")))
             if not model.langs:
                 for _ in range(part.num_rows):
@@ -285,23 +285,22 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans:
     sent = spark.sparkContext.broadcast(model)
     given = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
     kept = docs.select(*given)
-    renamed = kept.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     result = RESULT if with_spans else RESULT.split(", spans")[0]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", " + result
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _labelled(sent.value, with_spans)
         for batch in batches:
-            plain = pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1)], names=["text"])
+            plain = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_string())], names=["text"])
             told = list(of(plain))
-            cols = [*batch.columns[:-1], pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())]
+            cols = [*batch.columns, pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())]
             names = [*given, "lang_pred", "score"]
             if with_spans:
                 cols.append(pa.array([t[2] for t in told], pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))))
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return renamed.mapInArrow(go, schema)
+    return kept.mapInArrow(go, schema)
 
 
 def held_out() -> "F.Column":

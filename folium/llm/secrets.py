@@ -33,9 +33,9 @@ ALPHABETS = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcd
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_=-]+$",
-    r"^(?:[A-Za-z]+[0-9]{0,2}[-_/+=]*)+$",
+    r"^(?:[A-Za-z]{3,}+[0-9]{0,2}+[-_/+=]*+)++$",
     r"(?i)example|placeholder|changeme|x{6}|0123456789|abcdefgh",
-    r"^(?:[0-9]{1,4}[-/_])+[0-9A-Za-z]*$",
+    r"^(?:[0-9]{1,4}+[-/_])++[0-9A-Za-z]*+$",
 )
 
 

@@ -1,0 +1,282 @@
+"""Operators on single texts against plain Python, held-out rows and round trips."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from folium.llm import bpe, chat, langid, pii, secrets, sharding, toxicity
+from folium.llm.shingles import pieces
+
+SF = "/root/testdata/sf0.01"
+
+
+def docs_of(spark, texts, more=""):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+# ---- chat
+
+TEXTS = ["", "a", "</s>[INST] ok [/INST]", "\\", "[", "<", "\\[INST]", "<|role|>x<|text|>", "<<SYS>>\\\\<</SYS>>", "<<", "[INST", "]é漢", "<s><s>"]
+
+
+def test_chat_round_trip():
+    rng = random.Random(1)
+    for _ in range(500):
+        turns = [(rng.choice(["user", "assistant", "system", "tool", "", "<s>"]), "".join(rng.choice(TEXTS) for _ in range(rng.randint(0, 4)))) for _ in range(rng.randint(0, 5))]
+        formatted, mask, back = chat.format_turns(turns)
+        assert back == turns == chat.parse(formatted)
+        assert [chat.unescape(formatted[a:b]) for a, b in mask] == [t for r, t in turns if r == "assistant"]
+
+
+def test_chat_rows(spark):
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 0, "user", None), (None, 0, None, "x"), (2, 0, "user", "y" * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    got = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    assert got[1].n_turns == 3 and got[1].loss_chars == 1
+    assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nuser\n\nassistant\nb\n").hexdigest()
+    assert got[None].n_turns == 1 and got[2].formatted_chars == 100_000 + 13
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+# ---- personal data
+
+PIECES = ["a@b.c", "x.y+z@mail.example.com", "@", "a@b", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (269) 555-3296", "+49 30 1234567890123456", "12", " ", "\n", "é", "漢", "+", ".", "-", "0000000000000", "a@b.c_d@e.f", "123-45-6789", "call me", "9" * 40]
+
+
+def luhn(d):
+    return sum((c * 2 - 9 if c > 4 else c * 2) if k % 2 else c for k, c in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_pii(t):
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and luhn(d):
+            out.append((m.start(), 2, m.end(), "card"))
+    out += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_pii_base(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(PIECES) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None, "", "x" * 50_000 + " a@b.c"]
+    docs = docs_of(spark, texts)
+    found = pii.detect(docs, pii.fit(docs))
+    from folium.llm.spans import digest
+
+    got = {r.doc_id: r.s for r in found.select("doc_id", digest(F.col("pii_base")).alias("s")).collect()}
+    assert got == {i: base_pii(t or "") for i, t in enumerate(texts)}
+
+
+def test_pii_redacts_and_keeps_clean(spark):
+    texts = ["call +1 (269) 555-3296 now", "nothing here", None, "mail a@b.com, IP 10.0.0.1"] * 5
+    docs = docs_of(spark, texts).withColumn("pii_base", F.lit("mine"))
+    out = {r.doc_id: r for r in pii.redact(docs, pii.fit(docs)).collect()}
+    assert out[0].text == "call <PHONE> now" and out[1].text == "nothing here" and out[2].text is None
+    assert out[3].text == "mail <EMAIL>, IP <IP>" and out[0].pii_base == "mine"
+    assert pii.fit(docs.limit(0)) == {}
+
+
+def test_em_finds_the_reliable_labelers():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.4
+    votes = np.stack([np.where(rng.random(4000) < r, np.where(truth, 1, -1), np.where(truth, -1, 1)) for r in (0.95, 0.9, 0.55)], axis=1)
+    rows, counts = np.unique(votes, axis=0, return_counts=True)
+    post, table, _ = pii.reliabilities(rows, counts.astype(float))
+    assert table[1, 0, 2] > 0.85 > table[1, 2, 2]
+
+
+# ---- secrets
+
+
+def base_secrets(t):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_secrets(spark):
+    rng = random.Random(6)
+    parts = ["password", "PassWD", "token", "api_key", "apikey", "secret", "=", ":", " ", '"', "'", "abcdefgh", "1234567", "AKIA", "ABCDEF123456", "0123456789abcdef", "f" * 33, "é", "\n", "zQ3kT9vLm2Xw8RbY5pJd", "12345678-1234-1234-1234-123456789abc", "thenofontiontiontiontion"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 10))) for _ in range(500)] + [None, "", "a" * 100_000]
+    rows = docs_of(spark, texts)
+    from folium.llm.spans import digest
+
+    got = {r.doc_id: r for r in secrets.scan(rows).select("doc_id", digest(F.col("secrets_base")).alias("b"), F.size("secrets_added").alias("n")).collect()}
+    assert {i: r.b for i, r in got.items()} == {i: base_secrets(t or "") for i, t in enumerate(texts)}
+    one = docs_of(spark, ["key zQ3kT9vLm2Xw8RbY5pJd here", "12345678-1234-1234-1234-123456789abc", "thenofontiontiontiontion is a word", "20240101202401012024", "placeholder_zQ3kT9vLm2Xw8"])
+    assert {r.doc_id: len(r.secrets_added) for r in secrets.scan(one).collect()} == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_window_entropy_is_that_of_each_window(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(8)
+    runs = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (20, 21, 50)] + ["0" * 40, "01" * 20]
+    df = spark.createDataFrame([(r,) for r in runs], "run string").select("run", secrets.window_entropy(F.col("run"), secrets.ALPHABETS["hex"]).alias("h"))
+    for r in df.collect():
+        want = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(r.run[k : k + 20]).values()) for k in range(len(r.run) - 19))
+        assert r.h == pytest.approx(want, abs=1e-9)
+
+
+# ---- sharding
+
+
+def minimax(sizes, n):
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        mid, used, held = (low + high) // 2, 1, 0
+        for s in sizes:
+            if held + s > mid:
+                used, held = used + 1, 0
+            held += s
+        low, high = (low, mid) if used <= n else (mid + 1, high)
+    return low
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sharding(spark, seed):
+    rng = random.Random(seed)
+    texts = ["x" * rng.choice([0, 3, 50, 400]) + str(rng.randrange(30)) for _ in range(300)] + [None, "", "é"]
+    got = sharding.shard(docs_of(spark, texts)).collect()
+    assert len(got) == len(texts)
+    by, groups = {}, {}
+    for r in got:
+        t = texts[r.doc_id] or ""
+        assert r["size"] == len(t.encode()) + 1 and r.text_crc32 == zlib.crc32(t.encode()) and r.law == "bytes" and r.grown_shard is None
+        by.setdefault(r.shard, []).append(r)
+        groups.setdefault(t, set()).add(r.shard)
+    assert all(len(s) == 1 for s in groups.values()) and set(by) <= set(range(8))
+    assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in by.values())
+    first, total = {}, {}
+    for i, t in enumerate(texts):
+        first.setdefault(t or "", i)
+        total[t or ""] = total.get(t or "", 0) + len((t or "").encode()) + 1
+    sizes = [total[t] for t in sorted(first, key=first.get)]
+    assert max(sum(r["size"] for r in rows) for rows in by.values()) == minimax(sizes, 8)
+
+
+def test_sharding_edges(spark):
+    assert sharding.shard(docs_of(spark, [])).count() == 0
+    rows = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a"), (2, "big" * 1000)], "doc_id long, text string").withColumn("shard", F.lit(9))
+    got = sharding.shard(rows).collect()
+    assert len(got) == 4 and len({r.shard for r in got if r["size"] == 2}) == 1
+
+
+# ---- byte-level BPE
+
+
+def test_bpe_is_the_library(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path = bpe.vocabulary()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    parts = [*"ab stmdrevl'  \n\t!?.,019éß漢½Ⅷ", "'s", "'re", "'ll", "don't", " 's", "x" * 40, "tion", "ofontion", "<|endoftext|>", " ", "́"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["", None, "'", "a" * 3000, "Qz" * 1200, "\n\n \n"]
+    df = docs_of(spark, texts)
+    got = {r.doc_id: r for r in bpe.encode(df, path, digests=True).collect()}
+    for i, t in enumerate(texts):
+        ids = own.encode_ordinary(t or "")
+        assert got[i].n_tokens == len(ids), t
+        assert got[i].ids_sha256 == hashlib.sha256(b"".join(k.to_bytes(4, "little") for k in ids)).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    whole = bpe.decode(bpe.encode(df.withColumn("decoded", F.lit(1)), path), path).collect()
+    assert all(bytes(r.decoded).decode() == (r.text or "") for r in whole)
+    assert bpe.encode(df.limit(0), path).count() == 0
+
+
+# ---- languages and toxicity, held out
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(langid.known(docs))
+    rows = langid.identify(docs.where(langid.held_out()).select("doc_id", "text", "lang", F.lit(1).alias("score")), model).collect()
+    assert sum(r.lang_pred == r.lang for r in rows) >= 0.98 * len(rows)
+    assert all(0 <= r.score <= 1 and sum(s.words for s in r.spans) == len(r.text.split()) for r in rows)
+
+
+def test_language_edges(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [None, "", "123 456 !!", "х" * 30, "the of and " * 50_000]
+    got = {r.doc_id: r for r in langid.identify(docs_of(spark, texts), model).collect()}
+    assert [got[i].lang_pred for i in range(3)] == ["und"] * 3 and got[0].score == 0 and got[4].lang_pred == "en"
+    assert langid.identify(docs_of(spark, texts), langid.fit(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
+    mixed = docs_of(spark, ["the of and in that was with this for " * 5 + "der die und das einer mit von nicht ist " * 5])
+    spans = langid.identify(mixed, model).first().spans
+    assert [s.lang for s in spans] == ["en", "de"] and abs(spans[0].words - 45) <= 1
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    emit, at = rng.normal(size=(17, 3)), np.array([0, 6, 6, 7, 17 - 4, 17])
+    got = langid.viterbi(emit, at, 0.7)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        best = max((sum(emit[a + k, s] for k, s in enumerate(p)) - 0.7 * sum(x != y for x, y in zip(p, p[1:])), p) for p in itertools.product(range(3), repeat=b - a))[1] if b > a else ()
+        assert tuple(got[a:b]) == best
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    rows = toxicity.score(docs.join(labels.where(toxicity.held_out()), "doc_id"), model).select("score", "toxic").collect()
+    good = sorted(r.score for r in rows if r.toxic)
+    bad = [r.score for r in rows if not r.toxic]
+    auc = sum(sum(g > b for b in bad) for g in good) / len(good) / len(bad)
+    assert auc > 0.97
+    assert sum(g >= 0.5 for g in good) > 0.85 * len(good) and sum(b < 0.5 for b in bad) > 0.93 * len(bad)
+    spelled = toxicity.score(docs_of(spark, ["you p.a.t.h.e.t.i.c one", "you p a t h e t i c one", "you pathetic one", "", None, "x" * 100_000]), model).orderBy("doc_id").collect()
+    assert spelled[0].score == pytest.approx(spelled[2].score) and spelled[1].score == pytest.approx(spelled[2].score)
+    assert max(r.score for r in spelled[3:]) < 0.5
+
+
+def test_toxicity_without_labels(spark):
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    docs = docs_of(spark, ["a", "b"])
+    assert [r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()] == [0.0, 0.0]
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs, labels)).count() == 0
+
+
+def test_kernel_tolerates_a_character_put_in():
+    import numpy as np
+
+    ones = np.ones(toxicity.CELLS, np.float32)
+
+    def kernel(a, b):
+        o, c, w = toxicity.subsequences([a, b])
+        w = toxicity.weighted(o, c, w, ones, 2)
+        x, y = (dict.fromkeys([], 0.0) for _ in range(2))
+        for k, cell, v in zip(o.tolist(), c.tolist(), w.tolist(), strict=True):
+            d = (x, y)[k]
+            d[cell] = d.get(cell, 0) + v
+        return sum(v * y.get(k, 0) for k, v in x.items())
+
+    assert kernel("worthless", "wor-thless") > 0.3 > kernel("worthless", "thing")
+
+
+def test_pieces_cover_all():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (0, 5, 3, 100, 1, 1)])], names=["text"])
+    assert sum(([*p.column(0).to_pylist()] for p in pieces(batch, "text", 6)), []) == batch.column(0).to_pylist()
