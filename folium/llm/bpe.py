@@ -16,6 +16,7 @@ text is never cut short, however long.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import unicodedata
 from collections.abc import Iterator
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm.common import table
-from folium.llm.shingles import _BASE, _bytes, _power, mix, pieces
+from folium.llm.shingles import _BASE, _bytes, _power, give_back, mix, pieces
 
 #: The pattern that this module follows; a vocabulary with another one is not for it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words remembered in a process, rows that a query makes at most, and bytes of a word beyond which a heap takes it.
+#: Words remembered in a task, rows that a query makes at most, and bytes of a word beyond which a heap takes it.
 REMEMBERED = 1_000_000
-ROWS = 1_500_000
+ROWS = 1_000_000
 LONG = 1000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -245,14 +246,16 @@ class Coder:
         return out
 
 
-_coders: dict[str, Coder] = {}
-
-
-def coder(path: str) -> Coder:
-    if path not in _coders:
-        _coders.clear()
-        _coders[path] = Coder(path)
-    return _coders[path]
+@contextlib.contextmanager
+def coder(path: str) -> Iterator[Coder]:
+    """A coder for one task: workers live on, and what they hold is the executor's."""
+    own = Coder(path)
+    try:
+        yield own
+    finally:
+        own.db.close()
+        del own
+        give_back()
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -269,7 +272,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digests: bool = F
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), added])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
+        with coder(path) as own:
+            yield from coded(own, batches)
+
+    def coded(own: Coder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "_text", 1 << 20):
                 ids, at = own.encode(part.column(part.num_columns - 1))
@@ -292,7 +298,10 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*given).schema.fields), f"`{out}` binary"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
+        with coder(path) as own:
+            yield from decoded(own, batches)
+
+    def decoded(own: Coder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)

@@ -135,7 +135,7 @@ SAMPLE = 4000
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells: dict[str, np.ndarray] = {}
     for batch in batches:
-        for part in pieces(batch, "text", 1 << 20):
+        for part in pieces(batch, "text", 1 << 19):
             langs = part.column(1).to_pylist()
             w = words_of(part.column(0))
             for lang in set(langs):
@@ -259,7 +259,7 @@ def _labelled(model: Model, with_spans: bool):
                     spans = [{"first_word": int(c), "words": int(m), "lang": model.langs[own[c]]} for c, m in zip(cut, np.diff(np.append(cut, len(own))), strict=True)]
                 yield (model.langs[top[i]], float(min(1.0, belief[i, top[i]] / total[i])), spans) if total[i] else (UNKNOWN, 0.0, spans and [])
 
-        for part in pieces(batch, "text", 1 << 20):
+        for part in pieces(batch, "text", 1 << 19):
             w = words_of(part.column(part.schema.get_field_index("text")))
             if not model.langs:
                 for _ in range(part.num_rows):
