@@ -13,7 +13,7 @@ NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "
 NUMBER_VALUES = (*range(13), 15, 20, 30, 40, 50)
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 TERM = r"(?i)(?<![/–-])\b(winter|spring|summer|fall|autumn)\b(?!\s*[/–-])"
-MONTH_NAME = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+([0-9]{1,2})(?![0-9])(?:st|nd|rd|th)?(?:,?\s+(20[0-9]{2}|19[0-9]{2}))?"
+MONTH_NAME = r"(?i)\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?\s+([0-9]{1,2})(?![0-9])(?:st|nd|rd|th)?(?:,?\s+(20[0-9]{2}|19[0-9]{2}))?"
 NUMERIC = r"(?<![0-9/])([0-9]{1,2})/([0-9]{1,2})(?:/([0-9]{2,4}))?(?![0-9/])"
 
 

@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Glyphs and their plain forms.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ꜳ": "AA", "ꜳ": "aa", "Ꜵ": "AO", "ꜵ": "ao"}
@@ -34,12 +35,12 @@ def decode_control_glyphs(x: Column) -> Column:
     return F.regexp_replace(x, r"[\x01-\x08\x14-\x1b\x1d-\x1f]", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compose_diacritics(x: pd.Series) -> pd.Series:
     """TXT3: a spacing accent beside a letter becomes one letter where NFC has one code point for the two."""
     # Spacing accents and their combining forms.
