@@ -38,7 +38,7 @@ SAMPLE, TRAIN_CHARS = 4000, 8_000
 LANDMARKS = 96  # of each kind
 ROUNDS = 4
 HARD = 2000  # clean words that a round adds at most
-COST = 20.0
+COST = 4.0
 _STEP = np.random.default_rng(99).integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -86,7 +86,7 @@ def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return which, at, distinct
 
 
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def subsequences(words: list[str], spans: tuple = SPANS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word, cell and weight of each subsequence of the words."""
     joined = "\x00".join([*(f"\x02{w}\x03" if w else "" for w in words), ""]) + "\x00" * 5
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -97,10 +97,10 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key0 = mix(code + _STEP[0])
     key1, key2, key3 = (mix(code + _STEP[k]) for k in (1, 2, 3))
     owners, cells, weights = [], [], []
-    for k in sorted({s[-1] for s in SPANS}):
+    for k in sorted({s[-1] for s in spans}):
         ok = np.flatnonzero(~stop[:n] & (ends[k : n + k] == ends[:n]))
         own, ends_key = owner[ok], key0[ok] ^ key3[ok + k]
-        for i, j in (s[:2] for s in SPANS if s[-1] == k):
+        for i, j in (s[:2] for s in spans if s[-1] == k):
             key = ends_key + key1[ok + i] + (key2[ok + j] << np.uint64(1))
             cells.append(((key ^ (key >> np.uint64(29))) & np.uint64(CELLS - 1)).astype(np.int64))
             owners.append(own)
@@ -194,6 +194,36 @@ def bent(word: str) -> list[str]:
     return ["-".join(word), ".".join(word), *(word[:k] + "-x*o."[k % 5] + word[k:] for k in range(1, len(word)))]
 
 
+def leaning(count: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio of leaning to the second class, less what so many tries reach by chance; negative without it."""
+    both, prior = np.maximum(count.sum(axis=0), 1), size[1] / size.sum()
+    lean = sum(np.where(c > 0, c * np.log(np.maximum(c, 1) / (both * q)), 0) for c, q in ((count[1], prior), (count[0], 1 - prior)))
+    return np.where(count[1] / both > prior, lean, -lean) - np.log(max(1, (count.sum(axis=0) > 0).sum()) / 0.05)
+
+
+def stems(names: list[str], inside: list[np.ndarray], y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each word the leaning of the four successive characters in it that lean most."""
+    cells, starts = [], [0]
+    for k in range(0, len(names), 10_000):
+        part = names[k : k + 10_000]
+        o, c, _ = subsequences(part, SPANS[:1])
+        order = np.argsort(o, kind="stable")
+        cells.append(c[order])
+        starts += (starts[-1] + np.cumsum(np.bincount(o, minlength=len(part)))).tolist()
+    cell, start = np.concatenate(cells), np.array(starts)
+    count = np.zeros((2, CELLS), np.int64)
+    for own, kind in zip(inside, y.tolist(), strict=True):
+        n = start[own + 1] - start[own]
+        if n.sum():
+            held = np.unique(cell[np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            count[kind, held] += 1
+    lean = leaning(count, size)[cell]
+    out = np.full(len(names), -np.inf)
+    has = np.flatnonzero(np.diff(start))
+    out[has] = np.maximum.reduceat(lean, start[has])
+    return out
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
     """The machine from labelled texts (a bounded sample)."""
     y = np.array(toxic)
@@ -214,12 +244,14 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     size = np.array([(y == 0).sum(), (y == 1).sum()])
     odds = np.log((count[1] + 0.5) / (size[1] + 1)) - np.log((count[0] + 0.5) / (size[0] + 1))
     long_enough = np.array([len(w) >= 3 for w in names])
-    # How far a word's texts lean to the toxic side beyond chance, over all words that were tried.
-    both, prior = np.maximum(count.sum(axis=0), 1), size[1] / size.sum()
-    lean = sum(np.where(c > 0, c * np.log(np.maximum(c, 1) / (both * q)), 0) for c, q in ((count[1], prior), (count[0], 1 - prior)))
-    sure = np.where(odds > 0, lean, -lean) - np.log(len(names) / 0.05)
+    # How far a word's texts lean to the toxic side beyond chance, over all words that were tried; and the same for the
+    # characters that words share, so that a stem counts with all its endings.
+    sure = leaning(count, size)
+    stem = stems(names, inside, y, size)
+    sure = np.maximum(sure, np.where(count[0] == 0, stem, -np.inf))
+    odds = np.where((count[0] == 0) & (stem > 0), np.maximum(odds, 2.0), odds)
     bad = np.flatnonzero(long_enough & (sure > 0) & (odds > 1))
-    bad = bad[np.argsort(-sure[bad], kind="stable")][: 8 * LANDMARKS]
+    bad = bad[np.lexsort((-count[1][bad], -sure[bad]))][: 16 * LANDMARKS]
     common = np.flatnonzero(long_enough & (count[0] > 0) & (odds < 0.5))
     common = common[np.argsort(-count[0][common], kind="stable")]
     landmark = np.concatenate([bad[: 4 * LANDMARKS], common[:LANDMARKS]])
