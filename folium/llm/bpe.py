@@ -32,8 +32,8 @@ from folium.llm.shingles import _BASE, _bytes, _power, give_back, mix, pieces
 #: The pattern that this module follows; a vocabulary with another one is not for it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words remembered in a task, rows that a query makes at most, and bytes of a word beyond which a heap takes it.
-REMEMBERED = 1_000_000
-ROWS = 1_000_000
+REMEMBERED = 500_000
+ROWS = 500_000
 LONG = 1000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -126,18 +126,19 @@ class Coder:
         import duckdb
 
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pairs = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.pairs = dict(pairs)
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "autoinstall_known_extensions": False, "temp_directory": ""})
-        self.db.register("m", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
-        self.db.register("v", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "autoinstall_known_extensions": False, "temp_directory": ""})
+        self.db.register("v", pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
+        self.db.unregister("v")
+        # Every way to cut a token in two tokens is a pair that merges into it.
+        self.db.execute("""CREATE TABLE merges AS SELECT (a.tok::BIGINT << 32) | b.tok AS pair, v.tok AS rank
+            FROM vocab v, unnest(range(2, length(v.hex), 2)) AS u(cut) JOIN vocab a ON a.hex = v.hex[1:cut] JOIN vocab b ON b.hex = v.hex[cut + 1:]""")
+        self.pairs: dict[int, int] = {}
         # Words that the vocabulary holds whole are known from the start.
         whole = []
-        for t, r in self.ranks.items():
+        for t, r in ranks.items():
             try:
                 whole.append((np.array([ord(c) for c in t.decode("utf-8")], np.int64), r))
             except UnicodeDecodeError:
@@ -184,6 +185,8 @@ class Coder:
         """The same contraction of one very long word, by a heap of its pairs."""
         import heapq
 
+        if not self.pairs:
+            self.pairs = dict(self.db.sql("SELECT pair, rank FROM merges").fetchall())
         tok = self.byte[word].tolist()
         after, before = [*range(1, len(tok)), -1], list(range(-1, len(tok) - 1))
         heap = [(r, i, tok[i], tok[i + 1]) for i in range(len(tok) - 1) if (r := self.pairs.get(tok[i] << 32 | tok[i + 1])) is not None]
@@ -277,7 +280,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digests: bool = F
 
     def coded(own: Coder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "_text", 1 << 20):
+            for part in pieces(batch, "_text", 1 << 19):
                 ids, at = own.encode(part.column(part.num_columns - 1))
                 n = pa.array(np.diff(at))
                 if digests:
