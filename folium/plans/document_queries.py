@@ -84,3 +84,48 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DAT1-DAT3, on the license lines and whatever names a term."""
     t = D.find_term(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", "t.name", "t.year")
+
+
+@query("""
+SELECT o_orderkey, c_custkey, 1.0 AS cover, 0.9 AS confidence FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 <> 0
+""")
+def rescued_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT19, EXT20: lines that name a work's words, author and year find it; a wrong year does not."""
+    from folium.operators import rescue
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("ledger of account number "), F.format_string("q%06d", "c_custkey")).alias("title"), F.concat(F.lit("Nation"), F.col("c_nationkey")).alias("surname"), (F.col("c_custkey") % 50 + 1950).cast("int").alias("year"))
+    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    off = F.when(F.col("o_orderkey") % 3 == 0, 9).otherwise(F.col("o_orderkey") % 3 - 1)
+    lines = o.select("o_orderkey", F.concat(F.lit("From "), "surname", F.lit(", the "), "title", F.lit(" ("), (F.col("year") + off).cast("string"), F.lit(")")).alias("raw"))
+    return rescue.rescues(lines, c, "o_orderkey", "raw", "c_custkey", "title", "surname", "year")
+
+
+@query("""
+SELECT c_custkey, 'Prof. ' || c_name AS instructor, 'c' || c_custkey || '@example.org' AS email, 'Room ' || c_nationkey AS location, 'ECON ' || (100 + c_nationkey) AS code FROM customer
+""")
+def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SEG25, EXT11: front matter written from customers and read back."""
+    from folium.operators import frontmatter as M
+
+    text = F.concat(
+        F.lit("FALL 2030\nECON"), F.col("c_nationkey") + 100, F.lit(": Markets\nInstructor: Prof. "), "c_name", F.lit("\nE-mail:\nc"), F.col("c_custkey"),
+        F.lit("@example.org\nRoom: Room "), F.col("c_nationkey"), F.lit("\nTime:\nOffice: none"),
+    )
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    values = M.labelled_values(G.lines(docs)).groupBy("doc_id").pivot("label", ["instructor", "email", "location"]).agg(F.first("value"))
+    return docs.select("doc_id", M.course_code(F.col("text")).alias("code")).join(values, "doc_id").select(F.col("doc_id").alias("c_custkey"), "instructor", "email", "location", "code")
+
+
+@query("""
+SELECT o_orderkey, 'Deadline ' || o_orderkey AS label, o_orderdate::DATE AS start_date, CASE WHEN day(o_orderdate) <= 20 THEN o_orderdate::DATE + INTERVAL 3 DAY END::DATE AS end_date FROM orders
+""")
+def important_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DAT7: dates to know, with ranges and labels on the next line, written from orders and read back."""
+    from folium.operators import frontmatter as M
+
+    due = F.to_date("o_orderdate")
+    day = F.concat(F.date_format(due, "MMMM d"), F.when(F.dayofmonth(due) <= 20, F.concat(F.lit("-"), (F.dayofmonth(due) + 3).cast("string"))).otherwise(""))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.year(due).alias("y"), F.concat(F.lit("Intro\nImportant Dates\n"), day, F.lit("\nDeadline "), F.col("o_orderkey")).alias("text"))
+    rows = G.lines(o).join(o.select("doc_id", "y"), "doc_id")
+    term = F.struct(F.lit("fall").alias("name"), F.col("y").alias("year"))
+    return M.important_dates(rows, term).select(F.col("doc_id").alias("o_orderkey"), "label", "start_date", "end_date")
