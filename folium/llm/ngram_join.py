@@ -14,7 +14,7 @@
 Nothing of the size of a group of copies meets in one task, and no list of pairs within a group is made.
 
 Defined results: null, empty and blank texts have no shingles and no links; repeated rows are members of one component; a
-null doc_id takes part but is never a component's id unless it stands alone; an empty table gives an empty result.
+text of which no row has a doc_id links with its equals only, and a null doc_id is never a component's id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
