@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a run of at least ``MIN_RUN`` letters, digits and ``+/_=-`` that holds a digit and a letter and touches no
-pattern match. Its character class (hexadecimal or mixed) sets the alphabet and the threshold. A window of ``WINDOW`` characters slides over
+A candidate is a run of at least ``MIN_RUN`` letters, digits and ``+/_=-`` that holds a letter, and a digit or three changes from
+lower to upper case; of a run that a pattern match covers in part, what is left outside the match counts. Its character class
+(hexadecimal or mixed) sets the alphabet and the threshold. A window of ``WINDOW`` characters slides over
 it; each step adds one character's count, takes one away and so keeps the sum of n*log2(n), from which the entropy
-follows. The highest window decides. Runs on the allow list (UUIDs, long plain numbers, words joined by hyphens or underscores,
-placeholders) are suppressed.
+follows. The highest window decides. Runs on the allow list (UUIDs, long plain numbers, words of one case or capitalised that
+separators join, camel-cased words, dates, placeholders) are suppressed.
 
 Defined results: a null or empty text has no spans; repeated rows each get a result; an empty table gives an empty one.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm.common import table, text_of
-from folium.llm.spans import clear_of, digest, find, labelled
+from folium.llm.spans import blanked, digest, find, labelled
 
 KINDS = ("assign", "access", "hex")
 NAME = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -26,16 +27,21 @@ ASSIGN = NAME + r"([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 MIN_RUN, WINDOW = 20, 20
-RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{{MIN_RUN},}}+"
+#: A lower-case letter before a capital, three times.
+CHANGES = r"(?:[A-Z+/_=-]*+(?:[a-z]++[+/_=-]++[A-Z+/_=-]*+)*+[a-z]++(?=[A-Z])){3}"
+RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9]|{CHANGES})[A-Za-z0-9+/_=-]{{{MIN_RUN},}}+"
 #: Bits a character that the best window of a class needs.
 THRESHOLDS = {"hex": 2.8, "mixed": 3.4}
 ALPHABETS = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
+#: A word in a joined run: of one case or capitalised, with a vowel, and with a short number after it.
+WORD = r"(?=[A-Za-z]*?[aeiouyAEIOUY])(?:[A-Z]?[a-z]{2,}+|[A-Z]{3,}+)[0-9]{0,2}+"
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_=-]+$",
-    r"^(?:[A-Za-z]{3,}+[0-9]{0,2}+[-_/+=]*+)++$",
+    rf"^[-_/+=]*+(?=[A-Za-z0-9]++[-_/+=]++[A-Za-z0-9])(?:(?:{WORD}|[0-9]{{1,4}}+|[A-Za-z]{{1,2}}+)(?:[-_/+=]++|$))++$",
+    r"^[a-z]*+(?:[A-Z][a-z]{2,}+)++$",
     r"(?i)example|placeholder|changeme|x{6}|0123456789|abcdefgh",
-    r"^(?:[0-9]{1,4}+[-/_])++[0-9A-Za-z]*+$",
+    r"^(?:[0-9]{1,4}+[-/_])++[0-9]{0,4}+(?:T[0-9]{0,6}+Z?+)?+$",
 )
 
 
@@ -67,9 +73,9 @@ def base_spans(text: Column) -> Column:
 
 
 def entropy_spans(text: Column, taken: Column) -> Column:
-    """Candidates of high entropy outside ``taken``."""
+    """Candidates of high entropy in what ``taken`` leaves."""
     allowed = lambda h: F.lit(False) if not ALLOWED else _any([h.rlike(p) for p in ALLOWED])
-    runs = F.filter(clear_of(find(text, RUN, text.rlike("[0-9]")), taken), lambda s: ~allowed(s["hit"]))
+    runs = F.filter(find(blanked(text, taken), RUN), lambda s: ~allowed(s["hit"]))
 
     def high(s: Column) -> Column:
         is_hex = s["hit"].rlike("^[0-9a-fA-F]+$")

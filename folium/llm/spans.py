@@ -48,6 +48,19 @@ def clear_of(spans: Column, taken: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with a space in the place of each character of a span."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        lead = F.when(x["start"] > s["at"], F.substring(text, s["at"] + 1, x["start"] - s["at"])).otherwise(F.lit(""))
+        gap = F.repeat(F.lit(" "), F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], s["at"])))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], lead, gap).alias("out"))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; overlapping spans give the first's mark once."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"])))
