@@ -18,7 +18,7 @@ CONTROL_GLYPHS = {"\x0b": "ff", "\x0c": "fi", "\x0e": "ffi", "\x0f": "ffl", "\x1
 INVISIBLE = "​‌‍﻿­"
 EXOTIC_SPACES = "       "
 DASHES = "‐-—−"
-PARTICLES = ("Mc", "Mac", "De", "Di", "Du", "La", "Le", "Van", "Von", "Fitz", "O", "Des", "Del", "Della", "Ten", "Ter")
+PARTICLES = ("Mc", "Mac", "De", "Di", "Du", "La", "Le", "Van", "Von", "Fitz", "O", "Des", "Del", "Della", "Ten", "Ter", "Da", "Der", "St")
 
 
 def strip_cid_glyphs(x: Column) -> Column:
@@ -126,13 +126,18 @@ def space_after_punctuation(x: Column) -> Column:
 def split_camel(x: Column) -> Column:
     """TXT11: a space between a lower and an upper letter, but not in names like McDonald and in PhD."""
     pieces = F.split(x, r"(?<=[a-z])(?=[A-Z])")
-    guarded = F.exists(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(1))), lambda p: p.isin(*PARTICLES)) | x.contains("PhD")
+    guarded = F.exists(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(1))), lambda p: F.initcap(p).isin(*PARTICLES)) | x.contains("PhD")
+    # A stem of one letter, and a lone capital after one of two.
+    guarded = guarded | (F.length(F.get(pieces, F.lit(0))) < 2) | x.rlike("(?:^.|(?<=[a-z])[A-Z])[a-z][A-Z]$")
     return F.when((F.size(pieces) < 2) | guarded, x).otherwise(F.array_join(pieces, " "))
 
 
 def restore_spaces(x: Column) -> Column:
-    """TXT12 without a lexicon: only the camel split fires, token by token."""
-    return F.array_join(F.transform(F.split(x, " "), split_camel), " ")
+    """TXT12 without a lexicon: only the camel split fires, run of letters by run of letters, outside URLs."""
+    parts, urls = F.split(x, URL, -1), F.regexp_extract_all(x, F.lit(URL), F.lit(0))
+    runs = lambda p: F.regexp_extract_all(p, F.lit(r"[A-Za-zÀ-ɏ]+|[^A-Za-zÀ-ɏ]+"), F.lit(0))
+    spaced = F.transform(parts, lambda p: F.when(p.rlike("[a-z][A-Z]"), F.array_join(F.transform(runs(p), split_camel), "")).otherwise(p))
+    return F.array_join(F.zip_with(spaced, urls, lambda p, u: F.concat(p, F.coalesce(u, F.lit("")))), "")
 
 
 MARKER = r"^\s*([•●▪◦‣·*?–—-]+|[A-Za-z](?=\s))\s+"
@@ -148,9 +153,16 @@ def collapse_whitespace(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"[\s\u0085  -     　]+", " "))
 
 
+#: TXT16: the repairs of a page in their order.
+PAGE_STEPS = {
+    "cid": strip_cid_glyphs, "control": decode_control_glyphs, "diacritic": compose_diacritics, "ligature": expand_ligatures, "unicode": normalize_unicode, "url": rejoin_wrapped_urls,
+    "url_space": close_url_spaces, "hyphen": dehyphenate, "punctuation": space_after_punctuation, "space": restore_spaces,
+}
+
+
 def clean_page_text(x: Column) -> Column:
-    """TXT16: the repairs in their order."""
-    for step in (strip_cid_glyphs, decode_control_glyphs, expand_ligatures, normalize_unicode, rejoin_wrapped_urls, close_url_spaces, dehyphenate, space_after_punctuation, restore_spaces):
+    """TXT16."""
+    for step in PAGE_STEPS.values():
         x = step(x)
     return x
 

@@ -82,8 +82,7 @@ def punct_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT16: the whole repair of a page, and how many edits it took."""
-    steps = {"cid": T.strip_cid_glyphs, "control": T.decode_control_glyphs, "ligature": T.expand_ligatures, "url": T.rejoin_wrapped_urls, "hyphen": T.dehyphenate, "punctuation": T.space_after_punctuation}
-    out = table(spark, sf_dir, "documents").select("doc_id", T.logged(F.col("text"), steps).alias("r"))
+    out = table(spark, sf_dir, "documents").select("doc_id", T.logged(F.col("text"), T.PAGE_STEPS).alias("r"))
     return out.select("doc_id", F.col("r.text").alias("text"), F.size("r.edits").cast("long").alias("n_edits"))
 
 

@@ -176,3 +176,16 @@ def test_streams(spark, tmp_path):
     q = flows.windows(stream).writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) as n from w").first().n == ev.count()
+
+
+def test_page_repair_takes_every_step(spark):
+    given = {
+        "cid": ("a(cid:3)b", "a b"), "control": ("di\x0berent", "different"), "diacritic": ("caf´e", "café"), "ligature": ("ﬁne", "fine"), "unicode": ("ze\u200bro e\u0301", "zero é"),
+        "url": ("https://x.org/a-\nb/c", "https://x.org/a-b/c"), "url_space": ("https://x.org/some more-slug", "https://x.org/some-more-slug"), "hyphen": ("exam-\nple", "example"),
+        "punctuation": ("one,two", "one, two"), "space": ("theReading by McDonald, PhD, at https://x.org/fooBar\non iPhone", "the Reading by McDonald, PhD, at https://x.org/fooBar\non iPhone"),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in given.items()], "rule string, t string")
+    rows = df.select("rule", text.logged(F.col("t"), text.PAGE_STEPS).alias("r"), text.clean_page_text(F.col("t")).alias("clean")).collect()
+    for r in rows:
+        assert r.r.text == r.clean == given[r.rule][1]
+        assert [e.rule for e in r.r.edits] == [r.rule]
