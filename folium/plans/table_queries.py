@@ -355,6 +355,18 @@ def greedy_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, mode(user_id) AS mode_user, round(quantile_cont(value, 0.5), 6) AS median FROM (SELECT event_type, value, user_id % 1 AS user_id FROM events) GROUP BY event_type
 """)
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG19."""
+    """AGG19's median; its mode is that of a constant (user_id % 1, as in the SQL), the users' own mode is in event_modes."""
     e = table(spark, sf_dir, "events").withColumn("user_id", F.col("user_id") % 1)
     return e.groupBy("event_type").agg(F.mode("user_id").alias("mode_user"), F.round(F.percentile("value", 0.5), 6).alias("median"))
+
+
+@query("""
+SELECT event_type, user_id AS mode_user, n AS n_events FROM (
+  SELECT event_type, user_id, n, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id NULLS LAST) AS k FROM (SELECT event_type, user_id, count(user_id) AS n FROM events GROUP BY ALL))
+WHERE k = 1
+""")
+def event_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG19's mode: the user with the most events of a type, the smallest of those with as many."""
+    counts = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("user_id").alias("n"))
+    best = counts.groupBy("event_type").agg(F.min(F.struct((-F.col("n")).alias("less"), "user_id")).alias("b"))
+    return best.select("event_type", F.col("b.user_id").alias("mode_user"), (-F.col("b.less")).alias("n_events"))

@@ -57,3 +57,12 @@ def test_plans_push_filters_and_prune(spark):
     plan = registry.QUERIES["rejections_anti"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan.split("ReadSchema")[1] and "PushedFilters: [IsNotNull(toxic), EqualTo(toxic,1)" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_event_modes_are_of_users(spark, con):
+    got = {r.event_type: r for r in registry.QUERIES["event_modes"](spark, SF).collect()}
+    counts = {}
+    for kind, user, n in con.execute("select event_type, user_id, count(*) from events where user_id is not null group by all").fetchall():
+        counts.setdefault(kind, []).append((-n, user))
+    assert {k: (r.mode_user, r.n_events) for k, r in got.items()} == {k: (min(v)[1], -min(v)[0]) for k, v in counts.items()}
+    assert len({r.mode_user for r in got.values()}) > 1
