@@ -17,12 +17,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folium.llm.common import table
+from folium.llm.common import _to_arrow, table, width
 
 FORMS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 OTHER = ("<|role|>", "<|text|>", "<|end|>")
@@ -119,33 +121,92 @@ def format_turns(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int
         levels = [min(v + 1, 2) for v in levels]  # what one turn does to the next
 
 
-SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped boolean, formatted string, mask array<struct<begin:long,end:long>>"
+def format_turn(turn: tuple[str, str]) -> tuple[str, list[tuple[int, int]], tuple[str, str]]:
+    """Formatted text, mask and the turn as read back. A turn's text ends with its close, where the parser starts afresh, so a
+    conversation is its turns' texts one after the other."""
+    level = 0
+    while parse((got := render([turn], [level]))[0]) != [turn]:
+        level += 1
+    return *got, parse(got[0])[0]
 
 
-def format_conversations(rows: DataFrame) -> DataFrame:
-    """One row per conversation: digests read back from the formatted text, the text itself, and its loss mask."""
-    turns = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    grouped = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).groupBy("conv_id").agg(turns.alias("turns"))
+SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped boolean"
+TURNS = "conv_id long, position long, formatted string, begin long, end long"
+
+
+@dataclass
+class Running:
+    """What a conversation's turns have added up to so far."""
+
+    conv_id: int | None
+    n_turns: int = 0
+    loss_chars: int = 0
+    formatted_chars: int = 0
+    escaped: bool = False
+    said: "hashlib._Hash" = field(default_factory=hashlib.sha256)
+    loss: "hashlib._Hash" = field(default_factory=hashlib.sha256)
+
+    def add(self, role: str, text: str) -> tuple:
+        """A row of ``TURNS``."""
+        formatted, mask, back = format_turn((role, text))
+        row = (self.conv_id, self.n_turns, formatted, *([self.formatted_chars + k for k in mask[0]] if mask else (None, None)))
+        for a, b in mask:
+            learned = unescape(formatted[a:b])
+            self.loss_chars += len(learned)
+            self.loss.update(_bytes(learned))
+        self.said.update(_bytes(f"{back[0]}\n{back[1]}\n"))
+        self.n_turns += 1
+        self.formatted_chars += len(formatted)
+        self.escaped |= "\\" in formatted
+        return row
+
+    def row(self) -> tuple:
+        return (self.conv_id, self.n_turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, self.escaped)
+
+
+def _walked(rows: DataFrame, schema: str, by_turn: bool) -> DataFrame:
+    """The turns of each conversation in order, one batch held at a time: a row for each turn, or one for each conversation."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    given = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), text("role"), text("text"))
+    dealt = given.repartition(width(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    kinds = _to_arrow(T._parse_datatype_string(schema))
+
+    def put(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 out = []
-                for conv in batch.slice(k, 500).to_pylist():
-                    formatted, mask, back = format_turns([(t["role"], t["text"]) for t in conv["turns"]])
-                    loss = "".join(unescape(formatted[a:b]) for a, b in mask)
-                    said = "".join(f"{r}\n{t}\n" for r, t in back)
-                    out.append((conv["conv_id"], len(back), _sha(said), len(loss), _sha(loss), len(formatted), "\\" in formatted, formatted, [{"begin": a, "end": b} for a, b in mask]))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
-                names = [c.split()[0] for c in SCHEMA.split(", ")]
+                for r in batch.slice(k, 500).to_pylist():
+                    if now is None or now.conv_id != r["conv_id"]:
+                        if now and not by_turn:
+                            out.append(now.row())
+                        now = Running(r["conv_id"])
+                    said = now.add(r["role"], r["text"])
+                    if by_turn:
+                        out.append(said)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    yield put(out)
+        if now and not by_turn:
+            yield put([now.row()])
+
+    return dealt.mapInArrow(go, schema)
+
+
+def format_conversations(rows: DataFrame) -> DataFrame:
+    """One row per conversation: digests and lengths of what is read back from the formatted text."""
+    return _walked(rows, SCHEMA, False)
+
 
-    return grouped.mapInArrow(go, SCHEMA)
+def format_rows(rows: DataFrame) -> DataFrame:
+    """The formatted text, a row for each turn by its position, and the span in the conversation's text that is learned from."""
+    return _walked(rows, TURNS, True)
 
 
-def _sha(s: str) -> str:
-    return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+def _bytes(s: str) -> bytes:
+    return s.encode("utf-8", "surrogatepass")
 
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -154,7 +215,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return format_conversations(rows.unionByName(probe)).drop("formatted", "mask", "escaped")
+    return format_conversations(rows.unionByName(probe)).drop("escaped")
 
 
 # Levels are the lowest that survive: level 1 only where a control string stands in the text, so lengths follow in SQL.

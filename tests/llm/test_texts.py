@@ -43,6 +43,26 @@ def test_chat_rows(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_streams_a_long_conversation(spark):
+    rng = random.Random(2)
+    rows = [(c, k, rng.choice(["user", "assistant", "system", "tool"]), "".join(rng.choice(TEXTS) for _ in range(3))) for c, n in ((7, 5000), (None, 2500), (8, 3)) for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got, plan = chat.format_conversations(df), chat.format_conversations(df)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    pieces_of = {}
+    for r in chat.format_rows(df).collect():
+        pieces_of.setdefault(r.conv_id, []).append(r)
+    for r in got.collect():
+        turns = [t[2:] for t in rows if t[0] == r.conv_id]
+        formatted, mask, back = chat.format_turns(turns)
+        own = sorted(pieces_of[r.conv_id], key=lambda p: p.position)
+        assert "".join(p.formatted for p in own) == formatted and [(p.begin, p.end) for p in own if p.begin is not None] == mask
+        loss = "".join(chat.unescape(formatted[a:b]) for a, b in mask)
+        said = "".join(f"{a}\n{b}\n" for a, b in back)
+        assert (r.n_turns, r.formatted_chars, r.loss_chars) == (len(turns), len(formatted), len(loss))
+        assert [r.turns_sha256, r.loss_sha256] == [hashlib.sha256(x.encode()).hexdigest() for x in (said, loss)]
+
+
 # ---- personal data
 
 PIECES = ["a@b.c", "x.y+z@mail.example.com", "@", "a@b", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (269) 555-3296", "+49 30 1234567890123456", "12", " ", "\n", "é", "漢", "+", ".", "-", "0000000000000", "a@b.c_d@e.f", "123-45-6789", "call me", "9" * 40]
