@@ -3,8 +3,8 @@
 The kernel compares words by their subsequences of four characters within a span of six; a subsequence counts ``DECAY`` to the
 power of the characters it skips. So "id-iot", "i.d.i.o.t" and "idxiot" stay close to "idiot". Landmarks are words: those that
 set toxic training texts apart, and common ones of the other texts. A word's features are its kernel values with the landmarks,
-whitened; a linear machine with a squared hinge is trained on the sentences of labelled texts: a toxic text is a bag in which its
-best sentence is toxic, a clean text has clean sentences only. A sentence is as toxic as its worst word, a text as its worst sentence;
+whitened; a linear machine with a squared hinge is trained on the words of labelled texts: a toxic text is a bag in which its
+worst word is toxic, a clean text has clean words only. A text is as toxic as its worst word, so insults of several clean words are missed;
 a logistic curve fitted on the training texts turns that into a probability.
 
 As the kernel is a product of sparse feature vectors, the machine folds into one weight for each subsequence, and scoring a
@@ -150,7 +150,7 @@ class Model:
         return np.bincount(owner, weights=weighted(owner, cell, weight, self.rarity, len(words)) * self.weight[cell], minlength=len(words)) + self.bias
 
     def texts(self, u: Units) -> np.ndarray:
-        """Probabilities: the worst word of the worst sentence decides."""
+        """Probabilities: the worst word decides."""
         n = len(u.at) - 1
         if self.weight is None:
             return np.zeros(n)
