@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from folium.llm.common import table
+from folium.llm.common import free_name, table, text_of
 from folium.llm.shingles import _BASE, _bytes, _power, give_back, mix, pieces
 
 #: The pattern that this module follows; a vocabulary with another one is not for it.
@@ -267,12 +267,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digests: bool = F
     ``path`` is the vocabulary's place on every executor.
     """
     given = [c for c in docs.columns if c not in ("n_tokens", "ids", "ids_sha256", "decoded_sha256")]
-    kept = docs.select(*given).withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    if digests:  # nobody reads the text again
-        given = [c for c in given if c != text_col]
-        kept = kept.select(*given, "_text")
+    held = free_name(docs.columns, "_text")
+    kept = docs.withColumn(held, text_of(text_col)).select(*[c for c in given if not (digests and c == text_col)], held)
+    given = kept.columns[:-1]  # with digests nobody reads the text again
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), added])
+    schema = T.StructType([*kept.schema.fields[:-1], *T._parse_datatype_string(added).fields])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with coder(path) as own:
@@ -280,7 +279,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digests: bool = F
 
     def coded(own: Coder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "_text", 1 << 19):
+            for part in pieces(batch, batch.num_columns - 1, 1 << 19):
                 ids, at = own.encode(part.column(part.num_columns - 1))
                 n = pa.array(np.diff(at))
                 if digests:
@@ -298,7 +297,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", digests: bool = F
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes of each row's ids (a null list is empty)."""
     given = [c for c in rows.columns if c != out]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*given).schema.fields), f"`{out}` binary"])
+    schema = T.StructType([*rows.select(*given).schema.fields, T.StructField(out, T.BinaryType())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with coder(path) as own:

@@ -28,13 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as it takes to clash with no column (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
+    """The folder all executors share; one of our own only where the session names none and runs on this machine alone (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             found = current.get()
+        elif not spark.sparkContext.master.startswith("local["):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
         else:
             found = tempfile.mkdtemp(prefix="folium-")
             spark.sparkContext.setCheckpointDir(found)

@@ -5,13 +5,13 @@ needs so that a document holding the threshold's share of the item must hold one
 threshold t and a partition's upper size U, floor((1 - t) * U) + 1. A document, however long, probes with all its
 shingles; items with a hit are verified by counting shared shingles.
 
-The items are the stated query set. They go to the documents in blocks of at most ``BLOCK`` shingles, each block in one pass
-over the documents, so that what a task holds is bounded however many items there are. The items are read by Spark, and no
-document's shingles leave its task.
+The items are the stated query set. While all their shingles fit one block of ``BLOCK``, they are broadcast and the documents are
+read once. A larger set never leaves Spark: sketches and documents' shingles meet in a join on the hash, and the candidates are
+verified by a second join on document and hash, so that nothing grows on the driver or in a task.
 
 Defined results: null or blank texts and items match nothing; an item with fewer than five words is one shingle, matched only by
 a document that is this sequence of words; repeated items and repeated documents each give a row; empty tables give an
-empty result.
+empty result. ``clean`` decides row by row, by the row's own text, whatever its id.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import settle, table, width
+from folium.llm.common import free_name, settle, table, width
 from folium.llm.shingles import pieces, shingles
 
 NUMBER, OF = 4, 5  # containment 4/5 or more
@@ -77,58 +77,95 @@ def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["item_id", "n", "items"])
 
 
-def item_blocks(items: DataFrame, block: int = BLOCK) -> Iterator[Index]:
-    """Blocks of items, fetched one at a time; an item larger than a block is a block."""
-    # Partitions of the written table stream to the driver one by one: never more than a block and a part of it.
-    ids: list[int | None] = []
-    sets: list[np.ndarray] = []
-    held = 0
-    for row in items.toLocalIterator():
-        if sets and held + row["n"] > block:
-            yield Index(ids, sets)
-            ids, sets, held = [], [], 0
-        ids.append(row["item_id"])
-        sets.append(np.frombuffer(row["items"], np.uint64))
-        held += row["n"]
-    if sets:
-        yield Index(ids, sets)
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shingle of each item as a row, and whether the sketch holds it."""
+    for batch in batches:
+        for item, n, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            h = np.frombuffer(items, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, item)), pa.array(np.full(n, n)), pa.array(h), pa.array(np.arange(n) < sketch_size(n))], names=["item", "n", "hash", "sketched"])
+
+
+def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch, 1):
+            h, at = shingles(part.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), np.diff(at))), pa.array(h.view(np.int64))], names=["row", "hash"])
+
+
+def _item_table(items: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """Items with words, written: item (a number of its own), item_id, n and the sorted set."""
+    queries = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    sets = queries.mapInArrow(_item_sets, "item_id long, n long, items binary").where("n > 0").repartition(width(items.sparkSession))
+    return settle(sets.withColumn("item", F.monotonically_increasing_id()))
+
+
+def _index(queries: DataFrame) -> Index | None:
+    """All items as one block, or None where they are more than ``BLOCK`` shingles."""
+    if (queries.agg(F.sum("n")).first()[0] or 0) > BLOCK:
+        return None
+    got = queries.select("item_id", "items").collect()  # BLOCK shingles at most
+    return Index([r["item_id"] for r in got], [np.frombuffer(r["items"], np.uint64) for r in got])
+
+
+def _joined(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """row, item, n, n_shared of all pairs; ``rows`` (row, text) is a written table."""
+    flat = settle(queries.select("item", "n", "items").mapInArrow(_ranked, "item long, n long, hash long, sketched boolean"))
+    sketch = flat.where("sketched").select("item", "hash")
+    found = settle(rows.mapInArrow(_probes, "row long, hash long").join(sketch, "hash").select("row", "item").distinct())
+    own = rows.join(found.select("row").distinct(), "row", "left_semi").mapInArrow(_probes, "row long, hash long")
+    shared = found.join(flat.select("item", "n", "hash"), "item").join(own, ["row", "hash"]).groupBy("row", "item").agg(F.first("n").alias("n"), F.count("*").alias("n_shared"))
+    return shared.where(OF * F.col("n_shared") >= NUMBER * F.col("n"))
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, n_item, n_shared, containment."""
-    spark = docs.sparkSession
-    queries = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    queries = settle(queries.mapInArrow(_item_sets, "item_id long, n long, items binary").where("n > 0").repartition(width(spark)))
+    queries = _item_table(items, item_col, item_text)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = []
-    for index in item_blocks(queries):
-        sent = spark.sparkContext.broadcast(index)
-
-        def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            for batch in batches:
-                out = []
-                for part in pieces(batch, "text"):
-                    h, at = shingles(part.column(1))
-                    for t, i, shared in index.find(h, at):
-                        n = len(index.sets[i])
-                        out.append((part.column(0)[t].as_py(), index.ids[i], n, shared, shared / n))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.float64()], strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-        parts.append(texts.mapInArrow(probe, SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], SCHEMA)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all their columns; a document without an id is judged by its own text alone."""
-    held = settle(contained(docs, items).select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    index = _index(queries)
+    if index is None:
+        rows = settle(texts.withColumn("row", F.monotonically_increasing_id()))
+        hits = _joined(rows.select("row", "text"), queries).join(rows.select("row", "doc_id"), "row").join(queries.select("item", "item_id"), "item")
+        return hits.select("doc_id", "item_id", F.col("n").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for batch in batches:
+            out = []
+            for part in pieces(batch, 1):
+                h, at = shingles(part.column(1))
+                for t, i, shared in index.find(h, at):
+                    n = len(index.sets[i])
+                    out.append((part.column(0)[t].as_py(), index.ids[i], n, shared, shared / n))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.float64()], strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return texts.mapInArrow(probe, SCHEMA)
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows whose text holds no item, with all their columns."""
+    queries = _item_table(items, item_col, item_text)
+    index = _index(queries)
+    if index is None:
+        key = free_name(docs.columns, "row")
+        rows = settle(docs.withColumn(key, F.monotonically_increasing_id()))
+        hits = _joined(rows.select(F.col(key).alias("row"), F.col(text_col).cast("string").alias("text")), queries).select(F.col("row").alias(key)).distinct()
+        return rows.join(hits, key, "left_anti").select(*docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    at_text = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = np.ones(batch.num_rows, bool)
+            begin = 0
+            for part in pieces(batch, at_text):
+                for t, _, _ in sent.value.find(*shingles(part.column(at_text))):
+                    stays[begin + t] = False
+                begin += part.num_rows
+            yield batch.filter(pa.array(stays))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ hardly uses a script cannot label words of it. A Viterbi pass over the words, wi
 the language that holds most letters is the document's, and its share of the letters, times its mean posterior there, the score.
 
 All documents train, or a bounded sample by the caller's choice; n-grams are hashed into ``CELLS`` counters a language, so the model's size
-is bounded by the number of languages (at most ``MOST_LANGUAGES``, those with most documents).
+is ``CELLS`` floats for each language that the labels name; ``most`` lets a caller keep those with most documents only.
 
 Defined results: a null text, and one without letters, is ``und`` with score 0; with nothing to learn from all texts are ``und``;
 repeated rows each get a result; an empty table gives an empty one.
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,6 @@ from folium.llm.shingles import _LOWER, _SPACE, _bytes, mix, pieces
 
 CELLS = 1 << 16
 ORDERS = (1, 2, 3, 4)
-MOST_LANGUAGES = 200
 SWITCH = 6.0
 UNKNOWN = "und"
 #: First code points of the script blocks told apart, in order; everything between two belongs to the earlier one.
@@ -157,10 +157,13 @@ class Model:
     scripts: np.ndarray  # of each language: the bits of its scripts
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int | None = SAMPLE) -> Model:
-    """Counts of n-grams by language, gathered by Spark. ``sample`` bounds the documents of each language that are read."""
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int | None = SAMPLE, most: int | None = None) -> Model:
+    """Counts of n-grams by language, gathered by Spark. ``sample`` bounds the documents of each language that are read.
+
+    The driver gets one array a language. ``most`` bounds the languages; None learns all that the labels name.
+    """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col, lang_col).alias("draw")).where("text is not null and lang is not null")
-    counts = sorted((r["lang"], r["count"]) for r in docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
+    counts = sorted((r["lang"], r["count"]) for r in docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most or 2**31 - 1).collect())
     langs = [k for k, _ in counts]
     if not langs:
         return Model([], np.zeros((CELLS, 0), np.float32), np.zeros(0, np.int64))
@@ -168,10 +171,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
     for k, n in counts:
         share = F.when(F.col("lang") == k, F.lit(1_000_000 if sample is None or n <= sample else max(1, sample * 1_000_000 // n))).otherwise(share)
     drawn = rows.where(F.pmod("draw", F.lit(1_000_000)) < share).select("text", "lang")
-    got = drawn.mapInArrow(_counted, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()  # languages x cells at most
+    got = drawn.mapInArrow(_counted, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    got = got.groupBy("lang").agg(F.collect_list("cell").alias("cell"), F.collect_list("n").alias("n"))  # CELLS at most in each
     table_ = np.zeros((CELLS + len(NAMES), len(langs)))
-    for r in got:
-        table_[r["cell"], langs.index(r["lang"])] += r["n"]
+    place = {lang: k for k, lang in enumerate(langs)}
+    for r in got.toLocalIterator():
+        table_[np.array(r["cell"]), place[r["lang"]]] += np.array(r["n"])
     cells, scripts = table_[:CELLS] + 0.5, table_[CELLS:]
     log = np.log(cells / cells.sum(axis=0)) / len(ORDERS)
     used = scripts >= 0.001 * np.maximum(scripts.sum(axis=0), 1)
@@ -234,44 +239,61 @@ def viterbi(emit: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.ndar
 RESULT = "lang_pred string, score double, spans array<struct<first_word:long,words:long,lang:string>>"
 
 
+SPAN = pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("lang", pa.string())])
+
+
 def _labelled(model: Model, with_spans: bool):
-    def of(batch: pa.RecordBatch) -> Iterator[tuple[str, float, list | None]]:
-        held: list[tuple[Words, np.ndarray, np.ndarray]] = []
-        most, words = max(1, 4_000_000 // max(1, len(model.langs))), 0
-
-        def decide() -> Iterator[tuple[str, float, list | None]]:
-            emit = np.concatenate([s[w.which] for w, s, _ in held])
-            shift = np.cumsum([0] + [len(w.which) for w, _, _ in held])
-            at = np.concatenate([w.at[:-1] + o for (w, _, _), o in zip(held, shift, strict=False)] + [shift[-1:]])
-            label = viterbi(emit, at)
-            letters = np.concatenate([w.letters[w.which] for w, _, _ in held])
-            sure = np.concatenate([p[w.which, label[o : o + len(w.which)]] for (w, _, p), o in zip(held, shift, strict=False)])
-            text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            n = len(model.langs)
-            share = np.bincount(text * n + label, weights=letters, minlength=(len(at) - 1) * n).reshape(-1, n)
-            belief = np.bincount(text * n + label, weights=letters * sure, minlength=(len(at) - 1) * n).reshape(-1, n)
-            total, top = share.sum(axis=1), share.argmax(axis=1)
-            for i in range(len(at) - 1):
-                spans = None
-                if with_spans:
-                    own = label[at[i] : at[i + 1]]
-                    cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
-                    spans = [{"first_word": int(c), "words": int(m), "lang": model.langs[own[c]]} for c, m in zip(cut, np.diff(np.append(cut, len(own))), strict=True)]
-                yield (model.langs[top[i]], float(min(1.0, belief[i, top[i]] / total[i])), spans) if total[i] else (UNKNOWN, 0.0, spans and [])
+    """Columns lang_pred, score and (on demand) spans of the texts of a batch."""
+    names = pa.array([*model.langs, UNKNOWN], pa.string())
+    n = len(model.langs)
+
+    def decide(held: list[tuple[Words, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        emit = np.concatenate([s[w.which] for w, s, _ in held])
+        shift = np.cumsum([0] + [len(w.which) for w, _, _ in held])
+        at = np.concatenate([w.at[:-1] + o for (w, _, _), o in zip(held, shift, strict=False)] + [shift[-1:]])
+        label = viterbi(emit, at)
+        letters = np.concatenate([w.letters[w.which] for w, _, _ in held])
+        sure = np.concatenate([p[w.which, label[o : o + len(w.which)]] for (w, _, p), o in zip(held, shift, strict=False)])
+        text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        share = np.bincount(text * n + label, weights=letters, minlength=(len(at) - 1) * n).reshape(-1, n)
+        belief = np.bincount(text * n + label, weights=letters * sure, minlength=(len(at) - 1) * n).reshape(-1, n)
+        total, top = share.sum(axis=1), share.argmax(axis=1)
+        some = total > 0
+        told = np.where(some, top, n)
+        score = np.where(some, np.minimum(1.0, belief[np.arange(len(top)), top] / np.maximum(total, 1)), 0.0)
+        out = [names.take(pa.array(told)), pa.array(score)]
+        if with_spans:
+            # A span begins where a text does or the label changes; texts without a letter have none.
+            first = np.zeros(len(label) + 1, bool)
+            first[at] = True
+            first[1:-1] |= label[1:] != label[:-1]
+            begin = np.flatnonzero(first[:-1])
+            begin = begin[some[text[begin]]]
+            stop = np.append(np.flatnonzero(first[1:]) + 1, 0)
+            length = stop[np.searchsorted(stop[:-1], begin, side="right")] - begin
+            cols = [pa.array(begin - at[text[begin]]), pa.array(length), names.take(pa.array(label[begin]))]
+            offsets = np.searchsorted(text[begin], np.arange(len(at)))
+            out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(cols, fields=list(SPAN))))
+        return out
 
-        for part in pieces(batch, "text", 1 << 19):
-            w = words_of(part.column(part.schema.get_field_index("text")))
+    def of(batch: pa.RecordBatch) -> list[pa.Array]:
+        told: list[list[pa.Array]] = []
+        held: list[tuple[Words, np.ndarray, np.ndarray]] = []
+        most, words = max(1, 4_000_000 // max(1, n)), 0
+        for part in pieces(batch, 0, 1 << 19):
+            w = words_of(part.column(0))
             if not model.langs:
-                for _ in range(part.num_rows):
-                    yield UNKNOWN, 0.0, [] if with_spans else None
+                nothing = [pa.array([UNKNOWN] * part.num_rows, pa.string()), pa.array(np.zeros(part.num_rows))]
+                told.append([*nothing, pa.array([[]] * part.num_rows, pa.list_(SPAN))] if with_spans else nothing)
                 continue
             held.append((w, *scores(w, model)))
             words += len(w.which)
             if words > most:
-                yield from decide()
+                told.append(decide(held))
                 held, words = [], 0
         if held:
-            yield from decide()
+            told.append(decide(held))
+        return [pa.concat_arrays(c) for c in zip(*told, strict=True)]
 
     return of
 
@@ -279,26 +301,22 @@ def _labelled(model: Model, with_spans: bool):
 def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = True) -> DataFrame:
     """The documents with lang_pred, score and (on demand) spans of words in one language.
 
-    The model has a bounded size (``CELLS`` x ``MOST_LANGUAGES`` floats at most) and is sent to each executor once.
+    The model has ``CELLS`` floats a language and is sent to each executor once.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     given = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
     kept = docs.select(*given)
     result = RESULT if with_spans else RESULT.split(", spans")[0]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", " + result
+    schema = T.StructType([*kept.schema.fields, *T._parse_datatype_string(result).fields])
+    at_text = given.index(text_col)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _labelled(sent.value, with_spans)
         for batch in batches:
-            plain = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_string())], names=["text"])
-            told = list(of(plain))
-            cols = [*batch.columns, pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.float64())]
-            names = [*given, "lang_pred", "score"]
-            if with_spans:
-                cols.append(pa.array([t[2] for t in told], pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))))
-                names.append("spans")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            plain = pa.RecordBatch.from_arrays([batch.column(at_text).cast(pa.large_string())], names=["text"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *of(plain)], names=[*given, "lang_pred", "score", "spans"][: len(given) + (3 if with_spans else 2)])
 
     return kept.mapInArrow(go, schema)
 
@@ -315,8 +333,8 @@ def known(docs: DataFrame) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(known(docs))
-    found = identify(docs.select("doc_id", "text"), model, with_spans=False)
-    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
 QUERIES = {"op10_language_id": op10_language_id}

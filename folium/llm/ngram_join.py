@@ -25,10 +25,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import runs, settle, table, width
+from folium.llm.common import free_name, runs, settle, table, width
 from folium.llm.graph import components, dealt_pairs, forest
 from folium.llm.shingles import mix, pieces, shingles
 
@@ -132,18 +132,27 @@ def bounded_pairs(n: np.ndarray, maps: list[np.ndarray], side: np.ndarray) -> tu
     return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
-SETS = "doc_id long, n long, node long, bits binary, keys array<long>"
+SETS = "doc_id long, row_key long, row_check long, n long, node long, bits binary, keys array<long>"
+
+
+def node_of(s: np.ndarray) -> int | None:
+    """The hash of a whole set; None for an empty one."""
+    if not len(s):
+        return None
+    total = np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))) ^ np.uint64(len(s))
+    return int((mix(np.array([total], np.uint64)) ^ np.bitwise_xor.reduce(s)).view(np.int64)[0])
+
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: set[int] = set()
         for part in pieces(batch, "text"):
-            h, at = shingles(part.column(1))
+            h, at = shingles(part.column(3))
             nodes, maps, keys = [], [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 s = h[a:b]
-                node = None if a == b else int((mix(np.array([np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))) ^ np.uint64(b - a)], np.uint64)) ^ np.bitwise_xor.reduce(s)).view(np.int64)[0])
+                node = node_of(s)
                 nodes.append(node)
                 if node is None or node in seen:  # copies within a batch bring their keys once
                     maps.append(None)
@@ -152,7 +161,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(node)
                     maps.append(bitmap(s).tobytes())
                     keys.append(tile_keys(s).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.diff(at)), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[c.split()[0] for c in SETS.split(", ")])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,16 +253,33 @@ def _by_arrays(r: dict) -> dict | None:
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()  # repeated rows bring their set once a task
     for batch in batches:
         for part in pieces(batch, "text"):
             h, at = shingles(part.column(batch.schema.get_field_index("text")))
-            items = [h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(items, pa.binary())], names=["node", "grp", "items"])
+            sets = [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            # A row's key is a hash: only the text whose set the node stands for is taken.
+            same = []
+            for k, (s, node) in enumerate(zip(sets, part.column(0).to_pylist(), strict=True)):
+                if node not in seen and node_of(s) == node:
+                    same.append(k)
+                    if len(seen) < 1_000_000:
+                        seen.add(node)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(same, pa.int64())), part.column(1).take(pa.array(same, pa.int64())), pa.array([sets[k].tobytes() for k in same], pa.binary())], names=["node", "grp", "items"])
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+ROW = ("row_key", "row_check")
+
+
+def row_keys(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """128 bits that tell rows apart by id and text, nulls included."""
+    own = [F.col(id_col).cast("long"), F.col(text_col).cast("string")]
+    return [F.xxhash64(*own, F.lit(k)).alias(name) for k, name in enumerate(ROW)]
+
+
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document, written: doc_id, the row's keys, n_shingles, and the root that its component's rows share (null: no words)."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text"))
     sets = settle(texts.mapInArrow(_sets, SETS))
 
     # Tiles that two nodes share.
@@ -267,21 +293,53 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = components(runs(dealt.select("tile", "i", "j", "side", "node", "n", "bits"), ["tile", "i", "j"], [], "a long, b long", _by_bitmap))
 
     # Arrays verify what is left: one text for each node of a group.
-    first = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    first = sets.where("node is not null").groupBy("node").agg(F.min("row_key").alias("row_key"))
     wanted = settle(first.join(near.withColumnRenamed("root", "grp"), "node"))
     small = wanted.count() <= BROADCAST_ROWS
-    found = texts.join(F.broadcast(wanted) if small else wanted, "doc_id").select("node", "grp", "text").mapInArrow(_items, "node long, grp long, items binary")
+    found = texts.join(F.broadcast(wanted) if small else wanted, "row_key").select("node", "grp", "text").mapInArrow(_items, "node long, grp long, items binary")
     checked = dealt_pairs(settle(found), "grp", "node", TILE // 4)
     links = runs(checked.select("grp", "i", "j", "side", "node", "items"), ["grp", "i", "j"], [], "a long, b long", _by_arrays)
     roots = components(links)
 
-    # Ids: the smallest of each component. Joins read written tables, so that Spark may split the rows of a hot node.
-    plain = sets.select("doc_id", F.col("n").alias("n_shingles"), "node")
-    placed = settle(plain.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")))
+    # Joins read written tables, so that Spark may split the rows of a hot node.
+    plain = sets.select("doc_id", *ROW, F.col("n").alias("n_shingles"), "node")
+    return settle(plain.join(roots, "node", "left").select("doc_id", *ROW, "n_shingles", F.coalesce("root", "node").alias("root")))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included)."""
+    placed = similar_rows(docs, id_col, text_col)
     least = settle(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one row of each component: that of the smallest id, rows without an id last; rows without words all stay.
+
+    Rows are told apart by id and text, so rows that share an id but not a text are judged each by its own; of rows equal in both
+    one stays.
+    """
+    placed = similar_rows(docs, id_col, text_col).where("root is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)
+    best = settle(placed.groupBy("root").agg(F.min(rank).alias("best")))
+    marked = settle(placed.join(best, "root").select(*ROW, (F.struct(*ROW) == F.struct(*[f"best.{c}" for c in ROW])).alias("stays")))
+
+    def sent(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    gone = settle(marked.where(~F.col("stays")).select(*ROW).distinct())
+    several = settle(marked.where("stays").groupBy(*ROW).count().where("count > 1").select(*ROW))
+    names = [free_name(docs.columns, c) for c in ROW]
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(row_keys(id_col, text_col), names, strict=True)])
+    same = lambda rows: rows.toDF(*names)
+    kept = keyed.join(same(sent(gone)), names, "left_anti").select(*keyed.columns)
+    if several.limit(1).count():
+        again = sent(same(several))
+        once = kept.join(again, names, "left_semi").dropDuplicates(names).select(*keyed.columns)
+        kept = kept.join(again, names, "left_anti").select(*keyed.columns).unionByName(once)
+    return kept.select(*docs.columns)
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 

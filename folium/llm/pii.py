@@ -171,8 +171,11 @@ def detect(docs: DataFrame, model: dict[str, float], text_col: str = "text", out
 
 def redact(docs: DataFrame, model: dict[str, float], text_col: str = "text") -> DataFrame:
     """The documents with each personal span replaced by its kind, and all columns as they were."""
-    marked = detect(docs, model, text_col, "_pii")
-    hidden = F.when(F.col(text_col).isNull(), F.lit(None).cast("string")).otherwise(masked(F.col(text_col), F.concat("_pii_base", "_pii_added")))
+    own = "_pii"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    marked = detect(docs, model, text_col, own)
+    hidden = F.when(F.col(text_col).isNull(), F.lit(None).cast("string")).otherwise(masked(F.col(text_col), F.concat(f"{own}_base", f"{own}_added")))
     return marked.withColumn(text_col, hidden).select(*docs.columns)
 
 

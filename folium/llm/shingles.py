@@ -110,9 +110,9 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return got, np.searchsorted(keep, np.arange(len(count) + 1))
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+def pieces(batch: pa.RecordBatch, column: str | int, most: int = 1 << 20):
     """Slices of a batch with about ``most`` bytes of text each; a longer text stands alone."""
-    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
+    texts = batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column)).cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     start = 0
     while start < batch.num_rows:

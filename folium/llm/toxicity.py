@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import table
+from folium.llm.common import free_name, table, text_of
 from folium.llm.shingles import _LOWER, _SPACE, _bytes, mix, pieces
 
 #: Offsets of a subsequence's later characters, and the weight of each character that it skips.
@@ -352,12 +353,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     given = [c for c in docs.columns if c != "score"]
-    kept = docs.select(*given).withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "score double"])
+    kept = docs.select(*given, text_of(text_col).alias(free_name(given, "_text")))
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("score", T.DoubleType())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "_text", 1 << 21):
+            for part in pieces(batch, batch.num_columns - 1, 1 << 21):
                 p = sent.value.texts(units(part.column(part.num_columns - 1)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p, pa.float64())], names=[*given, "score"])
 

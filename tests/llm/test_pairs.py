@@ -5,7 +5,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from folium.llm import decontaminate, ngram_join, vector_dedup
 
@@ -138,6 +137,31 @@ def test_contained_in_blocks_and_empty(spark, monkeypatch):
     assert decontaminate.clean(docs, none).collect() == docs.collect()
 
 
+@pytest.mark.parametrize("block", [10, 10**6])
+def test_clean_judges_rows_by_their_own_text(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    item, other = " ".join(f"a{k}" for k in range(30)), " ".join(f"c{k}" for k in range(40))
+    rows = [(None, f"x {item} y", 1), (None, other, 2), (5, item, 3), (5, other, 4), (6, None, 5), (6, "", 6), (7, item, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    items = spark.createDataFrame([(1, item), (2, " ".join(item.split()[3:])), (3, None)], "item_id long, text string")
+    assert sorted(r.row for r in decontaminate.clean(docs, items).collect()) == [2, 4, 5, 6]
+    assert decontaminate.clean(docs, items).columns == docs.columns
+    assert decontaminate.contained(docs, items).count() == 6
+
+
+def test_keep_one_tells_rows_apart(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a), (1, b), (2, a + " more"), (None, b + " more"), (None, "c d e f g h"), (3, "c d e f g h"), (4, None), (4, None), (9, "z z"), (9, "z z")]
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, root string, row_key long")
+    got = ngram_join.keep_one(docs)
+    assert got.columns == docs.columns
+    key = lambda r: (r[0] or -1, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted([(1, a), (1, b), (3, "c d e f g h"), (4, None), (4, None), (9, "z z")], key=key)
+    assert ngram_join.keep_one(docs.limit(0)).count() == 0
+    ids = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.similar_groups(docs).collect()}
+    assert ids[(2, 37)] == 1 and ids[(None, 37)] == 1
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     rows, i = [], 0
@@ -168,7 +192,7 @@ def test_plan_keeps_its_promises(n):
     k, tables = vector_dedup.plan(n)
     near, far = vector_dedup.same_cell((2 - 2 * 0.98) ** 0.5), vector_dedup.same_cell(2**0.5)
     assert (1 - near**k) ** tables <= vector_dedup.MISS * 1.0001
-    assert n * far**k <= vector_dedup.MEETINGS * 1.0001
+    assert n * tables * far**k <= vector_dedup.MEETINGS * 1.0001
 
 
 def test_components_of_chains(spark):
@@ -178,4 +202,3 @@ def test_components_of_chains(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     assert got == {**{k: 0 for k in range(301)}, **{1000 + k: 1000 for k in range(200)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
-    _ = F

@@ -44,4 +44,27 @@ def test_stages_on_nulls_and_nothing(spark):
             assert out.columns == docs.columns
             out.collect()
     first = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), "/root/testdata/sf0.001")
-    assert first.where("doc_id = 1").count() == 1 and first.where(F.col("doc_id").isNull()).count() == 1
+    # The row without an id is a copy of document 1: one row of the group stays.
+    assert first.where("doc_id = 1").count() == 1 and first.where(F.col("doc_id").isNull()).count() == 0
+
+
+def test_stages_with_clashing_columns_and_what_the_language_is_for(spark):
+    import corpus_pipeline
+
+    text = "the of and in that was with this for her they from have are not but had by his as you on it is"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _text string, _lang string, _pii_base string, lang_pred string, score int, spans int"
+    rows = [(k, text + f" {k}", "en" if k else None, "s", 5, "a", "b", "c", "d", 1, 2) for k in range(12)] + [(50, "12 34 !!", "en", "s", 5, "a", "b", "c", "d", 1, 2)]
+    docs = spark.createDataFrame(rows, schema)
+    out = corpus_pipeline.language_id(spark, docs, "")
+    assert out.columns == docs.columns and {r.lang for r in out.collect()} == {"en"} and out.count() == 12
+    for name in ("_text", "_lang", "_pii_base", "lang_pred", "score", "spans"):
+        assert {r[0] for r in out.select(name).distinct().collect()} == {r[0] for r in docs.select(name).distinct().collect()}
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, out, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and out.first()["_text"] == "a" and out.first()["_pii_base"] == "c"
+    from folium.llm import bpe, toxicity
+
+    ids = bpe.encode(docs.select("doc_id", "text", "_text"), bpe.vocabulary())
+    assert ids.columns == ["doc_id", "text", "_text", "n_tokens", "ids"] and ids.first()["_text"] == "a"
+    scored = toxicity.score(docs.select("doc_id", "text", "_text"), toxicity.train([], []))
+    assert scored.columns == ["doc_id", "text", "_text", "score"] and scored.first()["_text"] == "a"
