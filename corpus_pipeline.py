@@ -9,29 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm import bpe, decontaminate, langid, ngram_join, pii
-from folium.llm.common import settle, short_batches, table
+from folium.llm.common import free_name, settle, short_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language go: those without a letter. A language's model learns from the labelled documents."""
+    """Documents in no language go: those without a letter. The others bear the language that the model finds, whatever ``lang`` said.
+
+    The model learns from the labelled documents. Where none is labelled, nothing is known: ``lang`` stays, and all with a letter stay.
+    """
     short_batches(spark)
     model = langid.fit(langid.known(docs))
-    kept = langid.identify(docs.withColumnRenamed("lang", "_lang"), model, with_spans=False).where(F.col("lang_pred") != langid.UNKNOWN)
-    return kept.withColumnRenamed("_lang", "lang").select(*docs.columns)
+    if not model.langs:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    text = free_name(docs.columns, "text_")
+    found = langid.identify(docs.withColumnsRenamed({c: f"{text}{k}" for k, c in enumerate(docs.columns)}), model, text_col=f"{text}{docs.columns.index('text')}", with_spans=False)
+    found = found.where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.select(*[F.col("lang_pred" if c == "lang" else f"{text}{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id. Documents without one stay."""
+    """One row of each group stays: that of the smallest doc_id, one without an id last. Rows without words stay."""
     short_batches(spark)
-    groups = ngram_join.similar_groups(docs)
-    gone = settle(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # Repeated rows share their doc_id: one of them stays.
-    several = settle(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not several.limit(1).count():
-        return kept
-    once = kept.join(F.broadcast(several) if several.count() <= ngram_join.BROADCAST_ROWS else several, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return ngram_join.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
