@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Month names, weekdays, seasons and their months, number words, roman digits.
+# Month names, weekdays with their spellings, terms and their months and order, number words, roman digits.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-WEEKDAYS = {"mon": "Monday", "tue": "Tuesday", "wed": "Wednesday", "thu": "Thursday", "fri": "Friday", "sat": "Saturday", "sun": "Sunday"}
-SEASONS = {"winter": (12, 1, 2, 3), "spring": (1, 2, 3, 4, 5, 6), "summer": (5, 6, 7, 8), "fall": (8, 9, 10, 11, 12)}
-NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "fifteen", "twenty", "thirty", "forty", "fifty")
-NUMBER_VALUES = (*range(13), 15, 20, 30, 40, 50)
+WEEKDAYS = {
+    "monday": "Monday", "mon": "Monday", "tuesday": "Tuesday", "tue": "Tuesday", "tues": "Tuesday", "wednesday": "Wednesday", "wed": "Wednesday", "thursday": "Thursday", "thu": "Thursday",
+    "thur": "Thursday", "thurs": "Thursday", "friday": "Friday", "fri": "Friday", "saturday": "Saturday", "sat": "Saturday", "sunday": "Sunday", "sun": "Sunday",
+}
+TERM_MONTHS = {"fall": (8, 9, 10, 11, 12), "spring": (1, 2, 3, 4, 5), "summer": (5, 6, 7, 8), "winter": (12, 1, 2)}
+TERM_ORDER = ("winter", "spring", "summer", "fall")
+NUMBER_WORDS = {
+    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "fifteen": 15,
+    "twenty": 20, "twenty-five": 25, "thirty": 30, "forty": 40, "fifty": 50,
+}
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
-TERM = r"(?i)(?<![/–-])\b(winter|spring|summer|fall|autumn)\b(?!\s*[/–-])"
-MONTH_NAME = r"(?i)\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?\s+([0-9]{1,2})(?![0-9])(?:st|nd|rd|th)?(?:,?\s+(20[0-9]{2}|19[0-9]{2}))?"
-NUMERIC = r"(?<![0-9/])([0-9]{1,2})/([0-9]{1,2})(?:/([0-9]{2,4}))?(?![0-9/])"
+SEASON = "(?:fall|spring|summer|winter)"
+MONTH_NAME = r"(?i)\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?,?\s*([0-9]{1,2})(?![0-9])\s*(?:st|nd|rd|th)?\b"
+NUMERIC = r"\b([0-9]{1,2})\s*/\s*([0-9]{1,2})(?:\s*/\s*([0-9]{2,4}))?\b"
 
 
 def blank(x: Column) -> Column:
@@ -26,13 +32,31 @@ def lookup(x: Column, values: dict) -> Column:
 
 
 def find_term(x: Column) -> Column:
-    """DAT1: struct<name, year>, season and year in either order; null where there is none."""
-    after = rf"{TERM}\W{{0,3}}(20[0-9]{{2}})"
-    before = rf"(20[0-9]{{2}})\W{{0,3}}{TERM}"
-    name = F.coalesce(blank(F.regexp_extract(x, after, 1)), blank(F.regexp_extract(x, before, 2)))
-    year = F.coalesce(blank(F.regexp_extract(x, after, 2)), blank(F.regexp_extract(x, before, 1)))
-    name = F.when(F.lower(name) == "autumn", "fall").otherwise(F.lower(name))
-    return F.when(name.isNotNull() & year.isNotNull(), F.struct(name.alias("name"), year.cast("int").alias("year")))
+    """DAT1: struct<name, year> of the first season and year, in either order; a season joined to another by a slash or dash is none."""
+    shape = rf"(?i)(?<![/–—-])\b({SEASON})\s+(20[0-9]{{2}})\b|\b(20[0-9]{{2}})\s+({SEASON})\b"
+    part = lambda k: blank(F.regexp_extract(x, shape, k))
+    name, year = F.lower(F.coalesce(part(1), part(4))), F.coalesce(part(2), part(3)).cast("int")
+    return F.when(name.isNotNull(), F.struct(name.alias("name"), year.alias("year")))
+
+
+def filename_term(x: Column) -> Column:
+    """A term in a file's name, with or without a thin separator."""
+    shape = rf"(?i)({SEASON})[\s_-]*(20[0-9]{{2}})"
+    name = blank(F.lower(F.regexp_extract(x, shape, 1)))
+    return F.when(name.isNotNull(), F.struct(name.alias("name"), blank(F.regexp_extract(x, shape, 2)).cast("int").alias("year")))
+
+
+def terms_of(pages: DataFrame, key: str = "doc_id", page: str = "page", text: str = "text", filename: str = "filename") -> DataFrame:
+    """DAT2: (key, term): that of the first three pages in order, else that of the file's name, else the first in the whole text."""
+    t = find_term(F.col(text))
+    first = F.min_by(t, F.when(t.isNotNull() & (F.col(page) <= 3), F.col(page)))
+    anywhere = F.min_by(t, F.when(t.isNotNull(), F.col(page)))
+    return pages.groupBy(key).agg(F.coalesce(first, filename_term(F.max(filename)), anywhere).alias("term"))
+
+
+def term_rank(term: Column) -> Column:
+    """A term's place in time; null where it is unknown."""
+    return F.when(term.isNotNull(), term["year"] * 10 + lookup(term["name"], {n: k for k, n in enumerate(TERM_ORDER)}))
 
 
 def year_for_month(term: Column, month: Column) -> Column:
@@ -48,36 +72,54 @@ def month_number(name: Column) -> Column:
     return lookup(F.substring(F.lower(name), 1, 3), {m[:3]: i + 1 for i, m in enumerate(MONTHS)})
 
 
-def parse_date(x: Column, term: Column) -> Column:
-    """DAT4, the first date of a fragment: month name or m/d[/y]; without a year the term says it."""
+def read_date(x: Column, term: Column) -> Column:
+    """The date that a fragment of one date's shape is: month name and day, or m/d[/y]; without a year the term says it, else null."""
     month = month_number(F.regexp_extract(x, MONTH_NAME, 1))
-    year = F.coalesce(F.try_to_number(blank(F.regexp_extract(x, MONTH_NAME, 3)), F.lit("9999")).cast("int"), year_for_month(term, month))
-    named = safe_date(year, month, blank(F.regexp_extract(x, MONTH_NAME, 2)).cast("int"))
-    m2, d2, y2 = (blank(F.regexp_extract(x, NUMERIC, k)).cast("int") for k in (1, 2, 3))
-    numeric = safe_date(F.coalesce(F.when(y2 < 100, y2 + 2000).otherwise(y2), year_for_month(term, m2)), m2, d2)
-    # Which stands first in the text.
-    at_name, at_number = F.regexp_instr(x, F.lit(MONTH_NAME)), F.regexp_instr(x, F.lit(NUMERIC))
-    return F.when((at_name > 0) & ((at_number == 0) | (at_name < at_number)), F.coalesce(named, numeric)).otherwise(F.coalesce(numeric, named))
+    named = safe_date(year_for_month(term, month), month, blank(F.regexp_extract(x, MONTH_NAME, 2)).cast("int"))
+    m, d, y = (blank(F.regexp_extract(x, NUMERIC, k)).cast("int") for k in (1, 2, 3))
+    numeric = safe_date(F.coalesce(F.when(y < 100, y + 2000).otherwise(y), year_for_month(term, m)), m, d)
+    return F.when(month.isNotNull(), named).otherwise(numeric)
 
 
 def iter_dates(x: Column, term: Column) -> Column:
     """DAT4: all dates of a fragment in the order of the text; those that do not exist are dropped."""
     # One scan finds both shapes in order; each hit is then read as a fragment of its own.
     hits = F.regexp_extract_all(x, F.lit(f"(?:{MONTH_NAME})|(?:{NUMERIC})"), F.lit(0))
-    return F.filter(F.transform(hits, lambda h: parse_date(h, term)), lambda d: d.isNotNull())
+    found = F.filter(F.transform(hits, lambda h: read_date(h, term)), lambda d: d.isNotNull())
+    return F.when(x.rlike("[0-9]"), found).otherwise(F.array().cast("array<date>"))
+
+
+def parse_date(x: Column, term: Column) -> Column:
+    """DAT4, the first date of a fragment."""
+    return F.get(iter_dates(x, term), 0)
+
+
+def anchor_dates(x: Column, term: Column) -> Column:
+    """DAT8: the dates of a cell that leads a row; in a short one (24 characters at most) month-day with a dash counts too."""
+    hits = F.regexp_extract_all(x, F.lit(r"\b([0-9]{1,2})-([0-9]{1,2})\b"), F.lit(0))
+
+    def dashed(h: Column) -> Column:
+        m, d = F.get(F.split(h, "-"), 0).cast("int"), F.get(F.split(h, "-"), 1).cast("int")
+        return F.when(m.between(1, 12) & d.between(1, 31), safe_date(year_for_month(term, m), m, d))
+
+    short = F.filter(F.transform(hits, dashed), lambda d: d.isNotNull())
+    plain = iter_dates(x, term)
+    return F.when((F.size(plain) > 0) | term.isNull() | (F.length(x) > 24), plain).otherwise(short)
 
 
 def parse_time(x: Column) -> Column:
     """DAT5: 'HH:mm:ss'; midnight is 23:59, noon 12:00."""
-    shape = r"(?i)\b([0-9]{1,2})(?:[:.]([0-9]{2}))?\s*([ap])\.?m\b"
-    hour, minute, half = blank(F.regexp_extract(x, shape, 1)).cast("int"), F.coalesce(blank(F.regexp_extract(x, shape, 2)).cast("int"), F.lit(0)), F.lower(F.regexp_extract(x, shape, 3))
-    h24 = F.when(half == "p", hour % 12 + 12).otherwise(hour % 12)
-    return F.when(x.rlike(r"(?i)\bmidnight\b"), "23:59:00").when(x.rlike(r"(?i)\bnoon\b"), "12:00:00").when(hour.between(1, 12) & (minute < 60), F.format_string("%02d:%02d:00", h24, minute))
+    shape = r"(?i)\b([0-9]{1,2})(?:[:.]([0-9]{2})\s*([ap])\.?\s*m\.?|\s*([ap])\.?\s*m\.?\b)"
+    hour, minute = blank(F.regexp_extract(x, shape, 1)).cast("int"), F.coalesce(blank(F.regexp_extract(x, shape, 2)).cast("int"), F.lit(0))
+    half = F.lower(F.coalesce(blank(F.regexp_extract(x, shape, 3)), F.regexp_extract(x, shape, 4)))
+    h24 = F.when(hour == 12, 0).otherwise(hour) + F.when(half == "p", 12).otherwise(0)
+    return F.when(x.rlike(r"(?i)\bmidnight\b"), "23:59:00").when(x.rlike(r"(?i)\bnoon\b"), "12:00:00").when((h24 < 24) & (minute < 60), F.format_string("%02d:%02d:00", h24, minute))
 
 
 def parse_weekday(x: Column) -> Column:
     """DAT6."""
-    return lookup(F.lower(F.regexp_extract(x, r"(?i)\b(mon|tue|wed|thu|fri|sat|sun)(?:s?day|nesday|rsday|urday|s|rs|r)?s?\b", 1)), WEEKDAYS)
+    names = "|".join(sorted(WEEKDAYS, key=len, reverse=True))
+    return lookup(F.lower(F.regexp_extract(x, rf"(?i)\b({names})s?\b", 1)), WEEKDAYS)
 
 
 def days_until(d: Column, today: Column) -> Column:
@@ -95,7 +137,7 @@ def when_label(d: Column, today: Column) -> Column:
 
 def to_int(x: Column) -> Column:
     """NUM1: digits with commas, or a number word."""
-    return F.coalesce(F.replace(x, F.lit(","), F.lit("")).try_cast("int"), lookup(F.lower(F.trim(x)), dict(zip(NUMBER_WORDS, NUMBER_VALUES, strict=True))))
+    return F.coalesce(F.replace(x, F.lit(","), F.lit("")).try_cast("int"), lookup(F.lower(F.trim(x)), NUMBER_WORDS))
 
 
 def from_roman(x: Column) -> Column:
@@ -108,7 +150,7 @@ def from_roman(x: Column) -> Column:
 
 def page_count(x: Column) -> Column:
     """NUM2: pages in a list of ranges: arabic or roman, upper bounds with their first digits left out; 0 where unreadable."""
-    plain = F.regexp_replace(F.regexp_replace(x, r"(?i)\bpp?\.?\s*|\bpages?\s*", ""), "[‐-—−]", "-")
+    plain = F.regexp_replace(F.regexp_replace(x, r"(?i)\b(?:pages?|pgs?|pp?)\b\.?\s*", ""), "[‐-—−]", "-")
     parts = F.filter(F.transform(F.split(plain, "[,;]"), lambda p: F.regexp_replace(p, r"\s+", "")), lambda p: p != "")
 
     def one(p: Column) -> Column:
@@ -123,6 +165,7 @@ def page_count(x: Column) -> Column:
     return F.aggregate(F.transform(parts, one), F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
-def pages_from_citation(x: Column) -> Column:
-    """NUM4: a page range, and not a bare year."""
-    return F.when(x.rlike(r"^[0-9ivxlc]+\s*[-–]\s*[0-9ivxlc]+$") & ~x.rlike(r"^(?:19|20)[0-9]{2}$"), x)
+def half_up(x: Column, places: int = 1) -> Column:
+    """NUM3: rounded to so many places, halves towards the larger number, as the binary number stands (so 1.005 gives 1.0)."""
+    factor = float(10**places)
+    return F.floor(x * factor + 0.5) / factor

@@ -1,24 +1,34 @@
 """Text repair as column expressions; NFC alone needs an Arrow UDF, as Spark has no such function.
 
-Every ``*_logged`` variant returns struct<text, edits array<struct<rule,before,after>>>; the plain ones the text.
+The functions return the text; ``logged`` adds each step that changed it, as array<struct<rule,before,after>>.
 """
 
 from __future__ import annotations
 
+import math
+import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Glyphs and their plain forms.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ꜳ": "AA", "ꜳ": "aa", "Ꜵ": "AO", "ꜵ": "ao"}
-CONTROL_GLYPHS = {"\x0b": "ff", "\x0c": "fi", "\x0e": "ffi", "\x0f": "ffl", "\x10": '"', "\x11": '"', "\x12": "'", "\x13": "'", "\x1c": "fi"}
+# Glyphs and what they stand for, name particles, short words, digits of the expressions below.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Œ": "OE", "œ": "oe", "Æ": "AE", "æ": "ae"}
+CONTROL_GLYPHS = {"\x0b": "ff", "\x0c": "fi", "\x0e": "ffi", "\x0f": "ffl", "\x1b": "ff", "\x10": "“", "\x11": "”", "\x12": "‘", "\x13": "’"}
+CONTROL_MARKERS = "\x14\x15\x16\x17\x18\x19\x1a\x1c\x1d\x1e\x1f\x80\x88\x95\xa7"
 INVISIBLE = "​‌‍﻿­"
 EXOTIC_SPACES = "       "
 DASHES = "‐-—−"
-PARTICLES = ("Mc", "Mac", "De", "Di", "Du", "La", "Le", "Van", "Von", "Fitz", "O", "Des", "Del", "Della", "Ten", "Ter", "Da", "Der", "St")
+PARTICLES = ("mc", "mac", "de", "di", "da", "del", "della", "van", "von", "der", "le", "la", "du", "des", "st", "o")
+SHORT_WORDS = frozenset("a i an as at be by do go he if in is it my no of on or so to up us we".split())
+LEADING_ACCENTS = {
+    "´": "́", "ˊ": "́", "`": "̀", "ˋ": "̀", "¨": "̈", "ˆ": "̂", "^": "̂", "˜": "̃", "~": "̃", "ˇ": "̌",
+    "˘": "̆", "˙": "̇", "˝": "̋", "°": "̊", "˚": "̊", "¯": "̄", "ˉ": "̄",
+}
+TRAILING_ACCENTS = {"¸": "̧", "˛": "̨"}
+ORDINARY_SIGNS = "`~^"  # accents that are ordinary signs too: only within a word
 
 
 def strip_cid_glyphs(x: Column) -> Column:
@@ -28,11 +38,11 @@ def strip_cid_glyphs(x: Column) -> Column:
 
 
 def decode_control_glyphs(x: Column) -> Column:
-    """TXT2: control characters that stand for ligatures, quotes and dashes."""
+    """TXT2: control characters that stand for ligatures, quotes and dashes; other markers are spaces."""
     x = F.regexp_replace(x, r"(?<=\d)[\x14\x15](?=\d)", "-")
     for k, v in CONTROL_GLYPHS.items():
         x = F.replace(x, F.lit(k), F.lit(v))
-    return F.regexp_replace(x, r"[\x01-\x08\x14-\x1b\x1d-\x1f]", " ")
+    return F.translate(x, CONTROL_MARKERS, " " * len(CONTROL_MARKERS))
 
 
 @F.pandas_udf(T.StringType())
@@ -40,30 +50,29 @@ def nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
 
 
+def _accented() -> tuple[dict[str, str], dict[str, str]]:
+    """Every accent and ASCII letter that NFC makes one code point, as written: accent first, and letter first."""
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
+    one = lambda c, sign: unicodedata.normalize("NFC", c + sign)
+    first = {a + c: one(c, sign) for a, sign in LEADING_ACCENTS.items() for c in letters if len(one(c, sign)) == 1}
+    last = {c + a: one(c, sign) for a, sign in TRAILING_ACCENTS.items() for c in letters if len(one(c, sign)) == 1}
+    return first, last
+
+
 @F.pandas_udf(T.StringType())
 def compose_diacritics(x: pd.Series) -> pd.Series:
     """TXT3: a spacing accent beside a letter becomes one letter where NFC has one code point for the two."""
-    # Spacing accents and their combining forms.
-    accents = {"´": "́", "ˋ": "̀", "ˆ": "̂", "˜": "̃", "¨": "̈", "˚": "̊", "ˇ": "̌", "˘": "̆", "˝": "̋", "˙": "̇", "¯": "̄"}
-    trailing = {"¸": "̧", "˛": "̨"}
+    first, last = _accented()
+    signs = re.escape(ORDINARY_SIGNS)
+    sure = re.compile("[" + "".join(a for a in LEADING_ACCENTS if a not in ORDINARY_SIGNS) + "][A-Za-z]")
+    within, after = re.compile(rf"(?<=\w)[{signs}][A-Za-z]"), re.compile("[A-Za-z][" + "".join(TRAILING_ACCENTS) + "]")
 
     def one(v: str | None) -> str | None:
-        if v is None or v.isascii():
+        if v is None:
             return v
-        out: list[str] = []
-        i = 0
-        while i < len(v):
-            c = v[i]
-            if c in accents and i + 1 < len(v) and len(joined := unicodedata.normalize("NFC", v[i + 1] + accents[c])) == 1:
-                out.append(joined)
-                i += 2
-            elif c in trailing and out and len(joined := unicodedata.normalize("NFC", out[-1] + trailing[c])) == 1:
-                out[-1] = joined
-                i += 1
-            else:
-                out.append(c)
-                i += 1
-        return "".join(out)
+        for pattern, table in ((sure, first), (within, first), (after, last)):
+            v = pattern.sub(lambda m, table=table: table.get(m[0], m[0]), v)
+        return v
 
     return x.map(one)
 
@@ -77,8 +86,7 @@ def expand_ligatures(x: Column) -> Column:
 
 def normalize_unicode(x: Column) -> Column:
     """TXT5: invisible characters go, exotic spaces are spaces, then NFC."""
-    x = F.translate(x, EXOTIC_SPACES + INVISIBLE, " " * len(EXOTIC_SPACES))
-    return nfc(x)
+    return nfc(normalize_spaces(x))
 
 
 def fold_dashes(x: Column) -> Column:
@@ -87,60 +95,113 @@ def fold_dashes(x: Column) -> Column:
     return F.regexp_replace(x, rf"(?<=[A-Za-z])[{DASHES}](?=[A-Za-z])", "-")
 
 
+URL = r"(?i:https?://|www\.)[^\s<>\"'\]}]+"
+_LINK = r"(?i:https?://|www\.)"
+_IN = r"[^\s<>\"']"
+PASSES = 6
+
+
 def rejoin_wrapped_urls(x: Column) -> Column:
-    """TXT7: a URL that a line end cuts goes on, six times at most."""
-    # The tail is no capitalised word unless the head ends in a sign that goes on, no "label:", no bullet.
-    step = r"(https?://\S*)\n(?!\s*[•*-]\s)(?![A-Za-z]{1,12}:(?:\s|$))(?:(?<=[-/=&_?]\n)|(?![A-Z][a-z]))(?=[A-Za-z0-9%/?=&._~#-]*[/.=&_?%0-9-])"
-    for _ in range(6):
+    """TXT7: a URL that a line end cuts goes on, six times at most; not into a capitalised word, a short label or the next entry."""
+    goes_on = rf"{_IN}*[-/=&_?](?=[ \t]*\n)"
+    plain = rf"{_IN}*+(?=[ \t]*\n[ \t]*(?![A-Z][a-z]{{2,}}\b))"
+    step = rf"({_LINK}(?:{goes_on}|{plain}))[ \t]*\n[ \t]*(?={_IN})(?![A-Za-z]{{1,6}}:)"
+    for _ in range(PASSES):
         x = F.regexp_replace(x, step, "$1")
     return x
 
 
 def close_url_spaces(x: Column) -> Column:
     """TXT8: a space in a URL stands for a lost hyphen where a path goes on after it."""
-    step = r"(https?://[^\s]*[^\s.,;]) (?=[a-z0-9]+[-/._][a-z0-9/._-]*(?:\s|$))"
-    for _ in range(6):
+    step = rf"({_LINK}{_IN}*[A-Za-z0-9])[ \t]+(?=[A-Za-z0-9][A-Za-z0-9._~%/-]*+(?!{_IN}))(?=[A-Za-z0-9~%]*[-/._])"
+    for _ in range(PASSES):
         x = F.regexp_replace(x, step, "$1-")
     return x
 
 
 def dehyphenate(x: Column, keep: tuple[str, ...] = ()) -> Column:
     """TXT9: a hyphen at a line end goes, but stays before a capital and in the compounds to keep."""
-    x = F.regexp_replace(x, r"(?<=\p{L})-\n(?=\p{Lu})", "-")
+    x = F.regexp_replace(x, r"(?<=[\p{L}\p{N}_])-[ \t]*\n[ \t]*(?=\p{Lu})", "-")
     for word in keep:
         head, tail = word.split("-", 1)
-        x = F.regexp_replace(x, rf"(?i)\b({head})-\n({tail})\b", "$1-$2")
-    return F.regexp_replace(x, r"(?<=\p{L})-\n(?=\p{Ll})", "")
+        x = F.regexp_replace(x, rf"(?i)\b({head})-[ \t]*\n[ \t]*({tail})\b", "$1-$2")
+    return F.regexp_replace(x, r"(?<=[\p{L}\p{N}_])-[ \t]*\n[ \t]*(?=[\p{L}\p{N}_])", "")
 
 
-URL = r"https?://[^\s<>\"')\]]+"
+def outside_urls(x: Column, step) -> Column:
+    """The text with ``step`` applied to what stands between its URLs."""
+    parts, urls = F.split(x, URL, -1), F.regexp_extract_all(x, F.lit(URL), F.lit(0))
+    return F.array_join(F.zip_with(F.transform(parts, step), urls, lambda p, u: F.concat(p, F.coalesce(u, F.lit("")))), "")
 
 
 def space_after_punctuation(x: Column) -> Column:
     """TXT10: a space after commas, and after periods before a new sentence, outside URLs."""
-    parts, urls = F.split(x, URL, -1), F.regexp_extract_all(x, F.lit(URL), F.lit(0))
-    spaced = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r",(?=[A-Za-z])", ", "), r"(?<=[a-z]{3})\.(?=[A-Z][a-z])", ". "))
-    return F.array_join(F.zip_with(spaced, urls, lambda p, u: F.concat(p, F.coalesce(u, F.lit("")))), "")
+    low = "a-zà-ɏ"
+    return outside_urls(x, lambda p: F.regexp_replace(F.regexp_replace(p, rf"([{low}.]),(?=[A-Za-z])", "$1, "), rf"([{low}]{{3,}})\.(?=[A-Z][{low}])", "$1. "))
 
 
 def split_camel(x: Column) -> Column:
     """TXT11: a space between a lower and an upper letter, but not in names like McDonald and in PhD."""
-    pieces = F.split(x, r"(?<=[a-z])(?=[A-Z])")
-    guarded = F.exists(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(1))), lambda p: F.initcap(p).isin(*PARTICLES)) | x.contains("PhD")
-    # A stem of one letter, and a lone capital after one of two.
-    guarded = guarded | (F.length(F.get(pieces, F.lit(0))) < 2) | x.rlike("(?:^.|(?<=[a-z])[A-Z])[a-z][A-Z]$")
+    pieces = F.split(x, r"(?<=[a-zà-ɏ])(?=[A-Z])")
+    first = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(1)))
+    lies = F.transform(first, lambda p, i: F.lower(p).isin(*PARTICLES) | ((F.length(p) < 3) & (F.length(F.get(pieces, i + 1)) == 1)))
+    guarded = F.exists(lies, lambda v: F.coalesce(v, F.lit(False))) | (F.length(F.get(pieces, F.lit(0))) < 2)
     return F.when((F.size(pieces) < 2) | guarded, x).otherwise(F.array_join(pieces, " "))
 
 
 def restore_spaces(x: Column) -> Column:
     """TXT12 without a lexicon: only the camel split fires, run of letters by run of letters, outside URLs."""
-    parts, urls = F.split(x, URL, -1), F.regexp_extract_all(x, F.lit(URL), F.lit(0))
     runs = lambda p: F.regexp_extract_all(p, F.lit(r"[A-Za-zÀ-ɏ]+|[^A-Za-zÀ-ɏ]+"), F.lit(0))
-    spaced = F.transform(parts, lambda p: F.when(p.rlike("[a-z][A-Z]"), F.array_join(F.transform(runs(p), split_camel), "")).otherwise(p))
-    return F.array_join(F.zip_with(spaced, urls, lambda p, u: F.concat(p, F.coalesce(u, F.lit("")))), "")
+    split = lambda w: F.when(F.length(w) < 4, w).otherwise(split_camel(w))
+    return outside_urls(x, lambda p: F.when(p.rlike("[a-zà-ɏ][A-Z]"), F.array_join(F.transform(runs(p), split), "")).otherwise(p))
+
+
+#: TXT13: words that a lexicon may hold at most; it is sent to every task.
+MOST_WORDS = 500_000
+
+
+def lexicon(words: DataFrame, word: str = "word", count: str = "n") -> dict[str, float]:
+    """TXT13: a table of words and their counts as costs: the rarer, the dearer. Raises where the table is larger than ``MOST_WORDS``."""
+    rows = words.groupBy(F.lower(word).alias("w")).agg(F.sum(count).alias("n")).where("w is not null and n > 0").limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"a lexicon holds {MOST_WORDS} words at most")
+    total = sum(r["n"] for r in rows)
+    return {r["w"]: math.log(total / r["n"]) + 1 for r in rows}
+
+
+def restore_words(costs: dict[str, float], least: int = 12):
+    """TXT12 with a lexicon, as a function of a column: lower-case runs of ``least`` letters or more that it doesn't know part into known words
+    of the least cost; a piece of one or two letters must be one of the closed list, else the run stays whole. ``costs`` is broadcast with the task."""
+    longest = max(map(len, costs), default=0)
+
+    def part(run: str) -> str:
+        if len(run) < least or run in costs:
+            return run
+        best: list[tuple[float, int] | None] = [(0.0, 0), *[None] * len(run)]
+        for end in range(1, len(run) + 1):
+            for start in range(max(0, end - longest), end):
+                piece = run[start:end]
+                if best[start] is not None and piece in costs and (len(piece) > 2 or piece in SHORT_WORDS):
+                    cost = best[start][0] + costs[piece]
+                    if best[end] is None or cost < best[end][0]:
+                        best[end] = (cost, start)
+        if best[-1] is None:
+            return run
+        cuts, at = [], len(run)
+        while at:
+            cuts.append(run[best[at][1] : at])
+            at = best[at][1]
+        return " ".join(reversed(cuts))
 
+    @F.pandas_udf(T.StringType())
+    def go(x: pd.Series) -> pd.Series:
+        word = re.compile(rf"({URL})|(?<![A-Za-zÀ-ɏ])[a-zà-ɏ]{{{least},}}(?![A-Za-zÀ-ɏ])")
+        return x.map(lambda v: v if v is None else word.sub(lambda m: m[0] if m[1] else part(m[0]), v))
 
-MARKER = r"^\s*([•●▪◦‣·*?–—-]+|[A-Za-z](?=\s))\s+"
+    return go
+
+
+MARKER = r"^[ \t]*(\(cid:\d+\)|[•▪●◦‣⁃⧫◆◇∗*?–—−-]|[a-zA-Z](?=\s))\s+"
 
 
 def strip_leading_marker(x: Column) -> Column:
@@ -153,28 +214,71 @@ def collapse_whitespace(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"[\s\u0085  -     　]+", " "))
 
 
+def normalize_spaces(x: Column) -> Column:
+    return F.translate(x, EXOTIC_SPACES + INVISIBLE, " " * len(EXOTIC_SPACES))
+
+
 #: TXT16: the repairs of a page in their order.
 PAGE_STEPS = {
     "cid": strip_cid_glyphs, "control": decode_control_glyphs, "diacritic": compose_diacritics, "ligature": expand_ligatures, "unicode": normalize_unicode, "url": rejoin_wrapped_urls,
     "url_space": close_url_spaces, "hyphen": dehyphenate, "punctuation": space_after_punctuation, "space": restore_spaces,
 }
+#: Steps that call Python; the others are wrapped so that what they read is evaluated once.
+IN_PYTHON = frozenset({"diacritic", "unicode"})
+
+
+def once(x: Column, step) -> Column:
+    """``step`` of ``x``, with ``x`` evaluated once however often the step uses it."""
+    return F.get(F.transform(F.array(x), step), 0)
 
 
 def clean_page_text(x: Column) -> Column:
     """TXT16."""
-    for step in PAGE_STEPS.values():
-        x = step(x)
+    for rule, step in PAGE_STEPS.items():
+        x = step(x) if rule in IN_PYTHON else once(x, step)
     return x
 
 
-def logged(x: Column, steps: dict) -> Column:
-    """struct<text, edits>: the text after all steps, and each step that changed it."""
-    edits, now = [], x
+def logged(rows: DataFrame, column: str, steps: dict, out: str = "repaired") -> DataFrame:
+    """Adds struct<text, edits>: the text after all steps, and each step that changed it. A step's text is made once."""
+    EDIT = "array<struct<rule:string,before:string,after:string>>"
+    now, log = f"_{out}_text", f"_{out}_edits"
+    rows = rows.withColumn(now, F.col(column)).withColumn(log, F.array().cast(EDIT))
+    held: list[tuple[str, object]] = []
+
+    def fold(rows: DataFrame) -> DataFrame:
+        state = F.struct(F.col(now).alias("text"), F.col(log).alias("edits"))
+        for rule, step in held:
+            state = once(state, lambda s, step=step: F.struct(s["text"].alias("before"), step(s["text"]).alias("after"), s["edits"].alias("edits")))
+            edit = lambda s, rule=rule: F.when(s["before"] != s["after"], F.array(F.struct(F.lit(rule).alias("rule"), s["before"].alias("before"), s["after"].alias("after")))).otherwise(F.array().cast(EDIT))
+            state = once(state, lambda s, edit=edit: F.struct(s["after"].alias("text"), F.concat(s["edits"], edit(s)).alias("edits")))
+        return rows.withColumn(f"_{out}", state).withColumn(now, F.col(f"_{out}.text")).withColumn(log, F.col(f"_{out}.edits")).drop(f"_{out}")
+
     for rule, step in steps.items():
-        then = step(now)
-        edits.append(F.when(then != now, F.struct(F.lit(rule).alias("rule"), now.alias("before"), then.alias("after"))))
-        now = then
-    return F.struct(now.alias("text"), F.filter(F.array(*edits), lambda e: e.isNotNull()).alias("edits"))
+        if rule not in IN_PYTHON:
+            held.append((rule, step))
+            continue
+        rows, held = fold(rows), []
+        rows = rows.withColumn(f"_{out}_then", step(F.col(now)))
+        edit = F.struct(F.lit(rule).alias("rule"), F.col(now).alias("before"), F.col(f"_{out}_then").alias("after"))
+        rows = rows.withColumn(log, F.when(F.col(now) != F.col(f"_{out}_then"), F.concat(log, F.array(edit))).otherwise(F.col(log))).withColumn(now, F.col(f"_{out}_then")).drop(f"_{out}_then")
+    return fold(rows).withColumn(out, F.struct(F.col(now).alias("text"), F.col(log).alias("edits"))).drop(now, log)
+
+
+def find_spans(x: Column, pattern: str, guard: Column | None = None) -> Column:
+    """Places of all matches: array<struct<start,end,hit>>, from 0, end exclusive: what ``split`` leaves between them has the gaps' lengths."""
+    EMPTY = "array<struct<start:int,end:int,hit:string>>"
+    hits, gaps = F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.split(x, pattern, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(EMPTY).alias("out"))
+
+    def step(s: Column, v: Column) -> Column:
+        begin = s["at"] + F.length(v["gap"])
+        end = begin + F.length(v["hit"])
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), v["hit"].alias("hit")))).alias("out"))
+
+    both = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), lambda v: v["hit"].isNotNull())
+    found = F.aggregate(both, start, step, lambda s: s["out"])
+    return found if guard is None else F.when(guard, found).otherwise(F.array().cast(EMPTY))
 
 
 DOI = r"10\.[0-9]{4,9}/[A-Za-z0-9._;()/:-]+"
@@ -201,24 +305,16 @@ def escape_html(x: Column) -> Column:
 
 
 def filename_words(x: Column) -> Column:
-    """TXT19: the words of a file's name."""
-    x = F.regexp_replace(F.regexp_replace(x, r"^.*/", ""), r"\.[A-Za-z0-9]{1,5}$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?<=[a-z])(?=[A-Z])", " "), r"[_\-.+ ]+", " "))
+    """TXT19: the words of a file's name, without its ending."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?i)\.pdf$", ""), r"[_\-()\[\]]+", " "), r"\s+", " "))
 
 
 # Words that carry no meaning for a match, and for a look-up.
-MATCH_STOP = ("the", "and", "for", "with", "from", "into", "that", "this", "are", "was", "its")
+MATCH_STOP = ("the", "a", "an", "of", "and", "in", "on", "for", "to", "is", "as")
+LOOKUP_STOP = ("the", "a", "an", "of", "and", "in", "on", "for", "to", "from", "with", "at", "by", "as", "or", "its", "their", "this", "that", "how", "why")
 
 
 def tokens(x: Column, stop: tuple[str, ...] = MATCH_STOP) -> Column:
     """TXT20: distinct lower-case words of more than two characters, without stop words."""
     found = F.filter(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 2)
     return F.array_except(F.array_distinct(found), F.array(*[F.lit(s) for s in stop]))
-
-
-def porter_like(x: Column) -> Column:
-    """English endings cut by four steps, as far as columns say it simply; a light stemmer for search."""
-    x = F.regexp_replace(x, r"(?:sses)$", "ss")
-    x = F.regexp_replace(x, r"ies$", "i")
-    x = F.regexp_replace(x, r"(?<=[a-z]{2}[^s])s$", "")
-    return F.regexp_replace(x, r"(?<=[aeiouy][a-z]{1,12})(?:ing|ed)$", "")

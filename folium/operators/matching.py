@@ -5,20 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.functions.text import filename_words, tokens
+
 # Weights of a match's parts, and the least score that counts.
 TITLE, SURNAME, YEAR, LEAST = 0.6, 0.25, 0.15, 0.45
 
 
-def best_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: float = LEAST) -> DataFrame:
-    """JOIN7's core: for each left row the right row whose tokens it covers most; ties go to the smaller id.
+def candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: float) -> DataFrame:
+    """Pairs whose left tokens cover at least ``least`` of the right ones, with the cover: (left_id, right_id, cover).
 
-    Candidates share a token, so the join is an equi-join on tokens and its counts are the overlaps: no pair without a
-    common token is ever made. (left_id, right_id, cover)
+    A left row that holds ceil(least * n) of n tokens holds one of the n - ceil(least * n) + 1 rarest, so the right rows bring only
+    those to the join: a common word is no key unless an item has no rarer ones, and no pair meets without one.
     """
-    a = left.select(left_id, F.explode(left_tokens).alias("token"))
-    b = right.select(right_id, F.size(right_tokens).alias("n"), F.explode(right_tokens).alias("token"))
-    shared = a.join(b, "token").groupBy(left_id, right_id).agg((F.count("*") / F.first("n")).alias("cover"))
-    best = shared.where(F.col("cover") >= least).groupBy(left_id).agg(F.max_by(F.struct(right_id, "cover"), F.struct(F.col("cover"), -F.col(right_id))).alias("b"))
+    own = right.select(right_id, F.col(right_tokens).alias("_words")).where(F.size("_words") > 0)
+    each = own.select(right_id, F.explode("_words").alias("_key"))
+    held = left.select(F.explode(left_tokens).alias("_key")).join(each.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_df"))
+    ranked = each.join(held, "_key", "left").groupBy(right_id).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_key"))).alias("_r"))
+    few = (F.size("_r") - F.ceil(F.size("_r") * least - 1e-9) + 1).cast("int")
+    keys = ranked.select(right_id, F.explode(F.slice("_r", F.lit(1), F.least(few, F.size("_r")))).alias("k")).select(right_id, F.col("k._key").alias("_key"))
+    met = left.select(left_id, F.explode(left_tokens).alias("_key")).join(keys, "_key").select(left_id, right_id).distinct()
+    both = met.join(left.select(left_id, F.col(left_tokens).alias("_tokens")), left_id).join(own, right_id)
+    cover = F.size(F.array_intersect("_tokens", "_words")) / F.size("_words")
+    return both.select(left_id, right_id, cover.alias("cover")).where(F.col("cover") >= least)
+
+
+def best_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: float = LEAST) -> DataFrame:
+    """SET4: for each left row the right row whose tokens it covers most; ties go to the smaller id. (left_id, right_id, cover)"""
+    shared = candidates(left, right, left_id, right_id, left_tokens, right_tokens, least)
+    best = shared.groupBy(left_id).agg(F.max_by(F.struct(right_id, "cover"), F.struct(F.col("cover"), -F.col(right_id))).alias("b"))
     return best.select(left_id, "b.*")
 
 
@@ -27,6 +41,35 @@ def match_score(title_cover: Column, has_surname: Column, has_year: Column, has_
     return F.when(has_doi, 1.0).otherwise(TITLE * title_cover + SURNAME * has_surname.cast("int") + YEAR * has_year.cast("int"))
 
 
+YEARS = r"\b(?:1[89]\d{2}|20\d{2})\b"
+
+
+def match_documents(docs: DataFrame, works: DataFrame, doc_id: str = "doc_id", head: str = "head", filename: str | None = None, work_id: str = "work_id", least: float = LEAST) -> DataFrame:
+    """JOIN7: for each document (its opening text and file name) the work (work_id, title, surnames array<string>, year, doi) that it is: doc_id, work_id, score, method.
+
+    A DOI in the text decides; the first in the works' order does. Else 0.6 of the title's share, 0.25 for a surname and 0.15 for the year must come to ``least``; of
+    equals the first work wins. A score of 0.45 needs a twelfth of the title's words at least, so candidates share a word: the title's
+    rarest ones are enough, as many as may be missing. Works without a title are found by nothing but their DOI.
+    """
+    text = F.col(head) if filename is None else F.concat_ws("\n", filename_words(F.col(filename)), F.col(head))
+    d = docs.select(doc_id, F.coalesce(text, F.lit("")).alias("_text"))
+    d = d.withColumn("_tokens", tokens(F.col("_text"))).withColumn("_years", F.transform(F.regexp_extract_all("_text", F.lit(YEARS), F.lit(0)), lambda y: y.cast("int")))
+    w = works.select(work_id, "title", "surnames", "year", "doi").withColumn("_words", tokens(F.coalesce("title", F.lit(""))))
+    share = (least - SURNAME - YEAR) / TITLE
+    pairs = candidates(d, w, doc_id, work_id, "_tokens", "_words", share)
+    scored = pairs.join(d.select(doc_id, "_tokens", "_years"), doc_id).join(w.select(work_id, "surnames", "year"), work_id)
+    signed = F.coalesce(F.exists("surnames", lambda s: F.array_contains(F.col("_tokens"), F.lower(s))), F.lit(False))
+    dated = F.coalesce(F.array_contains("_years", F.col("year")), F.lit(False))
+    scored = scored.select(doc_id, work_id, match_score(F.col("cover"), signed, dated, F.lit(False)).alias("score"), F.lit("author, title and year overlap").alias("method"))
+    # DOIs meet as whole words of the text, cut at the signs that may not end one.
+    said = d.select(doc_id, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("_text"), F.lit(r"10\.\d{4,9}/[^\s,;\"'<>]+"), F.lit(0)), lambda v: F.regexp_replace(v, r"[.)\]]+$", "")))).alias("_doi"))
+    told = said.join(w.where("doi is not null").select(work_id, F.lower("doi").alias("_doi")), "_doi").select(doc_id, work_id, F.lit(1.0).alias("score"), F.lit("doi found in the document").alias("method"))
+    every = scored.where(F.col("score") >= least - 1e-9).unionByName(told)
+    rank = F.struct((F.col("method") == "doi found in the document").alias("d"), F.col("score"), -F.col(work_id))
+    best = every.groupBy(doc_id).agg(F.max_by(F.struct(work_id, "score", "method"), rank).alias("b"))
+    return best.select(doc_id, f"b.{work_id}", F.round(F.least("b.score", F.lit(1.0)), 3).alias("score"), "b.method")
+
+
 def prefix_semi(items: DataFrame, stems: DataFrame, name: str, stem: str, least: int = 4) -> DataFrame:
     """JOIN12: items whose name starts with a stem of at least ``least`` characters; an equi-join on the first characters narrows."""
     a = items.withColumn("_head", F.substring(name, 1, least))
@@ -34,10 +77,14 @@ def prefix_semi(items: DataFrame, stems: DataFrame, name: str, stem: str, least:
     return a.join(b, (a["_head"] == b["_head"]) & F.col(name).startswith(F.col("_stem")), "left_semi").drop("_head")
 
 
-def without_overlaps(spans: DataFrame, key: str, start: str, end: str, rank: str) -> DataFrame:
-    """JOIN14: spans that overlap no span of a better rank of the same key."""
-    other = spans.select(key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(rank).alias("_r"))
-    return spans.join(other, (spans[key] == other[key]) & (F.col("_r") < F.col(rank)) & (F.col("_s") < F.col(end)) & (F.col(start) < F.col("_e")), "left_anti")
+def without_overlaps(spans: DataFrame, key: str, start: str, end: str, rank: str, width: int) -> DataFrame:
+    """JOIN14: spans that overlap no span of a better rank of the same key. Spans meet in buckets of ``width``, so that a key with many is spread over
+    time; a span longer than a bucket is in several."""
+    at = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(F.col(a), F.col(b)) / width)))
+    own = spans.select(key, rank, start, end).withColumn("_bucket", at(start, end))
+    other = own.select(key, "_bucket", F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(rank).alias("_r"))
+    hit = own.join(other, [key, "_bucket"]).where((F.col("_r") < F.col(rank)) & (F.col("_s") < F.col(end)) & (F.col(start) < F.col("_e"))).select(key, rank).distinct()
+    return spans.join(hit, [key, rank], "left_anti").select(*spans.columns)
 
 
 def in_band(points: DataFrame, bands: DataFrame, value: str, low: str, high: str, width: int) -> DataFrame:
@@ -87,3 +134,47 @@ def apply_decisions(rows: DataFrame, decisions: DataFrame, ref: str, value: str)
     gone = decisions.where("decision = 'reject'").select(ref)
     edits = decisions.where("decision = 'edit'").groupBy(ref).agg(F.max("new_value").alias("_new"))
     return rows.join(gone, ref, "left_anti").join(edits, ref, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
+
+
+def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """SNK1 for a child table: the rows of re-parsed parents give way to the new ones."""
+    return old.join(parents.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def merge_works(old: DataFrame, new: DataFrame, key: str = "identity") -> DataFrame:
+    """SNK2: works by identity (DOI, else signature): known ones keep what they have and take what they lack, new ones come in once, the first of each."""
+    first = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in new.columns if c != key]))).where("_n = 1").drop("_n")
+    cells = [c for c in old.columns if c != key]
+    n = first.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in cells])
+    return old.join(n, key, "full_outer").select(key, *[F.coalesce(c, f"_{c}").alias(c) for c in cells])
+
+
+def delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """SNK11: rows without the keys that go."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def carry_marks(new: DataFrame, old: DataFrame, doc: str, title: str, marks: list[str]) -> DataFrame:
+    """JOIN11, SNK12: a new parse's rows take the marks of the old one's row of the same title, whatever its case and edges; the first of several."""
+    held = old.withColumn("_title", F.lower(F.trim(title))).groupBy(doc, "_title").agg(*[F.min(m).alias(f"_{m}") for m in marks])
+    out = new.withColumn("_title", F.lower(F.trim(title))).join(held, [doc, "_title"], "left")
+    return out.select(*[c for c in new.columns if c not in marks], *[F.coalesce(*([F.col(m)] if m in new.columns else []), F.col(f"_{m}")).alias(m) for m in marks])
+
+
+def edited(items: DataFrame, edits: DataFrame, key: str, cells: list[str]) -> DataFrame:
+    """SNK15: field edits (key, field, value) in place; an edited mark or scale drops the letter that was derived from it, and totals follow from the rows."""
+    last = edits.groupBy(key).pivot("field", cells).agg(F.max("value"))
+    e = last.select(key, *[F.col(c).alias(f"_{c}") for c in cells])
+    out = items.join(e, key, "left")
+    changed = F.lit(False)
+    for c in cells:
+        changed = changed | F.col(f"_{c}").isNotNull()
+    kept = [c for c in items.columns if c not in (*cells, "letter")]
+    types = dict(items.dtypes)
+    letter = [F.when(~changed, F.col("letter")).alias("letter")] if "letter" in items.columns else []
+    return out.select(*kept, *[F.coalesce(F.col(f"_{c}").try_cast(types[c]), c).alias(c) for c in cells], *letter)
+
+
+def stale(parses: DataFrame, version: str, column: str = "parser_version") -> DataFrame:
+    """STR6: parses of another version than the current one, or of none."""
+    return parses.where(~F.col(column).eqNullSafe(F.lit(version)))

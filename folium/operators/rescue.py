@@ -5,45 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.functions.text import tokens
+from folium.functions.text import LOOKUP_STOP, tokens
 
-# The share of a title that must stand in the line, and how far years may lie apart.
+# The share of a title that must stand in the line, how far years may lie apart, cues of a reference, venues that are none.
 COVER, YEARS, WORDS = 0.9, 1, 3
+NO_READING = r"(?i)^\s*(?:tba|tbd|none|no reading|readings? tba|handout|in class|see (?:the )?(?:elc|course site|website|syllabus)|to be (?:announced|assigned|determined))\b"
+QUOTED = r"[\"“][^\"”]{12,}[\"”]"
+AUTHORISH = r"[A-Z][a-z]+,\s*[A-Z]|[A-Z]\.\s*[A-Z]?\.?\s*[A-Z][a-z]+|&|et al"
+REFERENCE_WORK = r"(?i)\b(?:who's who|year ?book|guide|a to z|encyclopa?edia|dictionary|companion|handbook of|abstracts|index)\b"
+WORK_TYPES = {
+    "journal-article": "journal_article", "book-chapter": "book_chapter", "book-part": "book_chapter", "book": "book", "monograph": "book", "edited-book": "book", "reference-book": "book",
+    "report": "report", "report-component": "report",
+}
+
+
+def words(x: Column) -> Column:
+    """Distinct words of more than two characters without the look-up's stop words."""
+    return tokens(x, LOOKUP_STOP)
+
+
+def work_type(x: Column) -> Column:
+    """VOC11: the kind of a record."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in WORK_TYPES.items() for v in kv]), x), F.lit("unknown"))
 
 
 def worth_rescuing(raw: Column) -> Column:
-    """EXT19: long enough, with a capital and no sign of an instruction."""
-    return F.length(raw).between(20, 400) & raw.rlike(r"[A-Z][a-z]+") & ~raw.rlike(r"(?i)^\s*(?:read|see|watch|bring|submit|complete)\b") & (F.size(tokens(raw)) >= WORDS)
+    """EXT19: long enough, no bare link and no placeholder, four words, and a quoted title, or a year with some sign of an author."""
+    x = F.trim(raw)
+    quoted = x.rlike(QUOTED)
+    return (F.length(x) >= 25) & ~x.rlike(r"(?i)^\S*https?://\S+$") & ~x.rlike(NO_READING) & (F.size(words(x)) >= 4) & (quoted | (x.rlike(r"\b(?:19|20)[0-9]{2}\b") & x.rlike(AUTHORISH)))
 
 
 def years_of(raw: Column) -> Column:
-    return F.transform(F.regexp_extract_all(raw, F.lit(r"(?:19|20)[0-9]{2}"), F.lit(0)), lambda y: y.cast("int"))
+    return F.transform(F.regexp_extract_all(raw, F.lit(r"\b(?:19|20)[0-9]{2}\b"), F.lit(0)), lambda y: y.cast("int"))
 
 
-def rescues(lines: DataFrame, works: DataFrame, line_id: str, raw: str, work_id: str, title: str, surname: str, year: str) -> DataFrame:
-    """EXT20: for each line the work whose title it covers, whose first author it names and whose year it states, give or take one.
+def rescues(lines: DataFrame, works: DataFrame, line_id: str, raw: str, work_id: str, title: str, surname: str, year: str, container: str | None = None) -> DataFrame:
+    """EXT20: for each line the work whose title it covers, whose first author it names (where it has one) and whose year it states, give or take
+    one (any year where the work has none), and whose container is no reference work.
 
     Lines and works meet on the title's rarest word among all titles, so the join is an equi-join; the gates decide.
     A line that covers 0.9 of a title may lack that word, so works also bring as many next rarest words as may be missing.
     """
-    named = works.select(work_id, F.col(title).alias("_title"), F.col(surname).alias("_surname"), F.col(year).alias("_year"), tokens(F.col(title)).alias("_words")).where(F.size("_words") >= WORDS)
+    named = works.select(work_id, F.col(title).alias("_title"), F.col(surname).alias("_surname"), F.col(year).alias("_year"), words(F.col(title)).alias("_words")).where(F.size("_words") >= WORDS)
+    if container:
+        named = named.join(works.where(F.col(container).rlike(REFERENCE_WORK)).select(work_id), work_id, "left_anti")
     each = named.select(work_id, F.explode("_words").alias("_key"))
     ranked = each.join(each.groupBy("_key").agg(F.count("*").alias("_df")), "_key").groupBy(work_id).agg(F.sort_array(F.collect_list(F.struct("_df", "_key"))).alias("_ranked"))
     # A line with ceil(0.9 n) of n words has one of the n - ceil(0.9 n) + 1 rarest at least.
     few = (F.size("_ranked") - F.ceil(F.size("_ranked") * COVER) + 1).cast("int")
     keys = ranked.select(work_id, F.explode(F.slice("_ranked", F.lit(1), few)).alias("_r")).select(work_id, F.col("_r._key").alias("_key"))
     cand = named.join(keys, work_id)
-    probes = lines.where(worth_rescuing(F.col(raw))).select(line_id, F.col(raw).alias("_raw"), tokens(F.col(raw)).alias("_tokens"))
+    probes = lines.where(worth_rescuing(F.col(raw))).select(line_id, F.col(raw).alias("_raw"), words(F.col(raw)).alias("_tokens"))
     met = probes.withColumn("_key", F.explode("_tokens")).join(cand, "_key").dropDuplicates([line_id, work_id])
     cover = F.size(F.array_intersect("_tokens", "_words")) / F.size("_words")
-    signed = F.contains(F.lower("_raw"), F.lower("_surname"))
-    dated = F.exists(years_of(F.col("_raw")), lambda y: F.abs(y - F.col("_year")) <= YEARS)
+    signed = F.col("_surname").isNull() | F.contains(F.lower("_raw"), F.lower("_surname"))
+    dated = F.exists(years_of(F.col("_raw")), lambda y: F.col("_year").isNull() | (F.abs(y - F.col("_year")) <= YEARS))
     good = met.withColumn("cover", cover).where((F.col("cover") >= COVER) & signed & dated)
     best = good.groupBy(line_id).agg(F.max_by(F.struct(work_id, "cover"), F.struct(F.col("cover"), -F.col(work_id))).alias("b"))
     return best.select(line_id, "b.*", F.lit(0.9).alias("confidence"))
 
 
-def plausible(title_tokens: Column, found_tokens: Column, year: Column, found_year: Column) -> Column:
-    """EXT21: a search hit: the year within one, more than 0.6 of the title's words shared."""
-    share = F.size(F.array_intersect(title_tokens, found_tokens)) / F.greatest(F.size(F.array_union(title_tokens, found_tokens)), F.lit(1))
-    return (F.abs(year - found_year) <= YEARS) & (share > 0.6)
+def plausible(title: Column, found: Column, year: Column, found_year: Column) -> Column:
+    """EXT21: a search hit: years within one where both have one, and more than 0.6 of the own title's words in its title."""
+    bag = lambda x: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9 ]", ""), r"\s+"), lambda w: w != ""))
+    own = bag(title)
+    near = year.isNull() | found_year.isNull() | (F.abs(year - found_year) <= YEARS)
+    return near & found.isNotNull() & (F.size(own) > 0) & (F.size(F.array_intersect(own, bag(found))) > 0.6 * F.size(own))

@@ -1,50 +1,79 @@
-"""Full-text search: postings, BM25 and snippets. Terms are partitioned by hash; a query touches its own terms' postings only."""
+"""Full-text search: postings written by term, BM25 over a query's own terms, snippets of the best.
 
-from __future__ import annotations
+``write_index`` stores postings (term, key.., tf, length) in ``BUCKETS`` folders by the term's hash, and the corpus's counts beside them. ``search`` reads the
+folders of the query's terms alone; ``search_once`` is for a corpus without an index.
+"""
 
-import math
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+BUCKETS = 64
+WORD = "[a-z0-9]+"
+
+
+def words_of(body: str | Column) -> Column:
+    return F.regexp_extract_all(F.lower(body), F.lit(WORD), F.lit(0))
 
 
 def postings(chunks: DataFrame, key: list[str], body: str = "body") -> DataFrame:
     """(term, *key, tf, length): one row a term and chunk."""
-    words = F.regexp_extract_all(F.lower(body), F.lit("[a-z0-9]+"), F.lit(0))
-    rows = chunks.select(*key, words.alias("words")).select(*key, F.size("words").alias("length"), F.explode("words").alias("term"))
+    rows = chunks.select(*key, words_of(body).alias("words")).select(*key, F.size("words").alias("length"), F.explode("words").alias("term"))
     return rows.groupBy(*key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def search(chunks: DataFrame, query: list[str], key: list[str], limit: int = 20, body: str = "body") -> DataFrame:
-    """SRV3: the chunks that hold all words of the query, best first, scored by BM25 to six places.
-
-    Only chunks with a query word are scored; the corpus counts come from one aggregation.
-    """
-    words = F.regexp_extract_all(F.lower(body), F.lit("[a-z0-9]+"), F.lit(0))
-    told = chunks.select(*key, F.size(words).alias("length"), *[F.size(F.filter(words, _same(t))).alias(f"tf_{i}") for i, t in enumerate(query)])
-    n, mean, *df = told.agg(F.count("*"), F.avg("length"), *[F.sum((F.col(f"tf_{i}") > 0).cast("long")) for i in range(len(query))]).first()
-    score = F.lit(0.0)
-    for i in range(len(query)):
-        idf = math.log(1 + (n - (df[i] or 0) + 0.5) / ((df[i] or 0) + 0.5))
-        tf = F.col(f"tf_{i}")
-        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
-    every = F.lit(True)
-    for i in range(len(query)):
-        every = every & (F.col(f"tf_{i}") > 0)
-    hits = told.where(every).select(*key, F.round(score, 6).alias("score"))
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(chunks: DataFrame, key: list[str], path: str, body: str = "body") -> None:
+    """Postings in folders by bucket, sorted by term within files, so that a reader skips row groups; n and mean length beside them."""
+    p = postings(chunks, key, body).withColumn("bucket", _bucket(F.col("term")))
+    p.repartition("bucket", F.pmod(F.xxhash64(*key), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    chunks.select(F.size(words_of(body)).alias("n")).agg(F.count("*").alias("n"), F.avg("n").alias("mean")).write.parquet(f"{path}/counts")
+
+
+def search(spark: SparkSession, path: str, query: list[str], key: list[str], limit: int = 20) -> DataFrame:
+    """SRV3, SRT6: the best chunks that hold all words of the query, from the index: only the buckets and row groups of its terms are read."""
+    terms = spark.createDataFrame([(t,) for t in query], "term string").withColumn("bucket", _bucket(F.col("term")))
+    buckets = [r["bucket"] for r in terms.select("bucket").distinct().collect()]  # of the query's few words
+    p = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(*buckets) & F.col("term").isin(*query)).drop("bucket")
+    return ranked(p, spark.read.parquet(f"{path}/counts"), query, key, limit)
+
+
+def ranked(found: DataFrame, counts: DataFrame, query: list[str], key: list[str], limit: int) -> DataFrame:
+    """BM25 to six places over postings of the query's terms, of chunks that hold them all. ``counts`` is one row (n, mean)."""
+    df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row a query word
+    told = found.join(F.broadcast(df), "term").join(F.broadcast(counts))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    # Of sums in any order the last digits differ: one place each word keeps them in the query's order.
+    each = [F.sum(F.when(F.col("term") == t, part)).alias(f"s{i}") for i, t in enumerate(query)]
+    total = sum((F.col(f"s{i}") for i in range(1, len(query))), F.col("s0"))
+    hits = told.groupBy(*key).agg(*each).select(*key, F.round(total, 6).alias("score")).where("score is not null")
     return hits.orderBy(F.desc("score"), *key).limit(limit)
 
 
-def _same(t: str):
-    return lambda w: w == t
+def search_once(chunks: DataFrame, query: list[str], key: list[str], limit: int = 20, body: str = "body", marked: bool = True) -> DataFrame:
+    """SRV3 without an index: one pass makes the postings of the query's words alone; with ``marked`` the best chunks bring a snippet of the first word."""
+    low = F.lower(body)
+    # Numbers of matches, not arrays of words: of most chunks nothing else is asked.
+    told = chunks.select(*key, F.regexp_count(low, F.lit(WORD)).cast("long").alias("length"), *[F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")).alias(f"t{i}") for i, t in enumerate(query)])
+    counts = chunks.select(F.regexp_count(low, F.lit(WORD)).alias("n")).agg(F.count("*").alias("n"), F.avg("n").alias("mean"))
+    tf = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"t{i}").cast("long").alias("tf")) for i, t in enumerate(query)])
+    own = told.select(*key, "length", F.explode(F.filter(tf, lambda v: v["tf"] > 0)).alias("v")).select(*key, "length", "v.*")
+    best = ranked(own, counts, query, key, limit)
+    if not marked:
+        return best
+    return best.join(chunks.select(*key, F.col(body).alias("_body")), key).select(*key, "score", snippet(F.col("_body"), query[0]).alias("excerpt"))
 
 
-def snippet(body, word: str, width: int = 18):
-    """``width`` words around the first hit, the hit in brackets."""
-    words = F.split(body, r"\s+")
-    at = F.array_position(F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "")), word).cast("int")
-    start = F.greatest(at - width // 2, F.lit(1))
-    cut = F.slice(words, start, width)
-    return F.when(at > 0, F.array_join(F.transform(cut, lambda w: F.when(F.regexp_replace(F.lower(w), "[^a-z0-9]", "") == word, F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)), " "))
+def snippet(body: Column, word: str, width: int = 18) -> Column:
+    """``width`` words around the first hit, the hits in brackets."""
+    plain = lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "")
+    words = F.filter(F.split(body, r"\s+"), lambda w: w != "")
+    at = F.array_position(F.transform(words, plain), word).cast("int")
+    cut = F.slice(words, F.greatest(at - width // 2, F.lit(1)), width)
+    return F.when(at > 0, F.array_join(F.transform(cut, lambda w: F.when(plain(w) == word, F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)), " "))

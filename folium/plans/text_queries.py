@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.functions import text as T
+from folium.operators import frontmatter as M
 from folium.operators import search as S
 from folium.operators import segment as G
 from folium.registry import query, table
@@ -15,18 +16,32 @@ QUERY = ["the", "and"]
 _WORDS = "regexp_extract_all(lower(body), '[a-z0-9]+')"
 
 
-@query(rf"""
+_RANKED = rf"""
 WITH w AS (SELECT doc_id, ordinal, {_WORDS} AS words FROM (SELECT doc_id, 0 AS ordinal, coalesce(text, '') AS body FROM documents)),
 t AS (SELECT doc_id, len(words) AS n, len(list_filter(words, lambda x: x = 'the')) AS a, len(list_filter(words, lambda x: x = 'and')) AS b FROM w),
 c AS (SELECT count(*) AS n, avg(n) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM t)
 SELECT doc_id, round(ln(1 + (c.n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * t.n / mean))
   + ln(1 + (c.n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * t.n / mean)), 6) AS score
 FROM t, c WHERE a > 0 AND b > 0 ORDER BY score DESC, doc_id LIMIT 20
-""")
+"""
+
+
+@query(_RANKED)
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRV3, SRT6: BM25 over whole documents, the best twenty."""
+    """SRV3, SRT6: BM25 over whole documents, the best twenty, without an index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    return S.search_once(docs, QUERY, ["doc_id"], 20, marked=False)
+
+
+@query(_RANKED)
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRV3, SRT6, JOIN4: the same from written postings: the search reads its own terms' buckets alone."""
+    from folium.sources.io import scratch
+
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    return S.search(docs, QUERY, ["doc_id"], 20)
+    path = scratch(spark, "postings")
+    S.write_index(docs, ["doc_id"], path)
+    return S.search(spark, path, QUERY, ["doc_id"], 20)
 
 
 @query(r"""
@@ -66,23 +81,26 @@ def nfc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, regexp_replace(text, '([0-9]) *[‐-—−] *([0-9])', '\1-\2', 'g') AS text FROM documents
+WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([0-9]) *[‐-—−] *([0-9])', '\1-\2', 'g'), '([0-9]) *[‐-—−] *([0-9])', '\1-\2', 'g') AS text FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(text, '([A-Za-z])[‐-—−]([A-Za-z])', '\1-\2', 'g'), '([A-Za-z])[‐-—−]([A-Za-z])', '\1-\2', 'g') AS text FROM d
 """)
 def dash_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT6, between digits."""
-    folded = F.regexp_replace("text", rf"([0-9]) *[{T.DASHES}] *([0-9])", "$1-$2")
-    return table(spark, sf_dir, "documents").select("doc_id", folded.alias("text"))
+    """TXT6."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.fold_dashes(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, ',([A-Za-z])', ', \1', 'g') AS text FROM documents")
+@query(r"""
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([a-zà-ɏ.]),([A-Za-z])', '\1, \2', 'g'), '([a-zà-ɏ.]),([A-Za-z])', '\1, \2', 'g'), '([a-zà-ɏ]{3})\.([A-Z][a-zà-ɏ])', '\1. \2', 'g') AS text
+FROM documents WHERE NOT regexp_matches(text, '(?i)https?://|www\.')
+""")
 def punct_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT10's comma rule."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", ",([A-Za-z])", ", $1").alias("text"))
+    """TXT10, of texts without a link (``spaced_marks`` has those with one)."""
+    return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(?i)https?://|www\.")).select("doc_id", T.space_after_punctuation(F.col("text")).alias("text"))
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT16: the whole repair of a page, and how many edits it took."""
-    out = table(spark, sf_dir, "documents").select("doc_id", T.logged(F.col("text"), T.PAGE_STEPS).alias("r"))
+    out = T.logged(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", T.PAGE_STEPS, "r")
     return out.select("doc_id", F.col("r.text").alias("text"), F.size("r.edits").cast("long").alias("n_edits"))
 
 
@@ -92,7 +110,7 @@ def repair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT page_id, regexp_replace(regexp_extract(html, 'https?://[^\s<>"'')\]]+'), '[.,;:]+$', '') AS first_url,
+SELECT page_id, regexp_replace(regexp_extract(html, '(?i:https?://|www\.)[^\s<>"''\]}]+'), '[.,;:]+$', '') AS first_url,
   regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages
 """)
 def url_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +126,7 @@ def html_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.escape_html(F.col("html")).alias("escaped"))
 
 
-_TOKENS = r"""list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ('the','and','for','with','from','into','that','this','are','was','its')))"""
+_TOKENS = r"""list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ('the','and','for')))"""
 
 
 @query(rf"SELECT doc_id, len({_TOKENS})::BIGINT AS n_tokens, array_to_string(list_sort({_TOKENS}), ' ') AS tokens FROM documents")
@@ -119,7 +137,7 @@ def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH l AS (SELECT doc_id, lower(regexp_replace(trim(u.line), '[0-9]', '#', 'g')) AS shape FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) AS u(line) WHERE trim(u.line) <> '')
+WITH l AS (SELECT doc_id, lower(regexp_replace(trim(regexp_replace(u.line, '\s+', ' ', 'g')), '[0-9]+', '#', 'g')) AS shape FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) AS u(line) WHERE trim(u.line) <> '')
 SELECT shape, count(DISTINCT doc_id) AS n_docs, count(*) AS n_lines FROM l GROUP BY shape HAVING count(DISTINCT doc_id) >= 3
 """)
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +150,7 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH s AS (SELECT doc_id, lower(regexp_replace(trim(u.line), '[0-9]', '#', 'g')) AS shape, trim(u.line) AS t FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) AS u(line)),
+WITH s AS (SELECT doc_id, lower(regexp_replace(trim(regexp_replace(u.line, '\s+', ' ', 'g')), '[0-9]+', '#', 'g')) AS shape, trim(u.line) AS t FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) AS u(line)),
 f AS (SELECT shape FROM s WHERE t <> '' GROUP BY shape HAVING count(DISTINCT doc_id) >= 3)
 SELECT doc_id, count(*) AS kept FROM s WHERE shape NOT IN (SELECT shape FROM f) AND NOT regexp_full_match(t, '[0-9]{1,4}') GROUP BY doc_id
 """)
@@ -148,7 +166,7 @@ def without_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEG24."""
-    return G.chunks(table(spark, sf_dir, "documents"))
+    return G.chunks(G.one_page(table(spark, sf_dir, "documents")))
 
 
 @query()
@@ -158,20 +176,30 @@ def zone_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.groupBy("doc_id", "zone_id", "zone").agg(F.count("*").alias("lines"), F.min("idx").alias("first_line"))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, i - 1 AS idx, lines[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)),
-h AS (SELECT *, length(line) <= 30 AND NOT suffix(trim(line), '.') AND trim(line) <> '' AS head FROM l),
+_LINES = """
+l AS (SELECT doc_id, i - 1 AS idx, lines[i] AS line, len(lines) AS n, list_position(list_transform(lines, lambda v: trim(v) = ''), false) - 1 AS first_at
+  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r?\\n') AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)),
+b AS (SELECT *, trim(line) <> '' AND (idx = first_at OR n > 15 AND coalesce(trim(lag(line) OVER (PARTITION BY doc_id ORDER BY idx)) = '', true)) AS starts_block FROM l),
+x AS (SELECT *, trim(line) AS t, trim(regexp_replace(regexp_replace(trim(line), '^\\s*(?:[0-9]+[.)]|[ivxIVX]+[.)]|[A-Z][.)])\\s*', ''), ':+$', '')) AS body FROM b),
+w AS (SELECT *, regexp_extract_all(body, '[A-Za-z][A-Za-z''’-]*') AS words FROM x),
+h AS (SELECT *, length(t) BETWEEN 1 AND 90 AND NOT regexp_matches(t, '[.,;?!]$') AND len(string_split_regex(t, '\\s+')) <= 12 AND body <> '' AND (
+  upper(body) = body AND regexp_matches(body, '\\p{L}') AND length(body) > 3 OR suffix(t, ':') OR regexp_matches(t, '^\\s*(?:[0-9]+[.)]|[ivxIVX]+[.)]|[A-Z][.)])\\s*') AND regexp_matches(body, '^\\p{Lu}')
+  OR starts_block AND length(body) <= 60 AND regexp_matches(body, '^\\p{Lu}') AND len(words) BETWEEN 1 AND 10 AND len(list_filter(words, lambda v: regexp_matches(v, '^[A-Z]'))) >= 0.6 * len(words)) AS head FROM w)"""
+
+
+@query(f"""
+WITH {_LINES},
 r AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM h)
 SELECT doc_id, island::BIGINT AS island, count(*) AS lines, min(idx)::BIGINT AS first_line FROM r GROUP BY doc_id, island
 """)
 def heading_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN7: lines grouped by the heading-like line above them."""
+    """SEG1, SEG2, WIN7: lines grouped by the heading above them."""
     from pyspark.sql import Window
 
     rows = G.lines(table(spark, sf_dir, "documents"))
-    head = (F.length("line") <= 30) & ~F.trim("line").endswith(".") & (F.trim("line") != "")
     w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("island", F.sum(head.cast("long")).over(w)).groupBy("doc_id", "island").agg(F.count("*").alias("lines"), F.min("idx").cast("long").alias("first_line"))
+    island = F.sum(G.is_heading(F.col("line"), F.col("starts_block")).cast("long")).over(w)
+    return rows.withColumn("island", island).groupBy("doc_id", "island").agg(F.count("*").alias("lines"), F.min("idx").cast("long").alias("first_line"))
 
 
 @query(r"""
@@ -184,18 +212,24 @@ def first_match_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", G.first_class(F.col("text"), classes).alias("class"))
 
 
-@query(r"""
-WITH s AS (SELECT doc_id, round(0.35 * (regexp_matches(text, '[A-Z]{2,4} ?[0-9]{3}'))::INT + 0.25 * (len(regexp_extract_all(text, '[0-9]{1,2}/[0-9]{1,2}')) >= 5)::INT
-  + 0.2 * (length(text) > 3000)::INT + 0.2 * contains(text, 'Licen')::INT - 0.3 * contains(text, '10.')::INT, 4) AS score FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, score, score >= 0.5 AS is_kind, round(least(1, 2 * abs(score - 0.5)), 4) AS confidence FROM s
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, text, len(list_distinct(regexp_extract_all(text, {_q(M.WEEKS)}))) AS weeks FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, round((CASE WHEN weeks >= 3 THEN 0.4 WHEN weeks >= 1 THEN 0.1 ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '\\b[0-9]{{1,2}}\\s*/\\s*[0-9]{{1,2}}\\b')) >= 5 THEN 0.25 ELSE 0 END
+  + CASE WHEN len(regexp_extract_all(text, {_q(M.SHARES)})) >= 2 THEN 0.15 ELSE 0 END
+  + CASE WHEN len(list_distinct(list_transform(regexp_extract_all(text, {_q(M.COURSE_WORDS)}), lambda v: lower(v)))) >= 2 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(text, {_q(M.SCALE)}) THEN 0.2 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '(?i)\\bsyllabus\\b') THEN 0.2 ELSE 0 END - CASE WHEN regexp_matches(text, '(?i)\\b10\\.[0-9]{{4,9}}/\\S+') THEN 0.3 ELSE 0 END
+  - CASE WHEN len(list_distinct(list_transform(regexp_extract_all(text, {_q(M.ARTICLE_WORDS)}), lambda v: lower(v)))) >= 2 THEN 0.15 ELSE 0 END)::DOUBLE, 6) AS score FROM d)
+SELECT doc_id, score, score >= 0.5 AS is_kind, round(least(1, 2 * abs(score - 0.5)), 3) AS confidence FROM s
 """)
 def kind_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXT18: additive cues, a threshold, and the distance to it as confidence."""
-    x = F.col("text")
-    cues = [(0.35, x.rlike("[A-Z]{2,4} ?[0-9]{3}")), (0.25, F.regexp_count(x, F.lit("[0-9]{1,2}/[0-9]{1,2}")) >= 5), (0.2, F.length(x) > 3000), (0.2, F.contains(x, F.lit("Licen"))), (-0.3, F.contains(x, F.lit("10.")))]
-    score = F.round(sum((F.lit(w) * c.cast("int") for w, c in cues), F.lit(0.0)), 4)
-    scored = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", score.alias("score"))
-    return scored.select("doc_id", "score", (F.col("score") >= 0.5).alias("is_kind"), F.round(F.least(F.lit(1.0), 2 * F.abs(F.col("score") - 0.5)), 4).alias("confidence"))
+    k = M.kind_of(F.col("text"), F.col("text"), F.lit(False))
+    told = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", k.alias("k"))
+    return told.select("doc_id", "k.score", (F.col("k.kind") == "syllabus").alias("is_kind"), "k.confidence")
 
 
 @query("""

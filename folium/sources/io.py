@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUNS = "doc_id string, pages array<struct<number:int,width:double,height:double,runs:array<struct<text:string,x:double,y:double,w:double,h:double,size:double>>,rules:array<struct<x0:double,y0:double,x1:double,y1:double>>>>"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session's executors share (spark.checkpoint.dir); without one, only a local session gets a folder of its own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A table that later stages read several times, written to the shared folder and read back: it is computed once and survives lost executors."""
+    path = scratch(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """SRC1/SRC2: files below a path with the hash that is their identity; the bytes stay out of every shuffle."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
@@ -21,11 +41,11 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, path: str, skew: float = 0.7, least: float = 6, most: int = 4000) -> DataFrame:
-    """SRC12: ruled segments that lie along an axis and are long enough."""
+    """SRC12: ruled segments that lie along an axis and are long enough, the first so many of a page that are."""
     pages = spark.read.schema(RUNS).json(path).select("doc_id", F.explode("pages").alias("p"))
-    rows = pages.select("doc_id", F.col("p.number").alias("page"), F.posexplode(F.slice("p.rules", 1, most)).alias("rule_id", "r")).select("doc_id", "page", "rule_id", "r.*")
-    dx, dy = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
-    return rows.where(((dx <= skew) & (dy >= least)) | ((dy <= skew) & (dx >= least)))
+    dx, dy = lambda r: F.abs(r["x1"] - r["x0"]), lambda r: F.abs(r["y1"] - r["y0"])
+    kept = F.filter("p.rules", lambda r: ((dx(r) <= skew) & (dy(r) >= least)) | ((dy(r) <= skew) & (dx(r) >= least)))
+    return pages.select("doc_id", F.col("p.number").alias("page"), F.posexplode(F.slice(kept, 1, most)).alias("rule_id", "r")).select("doc_id", "page", "rule_id", "r.*")
 
 
 def needs_ocr(text: Column) -> Column:
@@ -48,9 +68,13 @@ def backup(df: DataFrame, binary: tuple[str, ...] = ("content", "pdf")) -> DataF
     return df.drop(*binary).select(F.to_json(F.struct("*")).alias("value"))
 
 
-def restore(spark: SparkSession, path: str, schema: str, held: DataFrame, key: str, binary: str) -> DataFrame:
-    """SRC17: a backup read again; what it lacks in binaries is kept from what is held."""
-    return spark.read.schema(schema).json(path).join(held.select(key, binary), key, "left")
+def restore(spark: SparkSession, path: str, schema: str, held: DataFrame, key: str) -> DataFrame:
+    """SRC17: a backup read again; cells that it lacks, binaries first of all, keep what is held, and rows that only the store has stay."""
+    read = spark.read.schema(schema).json(path)
+    cells = [c for c in held.columns if c != key]
+    new = read.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in read.columns if c != key])
+    both = held.join(new, key, "full_outer")
+    return both.select(key, *[F.coalesce(f"_{c}", c).alias(c) if c in read.columns else F.col(c) for c in cells], *[F.col(f"_{c}").alias(c) for c in read.columns if c != key and c not in cells])
 
 
 def ics_escape(x: Column) -> Column:
