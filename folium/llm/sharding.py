@@ -4,8 +4,10 @@ Groups of equal texts are atomic. They are ordered by their smallest ``doc_id``;
 capacity for which a greedy left-to-right fill needs no more than ``n_shards`` shards is found by search,
 and the order is cut where that greedy fill cuts it. Law: ``bytes``.
 
-Everything stays in DataFrame operations. The driver only sees a fixed number of scalars: each feasibility
-check asks a table of prefix sums, which stays distributed, for the last group end below a few targets.
+Everything stays in DataFrame operations. The driver never sees the groups: it gets the first and last group end of each of at most
+``CELLS`` cells of the byte axis, bounds the smallest capacity from below and above by greedy fills over these, and asks
+again, with finer cells, only about the windows in which the cuts may still lie. A pass over the prefix sums narrows the windows a
+thousandfold, so two to five passes find the exact cuts at any size.
 
 Defined results: a null text has size 1 and stands in the group of the empty text; an empty table gives an
 empty result; repeated rows each get their own slot; a null ``doc_id`` sorts first; a group larger than the
@@ -14,38 +16,71 @@ ideal shard fills a shard of its own, and shards may stay empty then.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.llm.common import settle, table, text_of, width
 
-#: Capacities that one round of the search checks side by side.
-FAN = 32
+#: Cells of the byte axis that one pass asks about.
+CELLS = 1 << 16
 FIRST = -(2**63)
 
 
-def _greedy(prefix: DataFrame, capacities: list[int], n_shards: int) -> list[list[int]]:
-    """For each capacity the byte positions at which the greedy fill cuts; as many as shards."""
-    ends = [[0] for _ in capacities]
+def _cells(prefix: DataFrame, windows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """First and last group end of each cell that has one, in order, and whether each cell is one byte wide."""
+    wide = max(1, -(-sum(b - a + 1 for a, b in windows) // CELLS))
+    at = F.col("upto")
+    inside, cell = F.lit(False), F.lit(None).cast("long")
+    for a, b in windows:  # one a shard at most
+        inside = inside | at.between(a, b)
+        cell = F.when(at.between(a, b), F.floor((at - a) / wide)).otherwise(cell)
+    which = F.lit(-1)
+    for k, (a, b) in enumerate(windows):
+        which = F.when(at.between(a, b), k).otherwise(which)
+    rows = prefix.where(inside).groupBy(which.alias("w"), cell.alias("c")).agg(F.min("upto").alias("low"), F.max("upto").alias("high")).select("low", "high").collect()  # about CELLS at most
+    low, high = np.array([r["low"] for r in rows], np.int64), np.array([r["high"] for r in rows], np.int64)
+    return np.sort(low), np.sort(high), wide == 1
+
+
+def _fill(low: np.ndarray, high: np.ndarray, capacity: int, n_shards: int, hopeful: bool) -> list[int]:
+    """Cuts of a greedy fill: at known group ends, or (hopeful) as far as an unknown end may lie."""
+    cuts, at = [], 0
     for _ in range(n_shards):
-        row = prefix.agg(*[F.max(F.when(F.col("upto") <= cuts[-1] + c, F.col("upto"))).alias(f"c{i}") for i, (c, cuts) in enumerate(zip(capacities, ends, strict=True))]).first()
-        for i, cuts in enumerate(ends):
-            cuts.append(max(cuts[-1], row[f"c{i}"] or 0))
-    return ends
+        target = at + capacity
+        k = int(np.searchsorted(low, target, side="right")) - 1  # the last cell that begins at or before the target
+        if k >= 0:
+            known = int(high[k]) if high[k] <= target else int(low[k])
+            at = max(at, target if hopeful and high[k] > target else known)
+        cuts.append(at)
+    return cuts
+
+
+def _least(low: np.ndarray, high: np.ndarray, a: int, b: int, total: int, n_shards: int, hopeful: bool) -> int:
+    """The least capacity in [a, b] whose fill reaches the end; b where none below it does."""
+    while a < b:
+        mid = (a + b) // 2
+        a, b = (a, mid) if _fill(low, high, mid, n_shards, hopeful)[-1] >= total else (mid + 1, b)
+    return a
 
 
 def smallest_capacity(prefix: DataFrame, total: int, largest: int, n_shards: int) -> list[int]:
     """Cut positions of the smallest feasible capacity. ``prefix`` has one inclusive prefix sum a row."""
-    low, high = max(largest, -(-total // n_shards)), -(-total // n_shards) + largest  # high is always feasible
-    found: list[int] | None = None
-    while found is None or low < high:
-        step = max(1, -(-(high - low) // (FAN - 1)))
-        capacities = sorted({min(low + step * i, high) for i in range(FAN)})
-        ends = _greedy(prefix, capacities, n_shards)
-        k = next(i for i, cuts in enumerate(ends) if cuts[-1] >= total)
-        found, high = ends[k], capacities[k]
-        low = capacities[k - 1] + 1 if k else high
-    return found[1:]
+    a, b = max(largest, -(-total // n_shards)), -(-total // n_shards) + largest  # b is always feasible
+    windows = [(0, total)]
+    while True:
+        low, high, exact = _cells(prefix, windows)
+        b = _least(low, high, a, b, total, n_shards, False)
+        a = _least(low, high, a, b, total, n_shards, True)
+        near, far = _fill(low, high, a, n_shards, False), _fill(low, high, b, n_shards, True)
+        if exact or a == b and near == far:
+            return near
+        windows = []
+        for x, y in zip(near, far, strict=True):
+            if windows and x <= windows[-1][1]:
+                windows[-1] = (windows[-1][0], max(y, windows[-1][1]))
+            else:
+                windows.append((x, y))
 
 
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
