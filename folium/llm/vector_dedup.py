@@ -1,9 +1,10 @@
 """Embedding near-duplicates: Euclidean p-stable hashing, then exact cosines.
 
 Normalised vectors of cosine c lie sqrt(2 - 2c) apart. A hash is floor((a.x + b) / w) for Gaussian a; k of them make a bucket, and a
-label, so that vectors of other labels never meet. k follows from the number of vectors, so that the expected
-number of chance meetings with unrelated ones stays the same at every size, and the number of tables from k, so that a pair
-right at the threshold is missed in all tables with a chance of at most ``MISS``. Buckets connect groups of candidates; within a
+label, so that vectors of other labels never meet. k follows from the number of vectors and from how near unrelated ones of a label lie
+(measured on ``PROBES`` vectors at most, against the same vectors), so that a vector meets at most ``MEETINGS`` unrelated ones by chance
+over all tables together: below one, so that chance never joins candidates into ever larger groups. The number of tables follows from k, so
+that a pair right at the threshold is missed in all tables with a chance of at most ``MISS``. Buckets connect groups of candidates; within a
 group all pairs are compared exactly, tile by tile, and only counts and spanning links leave a task, never the pairs.
 
 Equal vectors are one class from the start, compared once.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from folium.llm.shingles import mix
 COSINE = 0.98
 CELL = 1.2  # w: six times the distance at the threshold
 MISS = 1e-4
-MEETINGS = 0.01  # unrelated vectors that a vector meets in a table, on average at most
+MEETINGS = 0.1  # unrelated vectors that a vector meets in all tables, on average at most
+MOST_HASHES = 48  # beyond, unrelated vectors lie too near for hashing to tell them apart
+PROBES = 2000
 TILE = 1024
 SEED = 20260101
 
@@ -43,11 +46,37 @@ def same_cell(distance: float, w: float = CELL) -> float:
     return 1 - 2 * phi - 2 / (math.sqrt(2 * math.pi) * u) * (1 - math.exp(-u * u / 2))
 
 
-def plan(n: int, cosine: float = COSINE) -> tuple[int, int]:
-    """Hashes in a bucket's key, and tables, for n vectors."""
+def plan(n: int, cosine: float = COSINE, meet: Callable[[int], float] | None = None) -> tuple[int, int]:
+    """Hashes in a bucket's key, and tables, for n vectors; ``meet(k)``: the chance that two unrelated ones share a bucket."""
     far, near = same_cell(math.sqrt(2)), same_cell(math.sqrt(2 - 2 * cosine))
-    k = max(4, math.ceil(math.log(max(n, 2) / MEETINGS) / -math.log(far)))
-    return k, math.ceil(math.log(MISS) / math.log1p(-(near**k)))
+    k = 4
+    while True:
+        tables = math.ceil(math.log(MISS) / math.log1p(-(near**k)))
+        if k >= MOST_HASHES or n * tables * (meet(k) if meet else far**k) <= MEETINGS:
+            return k, tables
+        k += 1
+
+
+def nearness(classes: DataFrame, cosine: float = COSINE) -> Callable[[int], float] | None:
+    """The mean chance of two unlinked vectors of a label to share a bucket of k hashes, from a bounded sample of classes."""
+    n = classes.count()
+    share = F.lit(1_000_000 if n <= PROBES else max(1, PROBES * 1_000_000 // n))
+    rows = classes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1_000_000)) < share).select("label", "embedding").limit(4 * PROBES).collect()
+    chances = []
+    total = 0
+    for label, length in {(r["label"], len(r["embedding"])) for r in rows}:
+        x = np.array([r["embedding"] for r in rows if r["label"] == label and len(r["embedding"]) == length])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        c = (x @ x.T)[np.triu_indices(len(x), 1)]
+        chances.append(c[c < cosine])
+    total = len(rows) * (len(rows) - 1) // 2
+    c = np.concatenate(chances) if chances else np.zeros(0)
+    if not len(c):
+        return None
+    # Cosines in a hundred cells: each cell's chance by its upper end.
+    cells, counts = np.unique(np.ceil(np.clip(c, -1, 1) * 50) / 50, return_counts=True)
+    same = np.array([same_cell(math.sqrt(max(2 - 2 * min(v, cosine), 1e-6))) for v in cells.tolist()])
+    return lambda k: float((counts * same**k).sum() / total)
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray | None]:
@@ -145,7 +174,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     given = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
     rows = settle(given.mapInArrow(_classed, "vec_id long, label long, embedding array<double>, node long"))
     classes = settle(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("held"), F.first("label").alias("label"), F.first("embedding").alias("embedding")))
-    k, tables = plan(classes.count(), cosine)
+    k, tables = plan(classes.count(), cosine, nearness(classes, cosine))
     keys = classes.select("node", "label", "embedding").mapInArrow(_bucketed(k, tables), "key long, node long")
     edges = keys.repartition(width(vectors.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_met, "a long, b long")
     groups = components(edges).withColumnRenamed("root", "grp")
