@@ -1,10 +1,10 @@
 """Secret scan: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a run of at least ``MIN_RUN`` letters, digits and ``+/_=-`` that holds a letter, and a digit or three changes from
-lower to upper case; of a run that a pattern match covers in part, what is left outside the match counts. Its character class
-(hexadecimal or mixed) sets the alphabet and the threshold. A window of ``WINDOW`` characters slides over
-it; each step adds one character's count, takes one away and so keeps the sum of n*log2(n), from which the entropy
-follows. The highest window decides. Runs on the allow list (UUIDs, long plain numbers, words of one case or capitalised that
+A candidate is a run of at least ``MIN_RUN`` letters, digits and ``+/_=-``; of a run that a pattern match covers in part, what is
+left outside the match counts. Its character class (``CLASSES``, the narrowest that holds all its characters) sets the
+threshold. A window of ``WINDOW`` characters slides over the run: each step adds one character's count, takes one away and so
+keeps the sum of n*log2(n), from which the entropy follows. The counts stand five bits each in a few longs, so that a step
+changes one number, however many characters the class has. The highest window decides. Runs on the allow list (UUIDs, long plain numbers, words of one case or capitalised that
 separators join, camel-cased words, dates, placeholders) are suppressed.
 
 Defined results: a null or empty text has no spans; repeated rows each get a result; an empty table gives an empty one.
@@ -27,12 +27,22 @@ ASSIGN = NAME + r"([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 MIN_RUN, WINDOW = 20, 20
-#: A lower-case letter before a capital, three times.
-CHANGES = r"(?:[A-Z+/_=-]*+(?:[a-z]++[+/_=-]++[A-Z+/_=-]*+)*+[a-z]++(?=[A-Z])){3}"
-RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9]|{CHANGES})[A-Za-z0-9+/_=-]{{{MIN_RUN},}}+"
-#: Bits a character that the best window of a class needs.
-THRESHOLDS = {"hex": 2.8, "mixed": 3.4}
-ALPHABETS = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
+RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_RUN},}}+"
+#: Character classes from the narrowest on: their pattern, and the bits a character that the best window needs. A class of
+#: letters alone holds words too, so it asks for more of the 4.32 bits that ``WINDOW`` characters can have.
+CLASSES = (
+    ("digits", r"^[0-9]+$", 2.9),
+    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 2.8),
+    ("lower", r"^[a-z]+$", 3.75),
+    ("upper", r"^[A-Z]+$", 3.6),
+    ("lower and digits", r"^[a-z0-9]+$", 3.4),
+    ("upper and digits", r"^[A-Z0-9]+$", 3.4),
+    ("letters", r"^[A-Za-z]+$", 3.7),
+    ("all", "", 3.4),
+)
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Counts of five bits that a long holds.
+PACKED = 12
 #: A word in a joined run: of one case or capitalised, with a vowel, and with a short number after it.
 WORD = r"(?=[A-Za-z]*?[aeiouyAEIOUY])(?:[A-Z]?[a-z]{2,}+|[A-Z]{3,}+)[0-9]{0,2}+"
 ALLOWED = (
@@ -45,20 +55,30 @@ ALLOWED = (
 )
 
 
-def window_entropy(run: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of any ``window`` successive characters of ``run``."""
+def window_entropy(run: Column, window: int = WINDOW, alphabet: str = ALPHABET) -> Column:
+    """The highest Shannon entropy, in bits, of any ``window`` (31 at most) successive characters of ``run``."""
     weight = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
-    places = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.greatest(F.position(c, F.lit(alphabet)), F.lit(1)))
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).alias("held"), F.lit(0.0).alias("best"), F.lit(0).alias("i"))
+    longs = -(-len(alphabet) // PACKED)
+
+    def placed(c: Column) -> Column:
+        at = F.greatest(F.position(c, F.lit(alphabet)), F.lit(1)) - 1
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), ((at % PACKED) * 5).cast("int"))
+        return F.struct(F.floor(at / PACKED).cast("int").alias("long"), ((at % PACKED) * 5).cast("int").alias("shift"), bit.alias("one"))
+
+    places = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), placed)
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("n"), F.lit(0.0).alias("held"), F.lit(0.0).alias("best"), F.lit(0).alias("i"))
 
     def step(s: Column, c: Column) -> Column:
         gone = F.when(s["i"] >= window, F.get(places, s["i"] - window))
-        add, drop = F.get(s["n"], c - 1), F.get(s["n"], gone - 1)
+        held_of = lambda x: F.call_function("shiftright", F.get(s["n"], x["long"]), x["shift"]).bitwiseAND(31).cast("int")
+        add, drop = held_of(c), held_of(gone)
         change = F.get(weight, add + 1) - F.get(weight, add)
         # The character that leaves may be the one that comes: then nothing changes.
         less = F.when(gone.isNull(), F.lit(0.0)).otherwise(F.get(weight, drop - 1) - F.get(weight, drop))
-        held = F.when(gone == c, s["held"]).otherwise(s["held"] + change + less)
-        n = F.transform(s["n"], lambda v, k: v + (k == c - 1).cast("int") - F.coalesce((k == gone - 1).cast("int"), F.lit(0)))
+        same = F.coalesce((gone["long"] == c["long"]) & (gone["shift"] == c["shift"]), F.lit(False))
+        held = F.when(same, s["held"]).otherwise(s["held"] + change + less)
+        none = F.lit(0).cast("long")
+        n = F.transform(s["n"], lambda v, k: v + F.when(k == c["long"], c["one"]).otherwise(none) - F.when(k == gone["long"], gone["one"]).otherwise(none))
         best = F.when(s["i"] + 1 >= window, F.greatest(s["best"], F.lit(math.log2(window)) - held / window)).otherwise(s["best"])
         return F.struct(n.alias("n"), held.alias("held"), best.alias("best"), (s["i"] + 1).alias("i"))
 
@@ -78,8 +98,12 @@ def entropy_spans(text: Column, taken: Column) -> Column:
     runs = F.filter(find(blanked(text, taken), RUN), lambda s: ~allowed(s["hit"]))
 
     def high(s: Column) -> Column:
-        is_hex = s["hit"].rlike("^[0-9a-fA-F]+$")
-        return F.when(is_hex, window_entropy(F.lower(s["hit"]), ALPHABETS["hex"]) >= THRESHOLDS["hex"]).otherwise(window_entropy(s["hit"], ALPHABETS["mixed"]) >= THRESHOLDS["mixed"])
+        needed = F.lit(CLASSES[-1][2])
+        for _, pattern, bits in reversed(CLASSES[:-1]):
+            needed = F.when(s["hit"].rlike(pattern), bits).otherwise(needed)
+        # A window holds no more kinds of characters than the run does: most words fail by that.
+        most = F.log2(F.least(F.size(F.array_distinct(F.split(s["hit"], ""))), F.lit(WINDOW)).cast("double"))
+        return (most >= needed) & (window_entropy(s["hit"]) >= needed)
 
     return labelled(F.filter(runs, high), "entropy", len(KINDS))
 

@@ -48,6 +48,19 @@ def clear_of(spans: Column, taken: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
 
 
+def disjoint(spans: Column) -> Column:
+    """Spans (start, end, kind, rank) by start, without those that begin within the one kept before."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"])))
+    none = F.filter(ordered, lambda s: F.lit(False))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = x["start"] >= s["at"]
+        return F.struct(F.when(fits, x["end"]).otherwise(s["at"]).alias("at"), F.when(fits, F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(ordered, start, step, lambda s: s["out"])
+
+
 def blanked(text: Column, spans: Column) -> Column:
     """The text with a space in the place of each character of a span."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))

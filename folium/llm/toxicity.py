@@ -1,16 +1,18 @@
 """Toxicity by a subsequence string kernel and a support vector machine over Nyström landmarks.
 
-The kernel compares words by their subsequences of four characters within a span of six; a subsequence counts ``DECAY`` to the
-power of the characters it skips. So "id-iot", "i.d.i.o.t" and "idxiot" stay close to "idiot". Landmarks are words: those that
-set toxic training texts apart, and common ones of the other texts. A word's features are its kernel values with the landmarks,
-whitened; a linear machine with a squared hinge is trained on the words of labelled texts: a toxic text is a bag in which its
-worst word is toxic, a clean text has clean words only. A text is as toxic as its worst word, so insults of several clean words are missed;
-a logistic curve fitted on the training texts turns that into a probability.
+The kernel of two strings is the sum over their common subsequences of four characters within a span of six; each occurrence counts
+``DECAY`` to the power of the characters that it skips, times the rarity of the subsequence. So "id-iot", "idxiot" and "id iot"
+stay close to "idiot". A sentence is a bag of short windows: its words (long ones in overlapping pieces), and pairs of neighbouring words where one
+of them is partly like a landmark. Landmarks are windows of training sentences: those that set toxic texts apart, and common ones of
+the others. A window's features are its kernel values with the landmarks, whitened (Nyström); a linear machine with a squared hinge is
+trained on windows: labels belong to texts, so a clean text's sentences have clean windows only, while of a toxic text's sentences one
+has one toxic window at least, its witness, which each round picks anew. A sentence is as toxic as its worst window and a text as its worst sentence. A logistic
+curve, fitted on training texts and on toxic ones with their worst window bent by one inserted character, turns that into a probability.
 
 As the kernel is a product of sparse feature vectors, the machine folds into one weight for each subsequence, and scoring a
-text is a look-up per subsequence of its distinct words. Runs of single characters ("i d i o t") are words too.
+text is a look-up per subsequence of its distinct windows. Runs of single characters ("i d i o t") are windows too.
 
-Training reads at most about ``SAMPLE`` labelled texts of each class, of up to ``TRAIN_CHARS`` characters; scoring reads every whole text.
+Training reads at most about ``SAMPLE`` labelled rows of each class, of up to ``TRAIN_CHARS`` characters; scoring reads every whole text.
 
 Defined results: null, empty and wordless texts score like a text whose words are unlike any landmark; without labels of both kinds all texts
 score 0; repeated rows each get a result; an empty table gives an empty one.
@@ -32,7 +34,7 @@ from folium.llm.common import free_name, table, text_of
 from folium.llm.shingles import _LOWER, _SPACE, _bytes, mix, pieces
 
 #: Offsets of a subsequence's later characters, and the weight of each character that it skips.
-DECAY = 0.6
+DECAY = 0.8
 SPANS = tuple((i, j, k) for k in range(3, 6) for j in range(2, k) for i in range(1, j))
 CELLS = 1 << 21
 SAMPLE, TRAIN_CHARS = 4000, 8_000
@@ -40,6 +42,14 @@ LANDMARKS = 96  # of each kind
 ROUNDS = 4
 HARD = 2000  # clean words that a round adds at most
 COST = 4.0
+#: Of the texts that hold a word, or four characters that words share, so many must be toxic for it to be a toxic one's mark.
+SURE = 0.5
+#: How much a toxic text weighs against a clean one when the threshold is set: to leave clean texts alone counts for more.
+CAUGHT = 0.35
+#: Characters of a window at most; a longer word gives windows that overlap by half.
+WINDOW = 24
+#: A word is looked at together with its neighbours from this share of the way to the threshold on.
+LOOK = 0.25
 _STEP = np.random.default_rng(99).integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -50,6 +60,7 @@ class Units:
     which: np.ndarray  # of each occurrence, its place among the distinct words
     at: np.ndarray  # offsets of each text's occurrences
     words: list[str]
+    last: np.ndarray  # of each distinct word: whether it ends a sentence
 
 
 def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -110,11 +121,22 @@ def subsequences(words: list[str], spans: tuple = SPANS) -> tuple[np.ndarray, np
     return owners, cells, weights
 
 
-def weighted(owner: np.ndarray, cell: np.ndarray, weight: np.ndarray, rarity: np.ndarray, n: int) -> np.ndarray:
-    """Weights by the rarity of what they stand for, those of a word with norm 1."""
-    w = weight * rarity[cell]
-    norm = np.sqrt(np.bincount(owner, weights=w**2, minlength=n))
-    return w / np.maximum(norm, 1e-9)[owner]
+def unit(owner: np.ndarray, cell: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Weights of strings whose kernel with themselves is 1; a subsequence that occurs twice counts as one of twice the weight."""
+    both, where = np.unique(owner * CELLS + cell, return_inverse=True)
+    total = np.bincount(where, weights=weight)
+    norm = np.sqrt(np.bincount(both // CELLS, weights=total**2, minlength=n))
+    return weight / np.maximum(norm, 1e-9)[owner]
+
+
+def windows(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Windows of words, and the word of each."""
+    out, owner = [], []
+    for k, w in enumerate(words):
+        for i in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2) if len(w) > WINDOW else (0,):
+            out.append(w[i : i + WINDOW])
+            owner.append(k)
+    return out, np.array(owner, np.int64)
 
 
 def cleaned(words: list[bytes]) -> list[str]:
@@ -132,7 +154,7 @@ def _plain(words: list[bytes]) -> list[str]:
 
 def units(texts: pa.Array) -> Units:
     which, at, distinct = occurrences(texts)
-    return Units(which, at, cleaned(distinct))
+    return Units(which, at, cleaned(distinct), np.array([w.endswith((b".", b"!", b"?", b"|", b";")) for w in distinct], bool))
 
 
 @dataclass
@@ -143,24 +165,46 @@ class Model:
     slope: float
     shift: float
 
+    def __post_init__(self) -> None:
+        self.folded = None if self.weight is None else (self.weight * self.rarity).astype(np.float32)
+
     def scores(self, words: list[str]) -> np.ndarray:
-        """The machine's value for each word."""
-        if not words:
-            return np.zeros(0)
-        owner, cell, weight = subsequences(words)
-        return np.bincount(owner, weights=weighted(owner, cell, weight, self.rarity, len(words)) * self.weight[cell], minlength=len(words)) + self.bias
+        """The machine's value for each word: that of its worst window."""
+        out = np.full(len(words), self.bias)
+        for k in range(0, len(words), 10_000):
+            part, word = windows(words[k : k + 10_000])
+            owner, cell, weight = subsequences(part)
+            found = np.bincount(owner, weights=weight * self.folded[cell], minlength=len(part)) + self.bias
+            np.maximum.at(out, k + word, found)
+        return out
 
-    def texts(self, u: Units) -> np.ndarray:
-        """Probabilities: the worst word decides."""
+    def worst(self, u: Units) -> np.ndarray:
+        """The value of each text's worst window; the bias without words."""
         n = len(u.at) - 1
-        if self.weight is None:
-            return np.zeros(n)
         worst = np.full(n, self.bias)
         has = np.flatnonzero(np.diff(u.at))
-        if len(has):
-            found = np.concatenate([self.scores(u.words[k : k + 10_000]) for k in range(0, len(u.words), 10_000)])
-            worst[has] = np.maximum(self.bias, np.maximum.reduceat(found[u.which], u.at[has]))
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
+        if not len(has):
+            return worst
+        found = self.scores(u.words)
+        worst[has] = np.maximum(self.bias, np.maximum.reduceat(found[u.which], u.at[has]))
+        # Pairs of neighbours in a sentence, one of them partly like a landmark, that make a short window together.
+        half = -self.shift / self.slope if self.slope > 0 else np.inf
+        size = np.array([len(w) or 99 for w in u.words])
+        near = found > self.bias + LOOK * max(half - self.bias, 0.1)
+        text = np.repeat(np.arange(n), np.diff(u.at))
+        left, right = u.which[:-1], u.which[1:]
+        pair = np.flatnonzero((text[1:] == text[:-1]) & (near[left] | near[right]) & ~u.last[left] & (size[left] + size[right] < WINDOW))
+        if len(pair):
+            key, where = np.unique(left[pair] * len(u.words) + right[pair], return_inverse=True)
+            both = self.scores([f"{u.words[k // len(u.words)]} {u.words[k % len(u.words)]}" for k in key.tolist()])
+            np.maximum.at(worst, text[pair], both[where])
+        return worst
+
+    def texts(self, u: Units) -> np.ndarray:
+        """Probabilities: the worst window decides."""
+        if self.weight is None:
+            return np.zeros(len(u.at) - 1)
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(u) + self.shift, -40, 40)))
 
 
 def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -190,9 +234,14 @@ def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray
     return v[:-1], float(v[-1])
 
 
+def inserted(word: str) -> list[str]:
+    """The word with one character put in at each inner place."""
+    return [word[:k] + "-x*o."[k % 5] + word[k:] for k in range(1, len(word))] or [word]
+
+
 def bent(word: str) -> list[str]:
-    """The word with a sign between all its characters, and with one character put in at each inner place."""
-    return ["-".join(word), ".".join(word), *(word[:k] + "-x*o."[k % 5] + word[k:] for k in range(1, len(word)))]
+    """The word with a sign between all its characters, in two parts, and with one character put in at each inner place."""
+    return ["-".join(word), ".".join(word), *(word[:k] + " " + word[k:] for k in range(2, len(word) - 1, 2)), *inserted(word)]
 
 
 def leaning(count: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -218,7 +267,7 @@ def stems(names: list[str], inside: list[np.ndarray], y: np.ndarray, size: np.nd
         if n.sum():
             held = np.unique(cell[np.repeat(start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
             count[kind, held] += 1
-    lean = leaning(count, size)[cell]
+    lean = np.where(count[1] >= SURE * count.sum(axis=0), leaning(count, size), -np.inf)[cell]
     out = np.full(len(names), -np.inf)
     has = np.flatnonzero(np.diff(start))
     out[has] = np.maximum.reduceat(lean, start[has])
@@ -251,7 +300,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     stem = stems(names, inside, y, size)
     sure = np.maximum(sure, np.where(count[0] == 0, stem, -np.inf))
     odds = np.where((count[0] == 0) & (stem > 0), np.maximum(odds, 2.0), odds)
-    bad = np.flatnonzero(long_enough & (sure > 0) & (odds > 1))
+    bad = np.flatnonzero(long_enough & (sure > 0) & (odds > 1) & (count[1] >= SURE * count.sum(axis=0)))
     bad = bad[np.lexsort((-count[1][bad], -sure[bad]))][: 16 * LANDMARKS]
     common = np.flatnonzero(long_enough & (count[0] > 0) & (odds < 0.5))
     common = common[np.argsort(-count[0][common], kind="stable")]
@@ -266,8 +315,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         o, c, _ = subsequences(clean_words[k : k + 10_000])
         held += np.bincount(np.unique(o * CELLS + c) % CELLS, minlength=CELLS)
     rarity = np.maximum(np.log((len(clean_words) + 1) / (held + 1)) / np.log(len(clean_words) + 2), 0.02).astype(np.float32) ** 2
-    zo, zc, zw = subsequences([str(names[k]) for k in landmark])
-    zw = weighted(zo, zc, zw, rarity, len(landmark))
+    zo, zc, zw = subsequences([names[k][:WINDOW] for k in landmark])
+    zw = unit(zo, zc, zw * rarity[zc], len(landmark))
     cells, local = np.unique(zc, return_inverse=True)
     z = np.zeros((len(cells), len(landmark)))
     np.add.at(z, (local, zo), zw)
@@ -278,8 +327,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     def features(chosen: list[str]) -> np.ndarray:
         out = np.zeros((len(chosen), len(landmark)), np.float32)
         for k in range(0, len(chosen), 200):
-            o, c, w = subsequences(chosen[k : k + 200])
-            w = weighted(o, c, w, rarity, len(chosen[k : k + 200]))
+            o, c, w = subsequences([v[:WINDOW] for v in chosen[k : k + 200]])
+            w = w * rarity[c]
             spot = np.minimum(np.searchsorted(cells, c), len(cells) - 1)
             hit = cells[spot] == c
             order = np.argsort(o[hit], kind="stable")
@@ -307,7 +356,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         weight = np.zeros(CELLS)
         weight[cells] = white @ v
         machine = Model(weight, rarity, bias, 1.0, 0.0)
-        found = np.concatenate([machine.scores(names[k : k + 10_000]) for k in range(0, len(names), 10_000)])
+        found = machine.scores(names)
         found[~long_enough] = -9.0
         wrong = np.flatnonzero(clean_word & (found > -0.5))
         wrong = wrong[np.argsort(-(found + 0.5)[wrong] * np.sqrt(count[0][wrong]), kind="stable")][:HARD]
@@ -316,11 +365,16 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         if not len(np.setdiff1d(wrong, negative)) and not len(np.setdiff1d(witness, positive)):
             break
         negative, positive = np.union1d(negative, wrong), np.union1d(positive, witness)
-    # The logistic curve over the texts' worst words.
-    found = np.concatenate([machine.scores(names[k : k + 10_000]) for k in range(0, len(names), 10_000)])
-    worst = np.array([max(bias, found[own].max()) if len(own) else bias for own in inside])
+    # The logistic curve over the texts' worst windows, and over those of toxic texts bent by one character.
+    found = machine.scores(names)
+    top = [int(own[np.argmax(found[own])]) if len(own) else -1 for own in inside]
+    worst = np.array([max(bias, found[k]) if k >= 0 else bias for k in top])
+    bent_of = {k: float(np.mean(machine.scores(inserted(names[k])))) for k in {k for k, t in zip(top, toxic, strict=True) if t and k >= 0 and count[0][k] == 0}}
+    extra = np.array([bent_of[k] for k, t in zip(top, toxic, strict=True) if t and k in bent_of])
+    worst, y = np.concatenate([worst, extra]), np.concatenate([y, np.ones(len(extra), int)])
+    size = np.array([(y == 0).sum(), (y == 1).sum()])
     a, b, pull = 1.0, 0.0, 1e-3
-    balance = np.where(y == 1, len(y) / (2 * size[1]), len(y) / (2 * size[0]))
+    balance = np.where(y == 1, CAUGHT * len(y) / (2 * size[1]), len(y) / (2 * size[0]))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * worst + b, -30, 30)))
         g = np.array([(balance * (p - y) * worst).sum() + pull * a, (balance * (p - y)).sum()])
@@ -341,9 +395,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int
     for k, n in sizes.items():
         share = F.when(F.col("toxic") == k, F.lit(1_000_000 if n <= sample else max(1, sample * 1_000_000 // n))).otherwise(share)
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share)
-    # Two columns of about 2 * sample rows: a bound that the parameter sets.
     rows = docs.select("doc_id", F.col(text_col).cast("string").alias("text")).where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(drawn), "doc_id")
-    got = rows.select("doc_id", "text", "toxic").collect()
+    # Rows that share an id or a text may be many: of the same rows one trains, and the sample is a bound whatever ids are drawn.
+    got = rows.select("doc_id", "text", "toxic").distinct().orderBy(F.xxhash64("doc_id", "text", F.lit(13)), "doc_id", "text").limit(4 * sample).collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in got], [int(r["toxic"] > 0) for r in got])
 
