@@ -229,7 +229,7 @@ IN_PYTHON = frozenset({"diacritic", "unicode"})
 
 def once(x: Column, step) -> Column:
     """``step`` of ``x``, with ``x`` evaluated once however often the step uses it."""
-    return F.get(F.transform(F.array(x), step), 0)
+    return F.get(F.transform(F.array(x), lambda v: step(v)), 0)
 
 
 def clean_page_text(x: Column) -> Column:
@@ -239,19 +239,31 @@ def clean_page_text(x: Column) -> Column:
     return x
 
 
+EDITS = "array<struct<rule:string,before:string,after:string>>"
+
+
+def _stepped(step):
+    return lambda s: F.struct(s["text"].alias("before"), step(s["text"]).alias("after"), s["edits"].alias("edits"))
+
+
+def _noted(rule: str):
+    def note(s: Column) -> Column:
+        edit = F.array(F.struct(F.lit(rule).alias("rule"), s["before"].alias("before"), s["after"].alias("after")))
+        return F.struct(s["after"].alias("text"), F.concat(s["edits"], F.when(s["before"] != s["after"], edit).otherwise(F.array().cast(EDITS))).alias("edits"))
+
+    return note
+
+
 def logged(rows: DataFrame, column: str, steps: dict, out: str = "repaired") -> DataFrame:
     """Adds struct<text, edits>: the text after all steps, and each step that changed it. A step's text is made once."""
-    EDIT = "array<struct<rule:string,before:string,after:string>>"
     now, log = f"_{out}_text", f"_{out}_edits"
-    rows = rows.withColumn(now, F.col(column)).withColumn(log, F.array().cast(EDIT))
+    rows = rows.withColumn(now, F.col(column)).withColumn(log, F.array().cast(EDITS))
     held: list[tuple[str, object]] = []
 
     def fold(rows: DataFrame) -> DataFrame:
         state = F.struct(F.col(now).alias("text"), F.col(log).alias("edits"))
         for rule, step in held:
-            state = once(state, lambda s, step=step: F.struct(s["text"].alias("before"), step(s["text"]).alias("after"), s["edits"].alias("edits")))
-            edit = lambda s, rule=rule: F.when(s["before"] != s["after"], F.array(F.struct(F.lit(rule).alias("rule"), s["before"].alias("before"), s["after"].alias("after")))).otherwise(F.array().cast(EDIT))
-            state = once(state, lambda s, edit=edit: F.struct(s["after"].alias("text"), F.concat(s["edits"], edit(s)).alias("edits")))
+            state = once(once(state, _stepped(step)), _noted(rule))
         return rows.withColumn(f"_{out}", state).withColumn(now, F.col(f"_{out}.text")).withColumn(log, F.col(f"_{out}.edits")).drop(f"_{out}")
 
     for rule, step in steps.items():
