@@ -34,7 +34,8 @@ def standing(items: DataFrame, key: str, weight: str, percent: str, bonus: str)
     """
     w, p = F.col(weight).cast("double"), F.col(percent).cast("double")
     counts, marked, extra = ~F.isnan(w) & (w > 0), p.isNotNull() & ~F.isnan(p), F.coalesce(F.col(bonus), F.lit(False))
-    total = lambda when, value: F.coalesce(F.sum(F.when(counts & when, value)), F.lit(0.0))
+    # Sums in another order differ in their last digits: nine places are kept, so that a half is a half in every order.
+    total = lambda when, value: F.round(F.coalesce(F.sum(F.when(counts & when, value)), F.lit(0.0)), 9)
     sums = items.groupBy(key).agg(
         total(~extra, w).alias("t"), total(~extra & marked, w).alias("g"), total(~extra & marked, w * p / 100).alias("e"), total(extra, w).alias("b"), total(extra & marked, w * p / 100).alias("be")
     )

@@ -92,3 +92,17 @@ def accuracy(rows: DataFrame) -> DataFrame:
         F.count("*").alias("syllabi"), F.count("code").alias("coded"), F.count("term_name").alias("termed"), F.count_if(F.col("sessions") > 0).alias("scheduled"), F.coalesce(F.sum("readings"), F.lit(0)).alias("readings"),
         F.coalesce(F.sum("cited"), F.lit(0)).alias("cited"), F.count_if(F.abs(F.col("weight_total") - 100) <= 1).alias("near_hundred"), F.count_if(F.col("weight_total") > 0).alias("weighed"),
     )
+
+
+def as_json(p: Parse) -> DataFrame:
+    """PRJ5, SNK13: (doc_id, value): each document's parse as one JSON text: course, sessions with their readings, graded work, policies."""
+    entry = F.struct("ordinal", "raw", "requirement_level", "page_range", "access_note", "content_warning", F.col("c").alias("work"))
+    r = p.readings.groupBy("doc_id", "session").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    session = F.struct("session", "week", "meeting_date", "sub_label", "topic", "section_heading", "session_type", "confidence", "entries")
+    s = p.sessions.join(r, ["doc_id", "session"], "left").groupBy("doc_id").agg(F.sort_array(F.collect_list(session)).alias("sessions"))
+    rows = lambda d, *cells: d.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*cells))).alias("rows"))
+    g = rows(p.graded, "ordinal", "title", "kind", "weight", "due_date", "due_time", "recurrence", "page_limit", "word_limit", "format_note", "confidence").withColumnRenamed("rows", "deliverables")
+    q = rows(p.policies, "ordinal", "policy_type", "heading", "body", "ai_stance", "confidence").withColumnRenamed("rows", "policies")
+    out = p.meta.join(p.structures, "doc_id", "left").join(s, "doc_id", "left").join(g, "doc_id", "left").join(q, "doc_id", "left")
+    course = F.struct("code", "title", "term", "instructor", "meeting_time", "location", "site_url", "citation_style", "confidence")
+    return out.select("doc_id", F.to_json(F.struct(course.alias("course"), "structure", "sessions", "deliverables", "policies")).alias("value"))
