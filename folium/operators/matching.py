@@ -36,11 +36,6 @@ def best_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return best.select(left_id, "b.*")
 
 
-def match_score(title_cover: Column, has_surname: Column, has_year: Column, has_doi: Column) -> Column:
-    """JOIN7: 1.0 for a DOI, else the weighted parts."""
-    return F.when(has_doi, 1.0).otherwise(TITLE * title_cover + SURNAME * has_surname.cast("int") + YEAR * has_year.cast("int"))
-
-
 YEARS = r"\b(?:1[89]\d{2}|20\d{2})\b"
 
 
@@ -48,19 +43,29 @@ def match_documents(docs: DataFrame, works: DataFrame, doc_id: str = "doc_id", h
     """JOIN7: for each document (its opening text and file name) the work (work_id, title, surnames array<string>, year, doi) that it is: doc_id, work_id, score, method.
 
     A DOI in the text decides; the first in the works' order does. Else 0.6 of the title's share, 0.25 for a surname and 0.15 for the year must come to ``least``; of
-    equals the first work wins. A score of 0.45 needs a twelfth of the title's words at least, so candidates share a word: the title's
-    rarest ones are enough, as many as may be missing. Works without a title are found by nothing but their DOI.
+    equals the first work wins. How much of the title must be there depends on what else is: three quarters without surname and year, a third with the
+    surname, half with the year, a twelfth with both. So candidates meet four times, on the title's rarest words that may not all be missing, each
+    joined to what else they share: a word that all titles have makes pairs only among works of one author or year. Works without a title are
+    found by nothing but their DOI.
     """
     text = F.col(head) if filename is None else F.concat_ws("\n", filename_words(F.col(filename)), F.col(head))
     d = docs.select(doc_id, F.coalesce(text, F.lit("")).alias("_text"))
-    d = d.withColumn("_tokens", tokens(F.col("_text"))).withColumn("_years", F.transform(F.regexp_extract_all("_text", F.lit(YEARS), F.lit(0)), lambda y: y.cast("int")))
-    w = works.select(work_id, "title", "surnames", "year", "doi").withColumn("_words", tokens(F.coalesce("title", F.lit(""))))
-    share = (least - SURNAME - YEAR) / TITLE
-    pairs = candidates(d, w, doc_id, work_id, "_tokens", "_words", share)
-    scored = pairs.join(d.select(doc_id, "_tokens", "_years"), doc_id).join(w.select(work_id, "surnames", "year"), work_id)
-    signed = F.coalesce(F.exists("surnames", lambda s: F.array_contains(F.col("_tokens"), F.lower(s))), F.lit(False))
-    dated = F.coalesce(F.array_contains("_years", F.col("year")), F.lit(False))
-    scored = scored.select(doc_id, work_id, match_score(F.col("cover"), signed, dated, F.lit(False)).alias("score"), F.lit("author, title and year overlap").alias("method"))
+    d = d.withColumn("_tokens", tokens(F.col("_text"))).withColumn("_years", F.array_distinct(F.regexp_extract_all("_text", F.lit(YEARS), F.lit(0))))
+    w = works.select(work_id, "title", F.transform(F.coalesce("surnames", F.array().cast("array<string>")), lambda v: F.lower(v)).alias("_names"), F.col("year").cast("string").alias("_year"), "doi").withColumn("_words", tokens(F.coalesce("title", F.lit(""))))
+    known = w.select(F.explode("_names").alias("_name")).distinct()
+    named = d.select(doc_id, F.explode("_tokens").alias("_name")).join(known, "_name").groupBy(doc_id).agg(F.collect_set("_name").alias("_signed"))
+    none = F.array().cast("array<string>")
+    d = d.join(named, doc_id, "left").withColumn("_signed", F.coalesce("_signed", none))
+    cross = lambda x, y: F.flatten(F.transform(x, lambda v: F.transform(y, lambda u: F.concat_ws("|", v, u))))
+    dated = F.when(F.col("_year").isNotNull(), F.array("_year")).otherwise(none)
+    routes = ((0.0, F.array(F.lit("")), F.array(F.lit(""))), (SURNAME, F.col("_signed"), F.col("_names")), (YEAR, F.col("_years"), dated), (SURNAME + YEAR, cross(F.col("_signed"), F.col("_years")), cross(F.col("_names"), dated)))
+    pairs = None
+    for bonus, left_tags, right_tags in routes:
+        left = d.select(doc_id, cross(left_tags, F.col("_tokens")).alias("_t")).where(F.size("_t") > 0)
+        right = w.select(work_id, "_words", F.explode(right_tags).alias("_tag")).select(F.struct(work_id, "_tag").alias("_pair"), cross(F.array("_tag"), F.col("_words")).alias("_w"))
+        found = candidates(left, right, doc_id, "_pair", "_t", "_w", (least - bonus) / TITLE - 1e-9).select(doc_id, F.col(f"_pair.{work_id}").alias(work_id), (TITLE * F.col("cover") + bonus).alias("score"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    scored = pairs.groupBy(doc_id, work_id).agg(F.max("score").alias("score")).withColumn("method", F.lit("author, title and year overlap"))
     # DOIs meet as whole words of the text, cut at the signs that may not end one.
     said = d.select(doc_id, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("_text"), F.lit(r"10\.\d{4,9}/[^\s,;\"'<>]+"), F.lit(0)), lambda v: F.regexp_replace(v, r"[.)\]]+$", "")))).alias("_doi"))
     told = said.join(w.where("doi is not null").select(work_id, F.lower("doi").alias("_doi")), "_doi").select(doc_id, work_id, F.lit(1.0).alias("score"), F.lit("doi found in the document").alias("method"))
