@@ -12,7 +12,7 @@ A conversation is a sequence of turns (role, text). Every distinct sequence of f
    shape: long chains cost no more than bushes. The tops' totals go to their parents in the tier above, added up by Spark: there are about log(members) tiers.
 
 Defined results: null roles and texts are empty; turns of one number stand in order of role and text, a null number first; repeated
-rows are turns of their own; rows without a conv_id belong to no conversation; an empty table has no nodes, not even a root.
+rows are turns of their own; a negative id belongs to the group of twenty that begins below it; rows without a conv_id belong to no conversation; an empty table has no nodes, not even a root.
 """
 
 from __future__ import annotations
@@ -45,8 +45,8 @@ def rebuilt(conversations: DataFrame, group: int = 20) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     numbered = turns.withColumn("k", F.row_number().over(order))
     own = numbered.where(F.col("k") > kept_head(F.col("conv_id"))).select("conv_id", "k", "role", "text")
-    heads = numbered.where(F.col("k") <= 3).where(F.col("conv_id") % group == 0).select(F.col("conv_id").alias("base"), "k", "role", "text")
-    takers = turns.groupBy("conv_id").agg(F.count("*").alias("held")).select("conv_id", (F.col("conv_id") - F.col("conv_id") % group).alias("base"), kept_head(F.col("conv_id")).alias("h"))
+    heads = numbered.where(F.col("k") <= 3).where(F.pmod("conv_id", F.lit(group)) == 0).select(F.col("conv_id").alias("base"), "k", "role", "text")
+    takers = turns.groupBy("conv_id").agg(F.count("*").alias("held")).select("conv_id", (F.col("conv_id") - F.pmod("conv_id", F.lit(group))).alias("base"), kept_head(F.col("conv_id")).alias("h"))
     taken = heads.join(takers.where("h > 0"), "base").where(F.col("k") <= F.col("h")).select("conv_id", "k", "role", "text")
     return own.unionByName(taken)
 
@@ -212,7 +212,7 @@ SQL = {
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, role, text
   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
 c AS (SELECT conv_id, {crc_sql("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
-r AS (SELECT t.* FROM t JOIN c USING (conv_id) WHERE k > h UNION ALL SELECT c.conv_id, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE k <= h),
+r AS (SELECT t.* FROM t JOIN c USING (conv_id) WHERE k > h UNION ALL SELECT c.conv_id, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id - (c.conv_id % 20 + 20) % 20 WHERE k <= h),
 d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth, role, text FROM r),
 p AS (SELECT conv_id, depth, text, md5(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM d
   UNION ALL SELECT conv_id, 0, '', '' FROM c),
