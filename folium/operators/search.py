@@ -1,16 +1,33 @@
-"""Full-text search: postings written by term, BM25 over a query's own terms, snippets of the best.
+"""Full-text search: postings in blocks of falling impact, the best chunks by BM25 from the first blocks alone, snippets of the best.
 
-``write_index`` stores postings (term, key.., tf, length) in ``BUCKETS`` folders by the term's hash, and the corpus's counts beside them. ``search`` reads the
-folders of the query's terms alone; ``search_once`` is for a corpus without an index.
+An index is a folder of segments and a manifest of those that count. A segment holds postings (term, level, key.., tf, length) in ``BUCKETS`` folders by the
+term's hash, sorted by term and level, and a dictionary (term, blocks). A posting's level is its BM25 weight (without idf) in ``LEVELS`` steps from the highest
+down; all of one term and level are a block, and the dictionary knows its size and its highest weight. ``append_index`` adds a segment and
+``merge_index`` makes one of all; both write a new manifest last, so that a search sees either the old segments or the new ones.
+
+``search`` reads the first blocks of each word, completes what it found there, and knows the score to beat. It then reads only so much further that a
+chunk that it has not met cannot reach that score, whatever blocks remain (a threshold algorithm). ``search_once`` is for a corpus without an index.
 """
 
 from __future__ import annotations
 
+import math
+import re
+import uuid
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.sources.io import settled
+
 K1, B = 1.2, 0.75
-BUCKETS = 64
+BUCKETS, LEVELS = 64, 256
+#: A first look takes so many postings of each word for each chunk asked for.
+FIRST = 4
+#: Up to so many chunks are looked up by their keys as literals, which reach the files' statistics; more by a join.
+LOOKED_UP = 1000
 WORD = "[a-z0-9]+"
 
 
@@ -18,6 +35,11 @@ def words_of(body: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(body), F.lit(WORD), F.lit(0))
 
 
+def terms_of(query: str | list[str]) -> list[str]:
+    """The words of a query as the index has them: lower case, each once, in order; what is no word is left out."""
+    return list(dict.fromkeys(re.findall(WORD, (query if isinstance(query, str) else " ".join(query)).lower())))
+
+
 def postings(chunks: DataFrame, key: list[str], body: str = "body") -> DataFrame:
     """(term, *key, tf, length): one row a term and chunk."""
     rows = chunks.select(*key, words_of(body).alias("words")).select(*key, F.size("words").alias("length"), F.explode("words").alias("term"))
@@ -28,46 +50,222 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def weight(mean: float | Column) -> Column:
+    """A posting's part of the score, without idf; below K1 + 1."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+
+
+def _idf(n: int, df: int) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+@dataclass
+class Segment:
+    name: str
+    n: int
+    words: int
+
+    @property
+    def mean(self) -> float:
+        return self.words / self.n if self.words else 1.0
+
+
+def segments(spark: SparkSession, path: str) -> list[Segment]:
+    """Those of the latest manifest."""
+    last = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+    return [Segment(*s) for s in last["segments"]]
+
+
+def _publish(spark: SparkSession, path: str, version: int, live: list[Segment]) -> None:
+    row = (version, [(s.name, s.n, s.words) for s in live])
+    spark.createDataFrame([row], "version long, segments array<struct<name:string,n:long,words:long>>").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _write_segment(p: DataFrame, key: list[str], path: str, n: int, words: int) -> Segment:
+    seg = Segment(f"seg-{uuid.uuid4().hex}", n, words)
+    level = F.least(F.lit(LEVELS - 1), F.floor((1 - weight(seg.mean) / (K1 + 1)) * LEVELS)).cast("int")
+    rows = p.select(_bucket(F.col("term")).alias("bucket"), "term", level.alias("level"), *key, "tf", "length")
+    order = ["bucket", "term", "level", *key]
+    # By ranges, so that several tasks share the list of a word that every chunk holds.
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/{seg.name}/postings")
+    back = p.sparkSession.read.schema(rows.schema).parquet(f"{path}/{seg.name}/postings")
+    blocks = back.groupBy("bucket", "term", "level").agg(F.count("*").alias("n"), F.max(weight(seg.mean)).alias("best"))
+    blocks = blocks.groupBy("bucket", "term").agg(F.sort_array(F.collect_list(F.struct("level", "n", "best"))).alias("blocks"))  # LEVELS at most
+    blocks.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/{seg.name}/terms")
+    return seg
+
+
+def _segment_of(chunks: DataFrame, key: list[str], path: str, body: str) -> Segment:
+    held = chunks.select(F.size(words_of(body)).alias("n")).agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    return _write_segment(postings(chunks, key, body), key, path, held["n"], held["words"])
+
+
 def write_index(chunks: DataFrame, key: list[str], path: str, body: str = "body") -> None:
-    """Postings in folders by bucket, sorted by term within files, so that a reader skips row groups; n and mean length beside them."""
-    p = postings(chunks, key, body).withColumn("bucket", _bucket(F.col("term")))
-    p.repartition("bucket", F.pmod(F.xxhash64(*key), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    chunks.select(F.size(words_of(body)).alias("n")).agg(F.count("*").alias("n"), F.avg("n").alias("mean")).write.parquet(f"{path}/counts")
-
-
-def search(spark: SparkSession, path: str, query: list[str], key: list[str], limit: int = 20) -> DataFrame:
-    """SRV3, SRT6: the best chunks that hold all words of the query, from the index: only the buckets and row groups of its terms are read."""
-    terms = spark.createDataFrame([(t,) for t in query], "term string").withColumn("bucket", _bucket(F.col("term")))
-    buckets = [r["bucket"] for r in terms.select("bucket").distinct().collect()]  # of the query's few words
-    p = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(*buckets) & F.col("term").isin(*query)).drop("bucket")
-    return ranked(p, spark.read.parquet(f"{path}/counts"), query, key, limit)
-
-
-def ranked(found: DataFrame, counts: DataFrame, query: list[str], key: list[str], limit: int) -> DataFrame:
-    """BM25 to six places over postings of the query's terms, of chunks that hold them all. ``counts`` is one row (n, mean)."""
-    df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row a query word
-    told = found.join(F.broadcast(df), "term").join(F.broadcast(counts))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    # Of sums in any order the last digits differ: one place each word keeps them in the query's order.
-    each = [F.sum(F.when(F.col("term") == t, part)).alias(f"s{i}") for i, t in enumerate(query)]
-    total = sum((F.col(f"s{i}") for i in range(1, len(query))), F.col("s0"))
-    hits = told.groupBy(*key).agg(*each).select(*key, F.round(total, 6).alias("score")).where("score is not null")
-    return hits.orderBy(F.desc("score"), *key).limit(limit)
-
-
-def search_once(chunks: DataFrame, query: list[str], key: list[str], limit: int = 20, body: str = "body", marked: bool = True) -> DataFrame:
-    """SRV3 without an index: one pass makes the postings of the query's words alone; with ``marked`` the best chunks bring a snippet of the first word."""
-    low = F.lower(body)
-    # Numbers of matches, not arrays of words: of most chunks nothing else is asked.
-    told = chunks.select(*key, F.regexp_count(low, F.lit(WORD)).cast("long").alias("length"), *[F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")).alias(f"t{i}") for i, t in enumerate(query)])
-    counts = chunks.select(F.regexp_count(low, F.lit(WORD)).alias("n")).agg(F.count("*").alias("n"), F.avg("n").alias("mean"))
-    tf = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"t{i}").cast("long").alias("tf")) for i, t in enumerate(query)])
-    own = told.select(*key, "length", F.explode(F.filter(tf, lambda v: v["tf"] > 0)).alias("v")).select(*key, "length", "v.*")
-    best = ranked(own, counts, query, key, limit)
+    """An index of one segment."""
+    _publish(chunks.sparkSession, path, 0, [_segment_of(chunks, key, path, body)])
+
+
+def _version(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/manifest").agg(F.max("version")).first()[0]
+
+
+def append_index(chunks: DataFrame, key: list[str], path: str, body: str = "body") -> None:
+    """Chunks of new keys as a segment more; one writer at a time."""
+    spark = chunks.sparkSession
+    live, version = segments(spark, path), _version(spark, path)
+    _publish(spark, path, version + 1, [*live, _segment_of(chunks, key, path, body)])
+
+
+def _postings(spark: SparkSession, path: str, live: list[Segment]) -> DataFrame:
+    each = [spark.read.parquet(f"{path}/{s.name}/postings") for s in live if s.words]
+    return reduce(DataFrame.unionByName, each)
+
+
+def merge_index(spark: SparkSession, key: list[str], path: str) -> None:
+    """All segments as one, levels by the mean of all; the old ones stay on disk for the searches that still read them."""
+    live, version = segments(spark, path), _version(spark, path)
+    if len(live) > 1 and any(s.words for s in live):
+        one = _write_segment(_postings(spark, path, live).select(*key, "term", "tf", "length"), key, path, sum(s.n for s in live), sum(s.words for s in live))
+        _publish(spark, path, version + 1, [one])
+
+
+@dataclass
+class Lists:
+    """The blocks of a query's words, best first: sizes, and the highest score in the blocks from each on."""
+
+    size: dict[str, list[tuple[int, int]]]
+    rest: dict[str, list[float]]
+
+    def bound(self, depth: dict[str, int]) -> float:
+        """What a chunk can score that no block read so far holds."""
+        return sum(r[min(depth[t], len(r) - 1)] for t, r in self.rest.items())
+
+    def read(self, depth: dict[str, int]) -> int:
+        return sum(n for t, s in self.size.items() for _, n in s[: depth[t]])
+
+    def spent(self, depth: dict[str, int]) -> bool:
+        """Whether a word's list is read to its end: a chunk that was not met lacks the word."""
+        return any(depth[t] >= len(s) for t, s in self.size.items())
+
+
+def _lists(spark: SparkSession, path: str, live: list[Segment], words: list[str], n: int, mean: float) -> tuple[Lists, dict[str, float]] | None:
+    held: dict[str, dict[int, list[float]]] = {t: {} for t in words}
+    dictionary = None
+    for s in (s for s in live if s.words):
+        # A chunk weighs more where the mean grows, by no more than the means' ratio.
+        d = spark.read.parquet(f"{path}/{s.name}/terms").where(F.col("term").isin(*words)).select("bucket", "term", "blocks", F.lit(max(1.0, mean / s.mean)).alias("ratio"))
+        dictionary = d if dictionary is None else dictionary.unionByName(d)
+    if dictionary is None:
+        return None
+    buckets = {r[0] for r in spark.createDataFrame([(t,) for t in words], "term string").select(_bucket(F.col("term"))).collect()}
+    for r in dictionary.where(F.col("bucket").isin(*buckets)).collect():  # a row a word and segment
+        for level, size, best in r["blocks"]:
+            b = held[r["term"]].setdefault(level, [0, 0.0])
+            b[0], b[1] = b[0] + size, max(b[1], best * r["ratio"])
+    idf = {t: _idf(n, int(sum(b[0] for b in held[t].values()))) for t in words}
+    size, rest = {}, {}
+    for t in words:
+        levels = sorted(held[t])
+        size[t] = [(v, int(held[t][v][0])) for v in levels]
+        tops = [idf[t] * held[t][v][1] for v in levels]
+        rest[t] = [max(tops[k:], default=0.0) for k in range(len(tops) + 1)]
+    return (Lists(size, rest), idf) if all(size.values()) else None
+
+
+def _first_depth(lists: Lists, least: int) -> dict[str, int]:
+    """Blocks that hold ``least`` postings of each word; if one word has no more than that, all of its list and nothing of the others."""
+    rarest = min(lists.size, key=lambda t: sum(n for _, n in lists.size[t]))
+    if sum(n for _, n in lists.size[rarest]) <= least:
+        return {t: len(s) if t == rarest else 0 for t, s in lists.size.items()}
+    depth = {}
+    for t, s in lists.size.items():
+        held = k = 0
+        while held < least:
+            held, k = held + s[k][1], k + 1
+        depth[t] = k
+    return depth
+
+
+def _deeper(lists: Lists, depth: dict[str, int], goal: float) -> dict[str, int]:
+    """Further blocks, always those that lower the bound most for a posting, until nothing unmet can reach ``goal``."""
+    depth = dict(depth)
+    while lists.bound(depth) >= goal and not lists.spent(depth):
+        gain = lambda t: max((lists.rest[t][depth[t]] - lists.rest[t][k]) / sum(n for _, n in lists.size[t][depth[t] : k]) for k in range(depth[t] + 1, len(lists.rest[t])))  # noqa: B023, E731
+        depth[max(lists.size, key=gain)] += 1
+    return depth
+
+
+@dataclass
+class Reading:
+    """How much a search read: postings of its words, of which so many in blocks and so many looked up."""
+
+    total: int = 0
+    blocks: int = 0
+    looked_up: int = 0
+
+
+def search(spark: SparkSession, path: str, query: str | list[str], key: list[str], limit: int = 20) -> DataFrame:
+    """SRV3, SRT6: the best chunks that hold all words of the query (*key, score), best first, of equals the smallest key. No word, no chunk."""
+    return search_read(spark, path, query, key, limit)[0]
+
+
+def search_read(spark: SparkSession, path: str, query: str | list[str], key: list[str], limit: int = 20) -> tuple[DataFrame, Reading]:
+    live, words = segments(spark, path), terms_of(query)
+    n, mean = sum(s.n for s in live), sum(s.words for s in live) / max(1, sum(s.n for s in live))
+    schema = spark.read.parquet(f"{path}/{live[0].name}/postings").select(*key).schema.add("score", "double")
+    known = _lists(spark, path, live, words, n, mean) if words and limit > 0 else None
+    if known is None:
+        return spark.createDataFrame([], schema), Reading()
+    lists, idf = known
+    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in words], "term string").select(_bucket(F.col("term"))).distinct().collect()]
+    all_of = _postings(spark, path, live).where(F.col("bucket").isin(*buckets)).select(*key, "term", "level", (weight(mean) * sum((F.when(F.col("term") == t, F.lit(v)).otherwise(0.0) for t, v in idf.items()), F.lit(0.0))).alias("part"))
+    parts = [F.max(F.when(F.col("term") == t, F.col("part"))).alias(f"s{i}") for i, t in enumerate(words)]
+    depth, goal, reading = _first_depth(lists, FIRST * limit), -math.inf, Reading(lists.read({t: len(s) for t, s in lists.size.items()}))
+    while True:
+        inside, outside, most = F.lit(False), F.lit(False), F.lit(0.0)
+        for i, t in enumerate(words):
+            last = lists.size[t][depth[t] - 1][0] if depth[t] else -1
+            inside = inside | ((F.col("term") == t) & (F.col("level") <= last))
+            outside = outside | ((F.col("term") == t) & (F.col("level") > last))
+            most = most + F.coalesce(f"s{i}", F.lit(lists.rest[t][depth[t]]))
+        met = settled(all_of.where(inside).groupBy(*key).agg(*parts).where(most >= goal - 1e-6))
+        lacking = met.where(F.greatest(*[F.col(f"s{i}").isNull().cast("int") for i in range(len(words))], F.lit(0)) == 1).select(*key)
+        ids = lacking.limit(LOOKED_UP + 1).collect()
+        rest = all_of.where(outside)
+        if len(ids) <= LOOKED_UP:
+            rest = rest.where(F.col(key[0]).isin(*{r[0] for r in ids}))
+        rest = settled(rest.join(lacking, key, "left_semi").groupBy(*key).agg(*parts))
+        reading.blocks = lists.read(depth)
+        reading.looked_up += rest.select(sum((F.col(f"s{i}").isNotNull().cast("long") for i in range(len(words))), F.lit(0)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        whole = met.unionByName(rest).groupBy(*key).agg(*[F.max(f"s{i}").alias(f"s{i}") for i in range(len(words))])
+        # Of sums in any order the last digits differ: one place each word keeps them in the query's order.
+        hits = whole.select(*key, F.round(sum((F.col(f"s{i}") for i in range(1, len(words))), F.col("s0")), 6).alias("score")).where("score is not null")
+        best = hits.orderBy(F.desc("score"), *key).limit(limit).collect()  # ``limit`` rows
+        if lists.spent(depth) or len(best) == limit and lists.bound(depth) < best[-1]["score"] - 1e-6:
+            return spark.createDataFrame(best, schema).orderBy(F.desc("score"), *key), reading
+        if len(best) == limit:
+            goal = best[-1]["score"]
+            depth = _deeper(lists, depth, goal - 1e-6)
+        else:
+            # Too few hold all words yet: the rarest word's list has them all.
+            depth = {t: len(s) if t == min(lists.size, key=lambda x: sum(k for _, k in lists.size[x])) else 0 for t, s in lists.size.items()}
+
+
+def search_once(chunks: DataFrame, query: str | list[str], key: list[str], limit: int = 20, body: str = "body", marked: bool = True) -> DataFrame:
+    """SRV3 without an index: one pass counts the query's words alone; with ``marked`` the best chunks bring a snippet of the first word."""
+    words, low = terms_of(query), F.lower(body)
+    # Numbers of matches, not arrays of words: of most chunks nothing else is asked. Words are letters and digits, so that they are safe in an expression.
+    told = settled(chunks.select(*key, F.regexp_count(low, F.lit(WORD)).cast("long").alias("length"), *[F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")).cast("long").alias(f"t{i}") for i, t in enumerate(words)]))
+    n, mean, *df = told.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(1.0)), *[F.count(F.when(F.col(f"t{i}") > 0, 1)) for i in range(len(words))]).first()
+    held, score = F.lit(bool(words)), F.lit(0.0)
+    for i in range(len(words)):
+        held = held & (F.col(f"t{i}") > 0)
+        part = _idf(n, df[i]) * (F.col(f"t{i}") * (K1 + 1) / (F.col(f"t{i}") + K1 * (1 - B + B * F.col("length") / (mean or 1.0))))
+        score = score + part if i else part
+    best = told.where(held).select(*key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), *key).limit(limit)
     if not marked:
         return best
-    return best.join(chunks.select(*key, F.col(body).alias("_body")), key).select(*key, "score", snippet(F.col("_body"), query[0]).alias("excerpt"))
+    return best.join(chunks.select(*key, F.col(body).alias("_body")), key).select(*key, "score", snippet(F.col("_body"), words[0] if words else "").alias("excerpt"))
 
 
 def snippet(body: Column, word: str, width: int = 18) -> Column:

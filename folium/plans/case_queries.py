@@ -176,7 +176,7 @@ CITATIONS = [
     ("NRC Ch 12; Fish film {k}", "author_short_chapter", None, None, None, "Ch 12", 0.7),
     ("Chapters 3.1, 3.2", "chapter_reference", None, None, None, "3.1, 3.2", 0.65),
     ("Sections 2.1 and 2.3 The limits of what can be known about one function, in Calculus of {k}", "numbered_sections_in_work", None, "The limits of what can be known about one function", "Calculus of {k}", "sections 2.1 and 2.3", 0.7),
-    ("Pages 29-37 in The Reader {k}", "page_range_in_work", None, None, "The Reader {k}", "29-37", 0.7),
+    ("Pages 29-37 in The Ledger {k}", "page_range_in_work", None, None, "The Ledger {k}", "29-37", 0.7),
     ("Someone, “A loose title {k},” a magazine", "quoted_title_loose", None, "A loose title {k}", "a magazine", None, 0.55),
     ("A page about {k}: https://a.org/x{k}", "titled_with_bare_url", None, "A page about {k}", None, None, 0.5),
     ("Book: Hazard of {k}; Chapter 1", "named_book_chapter", None, "Hazard of {k}", None, "1", 0.7),

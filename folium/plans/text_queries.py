@@ -35,7 +35,7 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RANKED)
 def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRV3, SRT6, JOIN4: the same from written postings: the search reads its own terms' buckets alone."""
+    """SRV3, SRT6: the same from written postings, of which the search reads the blocks of highest weight alone."""
     from folium.sources.io import scratch
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
@@ -44,6 +44,31 @@ def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search(spark, path, QUERY, ["doc_id"], 20)
 
 
+_GROWN = rf"""
+WITH w AS (SELECT kind, id, {_WORDS} AS words FROM (SELECT 'document' AS kind, doc_id AS id, coalesce(text, '') AS body FROM documents
+  UNION ALL SELECT 'turn', conv_id * 1000 + turn, coalesce(text, '') FROM conversations UNION ALL SELECT 'item', item_id, coalesce(text, '') FROM benchmark)),
+t AS (SELECT kind, id, len(words) AS n, len(list_filter(words, lambda x: x = 'with')) AS a, len(list_filter(words, lambda x: x = 'for')) AS b FROM w),
+c AS (SELECT count(*) AS n, avg(n) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM t)
+SELECT kind, id, round(ln(1 + (c.n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * t.n / mean))
+  + ln(1 + (c.n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * t.n / mean)), 6) AS score
+FROM t, c WHERE a > 0 AND b > 0 ORDER BY score DESC, kind, id LIMIT 25
+"""
+
+
+@query(_GROWN)
+def search_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRV3: an index of documents, turns appended and merged into it, items appended after that; the query says a word twice and in capitals."""
+    from folium.sources.io import scratch
+
+    texts = lambda t, kind, key: table(spark, sf_dir, t).select(F.lit(kind).alias("kind"), key.alias("id"), F.coalesce("text", F.lit("")).alias("body"))
+    path = scratch(spark, "postings")
+    S.write_index(texts("documents", "document", F.col("doc_id")), ["kind", "id"], path)
+    S.append_index(texts("conversations", "turn", F.col("conv_id") * 1000 + F.col("turn")), ["kind", "id"], path)
+    S.merge_index(spark, ["kind", "id"], path)
+    S.append_index(texts("benchmark", "item", F.col("item_id")), ["kind", "id"], path)
+    return S.search(spark, path, "With for, WITH!", ["kind", "id"], 25)
+
+
 @query(r"""
 SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents)
 GROUP BY ALL
