@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.functions import text as T
 from folium.operators import frontmatter as M
+from folium.operators import grams as H
 from folium.operators import search as S
 from folium.operators import segment as G
 from folium.registry import query, table
@@ -79,18 +82,51 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.postings(docs, ["doc_id"]).select("doc_id", "term", "tf")
 
 
-@query(r"""
-SELECT 'document' AS kind, doc_id AS id FROM documents WHERE contains(lower(text), 'licens')
-UNION ALL SELECT 'turn', conv_id * 1000 + turn FROM conversations WHERE contains(lower(text), 'licens')
-UNION ALL SELECT 'item', item_id FROM benchmark WHERE contains(lower(text), 'licens')
-""")
+#: Two characters, words that many kinds hold, a phrase with a space and capitals, one that no row holds.
+NEEDLES = ["ed", "widget", "SPECIFIED", "red ring", "license", "zqzq"]
+
+_FOUND = r"""
+WITH rows AS (
+SELECT 'Topic' AS kind, p_partkey AS id, CASE WHEN p_size <> 0 THEN 'Week ' || p_size ELSE '' END AS place, p_name AS body, p_name AS shown FROM part
+UNION ALL SELECT 'Reading', doc_id, '', coalesce(source, '') || ' ' || coalesce(text, ''), coalesce(source, '') FROM documents
+UNION ALL SELECT 'Your note', conv_id * 1000 + turn, CASE WHEN turn <> 0 THEN 'Week ' || turn ELSE '' END, coalesce(text, ''), coalesce(text, '') || ' — on ' || coalesce(role, '') FROM conversations
+UNION ALL SELECT 'Assignment', o_orderkey, strftime(o_orderdate, '%-m/%-d'), o_orderpriority || ' ' || o_orderstatus, o_orderpriority FROM orders
+UNION ALL SELECT 'Policy', page_id, '', coalesce(html, ''), left(flat, 160) || CASE WHEN length(flat) > 160 THEN '…' ELSE '' END FROM (SELECT *, trim(regexp_replace(html, '[ \t\n\r\f\v\x{00a0}]+', ' ', 'g')) AS flat FROM pages)),
+n AS (SELECT unnest(['ed', 'widget', 'SPECIFIED', 'red ring', 'license', 'zqzq']) AS needle)
+SELECT needle, kind, id, place, shown FROM rows, n WHERE contains(lower(body), lower(needle))
+"""
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five kinds, from parts, documents, turns, orders and pages."""
+    t = lambda name: table(spark, sf_dir, name)
+    one = F.lit(1).alias("course_id")
+    return H.searchable(
+        t("part").select(one, F.col("p_partkey").alias("id"), F.col("p_name").alias("topic"), F.col("p_size").alias("week")),
+        t("documents").select(one, F.col("doc_id").alias("id"), F.col("source").alias("cited"), F.col("text").alias("raw"), F.lit(None).cast("int").alias("week")),
+        t("conversations").select(one, (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("note"), F.col("role").alias("cited"), F.col("turn").alias("week")),
+        t("orders").select(one, F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("requirements"), F.col("o_orderdate").alias("due")),
+        t("pages").select(one, F.col("page_id").alias("id"), F.col("html").alias("body")),
+    )
+
+
+@query(_FOUND)
 def substring_search_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRV4, SET5: one needle in every kind of text."""
-    has = F.contains(F.lower("text"), F.lit("licens"))
-    d = table(spark, sf_dir, "documents").where(has).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"))
-    c = table(spark, sf_dir, "conversations").where(has).select(F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
-    b = table(spark, sf_dir, "benchmark").where(has).select(F.lit("item").alias("kind"), F.col("item_id").alias("id"))
-    return d.unionByName(c).unionByName(b)
+    """SRV4, SET5: needles in all five kinds of text, from the index of their runs of characters."""
+    from folium.sources.io import scratch
+
+    rows, path = _kinds(spark, sf_dir), scratch(spark, "grams")
+    H.write_grams(rows, ["kind", "id"], path)
+    hits = reduce(DataFrame.unionByName, [H.find(spark, path, n, ["kind", "id"]).select(F.lit(n).alias("needle"), "kind", "id") for n in NEEDLES])
+    return hits.join(rows.select("kind", "id", "place", "shown"), ["kind", "id"]).select("needle", "kind", "id", "place", "shown")
+
+
+@query(_FOUND)
+def substring_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRV4, SET5 without an index: one pass over all kinds."""
+    rows = _kinds(spark, sf_dir)
+    held = F.filter(F.array(*[F.lit(n) for n in NEEDLES]), lambda n: F.contains(F.lower("body"), F.lower(n)))
+    return rows.select(F.explode(held).alias("needle"), "kind", "id", "place", "shown")
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) AS text FROM documents")
