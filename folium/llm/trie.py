@@ -29,7 +29,7 @@ from folium.llm.common import runs, settle, table, text_of, width
 from folium.llm.manifest import crc_sql
 
 #: Base of the tiers: a component has at most as many nodes at one depth.
-FAN_OUT = 4096
+FAN_OUT = 256
 ROOT = b"\0" * 16
 SPACE = "[^\\x20\\x09-\\x0D]+"
 
