@@ -6,25 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.text import filename_words, tokens
+from folium.sources.io import settled
 
 # Weights of a match's parts, and the least score that counts.
 TITLE, SURNAME, YEAR, LEAST = 0.6, 0.25, 0.15, 0.45
 
 
+def rarest(rows: DataFrame, row_id: str, words: str, few: Column) -> DataFrame:
+    """(row_id, _key): of each row the ``few`` words (of ``_n``, their number) that fewest rows hold; equals in order."""
+    each = rows.select(row_id, F.explode(words).alias("_key"))
+    ranked = each.join(each.groupBy("_key").agg(F.count("*").alias("_df")), "_key").groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("_df", "_key"))).alias("_r"))
+    ranked = ranked.withColumn("_n", F.size("_r"))
+    return ranked.select(row_id, F.explode(F.slice("_r", F.lit(1), F.least(few, F.col("_n")).cast("int"))).alias("k")).select(row_id, F.col("k._key").alias("_key"))
+
+
+def enough(least: float) -> Column:
+    """How many of the rarest of ``_n`` words a row that holds the share ``least`` of them must hold one of."""
+    return F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1
+
+
 def candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: float) -> DataFrame:
     """Pairs whose left tokens cover at least ``least`` of the right ones, with the cover: (left_id, right_id, cover).
 
     A left row that holds ceil(least * n) of n tokens holds one of the n - ceil(least * n) + 1 rarest, so the right rows bring only
     those to the join: a common word is no key unless an item has no rarer ones, and no pair meets without one.
     """
+    left = settled(left.select(left_id, F.col(left_tokens).alias("_tokens")))
     own = right.select(right_id, F.col(right_tokens).alias("_words")).where(F.size("_words") > 0)
-    each = own.select(right_id, F.explode("_words").alias("_key"))
-    held = left.select(F.explode(left_tokens).alias("_key")).join(each.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_df"))
-    ranked = each.join(held, "_key", "left").groupBy(right_id).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_key"))).alias("_r"))
-    few = (F.size("_r") - F.ceil(F.size("_r") * least - 1e-9) + 1).cast("int")
-    keys = ranked.select(right_id, F.explode(F.slice("_r", F.lit(1), F.least(few, F.size("_r")))).alias("k")).select(right_id, F.col("k._key").alias("_key"))
-    met = left.select(left_id, F.explode(left_tokens).alias("_key")).join(keys, "_key").select(left_id, right_id).distinct()
-    both = met.join(left.select(left_id, F.col(left_tokens).alias("_tokens")), left_id).join(own, right_id)
+    met = left.select(left_id, F.explode("_tokens").alias("_key")).join(rarest(own, right_id, "_words", enough(least)), "_key").select(left_id, right_id).distinct()
+    both = met.join(left, left_id).join(own, right_id)
     cover = F.size(F.array_intersect("_tokens", "_words")) / F.size("_words")
     return both.select(left_id, right_id, cover.alias("cover")).where(F.col("cover") >= least)
 
@@ -39,40 +49,72 @@ def best_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 YEARS = r"\b(?:1[89]\d{2}|20\d{2})\b"
 
 
+def said_dois(docs: DataFrame, works: DataFrame, doc_id: str, work_id: str) -> DataFrame:
+    """Documents whose ``_text`` holds a work's DOI, wherever it stands and whatever follows: (doc_id, work_id), the first work's.
+
+    A DOI begins with "10."; from each such place on the text is cut at every length that a DOI has, and the pieces meet the DOIs.
+    """
+    known = works.where(F.col("_doi").startswith("10."))
+    lengths = [r[0] for r in known.select(F.length("_doi")).distinct().collect()]  # up to the length of the longest DOI
+    if not lengths:
+        return docs.select(doc_id, F.lit(None).cast(dict(works.dtypes)[work_id]).alias(work_id)).limit(0)
+    low = docs.select(doc_id, F.lower("_text").alias("_low")).where(F.contains("_low", F.lit("10.")))
+    places = F.filter(F.sequence(F.lit(1), F.length("_low")), lambda i: F.substring("_low", i, 3) == "10.")
+    cut = low.select(doc_id, "_low", F.explode(places).alias("_at")).select(doc_id, F.explode(F.array(*[F.substring("_low", F.col("_at"), F.lit(n)) for n in sorted(lengths)])).alias("_doi")).distinct()
+    return cut.join(known.select(work_id, "_doi"), "_doi").groupBy(doc_id).agg(F.min(work_id).alias(work_id))
+
+
 def match_documents(docs: DataFrame, works: DataFrame, doc_id: str = "doc_id", head: str = "head", filename: str | None = None, work_id: str = "work_id", least: float = LEAST) -> DataFrame:
     """JOIN7: for each document (its opening text and file name) the work (work_id, title, surnames array<string>, year, doi) that it is: doc_id, work_id, score, method.
 
-    A DOI in the text decides; the first in the works' order does. Else 0.6 of the title's share, 0.25 for a surname and 0.15 for the year must come to ``least``; of
-    equals the first work wins. How much of the title must be there depends on what else is: three quarters without surname and year, a third with the
-    surname, half with the year, a twelfth with both. So candidates meet four times, on the title's rarest words that may not all be missing, each
-    joined to what else they share: a word that all titles have makes pairs only among works of one author or year. Works without a title are
-    found by nothing but their DOI.
+    A DOI anywhere in the text decides; the first in the works' order does. Else 0.6 of the title's share, 0.25 for a surname and 0.15 for the year must
+    come to ``least``; of equals the first work wins. Works without a title are found by nothing but their DOI.
+
+    A pair is looked at only while it can win. First the documents meet the titles' rarest words, those of which one must be held where the title alone comes to
+    ``least``. What has not met there has less than that of the title's part, so a document whose best score is beyond ``least`` and the parts
+    of the surname and the year, so far as it names any, is done; all others meet again, on a surname and year, or on one of them and a rare word.
     """
     text = F.col(head) if filename is None else F.concat_ws("\n", filename_words(F.col(filename)), F.col(head))
     d = docs.select(doc_id, F.coalesce(text, F.lit("")).alias("_text"))
-    d = d.withColumn("_tokens", tokens(F.col("_text"))).withColumn("_years", F.array_distinct(F.regexp_extract_all("_text", F.lit(YEARS), F.lit(0))))
-    w = works.select(work_id, "title", F.transform(F.coalesce("surnames", F.array().cast("array<string>")), lambda v: F.lower(v)).alias("_names"), F.col("year").cast("string").alias("_year"), "doi").withColumn("_words", tokens(F.coalesce("title", F.lit(""))))
-    known = w.select(F.explode("_names").alias("_name")).distinct()
-    named = d.select(doc_id, F.explode("_tokens").alias("_name")).join(known, "_name").groupBy(doc_id).agg(F.collect_set("_name").alias("_signed"))
-    none = F.array().cast("array<string>")
-    d = d.join(named, doc_id, "left").withColumn("_signed", F.coalesce("_signed", none))
-    cross = lambda x, y: F.flatten(F.transform(x, lambda v: F.transform(y, lambda u: F.concat_ws("|", v, u))))
-    dated = F.when(F.col("_year").isNotNull(), F.array("_year")).otherwise(none)
-    routes = ((0.0, F.array(F.lit("")), F.array(F.lit(""))), (SURNAME, F.col("_signed"), F.col("_names")), (YEAR, F.col("_years"), dated), (SURNAME + YEAR, cross(F.col("_signed"), F.col("_years")), cross(F.col("_names"), dated)))
-    pairs = None
-    for bonus, left_tags, right_tags in routes:
-        left = d.select(doc_id, cross(left_tags, F.col("_tokens")).alias("_t")).where(F.size("_t") > 0)
-        right = w.select(work_id, "_words", F.explode(right_tags).alias("_tag")).select(F.struct(work_id, "_tag").alias("_pair"), cross(F.array("_tag"), F.col("_words")).alias("_w"))
-        found = candidates(left, right, doc_id, "_pair", "_t", "_w", (least - bonus) / TITLE - 1e-9).select(doc_id, F.col(f"_pair.{work_id}").alias(work_id), (TITLE * F.col("cover") + bonus).alias("score"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    scored = pairs.groupBy(doc_id, work_id).agg(F.max("score").alias("score")).withColumn("method", F.lit("author, title and year overlap"))
-    # DOIs meet as whole words of the text, cut at the signs that may not end one.
-    said = d.select(doc_id, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("_text"), F.lit(r"10\.\d{4,9}/[^\s,;\"'<>]+"), F.lit(0)), lambda v: F.regexp_replace(v, r"[.)\]]+$", "")))).alias("_doi"))
-    told = said.join(w.where("doi is not null").select(work_id, F.lower("doi").alias("_doi")), "_doi").select(doc_id, work_id, F.lit(1.0).alias("score"), F.lit("doi found in the document").alias("method"))
-    every = scored.where(F.col("score") >= least - 1e-9).unionByName(told)
-    rank = F.struct((F.col("method") == "doi found in the document").alias("d"), F.col("score"), -F.col(work_id))
-    best = every.groupBy(doc_id).agg(F.max_by(F.struct(work_id, "score", "method"), rank).alias("b"))
-    return best.select(doc_id, f"b.{work_id}", F.round(F.least("b.score", F.lit(1.0)), 3).alias("score"), "b.method")
+    d = settled(d.select("*", tokens(F.col("_text")).alias("_tokens"), F.array_distinct(F.regexp_extract_all("_text", F.lit(YEARS), F.lit(0))).alias("_years")))
+    names = F.filter(F.transform(F.coalesce("surnames", F.array().cast("array<string>")), lambda v: F.lower(v)), lambda v: v != "")
+    w = settled(works.select(work_id, names.alias("_names"), F.col("year").cast("string").alias("_year"), F.lower("doi").alias("_doi"), tokens(F.coalesce("title", F.lit(""))).alias("_words")))
+    told = settled(said_dois(d, w, doc_id, work_id))
+    d = d.drop("_text").join(told, doc_id, "left_anti")
+    titled = w.where(F.size("_words") > 0)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(d, doc_id).join(titled, work_id)
+        signed = F.arrays_overlap("_names", "_tokens")
+        dated = F.array_contains("_years", F.col("_year"))
+        part = lambda held, x: F.when(F.coalesce(held, F.lit(False)), x).otherwise(0.0)
+        score = TITLE * F.size(F.array_intersect("_words", "_tokens")) / F.size("_words") + part(signed, SURNAME) + part(dated, YEAR)
+        best = F.max_by(F.struct(work_id, F.col("_score").alias("score")), F.struct("_score", -F.col(work_id)))
+        return both.select(doc_id, work_id, score.alias("_score")).where(F.col("_score") >= least).groupBy(doc_id).agg(best.alias("b")).select(doc_id, "b.*")
+
+    def met(left: DataFrame, share: float, tag: Column | None = None, tags: Column | None = None) -> DataFrame:
+        """Pairs on one of the words that a document with so much of the title must hold, and on a tag where one is asked for."""
+        keys = rarest(titled, work_id, "_words", enough(share))
+        own = left.select(doc_id, F.explode("_tokens").alias("_key"), *([tag.alias("_tags")] if tag is not None else []))
+        if tag is None:
+            return own.join(keys, "_key").select(doc_id, work_id)
+        keys = keys.join(titled.select(work_id, F.explode(tags).alias("_tag")), work_id)
+        return own.select(doc_id, "_key", F.explode("_tags").alias("_tag")).join(keys, ["_key", "_tag"]).select(doc_id, work_id)
+
+    first = settled(scored(met(d, least / TITLE)))
+    # The most that a pair can come to that has not met: a document that cannot be beaten, or names no surname and no year, is done.
+    open_ = d.join(first.select(doc_id, F.col("score").alias("_best")), doc_id, "left").where(F.coalesce("_best", F.lit(0.0)) <= least + SURNAME + F.when(F.size("_years") > 0, YEAR).otherwise(0.0))
+    named = open_.select(doc_id, F.explode("_tokens").alias("_name")).join(titled.select(F.explode("_names").alias("_name")).distinct(), "_name").groupBy(doc_id).agg(F.collect_set("_name").alias("_signed"))
+    open_ = open_.join(named, doc_id, "left").withColumn("_signed", F.coalesce("_signed", F.array().cast("array<string>")))
+    reach = F.when(F.size("_signed") > 0, SURNAME).otherwise(0.0) + F.when(F.size("_years") > 0, YEAR).otherwise(0.0)
+    open_ = settled(open_.where((reach > 0) & (F.coalesce("_best", F.lit(0.0)) <= least + reach)).select(doc_id, "_tokens", "_years", "_signed"))
+    dated = F.array_compact(F.array("_year"))
+    pairs = met(open_, (least - SURNAME) / TITLE, F.col("_signed"), F.col("_names")).unionByName(met(open_, (least - YEAR) / TITLE, F.col("_years"), dated))
+    both = open_.select(doc_id, F.explode("_signed").alias("_name"), "_years").select(doc_id, "_name", F.explode("_years").alias("_year"))
+    pairs = pairs.unionByName(both.join(titled.select(work_id, F.explode("_names").alias("_name"), "_year"), ["_name", "_year"]).select(doc_id, work_id))
+    best = first.unionByName(scored(pairs)).groupBy(doc_id).agg(F.max_by(F.struct(work_id, "score"), F.struct("score", -F.col(work_id))).alias("b"))
+    found = best.select(doc_id, "b.*").select(doc_id, work_id, F.round(F.least("score", F.lit(1.0)), 3).alias("score"), F.lit("author, title and year overlap").alias("method"))
+    return found.unionByName(told.select(doc_id, work_id, F.lit(1.0).alias("score"), F.lit("doi found in the document").alias("method")))
 
 
 def prefix_semi(items: DataFrame, stems: DataFrame, name: str, stem: str, least: int = 4) -> DataFrame:

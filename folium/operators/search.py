@@ -11,6 +11,7 @@ chunk that it has not met cannot reach that score, whatever blocks remain (a thr
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import uuid
@@ -19,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folium.sources.io import settled
 
@@ -76,9 +78,13 @@ def segments(spark: SparkSession, path: str) -> list[Segment]:
     return [Segment(*s) for s in last["segments"]]
 
 
-def _publish(spark: SparkSession, path: str, version: int, live: list[Segment]) -> None:
-    row = (version, [(s.name, s.n, s.words) for s in live])
-    spark.createDataFrame([row], "version long, segments array<struct<name:string,n:long,words:long>>").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+def _key_of(spark: SparkSession, path: str) -> StructType:
+    return StructType.fromJson(json.loads(spark.read.parquet(f"{path}/manifest").orderBy(F.desc("version")).first()["key"]))
+
+
+def _publish(spark: SparkSession, path: str, version: int, live: list[Segment], key: StructType) -> None:
+    row = (version, [(s.name, s.n, s.words) for s in live], key.json())
+    spark.createDataFrame([row], "version long, segments array<struct<name:string,n:long,words:long>>, key string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
 def _write_segment(p: DataFrame, key: list[str], path: str, n: int, words: int) -> Segment:
@@ -102,7 +108,7 @@ def _segment_of(chunks: DataFrame, key: list[str], path: str, body: str) -> Segm
 
 def write_index(chunks: DataFrame, key: list[str], path: str, body: str = "body") -> None:
     """An index of one segment."""
-    _publish(chunks.sparkSession, path, 0, [_segment_of(chunks, key, path, body)])
+    _publish(chunks.sparkSession, path, 0, [_segment_of(chunks, key, path, body)], chunks.select(*key).schema)
 
 
 def _version(spark: SparkSession, path: str) -> int:
@@ -113,7 +119,7 @@ def append_index(chunks: DataFrame, key: list[str], path: str, body: str = "body
     """Chunks of new keys as a segment more; one writer at a time."""
     spark = chunks.sparkSession
     live, version = segments(spark, path), _version(spark, path)
-    _publish(spark, path, version + 1, [*live, _segment_of(chunks, key, path, body)])
+    _publish(spark, path, version + 1, [*live, _segment_of(chunks, key, path, body)], chunks.select(*key).schema)
 
 
 def _postings(spark: SparkSession, path: str, live: list[Segment]) -> DataFrame:
@@ -126,7 +132,7 @@ def merge_index(spark: SparkSession, key: list[str], path: str) -> None:
     live, version = segments(spark, path), _version(spark, path)
     if len(live) > 1 and any(s.words for s in live):
         one = _write_segment(_postings(spark, path, live).select(*key, "term", "tf", "length"), key, path, sum(s.n for s in live), sum(s.words for s in live))
-        _publish(spark, path, version + 1, [one])
+        _publish(spark, path, version + 1, [one], _key_of(spark, path))
 
 
 @dataclass
@@ -212,7 +218,7 @@ def search(spark: SparkSession, path: str, query: str | list[str], key: list[str
 def search_read(spark: SparkSession, path: str, query: str | list[str], key: list[str], limit: int = 20) -> tuple[DataFrame, Reading]:
     live, words = segments(spark, path), terms_of(query)
     n, mean = sum(s.n for s in live), sum(s.words for s in live) / max(1, sum(s.n for s in live))
-    schema = spark.read.parquet(f"{path}/{live[0].name}/postings").select(*key).schema.add("score", "double")
+    schema = _key_of(spark, path).add("score", "double")
     known = _lists(spark, path, live, words, n, mean) if words and limit > 0 else None
     if known is None:
         return spark.createDataFrame([], schema), Reading()

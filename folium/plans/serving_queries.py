@@ -252,15 +252,43 @@ SELECT o_orderkey, CASE WHEN k = 3 THEN NULL ELSE o_custkey END AS work_id, CASE
 def document_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN7: documents written from orders: by DOI, by title, surname and year, by the title alone; those that name none match nothing."""
     key, k = F.col("o_custkey"), F.col("o_orderkey") % 4
-    w = Tables(spark, sf_dir).get("customer").select(F.col("c_custkey").alias("work_id"), F.format_string("ledger account q%06d", "c_custkey").alias("title"), F.array(F.concat(F.lit("Owner"), F.char(F.col("c_nationkey") + 97))).alias("surnames"), (F.col("c_custkey") % 50 + 1950).cast("int").alias("year"), F.concat(F.lit("10.1234/q"), "c_custkey").alias("doi"))
+    w = Tables(spark, sf_dir).get("customer").select(F.col("c_custkey").alias("work_id"), F.format_string("ledger account q%06d", "c_custkey").alias("title"), F.array(F.concat(F.lit("Owner"), F.char(F.col("c_nationkey") + 97))).alias("surnames"), (F.col("c_custkey") % 50 + 1950).cast("int").alias("year"), F.format_string("10.1234/q%06d", "c_custkey").alias("doi"))
     o = Tables(spark, sf_dir).get("orders").join(w.select(F.col("work_id").alias("o_custkey"), "surnames", "year"), "o_custkey")
     title = F.format_string("ledger account q%06d", "o_custkey")
-    head = F.when(k == 0, F.concat(F.lit("see doi:10.1234/Q"), key, F.lit("."))).when(k == 1, F.concat_ws(" ", F.lit("The"), title, F.lit("by"), F.get("surnames", 0), F.col("year").cast("string"))).when(k == 2, F.lit("no opening")).otherwise("words without any work")
+    head = F.when(k == 0, F.concat(F.lit("see doi:10.1234/Q"), F.format_string("%06d", key), F.lit("."))).when(k == 1, F.concat_ws(" ", F.lit("The"), title, F.lit("by"), F.get("surnames", 0), F.col("year").cast("string"))).when(k == 2, F.lit("no opening")).otherwise("words without any work")
     name = F.when(k == 2, F.concat(F.replace(title, F.lit(" "), F.lit("_")), F.lit(".pdf"))).otherwise("scan.pdf")
     docs = o.select("o_orderkey", head.alias("head"), name.alias("filename"))
     return M.match_documents(docs, w, "o_orderkey", "head", "filename").select("o_orderkey", "work_id", "score")
 
 
+@query("""
+WITH d AS (SELECT o_orderkey, lower('see 10.1234/Q' || o_custkey || ')x' || (o_orderkey % 7)) AS head FROM orders), w AS (SELECT c_custkey, '10.1234/q' || c_custkey AS doi FROM customer)
+SELECT o_orderkey, min(c_custkey) AS work_id, 1.0::DOUBLE AS score, 'doi found in the document' AS method FROM d JOIN w ON contains(head, doi) GROUP BY o_orderkey
+""")
+def doi_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN7: a DOI is found as part of the text, whatever follows it; of several that stand there (one may begin another) the first work's wins."""
+    t = Tables(spark, sf_dir)
+    w = t.get("customer").select(F.col("c_custkey").alias("work_id"), F.lit(None).cast("string").alias("title"), F.array().cast("array<string>").alias("surnames"), F.lit(None).cast("int").alias("year"), F.concat(F.lit("10.1234/Q"), "c_custkey").alias("doi"))
+    docs = t.get("orders").select("o_orderkey", F.concat(F.lit("see 10.1234/Q"), "o_custkey", F.lit(")x"), F.col("o_orderkey") % 7).alias("head"))
+    return M.match_documents(docs, w, "o_orderkey", "head")
+
+
+@query("""
+WITH w AS (SELECT c_custkey, ['paper', 'n' || c_custkey % 40, 'topic', 'k' || c_custkey % 13] AS words, ['son' || c_custkey % 9] AS names, (1950 + c_custkey % 30)::VARCHAR AS y FROM (SELECT s_suppkey AS c_custkey FROM supplier)),
+d AS (SELECT o_orderkey, ['paper', 'n' || o_custkey % 40, 'kind', 'k' || o_orderkey % 13] AS words, 'son' || o_orderkey % 11 AS name, (1950 + o_orderkey % 31)::VARCHAR AS y FROM orders),
+s AS (SELECT o_orderkey, c_custkey, 0.6e0 * len(list_filter(list_distinct(w.words), lambda x: list_contains(d.words, x) AND length(x) > 2)) / len(list_filter(list_distinct(w.words), lambda x: length(x) > 2))
+  + CASE WHEN list_contains(w.names, d.name) THEN 0.25e0 ELSE 0e0 END + CASE WHEN w.y = d.y THEN 0.15e0 ELSE 0e0 END AS score FROM d, w)
+SELECT o_orderkey, c_custkey AS work_id, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, c_custkey) AS n FROM s WHERE score >= 0.45e0) WHERE n = 1
+""")
+def scored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN7: titles of common words, names and years that agree for some works only; the best of all pairs, as comparing each with each would find it."""
+    t = Tables(spark, sf_dir)
+    c, o, k = F.col("s_suppkey"), F.col("o_custkey"), F.col("o_orderkey")
+    w = t.get("supplier").select(c.alias("work_id"), F.concat(F.lit("paper N"), c % 40, F.lit(" topic k"), c % 13).alias("title"), F.array(F.concat(F.lit("Son"), c % 9)).alias("surnames"), (c % 30 + 1950).cast("int").alias("year"), F.lit(None).cast("string").alias("doi"))
+    docs = t.get("orders").select("o_orderkey", F.concat(F.lit("A paper, n"), o % 40, F.lit(" (kind K"), k % 13, F.lit(") by SON"), k % 11, F.lit(", "), k % 31 + 1950).alias("head"))
+    return M.match_documents(docs, w, "o_orderkey", "head").select("o_orderkey", "work_id", "score")
+
+
 @query("""
 SELECT p_partkey AS id, p_name AS title, CASE WHEN p_size % 2 = 0 THEN 'tick ' || (p_partkey % 10) END AS mark FROM part
 """)
