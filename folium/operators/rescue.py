@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.functions.dates import blank
 from folium.functions.text import LOOKUP_STOP, tokens
-
-# The share of a title that must stand in the line, how far years may lie apart, cues of a reference, venues that are none.
-COVER, YEARS, WORDS = 0.9, 1, 3
-NO_READING = r"(?i)^\s*(?:tba|tbd|none|no reading|readings? tba|handout|in class|see (?:the )?(?:elc|course site|website|syllabus)|to be (?:announced|assigned|determined))\b"
-QUOTED = r"[\"“][^\"”]{12,}[\"”]"
-AUTHORISH = r"[A-Z][a-z]+,\s*[A-Z]|[A-Z]\.\s*[A-Z]?\.?\s*[A-Z][a-z]+|&|et al"
-REFERENCE_WORK = r"(?i)\b(?:who's who|year ?book|guide|a to z|encyclopa?edia|dictionary|companion|handbook of|abstracts|index)\b"
+from folium.operators.matching import enough, fill_empty, rarest
+from folium.sources.io import settled
+
+# The share of a title that must stand in the line, how far years may lie apart, the least words of a title, how many candidates are kept.
+COVER, YEARS, WORDS, KEPT = 0.9, 1, 3, 5
+OVERLAP, HITS = 0.6, 3
+# What says that there is no reading, and names of works of reference.
+NO_READINGS = (
+    "tba", "tbd", "none", "no reading", "reading tba", "readings tba", "handout", "in class", "see elc", "see the elc", "see course site", "see the course site", "see website", "see the website",
+    "see syllabus", "see the syllabus", "to be announced", "to be assigned", "to be determined",
+)
+REFERENCE_WORKS = ("who's who", "yearbook", "year book", "guide", "a to z", "encyclopedia", "encyclopaedia", "dictionary", "companion", "handbook of", "abstracts", "index")
+NO_READING = rf"(?i)^\s*(?:{'|'.join(NO_READINGS)})\b"
+REFERENCE_WORK = rf"(?i)\b(?:{'|'.join(REFERENCE_WORKS)})\b"
+#: The fields that a work fills.
+FILLED = ("authors", "title", "container", "publisher", "volume", "issue", "pages", "doi", "url", "year")
 WORK_TYPES = {
     "journal-article": "journal_article", "book-chapter": "book_chapter", "book-part": "book_chapter", "book": "book", "monograph": "book", "edited-book": "book", "reference-book": "book",
     "report": "report", "report-component": "report",
@@ -29,41 +39,82 @@ def work_type(x: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in WORK_TYPES.items() for v in kv]), x), F.lit("unknown"))
 
 
+def signed(x: Column) -> Column:
+    """Some sign of an author: a surname before an initial or behind one, an "&", others left out."""
+    return x.contains("&") | x.contains("et al") | x.rlike(r"[A-Z][a-z]+,\s*[A-Z]") | x.rlike(r"[A-Z]\.\s*(?:[A-Z]\.?\s*)?[A-Z][a-z]+")
+
+
 def worth_rescuing(raw: Column) -> Column:
     """EXT19: long enough, no bare link and no placeholder, four words, and a quoted title, or a year with some sign of an author."""
     x = F.trim(raw)
-    quoted = x.rlike(QUOTED)
-    return (F.length(x) >= 25) & ~x.rlike(r"(?i)^\S*https?://\S+$") & ~x.rlike(NO_READING) & (F.size(words(x)) >= 4) & (quoted | (x.rlike(r"\b(?:19|20)[0-9]{2}\b") & x.rlike(AUTHORISH)))
+    quoted = F.exists(F.regexp_extract_all(x, F.lit("[\"“]([^\"”]+)[\"”]"), F.lit(1)), lambda q: F.length(q) >= 12)
+    link = F.contains(F.lower(x), F.lit("://")) & ~x.rlike(r"\s")
+    return (F.length(x) >= 25) & ~link & ~x.rlike(NO_READING) & (F.size(words(x)) >= 4) & (quoted | ((F.size(years_of(x)) > 0) & signed(x)))
 
 
 def years_of(raw: Column) -> Column:
     return F.transform(F.regexp_extract_all(raw, F.lit(r"\b(?:19|20)[0-9]{2}\b"), F.lit(0)), lambda y: y.cast("int"))
 
 
-def rescues(lines: DataFrame, works: DataFrame, line_id: str, raw: str, work_id: str, title: str, surname: str, year: str, container: str | None = None) -> DataFrame:
-    """EXT20: for each line the work whose title it covers, whose first author it names (where it has one) and whose year it states, give or take
-    one (any year where the work has none), and whose container is no reference work.
+def shortlist(lines: DataFrame, works: DataFrame, line_id: str, raw: str, work_id: str, title: str, surname: str, year: str, container: str | None = None, most: int = KEPT) -> DataFrame:
+    """SRC15, EXT19, EXT20: the ``most`` best works of each line that is worth it: line_id, work_id, place, cover, agrees.
 
-    Lines and works meet on the title's rarest word among all titles, so the join is an equi-join; the gates decide.
-    A line that covers 0.9 of a title may lack that word, so works also bring as many next rarest words as may be missing.
+    A work comes to a line whose words cover ``COVER`` of its title. A line that covers so much holds one of the title's rarest words that may not all be missing, so lines and
+    works meet on these in one join of all lines. What agrees with the line in its first author (where the work has one) and a stated year (give or take one; any
+    where the work has none), and is in no work of reference, comes first; then what covers more, then the longer title, then the smaller id. Each line keeps its
+    best while the pairs are dealt, so that no line gathers all its candidates, and the limit never hides a work that agrees behind ones that do not.
     """
-    named = works.select(work_id, F.col(title).alias("_title"), F.col(surname).alias("_surname"), F.col(year).alias("_year"), words(F.col(title)).alias("_words")).where(F.size("_words") >= WORDS)
-    if container:
-        named = named.join(works.where(F.col(container).rlike(REFERENCE_WORK)).select(work_id), work_id, "left_anti")
-    each = named.select(work_id, F.explode("_words").alias("_key"))
-    ranked = each.join(each.groupBy("_key").agg(F.count("*").alias("_df")), "_key").groupBy(work_id).agg(F.sort_array(F.collect_list(F.struct("_df", "_key"))).alias("_ranked"))
-    # A line with ceil(0.9 n) of n words has one of the n - ceil(0.9 n) + 1 rarest at least.
-    few = (F.size("_ranked") - F.ceil(F.size("_ranked") * COVER) + 1).cast("int")
-    keys = ranked.select(work_id, F.explode(F.slice("_ranked", F.lit(1), few)).alias("_r")).select(work_id, F.col("_r._key").alias("_key"))
-    cand = named.join(keys, work_id)
-    probes = lines.where(worth_rescuing(F.col(raw))).select(line_id, F.col(raw).alias("_raw"), words(F.col(raw)).alias("_tokens"))
-    met = probes.withColumn("_key", F.explode("_tokens")).join(cand, "_key").dropDuplicates([line_id, work_id])
+    no = F.lit(False) if container is None else F.coalesce(F.col(container).rlike(REFERENCE_WORK), F.lit(False))
+    own = settled(works.select(work_id, F.col(surname).alias("_surname"), F.col(year).alias("_year"), no.alias("_no"), words(F.col(title)).alias("_words")).where(F.size("_words") >= WORDS))
+    probes = settled(lines.where(worth_rescuing(F.col(raw))).select(line_id, F.lower(raw).alias("_raw"), words(F.col(raw)).alias("_tokens"), years_of(F.col(raw)).alias("_stated")))
+    met = probes.select(line_id, F.explode("_tokens").alias("_key")).join(rarest(own, work_id, "_words", enough(COVER)), "_key").select(line_id, work_id).distinct()
     cover = F.size(F.array_intersect("_tokens", "_words")) / F.size("_words")
-    signed = F.col("_surname").isNull() | F.contains(F.lower("_raw"), F.lower("_surname"))
-    dated = F.exists(years_of(F.col("_raw")), lambda y: F.col("_year").isNull() | (F.abs(y - F.col("_year")) <= YEARS))
-    good = met.withColumn("cover", cover).where((F.col("cover") >= COVER) & signed & dated)
-    best = good.groupBy(line_id).agg(F.max_by(F.struct(work_id, "cover"), F.struct(F.col("cover"), -F.col(work_id))).alias("b"))
-    return best.select(line_id, "b.*", F.lit(0.9).alias("confidence"))
+    named = F.col("_surname").isNull() | F.contains("_raw", F.lower("_surname"))
+    dated = F.exists("_stated", lambda y: F.col("_year").isNull() | (F.abs(y - F.col("_year")) <= YEARS))
+    good = met.join(probes, line_id).join(own, work_id).select(line_id, work_id, cover.alias("cover"), F.size("_words").alias("_n"), (named & dated & ~F.col("_no")).alias("agrees")).where(F.col("cover") >= COVER)
+    best = Window.partitionBy(line_id).orderBy(F.desc("agrees"), F.desc("cover"), F.desc("_n"), work_id)
+    return good.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).select(line_id, work_id, "place", "cover", "agrees")
+
+
+def rescues(lines: DataFrame, works: DataFrame, line_id: str, raw: str, work_id: str, title: str, surname: str, year: str, container: str | None = None) -> DataFrame:
+    """EXT20: for each line the best work that agrees with it, how much of its title the line covers, and the confidence that this gives."""
+    best = shortlist(lines, works, line_id, raw, work_id, title, surname, year, container, 1)
+    return best.where("agrees").select(line_id, work_id, "cover", F.lit(0.9).alias("confidence"))
+
+
+def display(names: Column, year: Column, title: Column, container: Column, publisher: Column, volume: Column, issue: Column, pages: Column) -> Column:
+    """One line for the review: names and year, title, where it appeared."""
+    head = F.concat_ws(" ", blank(names), year.cast("string"))
+    counted = F.concat(F.lit(" "), blank(volume), F.coalesce(F.concat(F.lit("."), blank(issue)), F.lit("")))
+    line = F.when(blank(title).isNull(), head).otherwise(F.concat_ws(". ", blank(head), title))
+    return F.concat(line, F.coalesce(F.concat(F.lit(". "), F.coalesce(blank(container), blank(publisher))), F.lit("")), F.coalesce(counted, F.lit("")), F.coalesce(F.concat(F.lit(": "), blank(pages)), F.lit("")))
+
+
+def rescued(lines: DataFrame, works: DataFrame, line_id: str, raw: str, work_id: str, source: str = "index") -> DataFrame:
+    """EXT19-EXT23 in one: lines that no shape fits, looked up among works (work_id, ``FILLED``, type; authors array<struct<surname,given,literal>>): the work's
+    fields, how it reads, the pattern ``<source>_lookup`` and the confidence of an accepted suggestion."""
+    first = F.get("authors", 0)
+    found = rescues(lines, works.withColumn("_first", first["surname"]), line_id, raw, work_id, "title", "_first", "year", "container")
+    names = F.array_join(F.transform("authors", lambda a: F.coalesce(a["surname"], a["literal"])), ", ")
+    shown = display(names, F.col("year"), F.col("title"), F.col("container"), F.col("publisher"), F.col("volume"), F.col("issue"), F.col("pages"))
+    told = works.select(work_id, *FILLED, work_type(F.col("type")).alias("work_type"), shown.alias("display"))
+    return found.join(told, work_id).select(line_id, work_id, "cover", *FILLED, "work_type", "display", F.lit(f"{source}_lookup").alias("matched_pattern"), "confidence")
+
+
+def looked_up(citations: DataFrame, works: DataFrame, key: str, work_id: str, cells: list[str], locked: DataFrame | None = None) -> DataFrame:
+    """EXT21, EXT22: citations (key, title, surname, year, cells..) whose empty cells the first plausible of the ``HITS`` best works fills; cells and the number of fills.
+
+    A work is a hit where it has more than ``OVERLAP`` of the citation's title words; those of the same first author come first, then those that share more, then the smaller id.
+    """
+    bag = lambda x: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9 ]", ""), r"\s+"), lambda w: w != ""))
+    own = settled(citations.select(key, F.col("title").alias("_title"), F.lower("surname").alias("_name"), F.col("year").alias("_year"), bag(F.col("title")).alias("_words")).where(F.size("_words") > 0))
+    known = settled(works.select(work_id, F.col("title").alias("_found"), F.lower("surname").alias("_by"), F.col("year").alias("_then"), bag(F.col("title")).alias("_held")))
+    met = known.select(work_id, F.explode("_held").alias("_key")).join(rarest(own, key, "_words", enough(OVERLAP)), "_key").select(key, work_id).distinct().join(own, key).join(known, work_id)
+    share = F.size(F.array_intersect("_words", "_held")) / F.size("_words")
+    best = Window.partitionBy(key).orderBy(F.desc(F.col("_name").eqNullSafe(F.col("_by"))), F.desc("_share"), work_id)
+    hits = met.withColumn("_share", share).where(F.col("_share") > OVERLAP).withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= HITS)
+    good = hits.where(plausible(F.col("_title"), F.col("_found"), F.col("_year"), F.col("_then"))).groupBy(key).agg(F.min_by(work_id, "_place").alias(work_id))
+    return fill_empty(citations, good.join(works.select(work_id, *cells), work_id).drop(work_id), key, cells, locked)
 
 
 def plausible(title: Column, found: Column, year: Column, found_year: Column) -> Column:

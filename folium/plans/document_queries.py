@@ -365,6 +365,69 @@ def rescued_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rescue.rescues(lines, c, "o_orderkey", "raw", "c_custkey", "title", "surname", "year")
 
 
+_SEGMENTS = ["building", "machinery", "furniture", "household", "automobile"]
+#: Works of customers, several to a title, and lines of parts that name title, author and year of some; both by all pairs.
+_LINES = r"""
+WITH w AS (SELECT c_custkey, ['survey', lower(c_mktsegment), 'trade', 'number', 'n' || c_custkey % 200 || 'x'] AS words, 'nation' || chr(97 + c_nationkey) AS surname, 1950 + c_custkey % 50 AS y, c_custkey % 7 = 0 AS no FROM customer),
+l AS (SELECT p_partkey, ['nation' || chr(97 + (p_partkey % 25)::INT), 'survey', ['building', 'machinery', 'furniture', 'household', 'automobile'][p_size % 5 + 1], 'trade', 'number', 'n' || p_partkey % 200 || 'x', (1950 + p_size)::VARCHAR] AS words,
+  'nation' || chr(97 + (p_partkey % 25)::INT) AS surname, 1950 + p_size AS y FROM part),
+g AS (SELECT p_partkey, c_custkey, len(list_filter(w.words, lambda x: list_contains(l.words, x)))::DOUBLE / 5 AS cover, w.surname = l.surname AND abs(w.y - l.y) <= 1 AND NOT no AS agrees FROM l, w),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY agrees DESC, cover DESC, c_custkey) AS place FROM g WHERE cover >= 0.9)
+"""
+
+
+def _looked_up(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c, p = F.col("c_custkey"), F.col("p_partkey")
+    name = lambda n: F.concat(F.lit("Nation"), F.char(n + 97))
+    works = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(F.lit("A survey of "), F.lower("c_mktsegment"), F.lit(" trade: number n"), c % 200, F.lit("x")).alias("title"), F.array(F.struct(name(F.col("c_nationkey")).alias("surname"), F.lit("C.").alias("given"), F.lit(None).cast("string").alias("literal"))).alias("authors"),
+        (c % 50 + 1950).cast("int").alias("year"), F.when(c % 7 == 0, "Handbook of Trade").otherwise("Journal of Trade").alias("container"), F.lit("Press").alias("publisher"), (c % 30).cast("string").alias("volume"), F.when(c % 2 == 0, (c % 4).cast("string")).alias("issue"), F.lit("1-9").alias("pages"),
+        F.concat(F.lit("10.1234/"), c).alias("doi"), F.lit(None).cast("string").alias("url"), F.when(c % 3 == 0, "monograph").otherwise("journal-article").alias("type"),
+    )
+    segment = F.get(F.array(*[F.lit(x) for x in _SEGMENTS]), F.col("p_size") % 5)
+    lines = table(spark, sf_dir, "part").select("p_partkey", F.concat(name(p % 25), F.lit(", C. The survey of "), segment, F.lit(" trade, number N"), p % 200, F.lit("x ("), F.col("p_size") + 1950, F.lit(")")).alias("raw"))
+    return lines, works
+
+
+@query(_LINES + "SELECT p_partkey, c_custkey, place, cover, agrees FROM r WHERE place <= 5")
+def rescue_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC15, EXT19, EXT20: the five best works of every line."""
+    from folium.operators import rescue
+
+    lines, works = _looked_up(spark, sf_dir)
+    return rescue.shortlist(lines, works.withColumn("surname", F.get("authors", 0)["surname"]), "p_partkey", "raw", "c_custkey", "title", "surname", "year", "container")
+
+
+@query(_LINES + """SELECT p_partkey, c_custkey, 'Nation' || chr(97 + c_nationkey) AS author, 'A survey of ' || lower(c_mktsegment) || ' trade: number n' || c_custkey % 200 || 'x' AS title, (1950 + c_custkey % 50)::INTEGER AS year, '10.1234/' || c_custkey AS doi,
+  CASE WHEN c_custkey % 3 = 0 THEN 'book' ELSE 'journal_article' END AS work_type,
+  'Nation' || chr(97 + c_nationkey) || ' ' || (1950 + c_custkey % 50) || '. A survey of ' || lower(c_mktsegment) || ' trade: number n' || c_custkey % 200 || 'x. Journal of Trade ' || c_custkey % 30 || CASE WHEN c_custkey % 2 = 0 THEN '.' || c_custkey % 4 ELSE '' END || ': 1-9' AS display,
+  'index_lookup' AS matched_pattern, 0.9 AS confidence FROM r JOIN customer USING (c_custkey) WHERE place = 1 AND agrees""")
+def rescued_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT19-EXT23: lines looked up, gated, filled and marked in one chain."""
+    from folium.operators import rescue
+
+    got = rescue.rescued(*_looked_up(spark, sf_dir), "p_partkey", "raw", "c_custkey")
+    return got.select("p_partkey", "c_custkey", F.get("authors", 0)["surname"].alias("author"), "title", "year", "doi", "work_type", "display", "matched_pattern", "confidence")
+
+
+@query("""
+WITH w AS (SELECT s_suppkey, ['report', 'on', 'depot', 'k' || s_suppkey % 40] AS words, 'owner' || s_nationkey AS surname, (1990 + s_suppkey % 20)::INT AS y, 'Port ' || s_suppkey AS publisher, CASE WHEN s_suppkey % 4 > 0 THEN 'v' || s_suppkey END AS volume FROM supplier),
+c AS (SELECT c_custkey, ['report', 'on', 'depot', 'k' || c_custkey % 60] AS words, 'owner' || c_nationkey AS surname, CASE WHEN c_custkey % 5 > 0 THEN (1990 + c_custkey % 20)::INT END AS y, CASE WHEN c_custkey % 3 = 0 THEN 'Held' END AS publisher FROM customer),
+h AS (SELECT c_custkey, s_suppkey, w.publisher, w.volume, c.y IS NULL OR abs(c.y - w.y) <= 1 AS good, len(list_filter(c.words, lambda x: list_contains(w.words, x)))::DOUBLE / 4 AS share, c.surname = w.surname AS same FROM c, w),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY same DESC, share DESC, s_suppkey) AS place FROM h WHERE share > 0.6),
+f AS (SELECT c_custkey, min_by(publisher, place) AS found, (min_by([volume], place))[1] AS volume FROM r WHERE place <= 3 AND good GROUP BY c_custkey)
+SELECT c_custkey, coalesce(c.publisher, found) AS publisher, volume, ((c.publisher IS NULL AND found IS NOT NULL)::INT + (volume IS NOT NULL)::INT) AS fills FROM c LEFT JOIN f USING (c_custkey)
+""")
+def filled_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT21, EXT22: empty fields of citations, from the first plausible of three hits."""
+    from folium.operators import rescue
+
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    works = table(spark, sf_dir, "supplier").select(s.alias("work"), F.concat(F.lit("Report on depot K"), s % 40).alias("title"), F.concat(F.lit("Owner"), "s_nationkey").alias("surname"), (s % 20 + 1990).cast("int").alias("year"), F.concat(F.lit("Port "), s).alias("publisher"), F.when(s % 4 > 0, F.concat(F.lit("v"), s)).alias("volume"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Report, on depot k"), c % 60).alias("title"), F.concat(F.lit("Owner"), "c_nationkey").alias("surname"), F.when(c % 5 > 0, (c % 20 + 1990).cast("int")).alias("year"), F.when(c % 3 == 0, "Held").alias("publisher"), F.lit(None).cast("string").alias("volume"))
+    return rescue.looked_up(rows, works, "c_custkey", "work", ["publisher", "volume"]).select("c_custkey", "publisher", "volume", "fills")
+
+
 # ---- grids from runs and rules
 
 
