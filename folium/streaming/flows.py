@@ -1,10 +1,13 @@
-"""Structured Streaming: an inbox keyed by content hash, late matches, latest-wins state, windows over event time."""
+"""Structured Streaming: an inbox keyed by content hash and documents that wait for their works, both with keyed state; latest-wins state, windows over event time."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
 def inbox(spark: SparkSession, path: str, schema, hash_of: str = "text") -> DataFrame:
@@ -12,22 +15,103 @@ def inbox(spark: SparkSession, path: str, schema, hash_of: str = "text") -> Data
     return spark.readStream.schema(schema).parquet(path).withColumn("file_hash", F.sha2(hash_of, 256))
 
 
-def append_new(stream: DataFrame, target: str, checkpoint: str, key: str = "file_hash") -> StreamingQuery:
-    """STR1: each content once, however often it arrives: a batch's rows that the target lacks are appended."""
+class _First(StatefulProcessor):
+    """Lets the first row of a key through, for as long as the key is remembered."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "here boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.seen.exists()
+        for batch in rows:
+            if not known and len(batch):
+                known = True
+                self.seen.update((True,))
+                yield batch.head(1)
+
+    def close(self) -> None:
+        pass
+
+
+def first_of_each(stream: DataFrame, key: str = "file_hash", days: int | None = None) -> DataFrame:
+    """STR1: each content once, however often and in however many batches it arrives; state knows what has been seen (for so many days, if told), not the target."""
+    _durable_state(stream.sparkSession)
+    # Without a time to live no batch is run for the clock's sake.
+    return stream.groupBy(key).transformWithStateInPandas(_First(days and days * 86_400_000), stream.schema, "Append", "ProcessingTime" if days else "None")
+
+
+def _durable_state(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def append_new(stream: DataFrame, target: str, checkpoint: str, key: str = "file_hash", days: int | None = None) -> StreamingQuery:
+    """STR1: the first of each content, appended by a sink that writes each batch once. What has arrived is taken, and the query ends; with a time to live it takes one batch."""
+    out = first_of_each(stream, key, days).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+    return (out.trigger(once=True) if days else out.trigger(availableNow=True)).start()
 
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            known = spark.read.parquet(target).select(key)
-        except Exception as e:  # the target's first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-        else:
-            fresh = fresh.join(known, key, "left_anti")
-        fresh.write.mode("append").parquet(target)
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class _Waiting(StatefulProcessor):
+    """Of one identity: the least work that has come, and the documents that wait or have a work, until their time is over."""
+
+    def __init__(self, patience_ms: int):
+        self.patience_ms = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.work = handle.getValueState("work", "work_id long")
+        self.docs = handle.getMapState("docs", "doc_id long", "work_id long, until long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        work = self.work.get()[0] if self.work.exists() else None
+        came: list[int] = []
+        for batch in rows:
+            for kind, ident in zip(batch["kind"], batch["id"], strict=True):
+                if kind == "work":
+                    work = int(ident) if work is None else min(work, int(ident))
+                else:
+                    came.append(int(ident))
+        if work is not None:
+            self.work.update((work,))
+        out = []
+        until = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms
+        for doc in sorted(set(came)):
+            if not self.docs.containsKey((doc,)):
+                self.docs.updateValue((doc,), (-1, until))
+                self.handle.registerTimer(until)
+        if work is not None:
+            for (doc,), (best, end) in list(self.docs.iterator()):
+                if best == -1 or work < best:
+                    self.docs.updateValue((doc,), (work, end))
+                    out.append((key[0], doc, work))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "doc_id", "work_id"]).astype({"work_id": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        for (doc,), (best, end) in list(self.docs.iterator()):
+            if end <= now:
+                self.docs.removeKey((doc,))
+                if best == -1:
+                    out.append((key[0], doc, None))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "doc_id", "work_id"]).astype({"work_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def waiting_matches(documents: DataFrame, works: DataFrame, patience_ms: int = 30 * 86_400_000) -> DataFrame:
+    """STR2: documents (key, doc_id) and works (key, work_id) as they arrive, in whatever order: (key, doc_id, work_id) whenever a document gets a work or a lesser one.
+
+    A document waits in state for a work of its key; one that none has come for in ``patience_ms`` is told with no work, and may come again. The last row of each
+    document is the batch's match: the least work of its key.
+    """
+    _durable_state(documents.sparkSession)
+    both = documents.select("key", F.lit("doc").alias("kind"), F.col("doc_id").cast("long").alias("id")).unionByName(works.select("key", F.lit("work").alias("kind"), F.col("work_id").cast("long").alias("id")))
+    return both.groupBy("key").transformWithStateInPandas(_Waiting(patience_ms), "key string, doc_id long, work_id long", "Append", "ProcessingTime")
 
 
 def windows(events: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
@@ -40,10 +124,3 @@ def windows(events: DataFrame, late: str = "1 day", width: str = "1 day") -> Dat
 def latest(events: DataFrame, key: str = "user_id") -> DataFrame:
     """STR3: the last value of each key, for update or complete mode."""
     return events.groupBy(key).agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
-
-
-def rematch(unmatched: DataFrame, candidates: DataFrame, doc_id: str, item_id: str) -> DataFrame:
-    """STR2: what waits for a match, against the candidates that have arrived since."""
-    from folium.operators.matching import best_matches
-
-    return best_matches(unmatched, candidates, doc_id, item_id, "tokens", "item_tokens")

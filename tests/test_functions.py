@@ -213,7 +213,7 @@ def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("a",), ("a",), ("b",)], "text string")
     rows.write.parquet(src)
     for _ in range(2):
-        flows.append_new(flows.inbox(spark, src, rows.schema), out, str(tmp_path / "cp")).awaitTermination()
+        flows.append_new(flows.inbox(spark, src, rows.schema), out, str(tmp_path / "cp")).awaitTermination(120)
         rows.write.mode("append").parquet(src)
     assert sorted(r.text for r in spark.read.parquet(out).collect()) == ["a", "b"]
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
