@@ -428,6 +428,24 @@ def filled_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rescue.looked_up(rows, works, "c_custkey", "work", ["publisher", "volume"]).select("c_custkey", "publisher", "volume", "fills")
 
 
+@query("""
+WITH d AS (SELECT doc_id, n_chars % 3 = 0 AS changed, coalesce(text, '') || CASE WHEN n_chars % 3 = 0 THEN chr(10) || 'one line more' ELSE '' END AS text FROM documents),
+l AS (SELECT doc_id, changed, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10)))))::INTEGER AS place FROM d)
+SELECT doc_id, place, line, CASE WHEN changed THEN 2 ELSE 1 END::INTEGER AS run FROM l
+""")
+def reparsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR6, SNK1-SNK3: documents parsed into a store, some of them changed and all put to it again: only those are parsed anew, and their lines replaced."""
+    from folium.sources import store
+    from folium.sources.io import scratch
+
+    path, changed = scratch(spark, "parses"), F.coalesce(F.col("n_chars") % 3 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.coalesce("text", F.lit("")).alias("text"))
+    for run, text in ((1, F.col("text")), (2, F.concat("text", F.when(changed, "\none line more").otherwise("")))):
+        told = docs.select("doc_id", text.alias("text")).withColumn("file_hash", F.sha2("text", 256))
+        store.reparse(told, path, lambda todo: {"lines": todo.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"), F.lit(run).alias("run"))}, "v1")  # noqa: B023
+    return store.load(spark, path, "lines")
+
+
 # ---- grids from runs and rules
 
 

@@ -82,6 +82,24 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.postings(docs, ["doc_id"]).select("doc_id", "term", "tf")
 
 
+@query(rf"""
+WITH w AS (SELECT conv_id, turn, {_WORDS} AS words FROM (SELECT conv_id, turn, coalesce(text, '') AS body FROM conversations)),
+t AS (SELECT conv_id, turn, len(words) AS n, len(list_filter(words, lambda x: x = 'that')) AS a FROM w),
+c AS (SELECT count(*) AS n, avg(n) AS mean, count(*) FILTER (WHERE a > 0) AS da FROM t),
+h AS (SELECT conv_id, turn, round(ln(1 + (c.n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * t.n / mean)), 6) AS score FROM t, c WHERE a > 0 ORDER BY score DESC, conv_id, turn LIMIT 20)
+SELECT conv_id AS document_id, turn AS ordinal, score, 'talk ' || conv_id || '.pdf' AS filename, p_name AS title FROM h LEFT JOIN part ON p_partkey = conv_id AND conv_id % 3 > 0
+""")
+def search_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN4: hits with their chunk, its document and the document's work, if it has one."""
+    from folium.operators.serving import found_chunks
+
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ordinal"), F.coalesce("text", F.lit("")).alias("body"))
+    d = c.select(F.col("document_id").alias("id")).distinct().select("id", F.concat(F.lit("talk "), "id", F.lit(".pdf")).alias("filename"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("work_id"))
+    hits = S.search_once(c, "That", ["document_id", "ordinal"], 20, marked=False)
+    works = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    return found_chunks(hits, c, d, works).select("document_id", "ordinal", "score", "filename", "title")
+
+
 #: Two characters, words that many kinds hold, a phrase with a space and capitals, one that no row holds.
 NEEDLES = ["ed", "widget", "SPECIFIED", "red ring", "license", "zqzq"]
 
