@@ -6,6 +6,7 @@ A grid is (doc_id, page, grid, rows array<array<string>>).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,20 +41,23 @@ def merged_rules(rules: DataFrame) -> DataFrame:
 
 def _labelled(pdf: pd.DataFrame) -> pd.DataFrame:
     """Rules of one page with the number of the table that they belong to: what crosses, or comes near it, belongs together."""
-    rules = pdf.to_dict("records")
-    root = list(range(len(rules)))
+    flat = pdf["flat"].to_numpy(bool)
+    at, low, high = (pdf[c].to_numpy(float) for c in ("at", "low", "high"))
+    root = list(range(len(pdf)))
 
     def find(i: int) -> int:
         while root[i] != i:
+            root[i] = root[root[i]]
             i = root[i]
         return i
 
-    for i, h in enumerate(rules):
-        for j, v in enumerate(rules):
-            if h["flat"] and not v["flat"] and h["low"] - REACH <= v["at"] <= h["high"] + REACH and v["low"] - REACH <= h["at"] <= v["high"] + REACH:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    pdf["grid"] = [find(i) for i in range(len(rules))]
+    upright = np.flatnonzero(~flat)
+    for i in np.flatnonzero(flat).tolist():
+        met = (low[i] - REACH <= at[upright]) & (at[upright] <= high[i] + REACH) & (low[upright] - REACH <= at[i]) & (at[i] <= high[upright] + REACH)
+        for j in upright[met].tolist():
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    pdf["grid"] = [find(i) for i in range(len(pdf))]
     return pdf
 
 

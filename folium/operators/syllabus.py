@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions import dates as D
@@ -57,7 +57,7 @@ def parse_documents(pages: DataFrame, grids: DataFrame | None = None, all_kinds:
     at = only(grids).join(terms, "doc_id", "left").join(planned.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi") if grids is not None else None
     structures, sessions, readings, hints = S.parse(planned, at)
     dated = hints.join(sessions.select("doc_id", "session", "meeting_date"), ["doc_id", "session"]).join(terms, "doc_id", "left")
-    told = dated.select("doc_id", "hint", F.col("meeting_date").alias("session_date"), "term", (F.col("session") * 1000 + F.pmod("hint_no", F.lit(1000))).cast("int").alias("at"))
+    told = dated.select("doc_id", "hint", F.col("meeting_date").alias("session_date"), "term", F.row_number().over(Window.partitionBy("doc_id").orderBy("session", "hint_no", "hint")).alias("at"))
     return Parse(kinds, zoned, only(meta), structures, sessions, readings, W.extract(zoned, told), P.extract(zoned), M.important_dates(zoned))
 
 
