@@ -22,10 +22,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A table that later stages read several times, written to the shared folder and read back: it is computed once and survives lost executors."""
-    path = scratch(df.sparkSession, "stage")
+    """A table that later stages read several times, written to the shared folder and read back: it is computed once and survives lost executors. It goes when the driver ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
