@@ -3,9 +3,10 @@
     conversation := turn*
     turn         := "[INST]" body "[/INST]" | "<s>" body "</s>" | "<<SYS>>" body "<</SYS>>" | "<|role|>" body "<|text|>" body "<|end|>"
 
-The forms are those of a user, an assistant, a system and any other role. Each conversation is first rendered as it stands and
-read back by the parser; where the turns that come back differ from the source, the bodies are escaped one level further,
-until they are identical: level 1 breaks up control strings, level 2 every character that can begin one. An escape is a
+The forms are those of a user, an assistant, a system and any other role. Each turn is first rendered as it stands and read back by the
+parser; where the turn that comes back differs from the source, its body is escaped one level further, until it is identical: level 1 breaks up control
+strings, level 2 every character that can begin one. Turns that are each read back alone are read back when joined, as every turn begins and ends with control
+strings of its own and no body holds one: nothing can straddle two turns. An escape is a
 backslash before the character it protects; a backslash in a text is doubled at every level, so one rule undoes all levels.
 
 Defined results: a null text is empty; a null role is the empty role; turns of one number stand in order of role and text;
