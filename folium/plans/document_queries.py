@@ -446,6 +446,46 @@ def reparsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.load(spark, path, "lines")
 
 
+_BLOCKS = """
+WITH b AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 2 = 0 THEN 320e0 ELSE 20e0 END + l_quantity / 10 AS x0, CASE WHEN l_linenumber % 2 = 0 THEN 320e0 ELSE 20e0 END + l_quantity / 10 + CASE WHEN l_discount >= 0.095 THEN 520 ELSE 250 END AS x1,
+  l_quantity * 10 AS y0, l_quantity * 10 + 12 AS y1, 8 + l_tax * 50 AS size, CASE WHEN l_linenumber % 3 = 0 THEN l_linenumber || '. a note' WHEN l_linenumber % 3 = 1 THEN '* another' ELSE 'body ' || l_linenumber END AS text FROM lineitem),
+"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of pages, one page an order: two columns, some blocks across both, small print and notes among them."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    x0 = F.when(n % 2 == 0, 320.0).otherwise(20.0) + q / 10
+    text = F.when(n % 3 == 0, F.concat(n.cast("string"), F.lit(". a note"))).when(n % 3 == 1, "* another").otherwise(F.concat(F.lit("body "), n))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), x0.alias("x0"), (x0 + F.when(F.col("l_discount") >= 0.095, 520).otherwise(250)).alias("x1"), (q * 10).alias("y0"), (q * 10 + 12).alias("y1"), (F.col("l_tax") * 50 + 8).alias("size"), text.alias("text"),
+    )
+
+
+@query(_BLOCKS + """
+e AS (SELECT doc_id, min(x0) AS l, max(x1) AS r, count(*) AS n FROM b GROUP BY doc_id),
+c AS (SELECT b.doc_id, (any_value(l) + any_value(r)) / 2 AS mid, CASE WHEN any_value(n) >= 6 AND count(*) FILTER (WHERE x0 < (l + r) / 2 - 0.04e0 * (r - l) AND x1 > (l + r) / 2 + 0.04e0 * (r - l)) / any_value(n)::DOUBLE <= 0.15
+  AND count(*) FILTER (WHERE x1 <= (l + r) / 2 + 0.04e0 * (r - l)) >= 2 AND count(*) FILTER (WHERE x0 >= (l + r) / 2 - 0.04e0 * (r - l)) >= 2 THEN 2 ELSE 1 END AS columns FROM b JOIN e USING (doc_id) GROUP BY b.doc_id)
+SELECT doc_id, columns, x0, y0, (row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN columns = 2 AND (x0 + x1) / 2 >= mid THEN 1 ELSE 0 END, y0, x0) - 1)::INTEGER AS ordinal FROM b JOIN c USING (doc_id)
+""")
+def blocks_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LAY6, LAY7: pages of one or two columns, and the order in which their blocks are read."""
+    from folium.operators import layout as L
+
+    return L.reading_order(_blocks(spark, sf_dir)).select("doc_id", "columns", "x0", "y0", "ordinal")
+
+
+@query(_BLOCKS + """
+m AS (SELECT doc_id, quantile_cont(size, 0.5) AS median, max(y1) AS bottom FROM b GROUP BY doc_id)
+SELECT doc_id, x0, y0, text, size < median - 0.4e0 AND y0 >= 0.6e0 * bottom AND text NOT LIKE 'body%' AS is_note FROM b JOIN m USING (doc_id)
+""")
+def blocks_that_are_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LAY8: blocks smaller than the page's middle size, low on the page, and begun like a note."""
+    from folium.operators import layout as L
+
+    return L.footnotes(_blocks(spark, sf_dir)).select("doc_id", "x0", "y0", "text", "is_note")
+
+
 # ---- grids from runs and rules
 
 
