@@ -5,7 +5,6 @@ The functions return the text; ``logged`` adds each step that changed it, as arr
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 
@@ -150,57 +149,12 @@ def split_camel(x: Column) -> Column:
 
 
 def restore_spaces(x: Column) -> Column:
-    """TXT12 without a lexicon: only the camel split fires, run of letters by run of letters, outside URLs."""
+    """TXT12 without a word list (``operators.lexicon`` has the other half): only the camel split fires, run of letters by run of letters, outside URLs."""
     runs = lambda p: F.regexp_extract_all(p, F.lit(r"[A-Za-zÀ-ɏ]+|[^A-Za-zÀ-ɏ]+"), F.lit(0))
     split = lambda w: F.when(F.length(w) < 4, w).otherwise(split_camel(w))
     return outside_urls(x, lambda p: F.when(p.rlike("[a-zà-ɏ][A-Z]"), F.array_join(F.transform(runs(p), split), "")).otherwise(p))
 
 
-#: TXT13: words that a lexicon may hold at most; it is sent to every task.
-MOST_WORDS = 500_000
-
-
-def lexicon(words: DataFrame, word: str = "word", count: str = "n") -> dict[str, float]:
-    """TXT13: a table of words and their counts as costs: the rarer, the dearer. Raises where the table is larger than ``MOST_WORDS``."""
-    rows = words.groupBy(F.lower(word).alias("w")).agg(F.sum(count).alias("n")).where("w is not null and n > 0").limit(MOST_WORDS + 1).collect()
-    if len(rows) > MOST_WORDS:
-        raise ValueError(f"a lexicon holds {MOST_WORDS} words at most")
-    total = sum(r["n"] for r in rows)
-    return {r["w"]: math.log(total / r["n"]) + 1 for r in rows}
-
-
-def restore_words(costs: dict[str, float], least: int = 12):
-    """TXT12 with a lexicon, as a function of a column: lower-case runs of ``least`` letters or more that it doesn't know part into known words
-    of the least cost; a piece of one or two letters must be one of the closed list, else the run stays whole. ``costs`` is broadcast with the task."""
-    longest = max(map(len, costs), default=0)
-
-    def part(run: str) -> str:
-        if len(run) < least or run in costs:
-            return run
-        best: list[tuple[float, int] | None] = [(0.0, 0), *[None] * len(run)]
-        for end in range(1, len(run) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = run[start:end]
-                if best[start] is not None and piece in costs and (len(piece) > 2 or piece in SHORT_WORDS):
-                    cost = best[start][0] + costs[piece]
-                    if best[end] is None or cost < best[end][0]:
-                        best[end] = (cost, start)
-        if best[-1] is None:
-            return run
-        cuts, at = [], len(run)
-        while at:
-            cuts.append(run[best[at][1] : at])
-            at = best[at][1]
-        return " ".join(reversed(cuts))
-
-    @F.pandas_udf(T.StringType())
-    def go(x: pd.Series) -> pd.Series:
-        word = re.compile(rf"({URL})|(?<![A-Za-zÀ-ɏ])[a-zà-ɏ]{{{least},}}(?![A-Za-zÀ-ɏ])")
-        return x.map(lambda v: v if v is None else word.sub(lambda m: m[0] if m[1] else part(m[0]), v))
-
-    return go
-
-
 MARKER = r"^[ \t]*(\(cid:\d+\)|[•▪●◦‣⁃⧫◆◇∗*?–—−-]|[a-zA-Z](?=\s))\s+"
 
 

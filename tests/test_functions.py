@@ -237,15 +237,6 @@ def test_page_repair_takes_every_step(spark):
         assert [e.rule for e in r.r.edits] == [r.rule]
 
 
-def test_lexicon_parts_lost_spaces(spark):
-    words = spark.createDataFrame([(w, 10) for w in "the international relations of states in world politics a an".split()] + [(None, 3), ("zero", 0)], "word string, n int")
-    costs = text.lexicon(words)
-    assert "zero" not in costs and len(costs) == 10
-    df = spark.createDataFrame([(t,) for t in ("internationalrelations of", "worldpoliticsinstates", "unknownlongword here", "https://x.org/internationalrelations", "Internationalrelations", None)], "t string")
-    got = [r.r for r in df.select(text.restore_words(costs)("t").alias("r")).collect()]
-    assert got == ["international relations of", "world politics in states", "unknownlongword here", "https://x.org/internationalrelations", "Internationalrelations", None]
-
-
 def test_search_index_is_the_scan(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"the cat number {k} and the dog" if k % 2 else f"the lone cat {k}") for k in range(30)], "doc_id int, body string")
     search.write_index(docs, ["doc_id"], str(tmp_path / "i"))
