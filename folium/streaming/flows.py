@@ -1,4 +1,4 @@
-"""Structured Streaming: an inbox keyed by content hash and documents that wait for their works, both with keyed state; latest-wins state, windows over event time."""
+"""Structured Streaming: an inbox keyed by content hash and documents that wait for their works, deadlines that timers wake, all with keyed state; latest-wins state, windows over event time."""
 
 from __future__ import annotations
 
@@ -114,6 +114,90 @@ def waiting_matches(documents: DataFrame, works: DataFrame, patience_ms: int = 3
     return both.groupBy("key").transformWithStateInPandas(_Waiting(patience_ms), "key string, doc_id long, work_id long", "Append", "ProcessingTime")
 
 
+class _Bands(StatefulProcessor):
+    """Of one deadline: its last row and band. A change that the clock brings is told when the watermark passes it, or before a row that comes after it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "at long, soon long, over long, done boolean, band string")
+
+    @staticmethod
+    def _next(at: int, soon: int | None, over: int | None, done: bool) -> int | None:
+        """When the band next changes by itself."""
+        return None if done or soon is None else soon if at < soon else over if at < over else None
+
+    @staticmethod
+    def _band(at: int, soon: int | None, over: int | None, done: bool) -> str:
+        return "Handed in" if done else "No date found" if soon is None else "Later" if at < soon else "Next 7 days" if at < over else "Overdue"
+
+    def _advanced(self, key, state, to: int, out: list) -> tuple:
+        """The state after the changes before a time, each of which is told."""
+        at, soon, over, done, band = state
+        while (then := self._next(at, soon, over, done)) is not None and then < to:
+            at, band = then, self._band(then, soon, over, done)
+            out.append((key[0], at, band))
+        return at, soon, over, done, band
+
+    @staticmethod
+    def _rows(out: list) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame(out, columns=["id", "at_ms", "band"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last: dict[int, tuple] = {}
+        for batch in rows:
+            for row in zip(batch["at_ms"], batch["soon"], batch["over"], batch["done"], strict=True):
+                if row[3] or not last.get(row[0], row)[3]:
+                    last[row[0]] = row
+        state, out = (tuple(self.held.get()) if self.held.exists() else None), []
+        before = state and self._next(*state[:4])
+        for at, soon, over, done in (last[at] for at in sorted(last)):
+            if state is not None:
+                if at < state[0] or (at == state[0] and state[3]):
+                    continue
+                state = self._advanced(key, state, int(at), out)
+            soon, over = (None, None) if pd.isna(soon) else (int(soon), int(over))
+            band = self._band(at, soon, over, bool(done))
+            if state is None or band != state[4]:
+                out.append((key[0], int(at), band))
+            state = (int(at), soon, over, bool(done), band)
+        after = state and self._next(*state[:4])
+        self.held.update(state)
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if after is not None:
+                self.handle.registerTimer(after)
+        yield from self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out: list = []
+        state = self._advanced(key, tuple(self.held.get()), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) + 1, out)
+        self.held.update(state)
+        then = self._next(*state[:4])
+        if then is not None:
+            self.handle.registerTimer(then)
+        yield from self._rows(out)
+
+    def close(self) -> None:
+        pass
+
+
+def band_changes(deadlines: DataFrame, late: str = "1 day") -> DataFrame:
+    """SRV2, STR7: deadlines (id, at, due_date, done) as they are entered and changed: (id, at, band) once for each change of band, brought by a row or by the clock.
+
+    The clock is the watermark, ``late`` behind the newest ``at``; a timer in state wakes each deadline alone, so that no batch reads the others. Of a deadline's rows
+    one that comes after a later one is passed over; of two at one time the one that is done holds. Rows without an id or a time are not deadlines. The last change up
+    to a day is the batch's ``serving.band`` on that day. A deadline's state stays, as a later row may change it.
+    """
+    _durable_state(deadlines.sparkSession)
+    ms = lambda d: F.unix_millis(d.cast("timestamp"))
+    rows = deadlines.where("id is not null and at is not null").withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
+    told = rows.select(F.col("id").cast("long").alias("id"), "at", F.unix_millis("at").alias("at_ms"), ms(F.date_sub("due_date", 7)).alias("soon"), ms(F.date_add("due_date", 1)).alias("over"), F.coalesce("done", F.lit(False)).alias("done"))
+    changes = told.groupBy("id").transformWithStateInPandas(_Bands(), "id long, at_ms long, band string", "Append", "EventTime")
+    return changes.select("id", F.timestamp_millis("at_ms").alias("at"), "band")
+
+
 def windows(events: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
     """STR7: counts and sums by window and type, with a watermark."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

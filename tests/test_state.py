@@ -1,8 +1,11 @@
 """Streams with keyed state, and the store of parses."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
+from folium.operators import serving
 from folium.sources import store
 from folium.streaming import flows
 
@@ -64,6 +67,39 @@ def test_a_document_that_nothing_comes_for_is_given_up(spark, tmp_path):
     assert [(r.doc_id, r.work_id) for r in spark.read.parquet(out).collect()] == [(1, None)]
 
 
+def test_deadlines_change_their_band_once(spark, tmp_path):
+    """Orders as deadlines, entered on their day, moved or handed in later, in three runs of the stream, against the batch's band of each day."""
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    schema = "id long, at timestamp, due_date date, done boolean"
+    day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_orderdate < '1995-06-01'")
+    due = F.when(key % 11 != 0, F.date_add(day, (key % 30).cast("int")))
+    entered = orders.select(key.alias("id"), day.cast("timestamp").alias("at"), due.alias("due_date"), F.lit(False).alias("done"))
+    moved = orders.where(key % 4 == 1).select(key, F.date_add(day, 5).cast("timestamp"), F.date_add(due, 9), F.lit(False))
+    done = orders.where(key % 3 == 0).select(key, F.date_add(day, (key % 40).cast("int")).cast("timestamp"), due, F.lit(True))
+    rows = entered.union(moved).union(done).toDF("id", "at", "due_date", "done").orderBy("at", "id", "done").collect()
+    last = dt.datetime(1996, 1, 1)
+    early, late = dt.datetime(1995, 2, 20), dt.datetime(1995, 4, 1)
+    for part in ([r for r in rows if r.at < early], [r for r in rows if early <= r.at < late], [*(r for r in rows if r.at >= late), (-1, last, None, False), (None, last, None, None)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        query = flows.band_changes(spark.readStream.schema(schema).parquet(src)).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        assert query.awaitTermination(180)
+    got = {}
+    for r in spark.read.parquet(out).where("id >= 0").orderBy("id", "at").collect():
+        got.setdefault(r.id, []).append((r.at.date(), r.band))
+    days = spark.sql("select explode(sequence(date'1995-01-01', date'1995-12-30')) as on")
+    state = spark.createDataFrame(rows, schema).withColumn("on", F.to_date("at")).groupBy("id", "on").agg(F.max_by(F.struct("due_date", "done"), F.struct("at", "done")).alias("s"))
+    held = state.select("id", "on", "s.*").join(state.groupBy("id").agg(F.min("on").alias("first")), "id")
+    upto = held.alias("h").join(days.alias("d"), F.expr("d.on >= h.on")).groupBy("h.id", "d.on").agg(F.max_by(F.struct("h.due_date", "h.done"), "h.on").alias("s"))
+    bands = upto.select("id", "on", serving.band(F.col("s.due_date"), F.col("s.done"), F.col("on")).alias("band")).orderBy("id", "on").collect()
+    want = {}
+    for r in bands:
+        told = want.setdefault(r.id, [])
+        if not told or told[-1][1] != r.band:
+            told.append((r.on, r.band))
+    assert len(want) > 50 and {k: (got.get(k), want[k]) for k in want if got.get(k) != want[k]} == {}
+
+
 def words(docs):
     return {"words": docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "word"))}
 
