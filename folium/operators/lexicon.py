@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.functions.text import EDITS, SHORT_WORDS, URL
+from folium.functions.text import EDITS, SHORT_WORDS, URL, once
 from folium.sources.io import settled
 
 LETTER = "A-Za-zÀ-ɏ"
@@ -27,8 +27,9 @@ CUT = r"([\p{L}\p{N}_]+)-[ \t]*\n[ \t]*([\p{L}\p{N}_]+)"
 def word_costs(docs: DataFrame, text: str = "text", least: int = 2) -> DataFrame:
     """TXT13: lower-case words of a corpus, and hyphenated compounds as a whole, that stand in ``least`` texts: word, n (texts), cost (the rarer, the dearer; thousandths of a nat)."""
     body = F.regexp_replace(F.lower(text), URL, " ")
-    found = lambda pattern: F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    words = docs.select(F.explode(F.array_distinct(F.concat(found(f"[{LETTER}]+"), found(f"[{LETTER}]+(?:-[{LETTER}]+)+")))).alias("word"))
+    found = F.array_distinct(F.regexp_extract_all(body, F.lit(f"[{LETTER}]+(?:-[{LETTER}]+)*"), F.lit(0)))
+    with_parts = once(found, lambda x: F.array_distinct(F.concat(x, F.flatten(F.transform(F.filter(x, lambda w: F.contains(w, F.lit("-"))), lambda w: F.split(w, "-"))))))
+    words = docs.select(F.explode(with_parts).alias("word"))
     counts = settled(words.where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return counts.withColumn("cost", F.round(1000 * (F.ln(F.lit(float(total)) / F.col("n")) + 1)).cast("long"))
@@ -38,7 +39,7 @@ def rewritten(docs: DataFrame, text: str, pattern: str, answers: Callable[[DataF
     """Adds struct<text, edits>: each hit of ``pattern`` replaced by its answer. ``answers`` takes the distinct hits (hit) and gives (hit, put, rule) for those that it changes."""
     key, gaps = F.unhex(F.sha2(F.col(text), 256)), F.split(F.col(text), pattern, -1)
     hits = docs.select(key.alias("_rewritten_key"), F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("_at", "hit"))
-    hits = settled(hits.groupBy("_rewritten_key", "_at").agg(F.first("hit").alias("hit")))
+    hits = settled(hits.distinct())
     told = hits.join(answers(hits.select("hit").distinct()), "hit", "left")
     found = F.array_sort(F.collect_list(F.struct("_at", F.coalesce("put", "hit").alias("put"), "rule", "hit")))
     texts = told.groupBy("_rewritten_key").agg(found.alias("_rewritten_hits"), F.count("rule").alias("_n")).where("_n > 0").drop("_n")

@@ -54,9 +54,9 @@ SELECT doc_id, coalesce(n, 0) AS n_split, done.text = g.text AS whole, sha256(do
 def lost_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT12, TXT13: each document without some spaces between lower-case words, restored by the words of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    given = docs.withColumn("given", _run_together(F.col("text"), F.col("doc_id")))
+    given = docs.select("doc_id", _run_together(F.col("text"), F.col("doc_id")).alias("given"), F.sha2("text", 256).alias("was"))
     done = L.spaced(given, L.word_costs(docs), "given", "done")
-    return done.select("doc_id", F.size("done.edits").cast("long").alias("n_split"), (F.col("done.text") == F.col("text")).alias("whole"), F.sha2("done.text", 256).alias("text_sha"))
+    return done.select("doc_id", F.size("done.edits").cast("long").alias("n_split"), (F.sha2("done.text", 256) == F.col("was")).alias("whole"), F.sha2("done.text", 256).alias("text_sha"))
 
 
 _CUT = L.CUT.replace("\\n", "' || chr(10) || '").replace("\\t", "' || chr(9) || '")
@@ -82,7 +82,7 @@ def cut_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         cut = F.when(p.rlike("^[a-z]{6,}$"), F.concat(F.substring(p, 1, 3), F.lit("-\n"), p.substr(F.lit(4), F.length(p)))).when(p.rlike("^[a-z]+-[a-z]+$"), F.replace(p, F.lit("-"), F.lit("-\n"))).otherwise(p)
         return F.concat(F.when(i == 0, "").otherwise(" "), F.when((i + F.col("doc_id")) % 7 == 0, cut).otherwise(p))
 
-    given = docs.withColumn("given", _joined(F.col("text"), step))
+    given = docs.select("doc_id", _joined(F.col("text"), step).alias("given"))
     done = L.dehyphenated(given, L.word_costs(docs), "given", "done")
     n = lambda rule: F.size(F.filter("done.edits", lambda e: e["rule"] == rule)).cast("long")
     return done.select("doc_id", n("hyphen_rejoin").alias("n_rejoined"), n("hyphen_rejoin_unverified").alias("n_unverified"), n("hyphen_compound_kept").alias("n_kept"), F.sha2("done.text", 256).alias("text_sha"))
