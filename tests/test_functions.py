@@ -49,6 +49,11 @@ def test_scalars(spark, f, given, want):
     assert one(spark, f, given) == want
 
 
+def test_a_year_above_a_term_is_not_the_terms(spark):
+    assert tuple(one(spark, dates.find_term, "POLS 4101: Theory of Rule 2001\nFALL 2030\nDr. Berg")) == ("fall", 2030)
+    assert tuple(one(spark, dates.find_term, "Theory of Rule 2001\nFall term")) == ("fall", 2001)
+
+
 def test_terms_and_dates(spark):
     assert tuple(one(spark, dates.find_term, "Syllabus, Fall 2030")) == ("fall", 2030)
     assert tuple(one(spark, dates.find_term, "2031 Winter term")) == ("winter", 2031)
