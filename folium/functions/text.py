@@ -186,6 +186,11 @@ def once(x: Column, step) -> Column:
     return F.get(F.transform(F.array(x), lambda v: step(v)), 0)
 
 
+def with_told(rows: DataFrame, **cells: Column) -> DataFrame:
+    """Adds columns that are evaluated once a row: later steps and filters read their values, where those of plain columns would repeat what made them."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cells.items()]))))
+
+
 def clean_page_text(x: Column) -> Column:
     """TXT16."""
     for rule, step in PAGE_STEPS.items():

@@ -142,6 +142,13 @@ def plain_chunks(text):
     return out + ([held.strip()] if held.strip() else [])
 
 
+def test_a_reading_is_parsed_once(spark):
+    rows = spark.createDataFrame([(1, 1, 0, "Poe, Ann. 2007. The third book. Boston: Big Press.", None, False)], "doc_id int, session int, entry int, raw string, level string, appended boolean")
+    found = schedule.readings(rows)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.c.matched_pattern for r in found.collect()] == ["author_date_book"]
+
+
 def test_chunks(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
     got = {}
