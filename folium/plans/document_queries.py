@@ -18,7 +18,7 @@ from folium.operators import schedule as S
 from folium.operators import segment as G
 from folium.operators import syllabus as Y
 from folium.registry import literal, query, table
-from folium.sources.io import settled
+from folium.sources.io import settled, spread
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def written(spark: SparkSession, sf_dir: str, texts: list[str], source: str = "p
     n = len(texts)
     kind = (F.col(key) % n).cast("int")
     text = F.replace(F.get(F.array(*[F.lit(t) for t in texts]), kind), F.lit("{k}"), F.col(key).cast("string"))
-    return table(spark, sf_dir, source).select(F.col(key).alias("doc_id"), kind.alias("kind"), text.alias("text"))
+    return spread(table(spark, sf_dir, source).select(key), key).select(F.col(key).alias("doc_id"), kind.alias("kind"), text.alias("text"))
 
 
 def expected(rows: list[tuple], columns: dict[str, str], n: int, source: str = "part", key: str = "p_partkey") -> str:

@@ -30,6 +30,12 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, *key: str) -> DataFrame:
+    """Narrow rows dealt by their key over all tasks before costly columns are made of them: a table of few megabytes is one task's to read, and would be one task's work.
+    What is grouped by the key later lies together already."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """SRC1/SRC2: files below a path with the hash that is their identity; the bytes stay out of every shuffle."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
