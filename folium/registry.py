@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.sources.io import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -46,7 +48,7 @@ def cases(name: str, rows: list[tuple], read: Callable[[Column], dict[str, Colum
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         given = F.replace(F.get(F.array(*[F.lit(r[0]) for r in rows]), (F.col(key) % n).cast("int")), F.lit("{k}"), F.col(key).cast("string"))
-        told = table(spark, sf_dir, source).select(F.col(key).alias("k"), given.alias("given"))
+        told = spread(table(spark, sf_dir, source).select(key), key).select(F.col(key).alias("k"), given.alias("given"))
         return told.select("k", *[c.alias(f) for f, c in read(F.col("given")).items()])
 
     run.__name__, run.__doc__ = name, doc

@@ -8,6 +8,6 @@ from folium import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["chunk_folds"])
+@pytest.mark.parametrize("name", ["chunk_folds", "rendered"])
 def test_a_small_table_is_the_work_of_several_tasks(spark, name):
     assert registry.QUERIES[name](spark, SF).select(F.spark_partition_id().alias("p")).distinct().count() > 1
