@@ -1,7 +1,7 @@
 """Substring search from an n-gram index over everything that has been entered or parsed.
 
-The index has, for each row, its distinct runs of three characters (lower case) with their places, and its distinct pairs of characters, in
-folders by the gram's hash and sorted by gram, and a dictionary of how many rows hold each. A needle of three characters or more is covered by grams
+The index has, for each row, its distinct runs of three characters (lower case) with their places, and its distinct pairs of characters, sorted by
+gram within stretches of ``STRETCH`` characters of text, so that a page of a file spans few grams, and a dictionary of how many rows hold each. A needle of three characters or more is covered by grams
 that together hold each of its characters, the cheapest such cover by the dictionary; the rows where all of them stand at the right distance hold
 the needle, so no text is read. A needle of two characters is a gram itself, and a shorter one finds nothing.
 """
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BUCKETS, WIDE, PAIR = 16, 3, 2
+WIDE, PAIR = 3, 2
+#: Characters of text whose lists are made and sorted together, and rows of a batch of lists.
+STRETCH, BATCH = 2_000_000, 20_000
 #: Characters of a policy that a result shows.
 SHOWN = 160
 
@@ -62,45 +64,56 @@ def grams_of(text: str, wide: int) -> np.ndarray:
     return out
 
 
+def _sorted_lists(texts: list[str], wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of several texts by gram and text: the text's number, the gram, the places one after the other, and where each list begins in them, with the end."""
+    each = [grams_of(t, wide) for t in texts]
+    gram, text = np.concatenate(each), np.repeat(np.arange(len(each)), [len(g) for g in each])
+    order = np.argsort(gram, kind="stable")
+    gram, text = gram[order], text[order]
+    first = np.flatnonzero((np.diff(gram, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+    place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in each])[order]
+    return text[first], gram[first], place, np.append(first, len(gram))
+
+
 def _listed(schema: pa.Schema):
+    def stretch(keys: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        for wide in (WIDE, PAIR):
+            text, gram, place, at = _sorted_lists(texts, wide)
+            for start in range(0, len(gram), BATCH):
+                end = min(start + BATCH, len(gram))
+                ends = at[start : end + 1] - at[start] if wide == WIDE else np.zeros(end - start + 1, np.int64)
+                held = place[at[start] : at[end]] if wide == WIDE else place[:0]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(held, pa.int32()))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(text[start:end])), pa.array(np.full(end - start, wide, np.int32)), pa.array(gram[start:end]), lists], schema=schema)
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, texts, held = [], [], 0
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for start in range(0, batch.num_rows, 64):  # texts are long; lists are longer
-                row, gram, wide, places, ends = [], [], [], [], [np.zeros(1, np.int64)]
-                held = 0
-                for i, text in enumerate(texts.slice(start, 64).to_pylist()):
-                    g = grams_of(text or "", WIDE)
-                    order = np.argsort(g, kind="stable")
-                    first = np.flatnonzero(np.diff(g[order], prepend=-1))
-                    own = [g[order][first], np.unique(grams_of(text or "", PAIR))]
-                    gram += own
-                    wide += [np.full(len(own[0]), WIDE, np.int32), np.full(len(own[1]), PAIR, np.int32)]
-                    row.append(np.full(len(own[0]) + len(own[1]), start + i))
-                    places.append(order.astype(np.int32))
-                    ends += [held + np.append(first[1:], len(g)) if len(first) else np.zeros(0, np.int64), np.full(len(own[1]), held + len(g))]
-                    held += len(g)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(places), pa.int32()))
-                took = keys.take(pa.array(np.concatenate(row)))
-                yield pa.RecordBatch.from_arrays([took, pa.array(np.concatenate(wide)), pa.array(np.concatenate(gram)), lists], schema=schema)
+            start = 0
+            for i, text in enumerate(batch.column(1)):
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
+                if held >= STRETCH:
+                    yield from stretch(pa.concat_arrays([*keys, batch.column(0).slice(start, i + 1 - start)]), texts)
+                    keys, texts, held, start = [], [], 0, i + 1
+            keys.append(batch.column(0).slice(start))
+        if texts:
+            yield from stretch(pa.concat_arrays(keys), texts)
 
     return go
 
 
-def _bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
-
-
 def write_grams(rows: DataFrame, key: list[str], path: str, body: str = "body") -> None:
-    """Lists (wide, bucket, gram, *key, places) and the dictionary (wide, bucket, gram, n)."""
+    """Lists (wide, gram, *key, places) and the dictionary (wide, gram, n).
+
+    Each task writes what its own rows hold, as it comes: lists are many times the size of the texts, and a shuffle or a sort would put them on disk once more.
+    """
     told = rows.select(F.struct(*key).alias("key"), F.lower(body).alias("body"))
     kind = T.StructType([T.StructField("key", told.schema["key"].dataType), *T._parse_datatype_string("wide int, gram long, places array<int>").fields])
-    lists = told.mapInArrow(_listed(to_arrow_schema(kind)), kind).select("wide", _bucket(F.col("gram")).alias("bucket"), "gram", "key.*", "places")
-    # A frequent gram's list is dealt over eight tasks, each of which writes it in order.
-    dealt = lists.repartition("wide", "bucket", F.pmod(F.xxhash64(*key), F.lit(8))).sortWithinPartitions("wide", "bucket", "gram", *key)
-    dealt.write.partitionBy("wide", "bucket").parquet(f"{path}/lists")
-    counts = rows.sparkSession.read.parquet(f"{path}/lists").groupBy("wide", "bucket", "gram").agg(F.count("*").alias("n"))
-    counts.repartition("wide", "bucket").sortWithinPartitions("wide", "bucket", "gram").write.partitionBy("wide", "bucket").parquet(f"{path}/counts")
+    lists = told.mapInArrow(_listed(to_arrow_schema(kind)), kind).select("wide", "gram", "key.*", "places")
+    lists.write.option("compression", "zstd").parquet(f"{path}/lists")
+    counts = rows.sparkSession.read.parquet(f"{path}/lists").groupBy("wide", "gram").agg(F.count("*").alias("n"))
+    counts.sortWithinPartitions("wide", "gram").write.parquet(f"{path}/counts")
 
 
 def cover(grams: list[int], cost: dict[int, int]) -> list[int]:
@@ -113,8 +126,7 @@ def cover(grams: list[int], cost: dict[int, int]) -> list[int]:
 
 
 def _lists(spark: SparkSession, path: str, part: str, wide: int, grams: list[int]) -> DataFrame:
-    buckets = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "g long").select(_bucket(F.col("g"))).distinct().collect()]
-    return spark.read.parquet(f"{path}/{part}").where((F.col("wide") == wide) & F.col("bucket").isin(*buckets) & F.col("gram").isin(*grams))
+    return spark.read.parquet(f"{path}/{part}").where((F.col("wide") == wide) & F.col("gram").isin(*grams))
 
 
 def find(spark: SparkSession, path: str, needle: str, key: list[str]) -> DataFrame:

@@ -27,3 +27,30 @@ def test_a_heading_is_read_once_for_all_words_of_its_classes(spark):
     rows = segment.lines(spark.createDataFrame([(1, "Grading\nx")], "doc_id long, text string"))
     plan = rows.select(segment.classify_heading(F.col("line")).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1
+
+
+def test_lists_of_grams_are_written_where_they_are_made(spark, tmp_path):
+    """Neither shuffled nor sorted by Spark: a file a task that read texts, with stretches in order of their grams."""
+    from folium.operators import grams
+
+    df = spark.createDataFrame([(k, "ab" * 30 + f" text {k}") for k in range(60)], "id long, body string").repartition(3)
+    grams.write_grams(df, ["id"], f"{tmp_path}/g")
+    files = list((tmp_path / "g" / "lists").rglob("*.parquet"))
+    assert len(files) == 3
+    rows = spark.read.parquet(str(files[0])).where("wide = 3").collect()
+    assert [r.gram for r in rows] == sorted(r.gram for r in rows)
+
+
+def test_texts_of_several_stretches(spark, tmp_path, monkeypatch):
+    from folium.operators import grams
+
+    keys, texts = list(range(7)), ["abcab", None, "", "xabc", "b", "cabcabc", "zab"]
+    monkeypatch.setattr(grams, "STRETCH", 6)
+    monkeypatch.setattr(grams, "BATCH", 2)
+    kind = spark.createDataFrame([], "key long, wide int, gram long, places array<int>").schema
+    listed = grams._listed(grams.to_arrow_schema(kind))
+    batch = grams.pa.RecordBatch.from_arrays([grams.pa.array(keys), grams.pa.array(texts)], ["key", "body"])
+    rows = [r for b in listed(iter([batch.slice(0, 3), batch.slice(3)])) for r in b.to_pylist()]
+    code = lambda s: int(grams.grams_of(s, len(s))[0])
+    assert {r["key"]: r["places"] for r in rows if r["gram"] == code("abc")} == {0: [0], 3: [1], 5: [1, 4]}
+    assert sorted(r["key"] for r in rows if r["wide"] == 2 and r["gram"] == code("ab")) == [0, 3, 5, 6]
