@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folium.functions.text import EDITS, SHORT_WORDS, URL, once
 from folium.sources.io import settled
@@ -38,11 +40,13 @@ def word_costs(docs: DataFrame, text: str = "text", least: int = 2) -> DataFrame
 def rewritten(docs: DataFrame, text: str, pattern: str, answers: Callable[[DataFrame], DataFrame], out: str) -> DataFrame:
     """Adds struct<text, edits>: each hit of ``pattern`` replaced by its answer. ``answers`` takes the distinct hits (hit) and gives (hit, put, rule) for those that it changes."""
     key, gaps = F.unhex(F.sha2(F.col(text), 256)), F.split(F.col(text), pattern, -1)
-    hits = docs.select(key.alias("_rewritten_key"), F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("_at", "hit"))
-    hits = settled(hits.distinct())
+    # A distinct text is one row with its hits in order until it has a short number; only that goes along with each hit.
+    held = docs.select(key.alias("_rewritten_key"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")).where(F.size("hits") > 0)
+    held = settled(held.dropDuplicates(["_rewritten_key"]).withColumn("_id", F.monotonically_increasing_id()))
+    hits = held.select("_id", F.posexplode("hits").alias("_at", "hit"))
     told = hits.join(answers(hits.select("hit").distinct()), "hit", "left")
     found = F.array_sort(F.collect_list(F.struct("_at", F.coalesce("put", "hit").alias("put"), "rule", "hit")))
-    texts = told.groupBy("_rewritten_key").agg(found.alias("_rewritten_hits"), F.count("rule").alias("_n")).where("_n > 0").drop("_n")
+    texts = told.groupBy("_id").agg(found.alias("_rewritten_hits"), F.count("rule").alias("_n")).where("_n > 0").drop("_n").join(held.select("_id", "_rewritten_key"), "_id").drop("_id")
     whole = F.array_join(F.zip_with(gaps, "_rewritten_hits", lambda g, h: F.concat(g, F.coalesce(h["put"], F.lit("")))), "")
     edits = F.transform(F.filter("_rewritten_hits", lambda h: h["rule"].isNotNull()), lambda h: F.struct(h["rule"].alias("rule"), h["hit"].alias("before"), h["put"].alias("after")))
     done = F.struct(F.when(F.col("_rewritten_hits").isNull(), F.col(text)).otherwise(whole).alias("text"), F.coalesce(edits, F.array().cast(EDITS)).alias("edits"))
@@ -65,50 +69,65 @@ def dehyphenated(docs: DataFrame, words: DataFrame, text: str = "text", out: str
     return rewritten(docs, text, CUT, answers, out)
 
 
+#: A piece's number tells its end and, below that, its letters, longer ones (that start first) before shorter ones.
+PLACE = 32
+
+
 def _cheapest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of runs (run, size, end, start, cost, word), a run's pieces together and by end and start: the run's words of least cost, where any reach its end.
+    """Pieces of runs (run, at, cost), a run's pieces together and by their number: where the words of least cost end that reach furthest from the run's start.
 
     Of equal costs the one whose last piece starts first holds. A task keeps one run's best pieces, one for each letter.
     """
-    held, size, best = None, 0, {}
+    held, best = None, {}
 
-    def words() -> Iterator[tuple[bytes, str]]:
-        if size in best and held is not None:
-            at, parts = size, []
+    def ends() -> Iterator[tuple[int, list[int]]]:
+        if held is not None:
+            at, path = max(best), []
             while at:
-                _, start, word = best[at]
-                parts.append(word)
-                at = start
-            yield held, " ".join(reversed(parts))
+                path.append(at)
+                at = best[at][1]
+            yield held, path[::-1]
+
+    def told(out: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([e for _, e in out], pa.list_(pa.int32()))], ["run", "ends"])
 
     for batch in batches:
         out = []
-        for run, length, end, start, cost, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for run, at, cost in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if run != held:
-                out += words()
-                held, size, best = run, length, {0: (0, 0, "")}
+                out += ends()
+                held, best = run, {0: (0, 0)}
+            end = at // PLACE
+            start = end - (PLACE - 1 - at % PLACE)
             if start in best:
                 reached = best[start][0] + cost
                 if end not in best or reached < best[end][0]:
-                    best[end] = (reached, start, word)
-        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.binary()), pa.array([w for _, w in out], pa.string())], ["run", "words"])
-    last = list(words())
-    yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in last], pa.binary()), pa.array([w for _, w in last], pa.string())], ["run", "words"])
+                    best[end] = (reached, start)
+        yield told(out)
+    yield told(list(ends()))
+
+
+@F.pandas_udf(T.StringType())
+def _parts(x: pd.Series, ends: pd.Series) -> pd.Series:
+    """A run's words, by where they end."""
+    return pd.Series([" ".join(v[a:b] for a, b in zip([0, *e[:-1]], e, strict=True)) for v, e in zip(x, (list(e) for e in ends), strict=True)], dtype=object)
 
 
 def parted(hits: DataFrame, words: DataFrame) -> DataFrame:
     """TXT12: runs (hit) that the list does not hold but that are made of its words, parted at least cost: hit, put, rule. Pieces of one or two letters have to be of the
     closed list; a run with no such parting is not in the result. Each letter of a distinct unknown run meets the list with ``LONGEST`` pieces."""
     runs = hits.where(F.col("hit").rlike(f"^{RUN}$")).withColumn("low", F.lower("hit")).where(F.length("low") == F.length("hit"))
-    runs = runs.join(words, F.col("low") == F.col("word"), "left_anti").withColumn("run", F.unhex(F.sha2("hit", 256)))
+    # A run has a short number, and a piece two beside it: of all that the repair shuffles, pieces are by far the most.
+    runs = settled(runs.join(words, F.col("low") == F.col("word"), "left_anti").withColumn("run", F.monotonically_increasing_id()))
     windows = F.regexp_extract_all("low", F.lit(rf"(?=(.{{1,{LONGEST}}}))"), F.lit(1))
-    starts = runs.select("run", F.length("low").alias("size"), F.posexplode(windows).alias("start", "window"))
-    ends = starts.select("run", "size", "start", "window", F.explode(F.sequence(F.lit(1), F.length("window"))).alias("n"))
-    pieces = ends.select("run", "size", (F.col("start") + F.col("n")).alias("end"), "start", F.expr("substring(window, 1, n)").alias("word")).where((F.length("word") > 2) | F.col("word").isin(*sorted(SHORT_WORDS)))
-    met = pieces.join(words.select("word", "cost"), "word").select("run", "size", "end", "start", "cost", "word")
-    done = met.repartition("run").sortWithinPartitions("run", "end", "start").mapInArrow(_cheapest, "run binary, words string")
-    put = F.concat(F.substring("hit", 1, 1), F.expr("substring(words, 2)"))
-    return runs.join(done, "run").select("hit", put.alias("put"), F.lit("word_split").alias("rule"))
+    starts = runs.select("run", F.posexplode(windows).alias("start", "window"))
+    ends = starts.select("run", "start", "window", F.explode(F.sequence(F.lit(1), F.length("window"))).alias("n"))
+    pieces = ends.select("run", ((F.col("start") + F.col("n")).cast("long") * PLACE + (PLACE - 1 - F.col("n"))).alias("at"), F.expr("substring(window, 1, n)").alias("word")).where((F.length("word") > 2) | F.col("word").isin(*sorted(SHORT_WORDS)))
+    met = pieces.join(words.select("word", "cost"), "word").select("run", "at", "cost")
+    done = met.repartition("run").sortWithinPartitions("run", "at").mapInArrow(_cheapest, "run long, ends array<int>")
+    whole = runs.join(done, "run").where(F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1) == F.length("low"))
+    put = F.concat(F.substring("hit", 1, 1), F.expr("substring(_words, 2)"))
+    return whole.withColumn("_words", _parts("low", "ends")).select("hit", put.alias("put"), F.lit("word_split").alias("rule"))
 
 
 def spaced(docs: DataFrame, words: DataFrame, text: str = "text", out: str = "repaired") -> DataFrame:

@@ -54,3 +54,13 @@ def test_texts_of_several_stretches(spark, tmp_path, monkeypatch):
     code = lambda s: int(grams.grams_of(s, len(s))[0])
     assert {r["key"]: r["places"] for r in rows if r["gram"] == code("abc")} == {0: [0], 3: [1], 5: [1, 4]}
     assert sorted(r["key"] for r in rows if r["wide"] == 2 and r["gram"] == code("ab")) == [0, 3, 5, 6]
+
+
+def test_a_piece_of_a_run_is_shuffled_as_numbers(spark):
+    """Pieces are most of what the repair of lost spaces shuffles: neither a hash of the run nor the word goes along."""
+    from folium.operators import lexicon
+
+    words = spark.createDataFrame([("abc", 2, 5), ("def", 2, 6)], "word string, n long, cost long")
+    plan = lexicon.parted(spark.createDataFrame([("abcdefabcdef",)], "hit string"), words)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[plan.index("RepartitionByExpression") :].splitlines()[1]
+    assert "Project" in dealt and "word" not in dealt
