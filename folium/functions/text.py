@@ -45,10 +45,19 @@ def decode_control_glyphs(x: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfc(x: pd.Series) -> pd.Series:
+def _nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
 
 
+#: Characters that NFC may change: none below U+0300, and no typographic dash, quote or dot.
+NOT_NFC = r"[\x{300}-\x{200F}\x{2028}-\x{10FFFF}]"
+
+
+def nfc(x: Column) -> Column:
+    """TXT5's NFC; only texts that it may change go to Python."""
+    return F.coalesce(_nfc(F.when(x.rlike(NOT_NFC), x)), x)
+
+
 def _accented() -> tuple[dict[str, str], dict[str, str]]:
     """Every accent and ASCII letter that NFC makes one code point, as written: accent first, and letter first."""
     letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
@@ -59,8 +68,7 @@ def _accented() -> tuple[dict[str, str], dict[str, str]]:
 
 
 @F.pandas_udf(T.StringType())
-def compose_diacritics(x: pd.Series) -> pd.Series:
-    """TXT3: a spacing accent beside a letter becomes one letter where NFC has one code point for the two."""
+def _composed(x: pd.Series) -> pd.Series:
     first, last = _accented()
     signs = re.escape(ORDINARY_SIGNS)
     sure = re.compile("[" + "".join(a for a in LEADING_ACCENTS if a not in ORDINARY_SIGNS) + "][A-Za-z]")
@@ -76,6 +84,12 @@ def compose_diacritics(x: pd.Series) -> pd.Series:
     return x.map(one)
 
 
+def compose_diacritics(x: Column) -> Column:
+    """TXT3: a spacing accent beside a letter becomes one letter where NFC has one code point for the two; only texts with such a sign go to Python."""
+    signs = re.escape("".join([*LEADING_ACCENTS, *TRAILING_ACCENTS]))
+    return F.coalesce(_composed(F.when(x.rlike(f"[{signs}]"), x)), x)
+
+
 def expand_ligatures(x: Column) -> Column:
     """TXT4."""
     for k, v in LIGATURES.items():

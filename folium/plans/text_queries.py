@@ -13,6 +13,7 @@ from folium.operators import grams as H
 from folium.operators import search as S
 from folium.operators import segment as G
 from folium.registry import query, table
+from folium.sources.io import short_batches
 
 QUERY = ["the", "and"]
 
@@ -156,6 +157,7 @@ def clean_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def nfc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT5."""
+    short_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", T.nfc(F.col("text")).alias("text"))
 
 
@@ -179,6 +181,7 @@ def punct_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT16: the whole repair of a page, and how many edits it took."""
+    short_batches(spark)
     out = T.logged(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", T.PAGE_STEPS, "r")
     return out.select("doc_id", F.col("r.text").alias("text"), F.size("r.edits").cast("long").alias("n_edits"))
 

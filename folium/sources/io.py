@@ -36,6 +36,18 @@ def spread(rows: DataFrame, *key: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
+#: Rows and bytes of a batch between Spark and Python at most, where whole texts go there: a worker holds a batch and what it makes of it.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session be small."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(key).lower().rstrip("b")
+        if not held.lstrip("-").isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
+
+
 def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """SRC1/SRC2: files below a path with the hash that is their identity; the bytes stay out of every shuffle."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)

@@ -64,3 +64,23 @@ def test_a_piece_of_a_run_is_shuffled_as_numbers(spark):
     plan = lexicon.parted(spark.createDataFrame([("abcdefabcdef",)], "hit string"), words)._jdf.queryExecution().optimizedPlan().toString()
     dealt = plan[plan.index("RepartitionByExpression") :].splitlines()[1]
     assert "Project" in dealt and "word" not in dealt
+
+
+@pytest.mark.parametrize("name", ["nfc_text", "repair_text"])
+def test_whole_texts_go_to_python_in_small_batches(spark, name):
+    registry.QUERIES[name](spark, SF)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+
+
+def test_what_stays_out_of_python_is_in_nfc(spark):
+    import unicodedata
+
+    from folium.functions import text
+
+    sure = [chr(c) for c in (*range(1, 0x300), *range(0x2010, 0x2028))]
+    assert all(unicodedata.is_normalized("NFC", f"e{c}a") and not unicodedata.combining(c) for c in sure)
+    rows = [(s,) for s in (*sure, "é", "Ω", "Å", "각", "\U0001d15e", "", None, "´e x", "c¸", "no sign")]
+    got = spark.createDataFrame(rows, "t string").select("t", text.nfc(F.col("t")).alias("n"), text.compose_diacritics(F.col("t")).alias("c")).collect()
+    assert all(r.n == (r.t and unicodedata.normalize("NFC", r.t)) for r in got)
+    assert {r.t: r.c for r in got}["´e x"] == "é x" and {r.t: r.c for r in got}["c¸"] == "ç"
