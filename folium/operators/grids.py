@@ -6,11 +6,14 @@ A grid is (doc_id, page, grid, rows array<array<string>>).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folium.operators.layout import PAGE, group_runs, line_text, run_struct
 from folium.sources.io import settled
@@ -39,11 +42,9 @@ def merged_rules(rules: DataFrame) -> DataFrame:
     return one.select(*axis, "at", "low", "high", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("flat"), "at", "low")).alias("rule"))
 
 
-def _labelled(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rules of one page with the number of the table that they belong to: what crosses, or comes near it, belongs together."""
-    flat = pdf["flat"].to_numpy(bool)
-    at, low, high = (pdf[c].to_numpy(float) for c in ("at", "low", "high"))
-    root = list(range(len(pdf)))
+def _tables(flat: list[bool], at: list[float], low: list[float], high: list[float]) -> list[int]:
+    """Of rules of one page the number of the table that each belongs to: what crosses, or comes near it, belongs together."""
+    root = list(range(len(flat)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -51,23 +52,53 @@ def _labelled(pdf: pd.DataFrame) -> pd.DataFrame:
             i = root[i]
         return i
 
-    upright = np.flatnonzero(~flat)
-    for i in np.flatnonzero(flat).tolist():
-        met = (low[i] - REACH <= at[upright]) & (at[upright] <= high[i] + REACH) & (low[upright] - REACH <= at[i]) & (at[i] <= high[upright] + REACH)
-        for j in upright[met].tolist():
-            a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
-    pdf["grid"] = [find(i) for i in range(len(pdf))]
-    return pdf
+    upright = np.array([i for i, f in enumerate(flat) if not f], np.int64)
+    x, top, bottom = (np.array(c, float)[upright] for c in (at, low, high))
+    for i, lies in enumerate(flat):
+        if lies:
+            met = (low[i] - REACH <= x) & (x <= high[i] + REACH) & (top - REACH <= at[i]) & (at[i] <= bottom + REACH)
+            for j in upright[met].tolist():
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(flat))]
+
+
+def _labelled(schema: pa.Schema):
+    """Rules in order of their pages, with their tables; a task holds the rules of a batch and of the page that goes on after it."""
+
+    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        page = list(zip(*(rows[c].to_pylist() for c in PAGE), strict=True))
+        cells = [rows[c].to_pylist() for c in ("flat", "at", "low", "high")]
+        edges = [i for i in range(len(page)) if not i or page[i] != page[i - 1]] + [len(page)]
+        grid = [g for a, b in zip(edges, edges[1:], strict=False) for g in _tables(*(c[a:b] for c in cells))]
+        yield from rows.append_column("grid", pa.array(grid, pa.int32())).cast(schema).to_batches()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in (b for b in batches if b.num_rows):
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            ends = [rows[c].to_pylist() for c in PAGE]
+            cut = rows.num_rows
+            while cut and all(c[cut - 1] == c[-1] for c in ends):
+                cut -= 1
+            if cut:
+                yield from told(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield from told(held)
+
+    return go
 
 
 def meshes(rules: DataFrame) -> DataFrame:
     """TBL1: merged rules of real meshes: three rules at least each way, of which horizontals run across most of the table, and almost half of all crossings drawn.
 
-    Adds grid and, of horizontals, spans. A page's few hundred rules are labelled in one group.
+    Adds grid and, of horizontals, spans. A page's few hundred rules are labelled together.
     """
     m = merged_rules(rules)
-    g = m.groupBy(*PAGE).applyInPandas(_labelled, T.StructType([*m.schema.fields, T.StructField("grid", T.IntegerType())]))
+    kind = T.StructType([*m.schema.fields, T.StructField("grid", T.IntegerType())])
+    g = m.repartition(*PAGE).sortWithinPartitions(*PAGE, "rule").mapInArrow(_labelled(to_arrow_schema(kind)), kind)
     g = settled(g)
     t = Window.partitionBy(*TABLE)
     wide = F.max(F.when(F.col("flat"), F.col("high"))).over(t) - F.min(F.when(F.col("flat"), F.col("low"))).over(t)

@@ -513,10 +513,11 @@ def page_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     struct = lambda r: F.struct(F.lit(r[0]).alias("text"), *[F.lit(v).alias(n) for v, n in zip(r[1:], ("x", "y", "w", "h", "size"), strict=True)])
     key = F.col("p_partkey")
     pages = F.array(*[F.array(*[struct(r) for r in p]) for p in PAGES])
-    runs = table(spark, sf_dir, "part").select(key.alias("doc_id"), F.lit(1).alias("page"), F.posexplode(F.get(pages, (key % len(PAGES)).cast("int"))).alias("run_id", "r")).select("doc_id", "page", "run_id", "r.*")
+    parts = spread(table(spark, sf_dir, "part").select(key), "p_partkey")
+    runs = parts.select(key.alias("doc_id"), F.lit(1).alias("page"), F.posexplode(F.get(pages, (key % len(PAGES)).cast("int"))).alias("run_id", "r")).select("doc_id", "page", "run_id", "r.*")
     runs = runs.withColumn("text", F.replace("text", F.lit("{k}"), F.col("doc_id").cast("string")))
     drawn = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("x0", "y0", "x1", "y1"), strict=True)]) for r in RULES])
-    rules = table(spark, sf_dir, "part").where(key % len(PAGES) == 0).select(key.alias("doc_id"), F.lit(1).alias("page"), F.explode(drawn).alias("r")).select("doc_id", "page", "r.*")
+    rules = parts.where(key % len(PAGES) == 0).select(key.alias("doc_id"), F.lit(1).alias("page"), F.explode(drawn).alias("r")).select("doc_id", "page", "r.*")
     runs, rules = settled(runs), settled(rules)
     return T.grids(runs, rules, L.visual_lines(runs)).select(F.col("doc_id").alias("k"), F.to_json("rows").alias("rows"))
 

@@ -84,3 +84,17 @@ def test_what_stays_out_of_python_is_in_nfc(spark):
     got = spark.createDataFrame(rows, "t string").select("t", text.nfc(F.col("t")).alias("n"), text.compose_diacritics(F.col("t")).alias("c")).collect()
     assert all(r.n == (r.t and unicodedata.normalize("NFC", r.t)) for r in got)
     assert {r.t: r.c for r in got}["´e x"] == "é x" and {r.t: r.c for r in got}["c¸"] == "ç"
+
+
+def test_rules_are_labelled_in_a_stream_of_pages(spark):
+    """Pages that batches cut: the same tables as of whole pages, and no call for each page."""
+    import pyarrow as pa
+
+    from folium.operators import grids
+
+    rows = [(d, 1, flat, at, 0.0, 20.0, r) for d in range(5) for r, (flat, at) in enumerate([(True, 0.0), (True, 20.0), (False, 0.0), (False, 20.0), (False, 90.0)])]
+    batch = pa.RecordBatch.from_pylist([dict(zip(["doc_id", "page", "flat", "at", "low", "high", "rule"], r, strict=True)) for r in rows])
+    schema = batch.schema.append(pa.field("grid", pa.int32()))
+    for wide in (1, 3, 7, 25):
+        got = [r for b in grids._labelled(schema)(iter([batch.slice(k, wide) for k in range(0, len(rows), wide)])) for r in b.to_pylist()]
+        assert [r["grid"] for r in got] == [0, 0, 0, 0, 4] * 5 and [(r["doc_id"], r["rule"]) for r in got] == [(r[0], r[6]) for r in rows]
