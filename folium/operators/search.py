@@ -1,8 +1,9 @@
 """Full-text search: postings in blocks of falling impact, the best chunks by BM25 from the first blocks alone, snippets of the best.
 
-An index is a folder of segments and a manifest of those that count. A segment holds postings (term, level, key.., tf, length) in ``BUCKETS`` folders by the
-term's hash, sorted by term and level, and a dictionary (term, blocks). A posting's level is its BM25 weight (without idf) in ``LEVELS`` steps from the highest
-down; all of one term and level are a block, and the dictionary knows its size and its highest weight. ``append_index`` adds a segment and
+An index is a folder of segments and a manifest of those that count. A segment holds postings (place, term, key.., tf, length) in a file of each task that made
+them, sorted by place, and a dictionary (code, term, blocks). A posting's level is its BM25 weight (without idf) in ``LEVELS`` steps from the highest
+down, and its place is the term's hash with the level as the last digits; all of one term and level are a block, which the files' statistics find, and the dictionary
+knows the size and the highest weight of each file's part of it. Nothing is shuffled. ``append_index`` adds a segment and
 ``merge_index`` makes one of all; both write a new manifest last, so that a search sees either the old segments or the new ones.
 
 ``search`` reads the first blocks of each word, completes what it found there, and knows the score to beat. It then reads only so much further that a
@@ -15,17 +16,27 @@ import json
 import math
 import re
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from folium.sources.io import settled
+from folium.sources.io import narrow_batches, settled, short_batches
 
 K1, B = 1.2, 0.75
-BUCKETS, LEVELS = 64, 256
+#: Levels fill the last eight bits of a place.
+LEVELS = 256
+#: Signs that a word takes, about; it only scales the levels of new postings, whose blocks are right by any scale.
+SIGNS = 6
+#: So many signs of a text are cut into words at once, and so many postings are told to the dictionary at once.
+PIECE, STRETCH = 1_000_000, 100_000
 #: A first look takes so many postings of each word for each chunk asked for.
 FIRST = 4
 #: Up to so many chunks are looked up by their keys as literals, which reach the files' statistics; more by a join.
@@ -48,8 +59,78 @@ def postings(chunks: DataFrame, key: list[str], body: str = "body") -> DataFrame
     return rows.groupBy(*key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+#: Each byte as it stands in a word, or a space.
+_IN_WORDS = bytes(c if re.match(rf"{WORD}$", chr(c)) else 32 for c in range(256))
+
+
+def _words_in(text: bytes) -> Iterator[list[bytes]]:
+    """A text's words, cut from pieces of bounded length."""
+    plain, at = text.translate(_IN_WORDS), 0
+    while at < len(plain):
+        end = plain.find(b" ", at + PIECE)
+        end = len(plain) if end < 0 else end
+        yield plain[at:end].split()
+        at = end
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks (key.., lower-case text as bytes) as postings (key.., length, term, tf)."""
+    for batch in batches:
+        terms, tfs, held, lengths = [], [], [], []
+        for body in batch.column(batch.num_columns - 1).to_pylist():
+            told: Counter[bytes] = Counter()
+            for words in _words_in(body or b""):
+                told.update(words)
+            terms += told.keys()
+            tfs += told.values()
+            held.append(len(told))
+            lengths.append(told.total())
+        rows = np.repeat(np.arange(len(held)), held)
+        cells = {f.name: batch.column(i).take(pa.array(rows)) for i, f in enumerate(batch.schema) if i < batch.num_columns - 1}
+        yield pa.RecordBatch.from_pydict(cells | {"length": pa.array(np.array(lengths, "int32")[rows], pa.int32()), "term": pa.array(terms, pa.string()), "tf": pa.array(tfs, pa.int32())})
+
+
+def _made(chunks: DataFrame, key: list[str], body: str) -> DataFrame:
+    """Postings of chunks of distinct keys, made within the chunk's task: no count meets another one."""
+    short_batches(chunks.sparkSession)
+    kind = StructType(chunks.select(*key).schema.fields).add("length", "integer").add("term", "string").add("tf", "integer")
+    return chunks.select(*key, F.lower(body).cast("binary").alias("_low")).mapInArrow(_counted, kind)
+
+
+def _code(term: Column) -> Column:
+    """Where a term's blocks begin."""
+    return F.xxhash64(term).bitwiseAND(F.lit(-LEVELS))
+
+
+def _codes(spark: SparkSession, words: list[str]) -> dict[str, int]:
+    return {r["term"]: r["code"] for r in spark.createDataFrame([(t,) for t in words], "term string").select("term", _code(F.col("term")).alias("code")).collect()}
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (place, term, best) in order of their places as words' blocks (code, term, blocks): of a word or block that stretches cut, each tells its part."""
+    held: list[pa.RecordBatch] = []
+
+    def begun(differs: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.flatnonzero(differs) + 1))
+
+    def told() -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks() if held else None
+        held.clear()
+        if whole is None or not whole.num_rows:
+            return
+        place, term, best = whole.column(0).to_numpy(), whole.column(1).combine_chunks(), whole.column(2).to_numpy()
+        other = pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)
+        block = begun((place[1:] != place[:-1]) | other)
+        word = begun(((place[1:] ^ place[:-1]) >= LEVELS) | ((place[1:] ^ place[:-1]) < 0) | other)
+        parts = pa.StructArray.from_arrays([pa.array((place[block] % LEVELS).astype("int32")), pa.array(np.diff(block, append=len(place))), pa.array(np.maximum.reduceat(best, block))], ["level", "n", "best"])
+        ends = np.append(np.searchsorted(block, word), len(block)).astype("int32")
+        yield pa.RecordBatch.from_arrays([pa.array(place[word] & -LEVELS), term.take(pa.array(word)), pa.ListArray.from_arrays(pa.array(ends), parts)], ["code", "term", "blocks"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= STRETCH:
+            yield from told()
+    yield from told()
 
 
 def weight(mean: float | Column) -> Column:
@@ -87,23 +168,23 @@ def _publish(spark: SparkSession, path: str, version: int, live: list[Segment],
     spark.createDataFrame([row], "version long, segments array<struct<name:string,n:long,words:long>>, key string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
-def _write_segment(p: DataFrame, key: list[str], path: str, n: int, words: int) -> Segment:
-    seg = Segment(f"seg-{uuid.uuid4().hex}", n, words)
-    level = F.least(F.lit(LEVELS - 1), F.floor((1 - weight(seg.mean) / (K1 + 1)) * LEVELS)).cast("int")
-    rows = p.select(_bucket(F.col("term")).alias("bucket"), "term", level.alias("level"), *key, "tf", "length")
-    order = ["bucket", "term", "level", *key]
-    # By ranges, so that several tasks share the list of a word that every chunk holds.
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/{seg.name}/postings")
-    back = p.sparkSession.read.schema(rows.schema).parquet(f"{path}/{seg.name}/postings")
-    blocks = back.groupBy("bucket", "term", "level").agg(F.count("*").alias("n"), F.max(weight(seg.mean)).alias("best"))
-    blocks = blocks.groupBy("bucket", "term").agg(F.sort_array(F.collect_list(F.struct("level", "n", "best"))).alias("blocks"))  # LEVELS at most
-    blocks.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/{seg.name}/terms")
+def _write_segment(p: DataFrame, code: Column, key: list[str], path: str, n: int, scale: float) -> Segment:
+    """Postings as a segment; its levels are those of a mean length of ``scale`` words."""
+    spark, name = p.sparkSession, f"seg-{uuid.uuid4().hex}"
+    level = F.least(F.lit(LEVELS - 1), F.floor((1 - weight(scale) / (K1 + 1)) * LEVELS))
+    rows = p.select((code + level).alias("place"), "term", *key, "tf", "length")
+    # Each task writes what it has: neither a word that every chunk holds nor a bucket of words is one task's to sort.
+    rows.sortWithinPartitions("place").write.parquet(f"{path}/{name}/postings")
+    back = spark.read.schema(rows.schema).parquet(f"{path}/{name}/postings")
+    seg = Segment(name, n, back.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0])
+    with narrow_batches(spark):
+        back.select("place", "term", weight(seg.mean).alias("best")).mapInArrow(_stretches, "code long, term string, blocks array<struct<level:int,n:long,best:double>>").write.parquet(f"{path}/{name}/terms")
     return seg
 
 
 def _segment_of(chunks: DataFrame, key: list[str], path: str, body: str) -> Segment:
-    held = chunks.select(F.size(words_of(body)).alias("n")).agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
-    return _write_segment(postings(chunks, key, body), key, path, held["n"], held["words"])
+    n, signs = chunks.agg(F.count("*"), F.coalesce(F.sum(F.length(body)), F.lit(0))).first()
+    return _write_segment(_made(chunks, key, body), _code(F.col("term")), key, path, n, max(1.0, signs / SIGNS / max(1, n)))
 
 
 def write_index(chunks: DataFrame, key: list[str], path: str, body: str = "body") -> None:
@@ -131,7 +212,8 @@ def merge_index(spark: SparkSession, key: list[str], path: str) -> None:
     """All segments as one, levels by the mean of all; the old ones stay on disk for the searches that still read them."""
     live, version = segments(spark, path), _version(spark, path)
     if len(live) > 1 and any(s.words for s in live):
-        one = _write_segment(_postings(spark, path, live).select(*key, "term", "tf", "length"), key, path, sum(s.n for s in live), sum(s.words for s in live))
+        n, words = sum(s.n for s in live), sum(s.words for s in live)
+        one = _write_segment(_postings(spark, path, live), F.col("place").bitwiseAND(F.lit(-LEVELS)), key, path, n, words / n)
         _publish(spark, path, version + 1, [one], _key_of(spark, path))
 
 
@@ -154,20 +236,19 @@ class Lists:
         return any(depth[t] >= len(s) for t, s in self.size.items())
 
 
-def _lists(spark: SparkSession, path: str, live: list[Segment], words: list[str], n: int, mean: float) -> tuple[Lists, dict[str, float]] | None:
+def _lists(spark: SparkSession, path: str, live: list[Segment], codes: dict[str, int], n: int, mean: float) -> tuple[Lists, dict[str, float]] | None:
+    words = list(codes)
     held: dict[str, dict[int, list[float]]] = {t: {} for t in words}
     dictionary = None
     for s in (s for s in live if s.words):
         # A chunk weighs more where the mean grows, by no more than the means' ratio.
-        d = spark.read.parquet(f"{path}/{s.name}/terms").where(F.col("term").isin(*words)).select("bucket", "term", "blocks", F.lit(max(1.0, mean / s.mean)).alias("ratio"))
+        d = spark.read.parquet(f"{path}/{s.name}/terms").where(F.col("code").isin(*codes.values()) & F.col("term").isin(*words)).select("term", F.explode("blocks").alias("b"), F.lit(max(1.0, mean / s.mean)).alias("ratio"))
         dictionary = d if dictionary is None else dictionary.unionByName(d)
     if dictionary is None:
         return None
-    buckets = {r[0] for r in spark.createDataFrame([(t,) for t in words], "term string").select(_bucket(F.col("term"))).collect()}
-    for r in dictionary.where(F.col("bucket").isin(*buckets)).collect():  # a row a word and segment
-        for level, size, best in r["blocks"]:
-            b = held[r["term"]].setdefault(level, [0, 0.0])
-            b[0], b[1] = b[0] + size, max(b[1], best * r["ratio"])
+    blocks = dictionary.groupBy("term", "b.level").agg(F.sum("b.n").alias("n"), F.max(F.col("b.best") * F.col("ratio")).alias("best"))
+    for r in blocks.collect():  # LEVELS rows a word at most
+        held[r["term"]][r["level"]] = [r["n"], r["best"]]
     idf = {t: _idf(n, int(sum(b[0] for b in held[t].values()))) for t in words}
     size, rest = {}, {}
     for t in words:
@@ -178,6 +259,11 @@ def _lists(spark: SparkSession, path: str, live: list[Segment], words: list[str]
     return (Lists(size, rest), idf) if all(size.values()) else None
 
 
+def _within(term: str, code: int, first: int, last: int) -> Column:
+    """A word's postings of these levels, by what the files' statistics know; words of equal hashes are told apart."""
+    return F.col("place").between(code + first, code + last) & (F.col("term") == term)
+
+
 def _first_depth(lists: Lists, least: int) -> dict[str, int]:
     """Blocks that hold ``least`` postings of each word; if one word has no more than that, all of its list and nothing of the others."""
     rarest = min(lists.size, key=lambda t: sum(n for _, n in lists.size[t]))
@@ -219,20 +305,20 @@ def search_read(spark: SparkSession, path: str, query: str | list[str], key: lis
     live, words = segments(spark, path), terms_of(query)
     n, mean = sum(s.n for s in live), sum(s.words for s in live) / max(1, sum(s.n for s in live))
     schema = _key_of(spark, path).add("score", "double")
-    known = _lists(spark, path, live, words, n, mean) if words and limit > 0 else None
+    codes = _codes(spark, words) if words else {}
+    known = _lists(spark, path, live, {t: codes[t] for t in words}, n, mean) if words and limit > 0 else None
     if known is None:
         return spark.createDataFrame([], schema), Reading()
     lists, idf = known
-    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in words], "term string").select(_bucket(F.col("term"))).distinct().collect()]
-    all_of = _postings(spark, path, live).where(F.col("bucket").isin(*buckets)).select(*key, "term", "level", (weight(mean) * sum((F.when(F.col("term") == t, F.lit(v)).otherwise(0.0) for t, v in idf.items()), F.lit(0.0))).alias("part"))
+    all_of = _postings(spark, path, live).select(*key, "term", "place", (weight(mean) * sum((F.when(F.col("term") == t, F.lit(v)).otherwise(0.0) for t, v in idf.items()), F.lit(0.0))).alias("part"))
     parts = [F.max(F.when(F.col("term") == t, F.col("part"))).alias(f"s{i}") for i, t in enumerate(words)]
     depth, goal, reading = _first_depth(lists, FIRST * limit), -math.inf, Reading(lists.read({t: len(s) for t, s in lists.size.items()}))
     while True:
         inside, outside, most = F.lit(False), F.lit(False), F.lit(0.0)
         for i, t in enumerate(words):
             last = lists.size[t][depth[t] - 1][0] if depth[t] else -1
-            inside = inside | ((F.col("term") == t) & (F.col("level") <= last))
-            outside = outside | ((F.col("term") == t) & (F.col("level") > last))
+            inside = inside | _within(t, codes[t], 0, last)
+            outside = outside | _within(t, codes[t], last + 1, LEVELS - 1)
             most = most + F.coalesce(f"s{i}", F.lit(lists.rest[t][depth[t]]))
         met = settled(all_of.where(inside).groupBy(*key).agg(*parts).where(most >= goal - 1e-6))
         lacking = met.where(F.greatest(*[F.col(f"s{i}").isNull().cast("int") for i in range(len(words))], F.lit(0)) == 1).select(*key)

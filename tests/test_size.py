@@ -98,3 +98,47 @@ def test_rules_are_labelled_in_a_stream_of_pages(spark):
     for wide in (1, 3, 7, 25):
         got = [r for b in grids._labelled(schema)(iter([batch.slice(k, wide) for k in range(0, len(rows), wide)])) for r in b.to_pylist()]
         assert [r["grid"] for r in got] == [0, 0, 0, 0, 4] * 5 and [(r["doc_id"], r["rule"]) for r in got] == [(r[0], r[6]) for r in rows]
+
+
+def test_postings_are_written_where_they_are_made(spark, tmp_path):
+    """A file a task that read texts, in order of its blocks, before and after a merge: nothing is shuffled."""
+    from folium.operators import search
+
+    frame = lambda low: spark.createDataFrame([(k, f"the cat {k} the") for k in range(low, low + 30)], "id long, body string").repartition(3)
+    search.write_index(frame(0), ["id"], f"{tmp_path}/ix")
+    first = search.segments(spark, f"{tmp_path}/ix")[0].name
+    files = list((tmp_path / "ix" / first / "postings").rglob("*.parquet"))
+    assert len(files) == 3
+    places = [r.place for r in spark.read.parquet(str(files[0])).collect()]
+    assert places == sorted(places)
+    search.append_index(frame(30), ["id"], f"{tmp_path}/ix")
+    search.merge_index(spark, ["id"], f"{tmp_path}/ix")
+    assert [r.id for r in search.search(spark, f"{tmp_path}/ix", "the CAT", ["id"], 60).collect()] == list(range(60))
+
+
+def test_words_and_blocks_that_pieces_cut(monkeypatch):
+    import pyarrow as pa
+
+    from folium.operators import search
+
+    text = "ab été k9  k9 a" * 9 + "\n" + "x" * 40
+    want = ("ab t k9  k9 a" * 9).replace("t", " t ").split() + ["x" * 40]
+    for piece in (1, 3, 7, 1000):
+        monkeypatch.setattr(search, "PIECE", piece)
+        assert [w.decode() for ws in search._words_in(text.encode()) for w in ws] == want
+    terms = ["a"] * 5 + ["b", "c", "b"] + ["d"] * 4
+    places = [-256, -256, -255, -250, -1, 0, 0, 0, 256, 257, 257, 511]
+    batch = pa.RecordBatch.from_pydict({"place": places, "term": terms, "best": [float(k) for k in range(12)]})
+    for stretch in (1, 4, 100):
+        monkeypatch.setattr(search, "STRETCH", stretch)
+        got = {}
+        for b in search._stretches(iter([batch.slice(k, 2) for k in range(0, 12, 2)])):
+            for r in b.to_pylist():
+                for x in r["blocks"]:
+                    n, best = got.get((r["term"], r["code"] + x["level"]), (0, 0.0))
+                    got[r["term"], r["code"] + x["level"]] = (n + x["n"], max(best, x["best"]))
+        want = {}
+        for t, p, k in zip(terms, places, range(12), strict=True):
+            n, best = want.get((t, p), (0, 0.0))
+            want[t, p] = (n + 1, max(best, float(k)))
+        assert got == want
