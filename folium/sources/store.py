@@ -60,7 +60,8 @@ def replace(spark: SparkSession, path: str, touched: DataFrame, fresh: dict[str,
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r for r in (kept, new) if r is not None])
         run = f"{name}-{uuid.uuid4().hex}"
         told = rows.withColumn("bucket", _bucket(key))
-        told.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{run}")
+        # Each task writes its rows' buckets: dealt by bucket, all rows would be shuffled, and few tasks would sort them.
+        told.write.partitionBy("bucket").parquet(f"{path}/{run}")
         # A bucket without rows has no folder; the data's own column order stays.
         held = {r[0] for r in spark.read.parquet(f"{path}/{run}").select("bucket").distinct().collect()} if told.limit(1).count() else set()
         folders = {b: f for b, f in out.get(name, ("", {}))[1].items() if b not in buckets} | {b: f"{run}/bucket={b}" for b in held}
@@ -79,10 +80,19 @@ def outdated(spark: SparkSession, path: str, docs: DataFrame, version: str, key:
     return docs.join(same, [key, hash_col], "left_anti")
 
 
+def _once_each(docs: DataFrame, key: str) -> DataFrame:
+    """One row of each key. Only rows whose key repeats meet each other; of the others nothing but the key is shuffled."""
+    again = settled(docs.groupBy(F.col(key).alias("_again")).count().where("count > 1").select("_again"))
+    if not again.limit(1).count():
+        return docs
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    return docs.join(again, same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates([key]))
+
+
 def reparse(docs: DataFrame, path: str, parse: Callable[[DataFrame], dict[str, DataFrame]], version: str, key: str = "doc_id", hash_col: str = "file_hash") -> int:
     """STR6, SNK1-SNK3: parses what is outdated and puts it in the store; how many documents that were. ``parse`` gives the child tables (with ``key``) of documents."""
     spark = docs.sparkSession
-    todo = settled(outdated(spark, path, docs.dropDuplicates([key]), version, key, hash_col))
+    todo = settled(outdated(spark, path, _once_each(docs, key), version, key, hash_col))
     n = todo.count()
     if n:
         parents = todo.select(key, hash_col, F.lit(version).alias("parser_version"))

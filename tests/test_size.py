@@ -142,3 +142,18 @@ def test_words_and_blocks_that_pieces_cut(monkeypatch):
             n, best = want.get((t, p), (0, 0.0))
             want[t, p] = (n + 1, max(best, float(k)))
         assert got == want
+
+
+def test_texts_of_distinct_keys_are_not_shuffled_into_the_store(spark, tmp_path):
+    from folium.sources import store
+
+    docs = spark.createDataFrame([(k, f"h{k}", f"text {k}") for k in range(40)], "doc_id long, file_hash string, text string").repartition(3)
+    assert store._once_each(docs, "doc_id") is docs
+    parse = lambda todo: {"texts": todo.select("doc_id", "text")}
+    assert store.reparse(docs, f"{tmp_path}/s", parse, "v1") == 40
+    # A bucket's rows lie where the tasks that had them wrote them.
+    files = list(tmp_path.rglob("texts-*/bucket=*/*.parquet"))
+    assert len(files) > len({f.parent for f in files})
+    again = [(1, "h1", "text 1"), (1, "x1", "other 1"), (None, "a", "a"), (None, "b", "b"), (50, "h50", "text 50")]
+    once = store._once_each(spark.createDataFrame(again, docs.schema), "doc_id")
+    assert sorted(str(r.doc_id) for r in once.collect()) == ["1", "50", "None"]
