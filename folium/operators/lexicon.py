@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folium.functions.text import EDITS, SHORT_WORDS, URL, once
+from folium.functions.text import EDITS, SHORT_WORDS, URL, once, with_told
 from folium.sources.io import settled
 
 LETTER = "A-Za-zÀ-ɏ"
@@ -41,7 +41,8 @@ def rewritten(docs: DataFrame, text: str, pattern: str, answers: Callable[[DataF
     """Adds struct<text, edits>: each hit of ``pattern`` replaced by its answer. ``answers`` takes the distinct hits (hit) and gives (hit, put, rule) for those that it changes."""
     key, gaps = F.unhex(F.sha2(F.col(text), 256)), F.split(F.col(text), pattern, -1)
     # A distinct text is one row with its hits in order until it has a short number; only that goes along with each hit.
-    held = docs.select(key.alias("_rewritten_key"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")).where(F.size("hits") > 0)
+    # Told once: a filter on plain columns would go below them and look for the hits, and make the text itself, a second time.
+    held = with_told(docs.select(text), _rewritten_key=key, hits=F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).where(F.size("hits") > 0).select("_rewritten_key", "hits")
     held = settled(held.dropDuplicates(["_rewritten_key"]).withColumn("_id", F.monotonically_increasing_id()))
     hits = held.select("_id", F.posexplode("hits").alias("_at", "hit"))
     told = hits.join(answers(hits.select("hit").distinct()), "hit", "left")

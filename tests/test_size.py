@@ -157,3 +157,18 @@ def test_texts_of_distinct_keys_are_not_shuffled_into_the_store(spark, tmp_path)
     again = [(1, "h1", "text 1"), (1, "x1", "other 1"), (None, "a", "a"), (None, "b", "b"), (50, "h50", "text 50")]
     once = store._once_each(spark.createDataFrame(again, docs.schema), "doc_id")
     assert sorted(str(r.doc_id) for r in once.collect()) == ["1", "50", "None"]
+
+
+def test_hits_of_a_text_are_looked_for_once(spark):
+    """What keeps texts with hits asks the told hits, not the expression a second time, below the step that makes the text."""
+    from folium.operators import lexicon
+
+    seen = []
+    held, lexicon.settled = lexicon.settled, lambda df: seen.append(df) or held(df)
+    try:
+        docs = spark.createDataFrame([(1, "a cut-\nword"), (2, "none")], "doc_id long, text string")
+        done = lexicon.rewritten(docs, "text", lexicon.CUT, lambda hits: hits.selectExpr("hit", "'cutword' AS put", "'r' AS rule"), "out").collect()
+    finally:
+        lexicon.settled = held
+    assert {r.doc_id: r.out.text for r in done} == {1: "a cutword", 2: "none"}
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
