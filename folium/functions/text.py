@@ -250,22 +250,6 @@ def logged(rows: DataFrame, column: str, steps: dict, out: str = "repaired") ->
     return fold(rows).withColumn(out, F.struct(F.col(now).alias("text"), F.col(log).alias("edits"))).drop(now, log)
 
 
-def find_spans(x: Column, pattern: str, guard: Column | None = None) -> Column:
-    """Places of all matches: array<struct<start,end,hit>>, from 0, end exclusive: what ``split`` leaves between them has the gaps' lengths."""
-    EMPTY = "array<struct<start:int,end:int,hit:string>>"
-    hits, gaps = F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.split(x, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(EMPTY).alias("out"))
-
-    def step(s: Column, v: Column) -> Column:
-        begin = s["at"] + F.length(v["gap"])
-        end = begin + F.length(v["hit"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), v["hit"].alias("hit")))).alias("out"))
-
-    both = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), lambda v: v["hit"].isNotNull())
-    found = F.aggregate(both, start, step, lambda s: s["out"])
-    return found if guard is None else F.when(guard, found).otherwise(F.array().cast(EMPTY))
-
-
 DOI = r"10\.[0-9]{4,9}/[A-Za-z0-9._;()/:-]+"
 
 

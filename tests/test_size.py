@@ -172,3 +172,55 @@ def test_hits_of_a_text_are_looked_for_once(spark):
         lexicon.settled = held
     assert {r.doc_id: r.out.text for r in done} == {1: "a cutword", 2: "none"}
     assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_graded_work_reads_its_lines_twice_and_its_paragraphs_once(spark):
+    """Once as lines and once as paragraphs; a paragraph's list of shares is made once, and none of it is joined or sent back to the documents."""
+    from folium.operators import graded
+    from folium.plans import document_queries
+
+    rows = document_queries._zoned(document_queries.written(spark, SF, document_queries.GRADED), "requirements")
+    plan = graded.candidates(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and plan.count("ArrowEvalPython [in_prose") == 1 and "Join" not in plan
+
+
+def test_only_documents_with_something_twice_are_merged(spark, monkeypatch):
+    """Merging is row by row in Python, so it is for documents whose rows could be the same work."""
+    from folium.operators import graded
+
+    seen, merge = [], graded.merge_same
+
+    def watched(items, also=None):
+        seen.append({r.doc_id for r in items.select("doc_id").distinct().collect()})
+        return merge(items, also)
+
+    monkeypatch.setattr(graded, "merge_same", watched)
+    texts = [
+        (1, "Quizzes            40%\nEssay One            60%"), (2, "Policy Memo 50%\n\nThe Policy Memo (50%): due 9/12."), (3, "Midterm Exam 30%\nFinal Exam 30%\nTests 40%"), (4, "x"),
+        (5, "Lab Work (40% total): Part One (25%): x. Part Two (15%): y. Final Exam (60%): z."),
+    ]
+    rows = graded.G.lines(spark.createDataFrame(texts, "doc_id long, text string")).withColumns({"zone": F.lit("requirements"), "zone_id": F.lit(0), "term": F.struct(F.lit("fall").alias("name"), F.lit(2030).alias("year"))})
+    got = sorted((r.doc_id, r.ordinal, r.title, r.weight, r.merged) for r in graded.extract(rows).collect())
+    assert seen == [{2, 3}, {2, 3}]
+    assert [g[:1] + g[2:4] for g in got] == [
+        (1, "Quizzes", 40.0), (1, "Essay One", 60.0), (2, "The Policy Memo", 50.0), (3, "Midterm Exam", 30.0), (3, "Final Exam", 30.0), (3, "Tests", 40.0), (5, "Lab Work", 40.0), (5, "Final Exam", 60.0),
+    ]
+
+
+def test_stems_stand_in_what_their_expressions_fit(spark):
+    from folium.operators import graded
+
+    texts = ["MID-TERM Midterm", "a quiz", "Weekly Assessment", "assessment 3", "Checklist", "Pre Registration", "prospectus", "To present", "Case studies", "sign up", "Signup", "Memo", "REPORTS", "none", "contest", "Assignment"]
+    fits = F.coalesce(graded.G.first_pattern(F.col("x"), graded.KINDS), F.lit("other"))
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", graded.classify_kind(F.col("x"), F.lit(None).cast("string")).alias("k"), fits.alias("f")).collect()
+    assert all(r.k == r.f for r in rows) and len({r.k for r in rows}) == len(graded.KINDS) + 1
+
+
+def test_places_of_markers_in_paragraphs(spark):
+    from folium.operators import segment
+
+    text = "  \n\n• One\nTwo\n• Three\n\n \nFour\n- Five"
+    rows = segment.lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert [r.idx for r in rows.where("starts_block").collect()] == [2]
+    got = segment.paragraphs(rows.withColumns({"zone": F.lit("z"), "zone_id": F.lit(0)})).orderBy("idx").collect()
+    assert [(r.idx, r.text, [tuple(m) for m in r.markers]) for r in got] == [(2, "One Two Three", [(0, "•"), (8, "•")]), (7, "Four Five", [(5, "-")])]
