@@ -2,9 +2,12 @@
 
 A conversation is a sequence of turns (role, text). Every distinct sequence of first turns is a node; a conversation is a member of each of its prefixes.
 
-1. A conversation's turns stream, sorted, through a running digest: each prefix gets an identity (BLAKE2b, 16 bytes) from its parent's, the role and the
-   text. No conversation is gathered; all its turns pass through one task one after the other, as any digest of a sequence asks.
-2. Nodes are groups of equal prefixes (members counted with a map-side combine); the edges to their parents make a forest below the root.
+1. Texts are read once, where they lie: a turn becomes a digest (BLAKE2b, 16 bytes) of its role and text and the number of its words; texts are not shuffled. Groups
+   of twenty ids are dealt out, sorted by id and turn, and stream: the opening conversation's first turns are held for those that take them over, and each prefix gets an
+   identity from its parent's and its last turn's digest. No conversation is gathered; all its turns pass through one task one after the other, as any digest of a
+   sequence asks. Only where turns of one number and role differ do their texts say their order; these conversations alone are read and dealt with their texts.
+2. Nodes are groups of equal prefixes (members counted with a map-side combine); the edges to their parents make a forest below the root. What is below a node of
+   one member is the rest of that conversation: one leaf, nothing saved. So only nodes of two members and more take the steps that follow.
 3. The forest is split into components of bounded size. A node's tier is the number of digits of its members' count in base ``FAN_OUT``; it never grows
    downwards, so the nodes of one tier that hang together are a component with one top, of at most ``FAN_OUT`` nodes at each depth.
 4. Tier by tier from below, each component is rolled up in one task: split at its centroid again and again, the totals of the parts aggregated, and the
@@ -18,11 +21,12 @@ rows are turns of their own; a negative id belongs to the group of twenty that b
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.llm.common import runs, settle, table, text_of, width
@@ -31,51 +35,123 @@ from folium.llm.manifest import crc_sql
 #: Base of the tiers: a component has at most as many nodes at one depth.
 FAN_OUT = 256
 ROOT = b"\0" * 16
+#: So many ids share the first turns of the one that opens them.
+GROUP = 20
 SPACE = "[^\\x20\\x09-\\x0D]+"
 
 
-def kept_head(conv_id: Column) -> Column:
-    """How many first turns a conversation takes over."""
-    return (F.crc32(conv_id.cast("string").cast("binary")) % 4).cast("int")
+TURNS = "conv_id long, turn long, role string, tie string, said binary, words long"
+WALKS = "conv_id long, depth long, node binary, parent binary, words long, ends boolean, tied boolean"
+GAPS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _words(texts: pa.Array) -> np.ndarray:
+    """How many words each text has: the bytes of all texts are looked at together."""
+    wide = pa.types.is_large_string(texts.type)
+    _, ends, data = texts.buffers()
+    at = np.frombuffer(ends, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if data is None or at[-1] == at[0]:
+        return np.zeros(len(texts), np.int64)
+    word = ~GAPS[np.frombuffer(data, np.uint8)[at[0] : at[-1]]]
+    at -= at[0]
+    first = at[:-1][at[1:] > at[:-1]]
+    starts = word.copy()
+    starts[1:] &= ~word[:-1]
+    starts[first] = word[first]
+    return np.diff(np.searchsorted(np.flatnonzero(starts), at))
+
+
+def _told(tied: bool):
+    """Rows (conv_id, turn, role, text) as turns; ``tied`` keeps the text, to sort by it."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in TURNS.split(", ")]
+        for batch in batches:
+            if batch.num_rows:
+                conv, turn, role, text = batch.columns
+                said = []
+                for r, t in zip(role.to_pylist(), text.cast(pa.large_binary()).to_pylist(), strict=True):
+                    own = r.encode()
+                    said.append(hashlib.blake2b(b"".join((len(own).to_bytes(8, "little"), own, t)), digest_size=16).digest())
+                tie = text.cast(pa.string()) if tied else pa.nulls(batch.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([conv, turn, role.cast(pa.string()), tie, pa.array(said, pa.binary()), pa.array(_words(text), pa.int64())], names=names)
+
+    return go
 
 
-def rebuilt(conversations: DataFrame, group: int = 20) -> DataFrame:
-    """Turns (conv_id, k, role, text): the first ones of the conversation that opens the group of ids, then the conversation's own after as many."""
-    turns = conversations.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", text_of("role").alias("role"), text_of("text").alias("text"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    numbered = turns.withColumn("k", F.row_number().over(order))
-    own = numbered.where(F.col("k") > kept_head(F.col("conv_id"))).select("conv_id", "k", "role", "text")
-    heads = numbered.where(F.col("k") <= 3).where(F.pmod("conv_id", F.lit(group)) == 0).select(F.col("conv_id").alias("base"), "k", "role", "text")
-    takers = turns.groupBy("conv_id").agg(F.count("*").alias("held")).select("conv_id", (F.col("conv_id") - F.pmod("conv_id", F.lit(group))).alias("base"), kept_head(F.col("conv_id")).alias("h"))
-    taken = heads.join(takers.where("h > 0"), "base").where(F.col("k") <= F.col("h")).select("conv_id", "k", "role", "text")
-    return own.unionByName(taken)
+def kept_head(conv_id: int) -> int:
+    """How many first turns a conversation takes over."""
+    return zlib.crc32(str(conv_id).encode()) % 4
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted turns as prefixes: conv_id, depth, node, parent, words of the last text, whether it is the conversation's last."""
-    names = ["conv_id", "depth", "node", "parent", "words", "ends"]
-    conv, depth, node = None, 0, ROOT
-    held: tuple | None = None
+    """Sorted turns of groups of ids as the prefixes of the conversations as they are rebuilt: conv_id, depth, node, parent, words of the last text, whether it is the conversation's
+    last, and on that row whether turns of one number and role differ whose order the texts have to say. A conversation without turns ends at the root."""
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_()]
+    names = [f.split()[0] for f in WALKS.split(", ")]
+    base, heads = None, []  # the first turns of the group's opening conversation
+    conv, k, keep, tied = None, 0, 0, False
+    turn_of, role_of, tie_of, said_of = None, None, None, None
+    depth, node, held = 0, ROOT, None
+    rows: list[tuple] = []
+
+    def put(said: bytes, words: int) -> None:
+        nonlocal depth, node, held
+        if held is not None:
+            rows.append((*held, False, False))
+        parent, depth = node, depth + 1
+        node = hashlib.blake2b(parent + said, digest_size=16).digest()
+        held = (conv, depth, node, parent, words)
 
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    def close() -> None:
+        if conv is not None:
+            rows.append((*(held or (conv, 0, ROOT, None, 0)), True, tied))
 
     for batch in batches:
-        rows = []
-        for c, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-            if held is not None:
-                rows.append((*held, c != conv))
+        for c, turn, role, tie, said, words in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if c != conv:
-                conv, depth, node = c, 0, ROOT
-            said, told = role.encode(), text.encode()
-            parent, depth = node, depth + 1
-            node = hashlib.blake2b(b"".join((parent, len(said).to_bytes(8, "little"), said, told)), digest_size=16).digest()
-            held = (conv, depth, node, parent, len(told.split()))
+                close()
+                conv, k, keep, tied, depth, node, held = c, 0, kept_head(c), False, 0, ROOT, None
+                if c - c % GROUP != base:
+                    base, heads = c - c % GROUP, []
+                if c != base:
+                    for h in heads[:keep]:
+                        put(*h)
+            elif turn == turn_of and role == role_of and tie == tie_of and said != said_of:
+                tied = True
+            turn_of, role_of, tie_of, said_of = turn, role, tie, said
+            k += 1
+            if c == base:
+                put(said, words)
+                if k <= 3:
+                    heads.append((said, words))
+            elif k > keep:
+                put(said, words)
         if rows:
-            yield pack(rows)
-    if held is not None:
-        yield pack([(*held, True)])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows.clear()
+    close()
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def walked(conversations: DataFrame) -> DataFrame:
+    """Every prefix of every conversation as it is rebuilt (``WALKS``)."""
+    spark = conversations.sparkSession
+    given = conversations.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text_of("role").alias("role"), text_of("text").alias("text"))
+    turns = given.mapInArrow(_told(False), TURNS)
+
+    def walk(rows: DataFrame) -> DataFrame:
+        group = F.expr(f"conv_id div {GROUP} - if(conv_id % {GROUP} < 0, 1, 0)")
+        dealt = rows.repartition(width(spark), group).sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "tie")
+        return settle(dealt.mapInArrow(_walk, WALKS))
+
+    first = walk(turns)
+    tied = first.where("tied").select("conv_id")
+    if tied.isEmpty():
+        return first
+    texts = given.join(tied, "conv_id", "left_semi").mapInArrow(_told(True), TURNS)
+    return walk(turns.join(tied, "conv_id", "left_anti").select(*texts.columns).unionByName(texts))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,48 +238,60 @@ def _component(rows: dict) -> dict:
 
 
 def trie(conversations: DataFrame) -> DataFrame:
-    """One row a node: node, conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    """One row a node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     spark = conversations.sparkSession
-    convs = settle(conversations.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("conv_id")).distinct())
-    turns = rebuilt(conversations).repartition(width(spark), "conv_id").sortWithinPartitions("conv_id", "k")
-    walks = settle(turns.mapInArrow(_walk, "conv_id long, depth long, node binary, parent binary, words long, ends boolean"))
-    found = walks.groupBy("node").agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("owner"))
-    children = walks.groupBy("parent", "node").agg(F.lit(1).alias("one")).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
-    found = settle(found.join(children, "node", "left").fillna(0, ["n_children"]))
+    walks = walked(conversations)
+    # Parent, depth and words follow from the node.
+    found = settle(walks.where("depth > 0").groupBy("node", "parent", "depth", "words").agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("owner"), F.max("ends").alias("ended")))
+    shared, single = found.where("n_convs > 1"), found.where("n_convs = 1")
+    above = shared.select(F.col("node").alias("parent"), F.col("owner").alias("above"))
+    # Nodes of one member: a parent that is none of the shared ones is the same conversation's.
+    lone = single.where("depth > 1").select("parent", "depth", "owner", "ended").join(above, "parent", "left")
+    lone = settle(lone.select(F.when(F.col("above").isNotNull(), F.col("parent")).alias("parent"), "depth", "owner", "ended", F.coalesce("above", "owner").alias("above")))
+    kids = lone.where("parent is not null").select(F.col("parent").alias("node"), F.lit(1).alias("lone")).unionByName(shared.where("depth > 1").select(F.col("parent").alias("node"), F.lit(0).alias("lone")))
+    kids = kids.groupBy("node").agg(F.count("*").alias("n_children"), F.sum("lone").alias("lone"))
     tier = F.lit(0)
     for k in range(1, 6):
         tier = F.when(F.col("n_convs") >= FAN_OUT**k, k).otherwise(tier)
     # On each conversation's way down the first node of a tier is the top of its component; the node's smallest member says so for the node.
+    met = settle(walks.where("depth > 0").select("conv_id", "depth", "node", "ends").join(shared.select("node", "parent", "words", "owner", "n_convs", tier.alias("tier")), "node"))
     way = Window.partitionBy("conv_id", "tier").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = walks.join(found, "node").withColumn("tier", tier).withColumn("top", F.first("node").over(way)).where(F.col("owner") == F.col("conv_id"))
-    nodes = settle(placed.select("node", "parent", "top", "tier", "depth", "conv_id", "n_convs", "n_children", ((F.col("n_convs") - 1) * F.col("words")).alias("own")))
+    placed = met.withColumn("top", F.first("node").over(way)).where(F.col("owner") == F.col("conv_id")).join(kids, "node", "left").fillna(0, ["n_children", "lone"])
+    nodes = settle(placed.select("node", "parent", "top", "tier", "depth", "conv_id", "n_convs", "n_children", "lone", ((F.col("n_convs") - 1) * F.col("words")).alias("own")))
     done: DataFrame | None = None
     for t in range((nodes.agg(F.max("tier")).first()[0] or 0) + 1):
-        own = nodes.where(F.col("tier") == t).select("node", "parent", "top", "depth", (F.col("n_children") == 0).cast("long").alias("leaves"), F.col("own").alias("saved"))
+        own = nodes.where(F.col("tier") == t).select("node", "parent", "top", "depth", (F.col("lone") + (F.col("n_children") == 0).cast("long")).alias("leaves"), F.col("own").alias("saved"))
         if done is not None:
             lower = done.where("is_top").groupBy(F.col("parent").alias("node")).agg(F.sum("n_leaves").alias("more_leaves"), F.sum("saved_tokens").alias("more_saved"))
             own = own.join(lower, "node", "left").select("node", "parent", "top", "depth", (F.col("leaves") + F.coalesce("more_leaves", F.lit(0))).alias("leaves"), (F.col("saved") + F.coalesce("more_saved", F.lit(0))).alias("saved"))
         rolled = settle(runs(own, ["top"], ["depth"], "node binary, parent binary, is_top boolean, n_leaves long, saved_tokens long", _component))
         done = rolled if done is None else done.unionByName(rolled)
-    sums = done.select("node", "n_leaves", "saved_tokens")
-    silent = convs.join(walks.where("depth = 1").select("conv_id"), "conv_id", "left_anti").select(F.lit(ROOT).alias("node"), "conv_id")
-    last = walks.where("ends").select("node", "conv_id").unionByName(silent)
+    told = settle(nodes.select("node", "parent", "conv_id", "depth", "n_convs", "n_children").join(done.select("node", "n_leaves", "saved_tokens"), "node"))
+    # The rows of the root are one row each.
+    first = told.where("depth = 1").agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
+    alone = single.where("depth = 1").agg(F.count("*").alias("lone"))
+    root = walks.where("ends").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").join(first).join(alone)
+    leaves = F.coalesce("n_leaves", F.lit(0)) + F.col("lone")
+    root = root.select(F.lit(ROOT).alias("node"), F.lit(None).cast("binary").alias("parent"), "conv_id", F.lit(0).cast("long").alias("depth"), "n_convs", (F.col("n_children") + F.col("lone")).alias("n_children"), F.greatest(leaves, F.lit(1)).alias("n_leaves"), F.coalesce("saved_tokens", F.lit(0)).alias("saved_tokens"))
+    root = settle(root)
+    last = met.where("ends").select("node", "conv_id").unionByName(walks.where("depth = 0").select("node", "conv_id"))
     ends = last.repartition(width(spark), "node").sortWithinPartitions("node", "conv_id").mapInArrow(_hashed, "node binary, ends_sha256 string")
-    told = nodes.select("node", "parent", "conv_id", "depth", "n_convs", "n_children").join(sums, "node")
-    root = told.where("depth = 1").agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.coalesce(F.sum("saved_tokens"), F.lit(0)).alias("saved_tokens"))
-    # Both sides are one row.
-    root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").join(root)
-    root = root.select(F.lit(ROOT).alias("node"), F.lit(None).cast("binary").alias("parent"), "conv_id", F.lit(0).cast("long").alias("depth"), "n_convs", "n_children", F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), "saved_tokens")
-    whole = settle(told.unionByName(root))
-    above = whole.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    nothing = hashlib.sha256().hexdigest()
-    return whole.join(above, "parent", "left").join(ends, "node", "left").select(
-        "node", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(nothing)).alias("ends_sha256")
+    least, nothing = (root.first() or {"conv_id": None})["conv_id"], F.lit(hashlib.sha256().hexdigest())
+    first = F.lit(least).cast("long")
+    top = told.unionByName(root).join(above, "parent", "left").join(ends, "node", "left").select(
+        "conv_id", "depth", F.when(F.col("depth") == 1, first).otherwise(F.col("above")).alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", nothing).alias("ends_sha256")
     )
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    rest = lone.select("depth", "owner", "ended", "above").unionByName(single.where("depth = 1").select("depth", "owner", "ended", first.alias("above")))
+    rest = rest.select(
+        F.col("owner").alias("conv_id"), "depth", F.col("above").alias("parent_conv_id"), one.alias("n_convs"), (~F.col("ended")).cast("long").alias("n_children"), one.alias("n_leaves"), none.alias("saved_tokens"),
+        F.when(F.col("ended"), F.sha2(F.col("owner").cast("string"), 256)).otherwise(nothing).alias("ends_sha256"),
+    )
+    return top.unionByName(rest)
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie(table(spark, sf_dir, "conversations")).drop("node")
+    return trie(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {"op13_prefix_trie": op13_prefix_trie}

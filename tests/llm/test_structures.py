@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,39 @@ def test_trie_matches_brute_force(spark, monkeypatch, fan_out):
     assert got == brute_trie([r for r in rows])
 
 
+def test_texts_are_not_shuffled_for_the_trie(spark, monkeypatch):
+    """What is dealt out holds digests; texts go along only for conversations in which turns of one number and role differ."""
+    plans, settle = [], trie.settle
+    monkeypatch.setattr(trie, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df))
+    rows = [(c, k, "user", f"turn {c % 7} {k}") for c in range(45) for k in range(3)]
+    convs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert trie.walked(convs).where("ends").count() == 45
+    assert len(plans) == 1 and plans[0].count("Repartition") == 1 and "text" not in plans[0][: plans[0].index("MapInArrow", plans[0].index("Repartition"))]
+    tied = convs.unionByName(spark.createDataFrame([(20, 1, "user", "other"), (41, 0, "user", "a"), (3, 2, "user", "turn 3 2")], convs.schema))
+    got = sorted((tuple(r[c] for c in COLUMNS) for r in trie.trie(tied).collect()), key=str)
+    assert got == brute_trie([tuple(r) for r in tied.collect()])
+    assert "LeftSemi" in plans[2] and "LeftAnti" in plans[2]
+
+
+def test_nodes_of_one_member_are_not_rolled_up(spark, monkeypatch):
+    """They are most nodes; each is the rest of one conversation."""
+    seen, runs = [], trie.runs
+    monkeypatch.setattr(trie, "runs", lambda df, *a: seen.append(df.count()) or runs(df, *a))
+    rows = [(c, k, "user", f"turn {c % 2 if k < 2 else c} {k}") for c in range(1, 19) for k in range(30)]
+    got = sorted((tuple(r[c] for c in COLUMNS) for r in trie.trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()), key=str)
+    assert got == brute_trie(rows)
+    assert 0 < sum(seen) < 40 < len(got)
+
+
+def test_words_of_a_batch():
+    texts = ["", "a b", " \tä\n", "", "x", "\x0b\x0c y\u00a0z ", "one  two\rthree", ""]
+    want = [len(t.encode().split()) for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(texts, kind)
+        assert trie._words(whole).tolist() == want
+        assert all(trie._words(whole.slice(i, n)).tolist() == want[i : i + n] for i in range(8) for n in range(1, 9 - i))
+
+
 def test_trie_of_nothing(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert trie.trie(spark.createDataFrame([], schema)).count() == 0
