@@ -42,7 +42,7 @@ def parse_documents(pages: DataFrame, grids: DataFrame | None = None, all_kinds:
     """
     text = pages.withColumn("text", F.array_join("blocks", "\n"))
     terms = settled(D.terms_of(text))
-    lines = settled(G.flatten(pages))
+    lines = settled(G.named(G.flatten(pages)))
     meta = settled(M.course_meta(lines.where(F.col("page") <= HEAD_PAGES), terms))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n")
     six = text.where("page <= 6").groupBy("doc_id").agg(joined.alias("six"), F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["page"] <= HEAD_PAGES), lambda p: p["text"]), "\n").alias("head"))

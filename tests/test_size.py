@@ -224,3 +224,77 @@ def test_places_of_markers_in_paragraphs(spark):
     assert [r.idx for r in rows.where("starts_block").collect()] == [2]
     got = segment.paragraphs(rows.withColumns({"zone": F.lit("z"), "zone_id": F.lit(0)})).orderBy("idx").collect()
     assert [(r.idx, r.text, [tuple(m) for m in r.markers]) for r in got] == [(2, "One Two Three", [(0, "•"), (8, "•")]), (7, "Four Five", [(5, "-")])]
+
+
+def test_a_text_of_many_entries_is_read_once(spark, monkeypatch):
+    """Layouts give the same texts, and documents share some; what is no reading in one place may be none in another."""
+    from folium.operators import schedule
+
+    seen, read = [], schedule.read_texts
+
+    def watched(texts):
+        seen.extend(r.raw for r in texts.collect())
+        assert texts.select(F.spark_partition_id()).rdd.getNumPartitions() > 1
+        return read(texts)
+
+    monkeypatch.setattr(schedule, "read_texts", watched)
+    book, two = "Doe, Jane. 2005. The long book. Boston: Big Press.", "• NRC Ch 3 & 4 • Roe, R. 2006. The other book. Boston: Big Press."
+    given = [(d, 1, e, t, v, a) for d in range(6) for e, (t, v, a) in enumerate([(book, None, False), (two, "optional", False), ("Human Security", None, False), ("Human Security", None, True), (book, "goals", False), ("TBD", None, False)])]
+    got = schedule.readings(spark.createDataFrame(given, "doc_id long, session int, entry int, raw string, level string, appended boolean")).collect()
+    assert sorted(seen) == sorted({book, two, "Human Security", "TBD"})
+    want = [(0, book, "required"), (1, "NRC Ch 3 & 4", "recommended"), (2, "Roe, R. 2006. The other book. Boston: Big Press.", "recommended"), (3, "Human Security", "required")]
+    assert sorted((r.doc_id, r.ordinal, r.raw, r.requirement_level) for r in got) == [(d, *w) for d in range(6) for w in want]
+
+
+def test_lines_of_a_zone_search_are_read_once(spark):
+    """The zone that a line names is asked once, and week numbers are counted with the rest: the starts join nothing."""
+    from folium.operators import segment
+
+    rows = segment.lines(spark.createDataFrame([(1, "Grading\nWeek 1 a\nWeek 2 b")], "doc_id long, text string"))
+    assert "Join" not in segment.schedule_starts(rows)._jdf.queryExecution().optimizedPlan().toString()
+    plan = segment.zones(segment.named(rows).localCheckpoint())._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" not in plan
+
+
+def test_runs_of_weeks_and_dated_lines_ahead(spark):
+    import random
+
+    from folium.operators import segment
+
+    rng, docs, want = random.Random(5), [], {}
+    for d in range(60):
+        weeks = [rng.choice([None, None, 1, 2, 3]) for _ in range(rng.randint(0, 9))]
+        docs.append((d, "\n".join("words" if v is None else f"Week {v} x" for v in weeks)))
+        runs, last = [], None
+        for i, v in enumerate(weeks):
+            if v is not None:
+                if last is None or v < last:
+                    runs.append([i])
+                else:
+                    runs[-1].append(i)
+                last = v
+        best = max(runs, key=len, default=[])
+        want[d] = (best if len(best) >= 2 else runs[0])[0] if runs else None
+    # A heading counts with two dated lines among the sixty after it.
+    for d, gap in ((100, 57), (101, 58), (102, 59)):
+        docs.append((d, "Course Schedule\n" + "words\n" * gap + "on Jan 5 x\non Jan 6 y"))
+        want[d] = 0 if gap <= 58 else None
+    rows = segment.lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.start for r in segment.schedule_starts(rows).collect()} == want
+
+
+def test_a_documents_head_is_gathered_once(spark):
+    """Labels, code and title are read from one row a document; only its term is joined."""
+    from folium.operators import frontmatter, segment
+
+    text = "POLS 4101: Theory of Rule\nInstructor:\n Dr. Ida   Berg \n\nInstructor: Prof. Second\nRoom: B 12 Office hours: never\nE-mail: a@b.org\nMeets:\n\nMon 9\nWebsite: see https://x.org/a."
+    lines = segment.lines(spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string"))
+    terms = spark.createDataFrame([(1, ("fall", 2030))], "doc_id long, term struct<name:string,year:int>")
+    meta = frontmatter.course_meta(lines, terms)
+    plan = meta._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 1 and "Window" not in plan
+    a, b = meta.orderBy("doc_id").collect()
+    assert (a.code, a.title, a.instructor, a.meeting_time, a.location, a.site_url, a.email) == ("POLS 4101", "Theory of Rule", "Dr. Ida Berg", "Mon 9", "B 12", "https://x.org/a", "a@b.org")
+    assert (b.code, b.title, b.instructor, b.site_url, b.confidence) == (None, None, None, None, 0.0)
+    told = {r.label: r.value for r in frontmatter.labelled_values(lines).collect()}
+    assert told == {"instructor": "Dr. Ida Berg", "location": "B 12", "email": "a@b.org", "time": "Mon 9", "site": "see https://x.org/a."}
